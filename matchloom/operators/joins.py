@@ -1,0 +1,22 @@
+"""Equi-joins whose hot keys are spread over several tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """large JOIN small ON keys, with each key's large rows dealt over `salts` sub-keys by `spread_by`.
+
+    Every row of the small side is repeated once per sub-key, so each pair still meets exactly once. Only
+    inner and left joins keep their meaning this way. Catalyst may still broadcast a side that it has
+    measured to be small; the salt then costs nothing.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"a salted join cannot be {how}")
+    big = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    dim = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.join(dim, [*keys, "_salt"], how).drop("_salt")

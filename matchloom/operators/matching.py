@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions.vectors import dot
+from matchloom.operators.joins import SALTS, salted_join
 from matchloom.operators.pairwise import BLOCK_ROWS, pair_scores
 
 
@@ -24,7 +25,7 @@ def score_map(resumes: DataFrame, matrix: DataFrame, resume: str, job: str) -> D
     """(resume, scores MAP<job, score>); a resume that could not be scored keeps an empty map."""
     # One map per resume is as long as the list of jobs, which the result format itself asks for.
     maps = matrix.groupBy(resume).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(job, "score")))).alias("scores"))
-    empty = F.create_map().cast("map<string,double>")
+    empty = F.create_map().cast(maps.schema["scores"].dataType)
     return resumes.select(resume).join(maps, resume, "left").withColumn("scores", F.coalesce("scores", empty))
 
 
@@ -61,7 +62,7 @@ def retrieve(
     wide = max(k * V.OVERFETCH, k)
     if role is not None and prefilter:
         shared = queries.select(query, F.col(query_role).alias(role), F.col("vec").alias("_q"))
-        pairs = shared.join(passages, role).withColumn("score", F.round(dot(F.col("_q"), F.col("vec")), 6)).drop("_q", "vec")
+        pairs = salted_join(shared, passages, [role], query).withColumn("score", F.round(dot(F.col("_q"), F.col("vec")), 6)).drop("_q", "vec")
         ranked = pairs.withColumn("rank", F.row_number().over(best_first(query, passage)))
         return ranked.where(F.col("rank") <= k)
     near = pair_scores(queries, passages, query, passage, top=wide, block_rows=block_rows)
@@ -87,17 +88,7 @@ def first_row_similarity(items: DataFrame, group: str, position: str) -> DataFra
     return items.join(first, group).withColumn("score", score).drop("_first", "_n", "vec")
 
 
-def salted(df: DataFrame, salts: int, key: str) -> DataFrame:
-    """Large side of a salted join: rows of one join key spread over `salts` sub-keys by `key`."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-
-
-def replicated(df: DataFrame, salts: int) -> DataFrame:
-    """Small side of a salted join: every row once per sub-key."""
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K, salts: int = 16) -> DataFrame:
+def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K, salts: int = SALTS) -> DataFrame:
     """Adds `matched`: the texts of the k passages of the pair's own posting that are closest to its vector.
 
     `pairs` has (pair, posting, vec), `passages` has (posting, chunk_no, text, vec). The index of a pair is one
@@ -106,8 +97,7 @@ def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k:
     """
     # Passages first become one array per posting, so the join neither multiplies rows nor needs a window.
     docs = passages.groupBy(posting).agg(F.collect_list(F.struct("chunk_no", "text", "vec")).alias("_index"))
-    # `rows` are the postings; a join on (posting, salt) meets each pair with its posting exactly once.
-    wide = salted(pairs, salts, pair).join(replicated(docs, salts), [posting, "_salt"], "left").drop("_salt")
+    wide = salted_join(pairs, docs, [posting], pair, "left", salts)
 
     def hit(c: Column) -> Column:
         score = F.round(dot(F.col("vec"), c["vec"]), 6)

@@ -58,7 +58,7 @@ def posting_vectors(spark, sf_dir):
 _RESUME_VEC = hashed_sql(f"({relevant_sql(RESUME, 'doc_id', V.RESUME_SECTIONS)})", "doc_id", "relevant")
 _POSTING_VEC = hashed_sql(f"({relevant_sql(POSTING, 'item_id', V.JOB_SECTIONS)})", "item_id", "relevant")
 _NEAR = f"SELECT r.doc_id, p.item_id, sum(r.w * p.w) AS s FROM ({_RESUME_VEC}) r JOIN ({_POSTING_VEC}) p USING (bucket) GROUP BY ALL"
-MATRIX_SQL = f"""SELECT d.doc_id, b.item_id, round_even(round(coalesce(s, 0), 9), 3) AS score
+MATRIX_SQL = f"""SELECT d.doc_id, b.item_id, round_even(round(coalesce(s, 0), 12), 3) AS score
   FROM documents d CROSS JOIN benchmark b LEFT JOIN ({_NEAR}) n ON n.doc_id = d.doc_id AND n.item_id = b.item_id"""
 
 
@@ -91,9 +91,9 @@ def best_role(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- retrieval
-_DOT = "round(list_inner_product(cast(q.embedding AS double[]), cast(p.embedding AS double[])), 6)"
+_DOT = "round_even(round(list_inner_product(cast(q.embedding AS double[]), cast(p.embedding AS double[])), 12), 6)"
 _RANKED = f"""SELECT q.vec_id AS query_id, q.label AS query_role, p.vec_id AS passage_id, p.label AS role, {_DOT} AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, p.vec_id) AS at FROM embeddings q, embeddings p"""
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, p.vec_id) AS place FROM embeddings q, embeddings p"""
 
 
 def embeddings(spark, sf_dir):
@@ -107,7 +107,7 @@ def _queries_and_passages(spark, sf_dir):
     )
 
 
-@query("retrieve_topk", f"SELECT query_id, passage_id, role, score, at AS rank FROM ({_RANKED}) WHERE at <= 5")
+@query("retrieve_topk", f"SELECT query_id, passage_id, role, score, place AS rank FROM ({_RANKED}) WHERE place <= 5")
 def retrieve_topk(spark, sf_dir):
     q, p = _queries_and_passages(spark, sf_dir)
     return matching.retrieve(q, p, "query_id", "passage_id").select("query_id", "passage_id", "role", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -115,8 +115,8 @@ def retrieve_topk(spark, sf_dir):
 
 @query(
     "retrieve_topk_role",
-    f"""SELECT * FROM (SELECT query_id, passage_id, role, score, row_number() OVER (PARTITION BY query_id ORDER BY at) AS rank
-    FROM ({_RANKED}) WHERE at <= 20 AND role = query_role) WHERE rank <= 5""",
+    f"""SELECT * FROM (SELECT query_id, passage_id, role, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank
+    FROM ({_RANKED}) WHERE place <= 20 AND role = query_role) WHERE rank <= 5""",
 )
 def retrieve_topk_role(spark, sf_dir):
     q, p = _queries_and_passages(spark, sf_dir)

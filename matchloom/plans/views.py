@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.sources.tables import read_table
+
 _HALF = "cast(floor(length(text) / 2) AS int)"
 _FIRST = f"substr(text, 1, {_HALF})"
 _SECOND = f"substr(text, {_HALF} + 1)"
@@ -75,7 +77,7 @@ TABLES = ["documents", "benchmark", "pages", "embeddings", "labels", "conversati
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
