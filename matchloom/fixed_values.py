@@ -215,3 +215,9 @@ METRICS_DEFAULTS = {
     "holdout_macro_f1": 0,
     "trained_at": "",
 }
+
+# ---------------------------------------------------------------- spellings of a missing value in labelled CSV files
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]

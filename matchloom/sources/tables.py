@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom import fixed_values as V
+from matchloom.session import ensure_checkpoint_dir
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out when a table has fewer input splits than the cluster has cores.
@@ -23,3 +28,13 @@ def materialise_once(df: DataFrame, path: str) -> DataFrame:
     """Writes `df` unless the path already holds a table, and reads the path either way."""
     df.write.mode("ignore").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def role_dimension(spark: SparkSession, roles: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(role, source): the roles on offer and where the description of each comes from."""
+    return spark.createDataFrame(roles or V.ROLES, "role string, source string")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
