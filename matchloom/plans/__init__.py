@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from matchloom.plans import corpus_queries, match_queries, registry, screen_queries, source_queries, text_queries  # noqa: F401
+    from matchloom.plans import corpus_queries, match_queries, model_queries, phrase_queries, registry, screen_queries, source_queries, text_queries  # noqa: F401
 
     return registry
 

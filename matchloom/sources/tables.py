@@ -38,3 +38,13 @@ def role_dimension(spark: SparkSession, roles: list[tuple[str, str]] | None = No
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` once below the shared checkpoint folder and reads it back.
+
+    Cuts the lineage of what is used many times, in a place that outlives any executor.
+    """
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
