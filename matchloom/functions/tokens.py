@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
+from matchloom.functions.text import let
 
 TOKEN = rf"[{V.WORD}]{{2,}}"
 
@@ -23,6 +24,10 @@ def content_words(text: Column, stop_words: list[str] | None = None) -> Column:
 
 def one_two_grams(tokens: Column) -> Column:
     """Tokens followed by pairs of neighbours; stop words are gone before pairs are formed."""
-    right = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
-    left = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.concat(tokens, F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
+
+    def grams(ts: Column) -> Column:
+        right = F.slice(ts, 2, F.greatest(F.size(ts), F.lit(1)))
+        left = F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(0)))
+        return F.concat(ts, F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
+
+    return let(tokens, grams)

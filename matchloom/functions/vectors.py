@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import let
 from matchloom.functions.tokens import words
 
 HASH_WIDTH = 384
@@ -21,8 +22,7 @@ def l2_norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v / |v|; a zero vector stays zero."""
-    n = l2_norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(l2_norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -36,36 +36,36 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 
     Prefix filtering: with the words of each set in one global order, rarest first, two sets that reach
     the threshold share a word within the first |s| - ceil(t |s|) + 1 words of both. Only those words are
-    joined. The order needs the frequent words alone, which is a bounded list; any order is correct.
+    joined, and only as (key, word) rows; the shared ones are counted per pair. What the count and the
+    last shared places leave possible decides which pairs have their whole sets compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     a = left.select(F.col(left_key), word_set(F.col(text)).alias("_set")).where(F.size("_set") > 0)
     b = right.select(F.col(right_key), word_set(F.col(text)).alias("_set")).where(F.size("_set") > 0)
 
+    # The order needs the frequent words alone, which is a bounded list; any order gives the same pairs.
     both = a.select(F.explode("_set").alias("word")).unionAll(b.select(F.explode("_set").alias("word")))
     hot = both.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    # One row, at most HOT_WORDS entries: the frequent words from rare to frequent.
-    ranks = hot.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda h: h["word"]).alias("_hot"))
-
-    def prefixed(df: DataFrame, key: str, name: str) -> DataFrame:
-        rows = df.select(key, F.explode("_set").alias("word"))
-        table = ranks.select(F.posexplode("_hot").alias("_rank", "word"))
-        placed = rows.join(F.broadcast(table), "word", "left")
-        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("_rank", F.lit(-1)).alias("rank"), "word")))
-        n = F.size("_set")
-        sets = placed.groupBy(key).agg(ordered.alias("_set")).withColumn("_set", F.transform("_set", lambda o: o["word"]))
-        # The slack keeps a product like 0.2 * 5 from rounding up to the next integer.
-        keep = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-        return sets.select(key, F.col("_set").alias(f"_{name}"), F.slice("_set", 1, keep).alias(f"_{name}_prefix"))
 
-    lp, rp = prefixed(a, left_key, "l"), prefixed(b, right_key, "r")
-    met = salted_join(
-        lp.withColumn("word", F.explode("_l_prefix")), rp.withColumn("word", F.explode("_r_prefix")), ["word"], left_key
+    def prefixed(df: DataFrame, key: str, side: str) -> DataFrame:
+        rows = df.select(key, F.size("_set").alias("_n"), F.explode("_set").alias("word"))
+        placed = rows.join(F.broadcast(hot), "word", "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
+        # The slack keeps a product like 0.2 * 5 from rounding up to the next integer.
+        keep = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9).cast("int") + 1
+        sets = placed.groupBy(key, "_n").agg(ordered.alias("_o")).select(key, "_n", F.posexplode(F.slice("_o", 1, keep)).alias("_at", "_w"))
+        return sets.select(key, F.col("_n").alias(f"_n{side}"), (F.col("_at") + 1).alias(f"_at{side}"), "_w.word")
+
+    met = salted_join(prefixed(a, left_key, "l"), prefixed(b, right_key, "r"), ["word"], left_key)
+    nl, nr = F.col("_nl"), F.col("_nr")
+    met = met.where((nl >= nr * threshold - 1e-9) & (nr >= nl * threshold - 1e-9))
+    pairs = met.groupBy(left_key, right_key, "_nl", "_nr").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_atl").alias("_atl"), F.max("_atr").alias("_atr")
     )
-    nl, nr = F.size("_l"), F.size("_r")
-    fits = (nl >= nr * threshold - 1e-9) & (nr >= nl * threshold - 1e-9)
-    # A pair meets once per shared prefix word; it is kept at the first of them only, so no distinct is needed.
-    first = F.col("word") == F.element_at(F.array_intersect("_l_prefix", "_r_prefix"), 1)
-    scored = met.where(fits).where(first).select(left_key, right_key, set_jaccard(F.col("_l"), F.col("_r")).alias("jaccard"))
+    # Every further shared word stands behind the last counted one in both sets.
+    possible = F.col("_c") + F.least(nl - F.col("_atl"), nr - F.col("_atr"))
+    pairs = pairs.where(possible * (1 + threshold) >= (nl + nr) * threshold - 1e-9).select(left_key, right_key)
+    whole = pairs.join(a.withColumnRenamed("_set", "_l"), left_key).join(b.withColumnRenamed("_set", "_r"), right_key)
+    scored = whole.select(left_key, right_key, set_jaccard(F.col("_l"), F.col("_r")).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)

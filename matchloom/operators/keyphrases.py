@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
+from matchloom.functions.text import let
 
 MAX_WORDS = 3
 TOP = 20
@@ -26,12 +27,16 @@ CAPITAL = r"^\p{Lu}"
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sentence, words, leads): one row per run of words without punctuation."""
+    """(key, sentence, words, terms, leads): one row per run of words without punctuation.
+
+    `terms` are the words in lower case, null for a word with a digit.
+    """
     has_word = lambda s: F.rlike(s, F.lit(WORD))
     placed = docs.select(key, text).repartition(key)
     sentences = placed.select(key, F.posexplode(F.filter(F.split(text, SENTENCE_END), has_word)).alias("sentence", "_s"))
     blocks = sentences.select(key, "sentence", F.posexplode(F.filter(F.split("_s", BLOCK_END), has_word)).alias("_b", "_t"))
-    return blocks.select(key, "sentence", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("words"), (F.col("_b") == 0).alias("leads"))
+    blocks = blocks.select(key, "sentence", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("words"), (F.col("_b") == 0).alias("leads"))
+    return blocks.withColumn("terms", F.transform("words", lambda w: F.when(~F.rlike(w, F.lit(HAS_DIGIT)), F.lower(w))))
 
 
 def _is_stop(term: Column, stop: list[str]) -> Column:
@@ -48,13 +53,10 @@ def _terms(blocks: DataFrame, key: str, stop: list[str]) -> DataFrame:
     """(key, term, tf, stop, score): the features of each term of each document and its score."""
 
     def word(w: Column, i: Column) -> Column:
-        def clean(x: Column) -> Column:
-            return F.when(~F.rlike(x, F.lit(HAS_DIGIT)), F.lower(x))
-
         return F.struct(
-            clean(w).alias("term"),
-            clean(F.get(F.col("words"), i - 1)).alias("left"),
-            clean(F.get(F.col("words"), i + 1)).alias("right"),
+            F.get(F.col("terms"), i).alias("term"),
+            F.get(F.col("terms"), i - 1).alias("left"),
+            F.get(F.col("terms"), i + 1).alias("right"),
             F.rlike(w, F.lit(ACRONYM)).alias("acronym"),
             (F.rlike(w, F.lit(CAPITAL)) & ~(F.col("leads") & (i == 0))).alias("capital"),
         )
@@ -97,55 +99,50 @@ def term_scores(docs: DataFrame, key: str, text: str, stop_words: list[str] | No
     return _terms(_blocks(docs, key, text), key, stop).where(~F.col("stop")).select(key, "term", "score")
 
 
-def _candidates(blocks: DataFrame, key: str, stop: list[str], max_words: int) -> DataFrame:
-    """(key, terms, kf): runs of up to `max_words` words that neither begin nor end with a stop word."""
-    lowered = F.transform("words", lambda w: F.when(~F.rlike(w, F.lit(HAS_DIGIT)), F.lower(w)))
-    rows = blocks.select(key, lowered.alias("w"))
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.slice("w", i, n))).otherwise(F.array().cast("array<array<string>>"))
-
-    found = rows.select(key, F.explode(F.concat(*[runs(n) for n in range(1, max_words + 1)])).alias("terms"))
-    first, last = F.element_at("terms", 1), F.element_at("terms", -1)
-    usable = ~F.exists("terms", lambda t: t.isNull()) & ~_is_stop(first, stop) & ~_is_stop(last, stop)
-    return found.where(usable).groupBy(key, "terms").agg(F.count(F.lit(1)).alias("kf"))
-
-
-def _links(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, a, b, links): how often b follows a."""
-    lowered = F.transform("words", lambda w: F.lower(w))
-    rows = blocks.select(key, lowered.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return rows.where(F.size("w") > 1).select(key, F.inline(pairs)).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("links"))
-
-
 def phrase_scores(docs: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, stop_words: list[str] | None = None) -> DataFrame:
     """(key, phrase, score) of every candidate: product of term scores / (occurrences x (1 + their sum)).
 
-    A stop word inside a phrase has no score; it counts by how firmly it is tied to its neighbours.
+    Candidates are runs of up to `max_words` words of a block that neither begin nor end with a stop word. A
+    stop word inside has no score; it counts by how firmly it is tied to its neighbours. Scores are brought
+    to the words first, so the many more candidates need no join of their own.
     """
     stop = V.ENGLISH_STOP_WORDS if stop_words is None else stop_words
-    blocks = _blocks(docs, key, text)
-    terms, links = _terms(blocks, key, stop), _links(blocks, key)
-    cands = _candidates(blocks, key, stop, max_words).withColumn("phrase", F.array_join("terms", " "))
-    parts = cands.select(key, "phrase", "kf", F.size("terms").alias("n"), "terms", F.posexplode("terms").alias("at", "term")).join(terms, [key, "term"])
-    inner = parts.where(F.col("stop")).select(
-        key, "phrase", "at", F.get("terms", F.col("at") - 1).alias("before"), "term", F.get("terms", F.col("at") + 1).alias("after")
-    )
-    side = terms.select(key, "term", F.col("tf").alias("_tf"))
-    ties = (
-        inner.join(links.withColumnsRenamed({"a": "before", "b": "term", "links": "l1"}), [key, "before", "term"], "left")
-        .join(links.withColumnsRenamed({"a": "term", "b": "after", "links": "l2"}), [key, "term", "after"], "left")
-        .join(side.withColumnsRenamed({"term": "before", "_tf": "tf1"}), [key, "before"])
-        .join(side.withColumnsRenamed({"term": "after", "_tf": "tf2"}), [key, "after"])
-    )
-    loose = 1 - F.coalesce(F.col("l1") / F.col("tf1"), F.lit(0.0)) * F.coalesce(F.col("l2") / F.col("tf2"), F.lit(0.0))
-    scored = parts.where(~F.col("stop")).select(key, "phrase", "kf", F.col("score").alias("factor"), F.col("score").alias("term_sum"))
-    tied = ties.select(key, "phrase", F.lit(None).cast("bigint").alias("kf"), (1 + loose).alias("factor"), (-loose).alias("term_sum"))
-    both = scored.unionByName(tied).groupBy(key, "phrase").agg(
-        F.max("kf").alias("kf"), F.product("factor").alias("p"), F.sum("term_sum").alias("s")
-    )
+    blocks = _blocks(docs, key, text).withColumn("block", F.monotonically_increasing_id())
+    terms = _terms(blocks, key, stop)
+    word = lambda t, i: F.struct(i.alias("i"), t.alias("term"), F.get(F.col("terms"), i + 1).alias("right"))
+    words = blocks.select(key, "block", F.inline(F.transform("terms", word))).where(F.col("term").isNotNull())
+    words = words.withColumn("links", F.count(F.lit(1)).over(Window.partitionBy(key, "term", "right")))
+    entry = F.struct("i", "term", "tf", "stop", "score", "links")
+    scored = words.join(terms, [key, "term"]).groupBy(key, "block").agg(F.array_sort(F.collect_list(entry)).alias("w"))
+
+    def candidate(run: Column) -> Column:
+        def factor(x: Column, j: Column) -> Column:
+            before, after = F.get(run, j - 1), F.get(run, j + 1)
+            loose = 1 - (before["links"] / before["tf"]) * (x["links"] / after["tf"])
+            return F.struct(
+                F.when(x["stop"], 1 + loose).otherwise(x["score"]).alias("f"), F.when(x["stop"], -loose).otherwise(x["score"]).alias("s")
+            )
+
+        def totals(fs: Column) -> Column:
+            return F.struct(
+                F.array_join(F.transform(run, lambda x: x["term"]), " ").alias("phrase"),
+                F.aggregate(fs, F.lit(1.0), lambda p, x: p * x["f"]).alias("p"),
+                F.aggregate(fs, F.lit(0.0), lambda p, x: p + x["s"]).alias("s"),
+            )
+
+        return let(F.transform(run, factor), totals)
+
+    def runs(n: int) -> Column:
+        # Filtered by start position, so that a slice is only made of what can be a candidate.
+        def usable(i: Column) -> Column:
+            first, last = F.get(F.col("w"), i), F.get(F.col("w"), i + (n - 1))
+            return ~first["stop"] & ~last["stop"] & (last["i"] - first["i"] == n - 1)
+
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), usable)
+        return F.transform(starts, lambda i: candidate(F.slice("w", i + 1, n)))
+
+    found = scored.select(key, F.inline(F.concat(*[runs(n) for n in range(1, max_words + 1)])))
+    both = found.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("kf"), F.max("p").alias("p"), F.max("s").alias("s"))
     return both.select(key, "phrase", (F.col("p") / (F.col("kf") * (1 + F.col("s")))).alias("score"))
 
 

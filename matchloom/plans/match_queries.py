@@ -24,11 +24,11 @@ def hashed_sql(source: str, key: str, text: str) -> str:
 
 def long_form(df, key, position):
     """(key, position, w) of the non-zero entries."""
-    at = F.posexplode("vec").alias(position, "w")
-    return df.select(key, at).where(F.col("w") != 0).select(key, F.col(position).cast("bigint").alias(position), F.round("w", 6).alias("w"))
+    entries = F.transform("vec", lambda x, i: F.struct(i.cast("bigint").alias(position), F.round(x, 6).alias("w")))
+    return df.select(key, F.inline(F.filter(entries, lambda e: e["w"] != 0)))
 
 
-@query("hashed_vectors", f"SELECT doc_id, bucket, round(w, 6) AS w FROM ({hashed_sql('documents', 'doc_id', 'text')})")
+@query("hashed_vectors", f"SELECT doc_id, bucket, round(w, 6) AS w FROM ({hashed_sql('documents', 'doc_id', 'text')}) WHERE round(w, 6) <> 0")
 def hashed_vectors(spark, sf_dir):
     df = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     return long_form(embedding.hashed(df, "text"), "doc_id", "bucket")

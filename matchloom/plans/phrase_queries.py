@@ -13,9 +13,14 @@ from matchloom.plans.registry import query
 _HAS = f"lambda s: regexp_matches(s, {S.quote(keyphrases.WORD)})"
 _SENT = f"list_filter(string_split_regex(text, {S.quote(keyphrases.SENTENCE_END)}), {_HAS})"
 _BLOCK = f"list_filter(string_split_regex(st, {S.quote(keyphrases.BLOCK_END)}), {_HAS})"
-_CLEAN = "CASE WHEN NOT regexp_matches({0}, " + S.quote(keyphrases.HAS_DIGIT) + ") THEN lower({0}) END"
-_WORDS = f"""SELECT doc_id, sentence, w[i] AS raw, leads AND i = 1 AS opens, {_CLEAN.format('w[i]')} AS term,
-    CASE WHEN i > 1 THEN {_CLEAN.format('w[i - 1]')} END AS lt, CASE WHEN i < len(w) THEN {_CLEAN.format('w[i + 1]')} END AS rt FROM (
+
+
+def _clean(x: str) -> str:
+    return f"CASE WHEN NOT regexp_matches({x}, {S.quote(keyphrases.HAS_DIGIT)}) THEN lower({x}) END"
+
+
+_WORDS = f"""SELECT doc_id, sentence, w[i] AS raw, leads AND i = 1 AS opens, {_clean('w[i]')} AS term,
+    CASE WHEN i > 1 THEN {_clean('w[i - 1]')} END AS lt, CASE WHEN i < len(w) THEN {_clean('w[i + 1]')} END AS rt FROM (
       SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
         SELECT doc_id, sentence, bno = 0 AS leads, regexp_extract_all(bt, {S.quote(keyphrases.WORD)}) AS w FROM (
           SELECT doc_id, sentence, unnest({_BLOCK}) AS bt, generate_subscripts({_BLOCK}, 1) - 1 AS bno FROM (
