@@ -18,13 +18,7 @@ def opening(tag: str) -> str:
     return rf"<{tag}(?:[\s/][^>]*)?>"
 
 
-def region(tag: str) -> str:
-    """Content of the first such element; an unclosed one runs to the end."""
-    return rf"(?is){opening(tag)}(.*?)(?:</{tag}\s*>|\z)"
-
-
 COMMENT = r"(?s)<!--.*?-->"
-DROPPED_FLAT = "(?is)" + "|".join(rf"{opening(t)}.*?</{t}\s*>" for t in V.DROPPED_TAGS)
 TAG = r"(?s)<[!/a-zA-Z?][^>]*>"
 
 
@@ -55,17 +49,76 @@ def decode_entities(s: Column) -> Column:
     return F.when(F.contains(s, F.lit("&")), F.array_join(pieces, "")).otherwise(s)
 
 
+def _cut(body: Column, tags: list[str]) -> Column:
+    """array<struct<p, open, close, rest>>: the text cut in front of every opening or closing one of `tags`.
+
+    `open` and `close` name the tag that a piece begins with, `rest` is the piece behind that tag. An element
+    that closes itself opens nothing.
+    """
+    names = "|".join(tags)
+    pieces = F.split(body, rf"(?i)(?=</?(?:{names})[\s/>])")
+
+    def parts(p: Column) -> Column:
+        return F.struct(
+            p.alias("p"),
+            F.lower(F.regexp_extract(p, rf"(?i)^<({names})(?:\s[^>]*)?(?<!/)>", 1)).alias("open"),
+            F.lower(F.regexp_extract(p, rf"(?i)^</({names})[\s/>]", 1)).alias("close"),
+            F.regexp_replace(p, r"^<[^>]*>", "").alias("rest"),
+        )
+
+    return F.transform(pieces, parts)
+
+
+def drop_elements(body: Column, tags: list[str]) -> Column:
+    """Text without these elements and all they hold, nested ones included; one line end for each."""
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("name"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, x: Column) -> Column:
+        outside = acc["depth"] == 0
+        begins, deeper, ends = outside & (x["open"] != ""), x["open"] == acc["name"], x["close"] == acc["name"]
+        # Inside a script or a style everything up to its end tag is raw text.
+        raw = acc["name"].isin("script", "style")
+        depth = (
+            F.when(begins, F.lit(1)).when(outside, F.lit(0))
+            .when(deeper & ~raw, acc["depth"] + 1).when(ends, acc["depth"] - 1).otherwise(acc["depth"])
+        )
+        out = (
+            F.when(begins, F.concat(acc["out"], F.lit("\n"))).when(outside, F.concat(acc["out"], x["p"]))
+            .when(ends & (acc["depth"] == 1), F.concat(acc["out"], x["rest"])).otherwise(acc["out"])
+        )
+        return F.struct(out.alias("out"), F.when(begins, x["open"]).otherwise(acc["name"]).alias("name"), depth.alias("depth"))
+
+    return F.aggregate(_cut(body, tags), start, step, lambda acc: acc["out"])
+
+
+def first_element(body: Column, tag: str) -> Column:
+    """Content of the first such element up to its own end tag, or to the end of the text."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        outside, opens = acc["depth"] == 0, x["open"] != ""
+        closes = ~outside & (x["close"] != "") & (acc["depth"] == 1)
+        out = (
+            F.when(acc["done"] | closes | (outside & ~opens), acc["out"])
+            .when(outside, x["rest"]).otherwise(F.concat(acc["out"], x["p"]))
+        )
+        depth = F.when(opens, acc["depth"] + 1).when(~outside & (x["close"] != ""), acc["depth"] - 1).otherwise(acc["depth"])
+        return F.struct(out.alias("out"), depth.alias("depth"), (acc["done"] | closes).alias("done"))
+
+    return F.aggregate(_cut(body, [tag]), start, step, lambda acc: acc["out"])
+
+
 def root_region(body: Column) -> Column:
     """Content of the first main, else the first article, else the body, else everything."""
     root = body
     for tag in reversed(V.ROOT_TAGS):
-        root = F.when(F.rlike(body, F.lit("(?i)" + opening(tag))), F.regexp_extract(body, region(tag), 1)).otherwise(root)
+        root = F.when(F.rlike(body, F.lit("(?i)" + opening(tag))), first_element(body, tag)).otherwise(root)
     return root
 
 
 def posting_text(html: Column) -> Column:
     """Body copy, one text node per line, blank lines dropped."""
-    kept = F.regexp_replace(F.regexp_replace(html, COMMENT, "\n"), DROPPED_FLAT, "\n")
+    kept = drop_elements(F.regexp_replace(html, COMMENT, "\n"), V.DROPPED_TAGS)
     bare = F.regexp_replace(let(kept, root_region), TAG, "\n")
     lines = F.transform(F.split(let(bare, decode_entities), LINE_END), trim_u)
     return F.array_join(F.filter(lines, lambda l: l != ""), "\n")

@@ -195,9 +195,10 @@ def page_assemble(spark, sf_dir):
 def html_sql() -> str:
     """The oracle leaves nesting aside: no page of the data has any."""
     x = S.sub_all("html", html.COMMENT, "\n")
-    x = S.sub_all(x, html.DROPPED_FLAT, "\n")
+    flat = "(?is)" + "|".join(rf"{html.opening(t)}.*?</{t}\s*>" for t in V.DROPPED_TAGS)
+    x = S.sub_all(x, flat, "\n")
     root = " ".join(
-        f"WHEN regexp_matches(b, {S.quote('(?i)' + html.opening(t))}) THEN regexp_extract(b, {S.quote(html.region(t))}, 1)" for t in V.ROOT_TAGS
+        f"WHEN regexp_matches(b, {S.quote('(?i)' + html.opening(t))}) THEN regexp_extract(b, {S.quote('(?is)' + html.opening(t) + '(.*?)</' + t)}, 1)" for t in V.ROOT_TAGS
     )
     text_sql = S.sub_all(f"(CASE {root} ELSE b END)", html.TAG, "\n")
     for name, char in {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}.items():
