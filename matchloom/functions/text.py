@@ -36,6 +36,11 @@ def is_blank(s: Column) -> Column:
     return F.coalesce(trim_u(s), F.lit("")) == ""
 
 
+def guard_label(s: Column, label: Column) -> Column:
+    """`label`, or 'Unknown' where the text is blank."""
+    return F.when(is_blank(s), F.lit(V.UNKNOWN_CATEGORY)).otherwise(label)
+
+
 def clean_text(s: Column) -> Column:
     """Lower case, no web links, only word characters and single blanks. Null counts as empty."""
     t = F.lower(F.coalesce(s, F.lit("")))

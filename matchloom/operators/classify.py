@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions import tokens
-from matchloom.functions.text import is_blank, let
+from matchloom.functions.text import guard_label, let
 from matchloom.operators import metrics, stratify, tfidf
 from matchloom.operators.calibrate import fit_sigmoids
 from matchloom.sources.tables import materialise
@@ -156,7 +156,7 @@ def predict(model: TextClassifier, df: DataFrame, text: str) -> DataFrame:
     entries = F.transform(classes, lambda c, i: F.struct(c.alias("category"), mean(i).alias("prob")))
     out = out.withColumn("probs", metrics.sorted_probs(entries)).drop("_tf", "_margins", *[f"_p{f}" for f in range(n_folds)])
     best = F.get("probs", F.lit(0))["category"].cast("string")
-    return out.withColumn("predicted", F.when(is_blank(F.col(text)), F.lit(V.UNKNOWN_CATEGORY)).otherwise(best))
+    return out.withColumn("predicted", guard_label(F.col(text), best))
 
 
 def hold_out(docs: DataFrame, category: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -66,6 +66,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     # Every further shared word stands behind the last counted one in both sets.
     possible = F.col("_c") + F.least(nl - F.col("_atl"), nr - F.col("_atr"))
     pairs = pairs.where(possible * (1 + threshold) >= (nl + nr) * threshold - 1e-9).select(left_key, right_key)
-    whole = pairs.join(a.withColumnRenamed("_set", "_l"), left_key).join(b.withColumnRenamed("_set", "_r"), right_key)
+    whole = salted_join(pairs, a.withColumnRenamed("_set", "_l"), [left_key], right_key)
+    whole = salted_join(whole, b.withColumnRenamed("_set", "_r"), [right_key], left_key)
     scored = whole.select(left_key, right_key, set_jaccard(F.col("_l"), F.col("_r")).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)

@@ -6,11 +6,12 @@ scores are groupings below that key. Lower scores are better.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
-from matchloom.functions.text import let
 
 MAX_WORDS = 3
 TOP = 20
@@ -112,37 +113,29 @@ def phrase_scores(docs: DataFrame, key: str, text: str, max_words: int = MAX_WOR
     word = lambda t, i: F.struct(i.alias("i"), t.alias("term"), F.get(F.col("terms"), i + 1).alias("right"))
     words = blocks.select(key, "block", F.inline(F.transform("terms", word))).where(F.col("term").isNotNull())
     words = words.withColumn("links", F.count(F.lit(1)).over(Window.partitionBy(key, "term", "right")))
-    entry = F.struct("i", "term", "tf", "stop", "score", "links")
-    scored = words.join(terms, [key, "term"]).groupBy(key, "block").agg(F.array_sort(F.collect_list(entry)).alias("w"))
-
-    def candidate(run: Column) -> Column:
-        def factor(x: Column, j: Column) -> Column:
-            before, after = F.get(run, j - 1), F.get(run, j + 1)
-            loose = 1 - (before["links"] / before["tf"]) * (x["links"] / after["tf"])
-            return F.struct(
-                F.when(x["stop"], 1 + loose).otherwise(x["score"]).alias("f"), F.when(x["stop"], -loose).otherwise(x["score"]).alias("s")
-            )
-
-        def totals(fs: Column) -> Column:
-            return F.struct(
-                F.array_join(F.transform(run, lambda x: x["term"]), " ").alias("phrase"),
-                F.aggregate(fs, F.lit(1.0), lambda p, x: p * x["f"]).alias("p"),
-                F.aggregate(fs, F.lit(0.0), lambda p, x: p + x["s"]).alias("s"),
-            )
-
-        return let(F.transform(run, factor), totals)
-
-    def runs(n: int) -> Column:
-        # Filtered by start position, so that a slice is only made of what can be a candidate.
-        def usable(i: Column) -> Column:
-            first, last = F.get(F.col("w"), i), F.get(F.col("w"), i + (n - 1))
-            return ~first["stop"] & ~last["stop"] & (last["i"] - first["i"] == n - 1)
-
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), usable)
-        return F.transform(starts, lambda i: candidate(F.slice("w", i + 1, n)))
-
-    found = scored.select(key, F.inline(F.concat(*[runs(n) for n in range(1, max_words + 1)])))
-    both = found.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("kf"), F.max("p").alias("p"), F.max("s").alias("s"))
+    # Each word looks at the next ones of its block; a word with a digit leaves a gap in `i`.
+    ahead = Window.partitionBy(key, "block").orderBy("i")
+    carried = ["i", "term", "tf", "stop", "score", "links"]
+    seen = words.join(terms, [key, "term"]).select(
+        key, *[(F.lead(c, j).over(ahead) if j else F.col(c)).alias(f"{c}{j}") for j in range(max_words) for c in carried]
+    )
+
+    def run(n: int) -> Column:
+        """Phrase, product and sum of the run of n words that starts here; null when it is no candidate."""
+
+        def loose(j: int) -> Column:
+            return 1 - (F.col(f"links{j - 1}") / F.col(f"tf{j - 1}")) * (F.col(f"links{j}") / F.col(f"tf{j + 1}"))
+
+        factor = [F.when(F.col(f"stop{j}"), 1 + loose(j)).otherwise(F.col(f"score{j}")) if 0 < j < n - 1 else F.col(f"score{j}") for j in range(n)]
+        addend = [F.when(F.col(f"stop{j}"), -loose(j)).otherwise(F.col(f"score{j}")) if 0 < j < n - 1 else F.col(f"score{j}") for j in range(n)]
+        value = F.struct(
+            F.concat_ws(" ", *[F.col(f"term{j}") for j in range(n)]).alias("phrase"),
+            reduce(lambda x, y: x * y, factor).alias("p"), reduce(lambda x, y: x + y, addend).alias("s"),
+        )
+        return F.when(~F.col("stop0") & ~F.col(f"stop{n - 1}") & (F.col(f"i{n - 1}") - F.col("i0") == n - 1), value)
+
+    found = seen.select(key, F.explode(F.array(*[run(n) for n in range(1, max_words + 1)])).alias("_c")).where(F.col("_c").isNotNull())
+    both = found.select(key, "_c.*").groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("kf"), F.max("p").alias("p"), F.max("s").alias("s"))
     return both.select(key, "phrase", (F.col("p") / (F.col("kf") * (1 + F.col("s")))).alias("score"))
 
 

@@ -49,25 +49,18 @@ def retrieve(
     k: int = V.RETRIEVE_K,
     role: str | None = None,
     query_role: str | None = None,
-    prefilter: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact top-k passages per query: (query, passage columns, score, rank).
 
     With a role, the 4k best of the WHOLE index are found first and filtered afterwards, so fewer than k may
-    remain. `query_role` names the query's role column, `role` the passage's. `prefilter=True` restricts
-    the index to the role before ranking instead.
+    remain. `query_role` names the query's role column, `role` the passage's.
     """
-    carried = passages.drop("vec")
     wide = max(k * V.OVERFETCH, k)
-    if role is not None and prefilter:
-        shared = queries.select(query, F.col(query_role).alias(role), F.col("vec").alias("_q"))
-        pairs = salted_join(shared, passages, [role], query).withColumn("score", F.round(dot(F.col("_q"), F.col("vec")), 6)).drop("_q", "vec")
-        ranked = pairs.withColumn("rank", F.row_number().over(best_first(query, passage)))
-        return ranked.where(F.col("rank") <= k)
     near = pair_scores(queries, passages, query, passage, top=wide, block_rows=block_rows)
     near = near.withColumn("at", F.row_number().over(best_first(query, passage))).where(F.col("at") <= wide)
-    hits = near.join(carried, passage)
+    # A passage that a third of all queries hit is salted by query.
+    hits = salted_join(near, passages.drop("vec"), [passage], query)
     if role is not None:
         hits = hits.join(queries.select(query, F.col(query_role).alias("_role")), query).where(F.col(role) == F.col("_role")).drop("_role")
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("at")))
@@ -85,7 +78,7 @@ def first_row_similarity(items: DataFrame, group: str, position: str) -> DataFra
     count = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     first = items.where(F.col(position) == 0).select(group, F.col("vec").alias("_first")).join(count, group)
     score: Column = F.when(F.col("_n") >= 2, F.round(dot(F.col("_first"), F.col("vec")), 6))
-    return items.join(first, group).withColumn("score", score).drop("_first", "_n", "vec")
+    return salted_join(items, first, [group], position).withColumn("score", score).drop("_first", "_n", "vec")
 
 
 def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K, salts: int = SALTS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as V
 from matchloom.functions import html as H
 from matchloom.functions import text as T
+from matchloom.operators.joins import salted_join
 
 
 def pick_page_text(candidates: DataFrame) -> DataFrame:
@@ -31,15 +32,15 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(body.alias("text"))
 
 
-def dispatch_sources(sources: DataFrame, files: DataFrame, source: str = "source") -> DataFrame:
+def dispatch_sources(sources: DataFrame, files: DataFrame, key: str, source: str = "source") -> DataFrame:
     """Sources that name a file take its text from `files(path, text)`; others are the text themselves.
 
-    A named file that is not there drops out, as a document would that cannot be found.
+    A named file that is not there drops out, as a document would that cannot be found. `key` tells sources
+    apart that name the same file.
     """
     s = F.col(source)
-    named = sources.where(T.is_pdf_source(s)).join(
-        files.select(F.col("path").alias(source), F.col("text")), source, "inner"
-    )
+    texts = files.select(F.col("path").alias(source), F.col("text"))
+    named = salted_join(sources.where(T.is_pdf_source(s)), texts, [source], key)
     raw = sources.where(~T.is_pdf_source(s)).withColumn("text", s)
     return raw.unionByName(named.select(raw.columns))
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as V
 from matchloom.functions import vectors as VC
 from matchloom.operators import embedding, matching
+from matchloom.operators.joins import salted_join
 from matchloom.plans import sqltext as S
 from matchloom.plans import views
 from matchloom.plans.registry import query
-from matchloom.plans.text_queries import POSTING, RESUME, chunk_rows, chunk_sql, relevant, relevant_sql
+from matchloom.plans.text_queries import POSTING, RESUME, relevant, relevant_sql
 
 
 # ---------------------------------------------------------------- vectors
@@ -87,7 +88,7 @@ BEST_POSTING_SQL = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 def best_role(spark, sf_dir):
     postings = posting_vectors(spark, sf_dir)
     best = matching.best_job(resume_vectors(spark, sf_dir), postings, "doc_id", "item_id")
-    return best.join(postings.select("item_id", "role"), "item_id").select("doc_id", "item_id", "role", "score")
+    return salted_join(best, postings.select("item_id", "role"), ["item_id"], "doc_id").select("doc_id", "item_id", "role", "score")
 
 
 # ---------------------------------------------------------------- retrieval

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.operators import embedding, matching, screening
+from matchloom.operators.joins import salted_join
 from matchloom.plans import sqltext as S
 from matchloom.plans import views
 from matchloom.plans.match_queries import BEST_POSTING_SQL, hashed_sql, posting_vectors, resume_vectors
@@ -36,7 +37,7 @@ def screen_inputs(spark, sf_dir):
     wanted = pairs(spark, sf_dir).join(resumes.withColumnRenamed("text", "resume"), "doc_id")
     found = matching.evidence(wanted, passages(spark, sf_dir), "doc_id", "item_id")
     jobs = views.view(spark, sf_dir, views.POSTING).select("item_id", F.col("text").alias("job"))
-    return found.join(jobs, "item_id").select("doc_id", "item_id", "resume", "job", "matched")
+    return salted_join(found, jobs, ["item_id"], "doc_id").select("doc_id", "item_id", "resume", "job", "matched")
 
 
 _CHUNKS = f"(SELECT item_id * 100000 + chunk_no AS chunk_id, item_id, chunk_no, text FROM ({chunk_sql(POSTING, 'item_id')}))"
@@ -80,7 +81,7 @@ def prompts_tailor(spark, sf_dir):
 def fit_inputs(spark, sf_dir):
     """(doc_id, role, resume, matched): passages of all postings, cut to the resume's own best role."""
     posts = views.view(spark, sf_dir, views.POSTING).select("item_id", "role")
-    roles = pairs(spark, sf_dir).join(posts, "item_id").select("doc_id", F.col("role").alias("own_role"))
+    roles = salted_join(pairs(spark, sf_dir), posts, ["item_id"], "doc_id").select("doc_id", F.col("role").alias("own_role"))
     resumes = query_vectors(spark, sf_dir).join(roles, "doc_id")
     index = passages(spark, sf_dir).join(posts, "item_id").withColumn("chunk_id", F.col("item_id") * 100000 + F.col("chunk_no"))
     hits = matching.retrieve(

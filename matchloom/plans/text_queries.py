@@ -191,6 +191,17 @@ def page_assemble(spark, sf_dir):
     return P.assemble_pages(P.pick_page_text(views.view(spark, sf_dir, views.PAGE_SPARK)))
 
 
+@query(
+    "blank_guard",
+    f"""SELECT p.doc_id, cast(p.page_no AS bigint) AS page_no, CASE WHEN {S.trim_u('p.text')} = '' THEN '{V.UNKNOWN_CATEGORY}' ELSE d.lang END AS label
+    FROM ({_PICKED}) p JOIN documents d ON d.doc_id = p.doc_id""",
+)
+def blank_guard(spark, sf_dir):
+    picked = P.pick_page_text(views.view(spark, sf_dir, views.PAGE_SPARK))
+    rows = picked.join(views.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return rows.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), text.guard_label(F.col("text"), F.col("lang")).alias("label"))
+
+
 # ---------------------------------------------------------------- posting pages
 def html_sql() -> str:
     """The oracle leaves nesting aside: no page of the data has any."""
@@ -243,7 +254,7 @@ def source_dispatch(spark, sf_dir):
         F.concat(F.lit("jobs/"), (F.col("page_id") * 2).cast("string"), F.lit(".pdf")).alias("path"),
         html.posting_text(F.col("html")).alias("text"),
     )
-    return P.dispatch_sources(sources, files).select("item_id", "role", "text")
+    return P.dispatch_sources(sources, files, "item_id").select("item_id", "role", "text")
 
 
 @query(
