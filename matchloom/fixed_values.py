@@ -40,7 +40,9 @@ PHONE = rf"(?i)(?:\(?[0-9]{{3}}\)?[-.{SPACE}]?[0-9]{{3}}[-.{SPACE}]?[0-9]{{4}})"
 GPA = rf"(?i)(?:GPA|gpa)[:{SPACE}]*([1-4](?:\.[0-9]{{1,2}})?(?:/4\.0?|/4)?)"
 LINKEDIN = rf"(?i)(?:linkedin\.com/in/[{WORD}-]+|linkedin\.com/profile/view\?id=[{WORD}-]+)"
 GITHUB = rf"(?i)(?:github\.com/[{WORD}-]+)"
-URL = r"(?i)http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+# $-_ is a range on purpose: it holds the percent sign and all digits, so one class says it all and a long
+# link needs no recursion.
+URL = r"(?i)http[s]?://[a-zA-Z0-9$-_@.&+!*\\(\\),]+"
 
 # ---------------------------------------------------------------- years and education
 YEARS_PATTERNS = [

@@ -53,7 +53,7 @@ def _cut(body: Column, tags: list[str]) -> Column:
     """array<struct<p, open, close, rest>>: the text cut in front of every opening or closing one of `tags`.
 
     `open` and `close` name the tag that a piece begins with, `rest` is the piece behind that tag. An element
-    that closes itself opens nothing.
+    that closes itself opens nothing. What is kept is gathered as pieces and joined once.
     """
     names = "|".join(tags)
     pieces = F.split(body, rf"(?i)(?=</?(?:{names})[\s/>])")
@@ -71,7 +71,7 @@ def _cut(body: Column, tags: list[str]) -> Column:
 
 def drop_elements(body: Column, tags: list[str]) -> Column:
     """Text without these elements and all they hold, nested ones included; one line end for each."""
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("name"), F.lit(0).alias("depth"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("name"), F.lit(0).alias("depth"))
 
     def step(acc: Column, x: Column) -> Column:
         outside = acc["depth"] == 0
@@ -83,29 +83,29 @@ def drop_elements(body: Column, tags: list[str]) -> Column:
             .when(deeper & ~raw, acc["depth"] + 1).when(ends, acc["depth"] - 1).otherwise(acc["depth"])
         )
         out = (
-            F.when(begins, F.concat(acc["out"], F.lit("\n"))).when(outside, F.concat(acc["out"], x["p"]))
-            .when(ends & (acc["depth"] == 1), F.concat(acc["out"], x["rest"])).otherwise(acc["out"])
+            F.when(begins, F.array_append(acc["out"], F.lit("\n"))).when(outside, F.array_append(acc["out"], x["p"]))
+            .when(ends & (acc["depth"] == 1), F.array_append(acc["out"], x["rest"])).otherwise(acc["out"])
         )
         return F.struct(out.alias("out"), F.when(begins, x["open"]).otherwise(acc["name"]).alias("name"), depth.alias("depth"))
 
-    return F.aggregate(_cut(body, tags), start, step, lambda acc: acc["out"])
+    return F.aggregate(_cut(body, tags), start, step, lambda acc: F.array_join(acc["out"], ""))
 
 
 def first_element(body: Column, tag: str) -> Column:
     """Content of the first such element up to its own end tag, or to the end of the text."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
         outside, opens = acc["depth"] == 0, x["open"] != ""
         closes = ~outside & (x["close"] != "") & (acc["depth"] == 1)
         out = (
             F.when(acc["done"] | closes | (outside & ~opens), acc["out"])
-            .when(outside, x["rest"]).otherwise(F.concat(acc["out"], x["p"]))
+            .when(outside, F.array_append(acc["out"], x["rest"])).otherwise(F.array_append(acc["out"], x["p"]))
         )
         depth = F.when(opens, acc["depth"] + 1).when(~outside & (x["close"] != ""), acc["depth"] - 1).otherwise(acc["depth"])
         return F.struct(out.alias("out"), depth.alias("depth"), (acc["done"] | closes).alias("done"))
 
-    return F.aggregate(_cut(body, [tag]), start, step, lambda acc: acc["out"])
+    return F.aggregate(_cut(body, [tag]), start, step, lambda acc: F.array_join(acc["out"], ""))
 
 
 def root_region(body: Column) -> Column:

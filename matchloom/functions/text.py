@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 
-_EDGES = rf"^[{V.SPACE}]+|[{V.SPACE}]+$"
+# The look-behind keeps a long run of white space inside the text from being tried at each of its characters.
+_EDGES = rf"^[{V.SPACE}]+|(?<![{V.SPACE}])[{V.SPACE}]+$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

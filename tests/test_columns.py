@@ -154,3 +154,11 @@ def test_unit_and_dot(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, z array<double>")
     row = df.select(vectors.unit(F.col("a")).alias("u"), vectors.unit(F.col("z")).alias("z"), vectors.dot(F.col("a"), F.col("a")).alias("d")).first()
     assert row["u"] == pytest.approx([0.6, 0.8]) and row["z"] == [0.0, 0.0] and row["d"] == 25.0
+
+
+def test_long_link_and_long_blank_run(spark):
+    link = "http://a.b/" + "x%20y" * 20000
+    first, rest = contact.url(F.col("t"))
+    row = spark.createDataFrame([(f"see {link} now",)], "t string").select(first.alias("f"), rest.alias("r")).first()
+    assert row["f"] == link and row["r"] == "see  now"
+    assert value(spark, text.trim_u, " a" + " " * 200000 + "b \n") == "a" + " " * 200000 + "b"
