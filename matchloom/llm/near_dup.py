@@ -141,7 +141,8 @@ def _cell(table: pa.Table) -> pa.Table:
         if x != y:
             root[max(x, y)] = min(x, y)
             out.append((ids[i], ids[j]))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    kind = table.schema.field("id").type
+    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -162,11 +163,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("id"))
     bands = named.join(nodes, (named["digest"] == nodes["digest"]) & (named["doc_id"] == nodes["id"]), "left_semi").select(
         F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
-    leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(bands.join(leaders, "key"), "members")
-
+    members = shared_buckets(bands)
     wanted = members.select("id").distinct()
     shingles = stored(rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"), "shingles")
+    whole = clusters(members, shingles)
+
+    final = digest.join(nodes, "digest", "left").join(whole, F.col("id") == F.col("node"), "left")
+    component = F.when(F.col("digest").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
+    return final.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """bands(id, key) -> stored (key, id, leader, n): the buckets of two or more nodes, with their least node and their size."""
+    leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(bands.join(leaders, "key"), "members")
+
+
+def clusters(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """shared_buckets() and shingles(id, shingles) of their nodes -> (node, component): the two rounds that near_duplicates() describes."""
     pairs = members.groupBy("id").agg(F.min("leader").alias("leader")).where("id != leader")
     links = stored(_verified(pairs.select(F.col("id").alias("a"), F.col("leader").alias("b")), shingles), "first_links")
     first = stored(components(links), "first_components")
@@ -174,20 +189,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.join(first, members["id"] == first["node"], "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    mixed = labelled.join(open_keys, "key")
-    more = stored(_cells(mixed, shingles), "second_links")
-    whole = components(links.unionByName(more))
+    more = stored(_cells(labelled.join(open_keys, "key"), shingles), "second_links")
+    return components(links.unionByName(more))
 
-    final = digest.join(nodes, "digest", "left").join(whole, F.col("id") == F.col("node"), "left")
-    component = F.when(F.col("digest").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
-    return final.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+def _links_type(shingles: DataFrame) -> str:
+    kind = shingles.schema["id"].dataType.simpleString()
+    return f"a {kind}, b {kind}"
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     left = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, _links_type(shingles))
 
 
 def _cells(mixed: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -197,4 +211,4 @@ def _cells(mixed: DataFrame, shingles: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = at.select("key", "id", "component", "block", other).select(
         "key", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return spread.join(shingles, "id").groupBy("key", "i", "j").applyInArrow(_cell, "a bigint, b bigint").distinct()
+    return spread.join(shingles, "id").groupBy("key", "i", "j").applyInArrow(_cell, _links_type(shingles)).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, language, line_dedup, mixture, near_dup
+from matchloom.llm import decontaminate, language, line_dedup, mixture, near_dup, passages, secret_scan, token_counts, toxicity, vector_dups
 from matchloom.llm.tables import read
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,12 +89,48 @@ SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, coalesce(m.r, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = d.doc_id"""
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+VECTORS = """
+WITH RECURSIVE e AS (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b USING (label)
+  WHERE a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+reach AS (SELECT a AS node, a AS r FROM l UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.node WHERE reach.r < l.b),
+m AS (SELECT node, min(r) AS r FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, coalesce(r, vec_id) AS component_id, coalesce(r, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON node = vec_id"""
+
+
+def token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
+    "op1_secret_scan": secret_findings,
     "op2_decontamination": decontamination,
+    "op3_toxicity": toxicity_trees,
     "op4_mixture": source_mixture,
+    "op5_substring_dedup": substring_dedup,
     "op6_line_dedup": line_dedup_runs,
     "op7_language_id": language_id,
     "op8_minmax_near_dups": minmax_near_dups,
+    "op9_token_counts": token_prefixes,
+    "op10_vector_near_dups": vectors,
 }
 
 ORACLES = {
@@ -102,4 +138,5 @@ ORACLES = {
     "op4_mixture": MIXTURE,
     "op6_line_dedup": LINES,
     "op8_minmax_near_dups": NEAR,
+    "op10_vector_near_dups": VECTORS,
 }
