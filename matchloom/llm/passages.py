@@ -18,12 +18,14 @@ from matchloom.llm import near_dup
 from matchloom.llm import words as W
 from matchloom.llm.tables import stored
 
-#: Words from which on a line is a paragraph, and words of a window.
-PARAGRAPH = WINDOW = 20
+#: Words from which on a line is a paragraph.
+PARAGRAPH = 20
+#: Words of a window.
+WINDOW = 12
 #: A window starts at the least shingle of so many in a row: any stretch of 51 words that occurs twice holds a window in both places.
-SPAN = 32
-#: Ten bands of two minima: a pair at similarity 0.75 shares none with probability (1 - 0.75^2)^10 = 3e-4; strangers that collide are told by their sets.
-BANDS, ROWS = 10, 2
+SPAN = 40
+#: Six bands of one minimum: a pair at similarity 0.75 shares none with probability (1 - 0.75)^6 = 2e-4; strangers that collide are told by their sets.
+BANDS = 6
 
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
@@ -49,11 +51,11 @@ def anchors(s: np.ndarray) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(s, SPAN).argmin(axis=1) + np.arange(len(s) - SPAN + 1))
 
 
-def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of the windows of a document's word hashes, and two hashes of each window's words."""
+def windows(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows of a document's word hashes, whose shingles are s, and two hashes of each window's words."""
     if len(h) < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    at = anchors(W.shingles(h)[: len(h) - WINDOW + 1])
+    at = anchors(s[: len(h) - WINDOW + 1])
     one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for k in range(WINDOW):
         one = one * W._ODD + h[at + k]
@@ -62,92 +64,90 @@ def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, W.mixed(one), two
 
 
-_UNITS = "doc_id bigint, start int, n_words int, digest string, keys array<bigint>, check bigint"
+_KEYS = [f"k{b}" for b in range(BANDS)]
+_UNITS = "doc_id bigint, start int, n_words int, digest binary, check int, " + ", ".join(f"{k} bigint" for k in _KEYS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs with a digest of their words and a key for each band; windows with one key and a second hash, without a digest."""
     memory = W.WordHashes()
     for batch in batches:
         ids, raws = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
         for lo, hi in W.slices(raws):
-            doc, start, size, digest, sets = [], [], [], [], []
-            more = []
+            doc, start, size, digest, parts, more = [], [], [], [], [], []
             for i in range(lo, hi):
                 words, lines = _paragraphs(raws[i] or b"")
                 h = memory.of(words)
+                s = W.shingles(h)
                 for a, n in lines:
-                    s = np.unique(W.shingles(h[a : a + n]))
                     doc.append(ids[i])
                     start.append(a)
                     size.append(n)
-                    digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                    sets.append(s)
-                more.append((ids[i], *windows(h)))
-            keys = np.empty((0, BANDS), np.uint64)
-            if sets:
-                flat, first = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
-                keys = np.empty((len(sets), BANDS), np.uint64)
+                    digest.append(xxhash.xxh3_128_digest(h[a : a + n].tobytes()))
+                    parts.append(s[a : a + n - W.SHINGLE + 1])
+                more.append((ids[i], *windows(h, s)))
+            keys = np.zeros((BANDS, len(parts)), np.uint64)
+            if parts:
+                flat, first = np.concatenate(parts), np.cumsum([0, *(len(x) for x in parts[:-1])])
                 for b in range(BANDS):
-                    key = np.full(len(sets), b + 1, np.uint64)
-                    for r in range(b * ROWS, (b + 1) * ROWS):
-                        key = W.mixed(key * W._ODD + W.mixed(np.minimum.reduceat((flat ^ near_dup.FLIPS[r]) * near_dup.FACTORS[r], first)))
-                    keys[:, b] = key
-            n_more = sum(len(m[1]) for m in more)
-            counts = np.cumsum([0, *[BANDS] * len(sets), *[1] * n_more])
+                    keys[b] = W.mixed(np.minimum.reduceat((flat ^ near_dup.FLIPS[b]) * near_dup.FACTORS[b], first) + np.uint64(b))
+            places = np.concatenate([m[1] for m in more])
+            n = len(places)
+            none = pa.nulls(n, pa.int64())
+            rest = [pa.chunked_array([pa.array(k.view(np.int64)), none]).combine_chunks() for k in keys[1:]]
             yield pa.RecordBatch.from_arrays([
                 pa.array([*doc, *(m[0] for m in more for _ in m[1])], pa.int64()),
-                pa.array(np.concatenate([np.array(start, np.int64), *(m[1] for m in more)]).astype(np.int32)),
-                pa.array([*size, *[WINDOW] * n_more], pa.int32()),
-                pa.array([*digest, *[None] * n_more], pa.string()),
-                pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate([keys.reshape(-1), *(m[2] for m in more)]).view(np.int64))),
-                pa.array(np.concatenate([np.zeros(len(sets), np.uint64), *(m[3] for m in more)]).view(np.int64)),
-            ], ["doc_id", "start", "n_words", "digest", "keys", "check"])
+                pa.array(np.concatenate([np.array(start, np.int64), places]).astype(np.int32)),
+                pa.array([*size, *[WINDOW] * n], pa.int32()), pa.array([*digest, *[None] * n], pa.binary()),
+                pa.array(np.concatenate([np.zeros(len(parts), np.uint64), *(m[3] for m in more)]).astype(np.uint32).view(np.int32)),
+                pa.array(np.concatenate([keys[0], *(m[2] for m in more)]).view(np.int64)), *rest,
+            ], ["doc_id", "start", "n_words", "digest", "check", *_KEYS])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory = W.WordHashes()
     for batch in batches:
-        for raw, starts in zip(batch.column(0).cast(pa.binary()), batch.column(1), strict=True):
+        for raw, places in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
             words, lines = _paragraphs(raw.as_py() or b"")
             h, size = memory.of(words), dict(lines)
-            sets = [np.unique(W.shingles(h[a : a + size[a]])) for a in starts.as_py() if a in size]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            own = [(x["id"], np.unique(W.shingles(h[x["start"] : x["start"] + size[x["start"]]]))) for x in places if x["start"] in size]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([x.tobytes() for _, x in own], pa.binary())], ["id", "shingles"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, kind, start, n_words, first_doc, first_start, removed): passages that occur in other words' company too.
 
     kind `paragraph`: lines of 20 words and more whose five-word shingle sets have a Jaccard similarity of 0.75 or more
-    with another's, alone or through others (a component). kind `window`: stretches of 20 words that occur again word
+    with another's, alone or through others (a component). kind `window`: stretches of 12 words that occur again word
     for word, at places that content decides; of any 51 equal words one window at least is found. The first place of a
     group, in the order of (doc_id, start), stays, the others are removed. start counts words of the text from 0.
 
-    No row for what occurs once; null, empty and short texts have none. A null doc_id takes part in nothing. Repeated
-    rows are one document. Other columns are not read.
+    No row for what occurs once; null, empty and short texts have none. A null doc_id takes part in nothing. The
+    passages of repeated rows are listed and, with the same doc_id and start as the first, not removed. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    units = stored(rows.mapInArrow(_cut, _UNITS), "units")
-    here = F.struct("doc_id", "start")
-
-    texts = units.where("digest is not null").select("doc_id", "start", "n_words", "digest", "keys")
-    # Paragraphs of one set are one node; its first place stands for it.
-    nodes = texts.groupBy(F.col("digest").alias("set_id")).agg(F.min(here).alias("first"))
-    one = texts.join(nodes, (F.col("digest") == F.col("set_id")) & (here == F.col("first"))).select(F.col("digest").alias("id"), F.explode("keys").alias("key"))
-    members = near_dup.shared_buckets(one.distinct())
-    places = members.select("id").distinct().join(nodes, F.col("id") == F.col("set_id")).groupBy(F.col("first.doc_id").alias("_doc")).agg(
-        F.collect_list("first.start").alias("starts"))
-    shingles = stored(rows.join(places, F.col("doc_id") == F.col("_doc")).select("text", "starts").mapInArrow(_wanted_sets, "id string, shingles binary").dropDuplicates(["id"]), "shingles")
-    whole = near_dup.clusters(members, shingles)
-    named = nodes.join(whole, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
-    heads = named.groupBy("component").agg(F.min("first").alias("head"))
-    told = texts.drop("keys").join(named.join(heads, "component"), F.col("digest") == F.col("set_id")).select(
-        "doc_id", "start", "n_words", "component", "head").distinct()
-    counted = told.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    paragraphs = told.join(counted, "component").select("doc_id", F.lit("paragraph").alias("kind"), "start", "n_words", "head")
-
-    cut = units.where("digest is null").select("doc_id", "start", "n_words", F.col("keys")[0].alias("key"), "check").distinct()
-    groups = cut.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("head")).where("n > 1").drop("n")
-    again = cut.join(groups, ["key", "check"]).select("doc_id", F.lit("window").alias("kind"), "start", "n_words", "head")
-    return paragraphs.unionByName(again).select(
-        "doc_id", "kind", "start", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.start").alias("first_start"), (here != F.col("head")).alias("removed"))
+    units = stored(rows.mapInArrow(_cut, _UNITS).withColumn("unit", F.monotonically_increasing_id()), "units")
+
+    texts = units.where("digest is not null")
+    # Paragraphs of the same words are one node.
+    nodes = stored(texts.groupBy("digest").agg(
+        F.min("unit").alias("id"), F.count(F.lit(1)).alias("copies"), *[F.min(k).alias(k) for k in _KEYS]), "paragraphs")
+    members = near_dup.shared_buckets(nodes.select("id", F.explode(F.array(*_KEYS)).alias("key")))
+    places = texts.select("unit", "doc_id", "start").join(members.select("id").distinct(), F.col("unit") == F.col("id")).groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.collect_list(F.struct("id", "start")).alias("places"))
+    shingles = rows.join(places, F.col("doc_id") == F.col("_doc")).select("text", "places").mapInArrow(_wanted_sets, "id bigint, shingles binary")
+    whole = near_dup.clusters(members, stored(shingles.dropDuplicates(["id"]), "shingles"))
+    named = nodes.select("digest", "id", "copies").join(whole, F.col("id") == F.col("node"), "left").where("component is not null or copies > 1")
+    told = texts.select("doc_id", "start", "n_words", "digest").join(named.select("digest", F.coalesce("component", "id").alias("component")), "digest")
+    told = stored(told.drop("digest"), "paragraph_groups")
+    heads = told.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("head"))
+    paragraphs = told.join(heads, "component").select("doc_id", F.lit("paragraph").alias("kind"), "start", "n_words", "head")
+
+    cut = units.where("digest is null").select("doc_id", "start", "n_words", F.col("k0").alias("key"), "check")
+    groups = cut.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = stored(cut.join(groups, ["key", "check"]), "window_groups")
+    heads = again.groupBy("key", "check").agg(F.min(F.struct("doc_id", "start")).alias("head"))
+    stretches = again.join(heads, ["key", "check"]).select("doc_id", F.lit("window").alias("kind"), "start", "n_words", "head")
+    return paragraphs.unionByName(stretches).select(
+        "doc_id", "kind", "start", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.start").alias("first_start"),
+        (F.struct("doc_id", "start") != F.col("head")).alias("removed"))
