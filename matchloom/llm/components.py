@@ -28,8 +28,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b): component is the least node that it reaches.
 
-    Each pass is aggregations and equi-joins, its result a table in the shared folder; a hub's rows meet only in
-    aggregations that combine on the map side and in joins that AQE can split. Ends when a pass changes nothing:
+    Each pass is aggregations and equi-joins, its result a table in the shared folder. A hub's links, two ids each, meet
+    in one task's sort, which spills; callers link a group's members to one another by spanning sets, not by all pairs. Ends when a pass changes nothing:
     then every node points to the least of its component. Null nodes and loops are left out; no links, no rows.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))

@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digest = stored(rows.mapInArrow(_digest, "doc_id bigint, n_shingles bigint, digest string, bands array<bigint>"), "sets")
     named = digest.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    # Stored, so that the joins below read a table and can be split where many documents share a set.
+    nodes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("id")), "nodes")
     bands = named.join(nodes, (named["digest"] == nodes["digest"]) & (named["doc_id"] == nodes["id"]), "left_semi").select(
         F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
     members = shared_buckets(bands)
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """bands(id, key) -> stored (key, id, leader, n): the buckets of two or more nodes, with their least node and their size."""
-    leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = stored(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
     return stored(bands.join(leaders, "key"), "members")
 
 
@@ -188,7 +189,7 @@ def clusters(members: DataFrame, shingles: DataFrame) -> DataFrame:
 
     labelled = members.join(first, members["id"] == first["node"], "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_keys = stored(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
     more = stored(_cells(labelled.join(open_keys, "key"), shingles), "second_links")
     return components(links.unionByName(more))
 

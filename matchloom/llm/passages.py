@@ -140,13 +140,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = nodes.select("digest", "id", "copies").join(whole, F.col("id") == F.col("node"), "left").where("component is not null or copies > 1")
     told = texts.select("doc_id", "start", "n_words", "digest").join(named.select("digest", F.coalesce("component", "id").alias("component")), "digest")
     told = stored(told.drop("digest"), "paragraph_groups")
-    heads = told.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("head"))
+    # Heads are tables of their own: a join with a stored table can be split where a group is hot, one with an aggregate below it can not.
+    heads = stored(told.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("head")), "heads")
     paragraphs = told.join(heads, "component").select("doc_id", F.lit("paragraph").alias("kind"), "start", "n_words", "head")
 
     cut = units.where("digest is null").select("doc_id", "start", "n_words", F.col("k0").alias("key"), "check")
-    groups = cut.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = stored(cut.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "window_keys")
     again = stored(cut.join(groups, ["key", "check"]), "window_groups")
-    heads = again.groupBy("key", "check").agg(F.min(F.struct("doc_id", "start")).alias("head"))
+    heads = stored(again.groupBy("key", "check").agg(F.min(F.struct("doc_id", "start")).alias("head")), "heads")
     stretches = again.join(heads, ["key", "check"]).select("doc_id", F.lit("window").alias("kind"), "start", "n_words", "head")
     return paragraphs.unionByName(stretches).select(
         "doc_id", "kind", "start", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.start").alias("first_start"),

@@ -1,0 +1,289 @@
+"""Operators against brute force, and their defined results for odd rows."""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from matchloom.llm import decontaminate, language, line_dedup, mixture, near_dup, passages, secret_scan, token_counts, toxicity, vector_dups
+from matchloom.llm.components import components
+
+RND = random.Random(5)
+VOCABULARY = ["".join(RND.choice("abcdefghij") for _ in range(RND.randint(2, 7))) for _ in range(600)]
+
+
+def words(n, rnd=RND):
+    return [rnd.choice(VOCABULARY) for _ in range(n)]
+
+
+@functools.cache
+def _texts():
+    base = words(120)
+    near = [list(base) for _ in range(6)]
+    for k, w in enumerate(near):
+        w[10 * k + 5] = "changed"
+    out = [" ".join(base)] * 3 + [" ".join(w) for w in near] + [" ".join(words(RND.randint(1, 80))) for _ in range(20)]
+    passage = " ".join(words(60))
+    out += [" ".join(words(30)) + " " + passage + " " + " ".join(words(25)) for _ in range(5)]
+    out += ["line one is long enough to be worth deleting, it has many letters\nx\n" + " ".join(words(12)) for _ in range(4)]
+    return out + ["", "   ", "a b", "a b", "A B", None, " ".join(words(20_000)), "é " * 50, "日本語 12   x", "<|endoftext|> y  z"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["s1", "s2", None][i % 3], "en", 1, "x", 2, 3) for i, t in enumerate(_texts())]
+    rows += [rows[0], rows[-6], (None, "no id at all", "s1", None, 1, "x", 2, 3)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n int, key string, size int, component int")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+
+
+def space_words(t):
+    return (t or "").encode().lower().split()
+
+
+def test_near_duplicates(docs):
+    rows = near_dup.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    sets = {}
+    for i, t in enumerate(_texts()):
+        w = space_words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), root[r["doc_id"]])
+            assert r["kept"] == (r["doc_id"] == r["component_id"])
+        else:
+            assert r["component_id"] is None and r["kept"]
+
+
+def test_second_round_finds_links_between_members_of_one_bucket(spark):
+    """A chain in one bucket: the least member is like none but the second, which is like the third."""
+    import numpy as np
+
+    a = np.arange(100, dtype=np.uint64)
+    sets = [(1, a[:80]), (2, a[:100]), (3, a[5:105].copy()), (4, a[50:60])]
+    sets[2] = (3, np.arange(12, 112, dtype=np.uint64))
+    members = spark.createDataFrame([(7, i, 1, 4) for i, _ in sets], "key bigint, id bigint, leader bigint, n bigint")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets], "id bigint, shingles binary")
+    got = {r["node"]: r["component"] for r in near_dup.clusters(members, table).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(None, 3), (5, 5), (200, 200)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {k: 100 for k in range(100, 140)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def _tokens(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+
+
+def test_contamination(spark, docs):
+    texts = _texts()
+    items = [(1, texts[3]), (2, "A B"), (3, None), (4, ""), (5, " ".join(texts[30].split()[28:70])), (5, texts[4]), (None, "no id at"), (9, "zz zz")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    windows = {}
+    for i, t in items:
+        w = _tokens(t)
+        size = min(13, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + size]), set()).add("" if i is None else str(i))
+    rows = decontaminate.contamination(docs, table).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        w = _tokens("no id at all" if r["doc_id"] is None else texts[r["doc_id"]])
+        hit, names = set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (found := windows.get(tuple(w[k : k + size]))) is not None:
+                    hit |= set(range(k, k + size))
+                    names |= found
+        want = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        assert tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
+
+
+def test_contamination_in_blocks_and_loose_places(spark, docs, monkeypatch):
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(_texts()[:8])], "item_id bigint, text string")
+    whole = sorted(decontaminate.contamination(docs, table).drop("row").collect(), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    assert sorted(decontaminate.contamination(docs, table).drop("row").collect(), key=str) == whole
+    one = decontaminate.index(spark.createDataFrame([(1, "q a x b y c q"), (2, "a b c"), (3, "a b")], "doc_id bigint, text string"))
+    item = spark.createDataFrame([(1, "c a b")], "item_id bigint, text string")
+    near = decontaminate.matches(one, item, slack=2).join(one, "row").select("doc_id", "ranges").collect()
+    assert {r["doc_id"]: [(x["start"], x["stop"]) for x in r["ranges"]] for r in near} == {1: [(1, 6)], 2: [(0, 3)]}
+    assert decontaminate.matches(one, item).count() == 0
+
+
+def test_mixture(docs):
+    rows = mixture.mixture(docs).collect()
+    assert len(rows) == docs.count()
+    assert rows == mixture.mixture(docs.repartition(7)).collect() or sorted(map(str, rows)) == sorted(map(str, mixture.mixture(docs.repartition(7)).collect()))
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+    for size in {r["source_size"] for r in rows}:
+        own = [r for r in rows if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    assert mixture.mixture(docs.limit(0)).count() == 0
+    kept = mixture.mixed(docs)
+    assert kept.columns == [*docs.columns, "copies"]
+
+
+def test_targets_reshare_the_excess(spark):
+    got = {r["source"]: r["target"] for r in mixture.targets(spark.createDataFrame([("a", 1000), ("b", 10), ("c", 90), (None, 100)], "source string, source_size bigint")).collect()}
+    # weights 1 2 3 1: b stops at 30, c at 270; what is left, 900, goes to a and null alike, null stops at 300, a takes the rest
+    assert got == {"a": 600.0, "b": 30.0, "c": 270.0, None: 300.0}
+
+
+def test_line_dedup(docs):
+    got = by_id(line_dedup.deduplicated(docs))
+    texts = _texts()
+    seen, gone = {}, {}
+    for i, t in enumerate(texts):
+        lines = t.split("\n") if t is not None else []
+        for size in (1, 2, 4, 8):
+            for p in range(len(lines) - size + 1):
+                run = tuple(lines[p : p + size])
+                if sum(map(len, run)) >= line_dedup.MIN_CHARS:
+                    if (size, run) in seen:
+                        gone.setdefault(i, set()).update(range(p, p + size))
+                    seen.setdefault((size, run), (i, p))
+    for i, t in enumerate(texts):
+        assert got[i]["n_lines"] == (0 if t is None else t.count("\n") + 1)
+        assert got[i]["deleted"] == ",".join(map(str, sorted(gone.get(i, ()))))
+    left = line_dedup.without_repeats(docs)
+    assert left.columns == docs.columns
+    kept = by_id(left)
+    assert 1 not in kept and kept[_texts().index("")]["text"] == "" and kept[0]["text"] == texts[0]
+
+
+def test_suffix_levels_are_in_suffix_order(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "b\nc\nd"), (3, "a\nb\nc\nd")], "doc_id bigint, text string")
+    levels = line_dedup.intervals(line_dedup.line_table(rows))
+    assert [x.count() for x in levels] == [11, 8, 2]
+    deeper = levels[1].select("doc_id", "pos", F.col("rank").alias("r2")).join(levels[0], ["doc_id", "pos"]).orderBy("r2").select("rank").collect()
+    assert [r["rank"] for r in deeper] == sorted(r["rank"] for r in deeper)
+
+
+def test_language(spark, docs):
+    en, de = "the of and to in that was his with for".split(), "der die und das nicht ist ein mit auf schon".split()
+    rows = [(i, " ".join(RND.choice(en if i % 2 else de) for _ in range(30)), "en" if i % 2 else "de", i) for i in range(80)]
+    rows += [(100, None, "en", 0), (101, "", "en", 0), (102, "12 34 !", "en", 0), (103, "the and was", None, 0), (None, "der und das", "de", 0)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int")
+    got = by_id(language.languages(table))
+    assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") and 0 < got[i]["score"] <= 1 for i in range(80))
+    assert [got[i]["lang_pred"] for i in (100, 101, 102, 103)] == ["und", "und", "und", "en"]
+    assert {r["lang_pred"] for r in language.languages(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert language.with_language(table).count() == len(rows) - 3
+    assert language.languages(table.limit(0)).count() == 0
+
+
+def test_token_counts(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(token_counts._spec(None))
+    got = by_id(token_counts.token_counts(docs, limit=10))
+    counter = token_counts.PrefixCounter(token_counts._spec(None))
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for i, t in enumerate(_texts()):
+        t = t or ""
+        n = size(t)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len(t.encode()), n, n > 10)
+        t = t[:120]
+        counts = counter.counts(t)
+        assert [counts[len(t[:k].encode())] for k in range(len(t) + 1)] == [size(t[:k]) for k in range(len(t) + 1)]
+    for t in ["a   b\n\n c", "we'll it's x're", "hey!<|endoftext|> you <|endoftext|><|endoftext|>", "  <|endoftext|>", "x" * 300]:
+        counts = counter.counts(t)
+        assert [counts[len(t[:k].encode())] for k in range(len(t) + 1)] == [size(t[:k]) for k in range(len(t) + 1)]
+
+
+def test_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        rows.append((i, [float(x) for x in rng.standard_normal(16)], i % 3))
+    for i in range(60, 90):  # close to 0..9, of the same label
+        base = np.array(rows[i % 10][1])
+        rows.append((i, [float(x) for x in base * 3 + 0.05 * rng.standard_normal(16)], (i % 10) % 3))
+    rows += [(90, rows[0][1], 0), (91, rows[0][1], 1), (92, rows[0][1], None), (93, None, 0), (94, [0.0] * 16, 0), (95, [float("nan")] * 16, 0), (96, [], 0), (97, [None, 1.0], 0), (98, [1.0, 2.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    ok = {}
+    for i, v, label in rows:
+        if label is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
+            ok[i] = (np.array(v) / np.linalg.norm(v), label)
+    links = {i: {j for j in ok if i != j and ok[i][1] == ok[j][1] and len(ok[i][0]) == len(ok[j][0]) and ok[i][0] @ ok[j][0] >= 0.98} for i in ok}
+    root = {i: i for i, _, _ in rows}
+    for i in links:
+        for j in links[i]:
+            a, b = root[i], root[j]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    for r in vector_dups.near_vectors(table).collect():
+        i = r["vec_id"]
+        assert (r["n_links"], r["component_id"], r["kept"]) == (len(links.get(i, ())), root[i], root[i] == i)
+    assert vector_dups.near_vectors(table.limit(0)).count() == 0
+
+
+def test_passages(spark, docs):
+    got = passages.repeated_passages(docs).collect()
+    texts = _texts()
+    first, later = {}, set()
+    for i, t in enumerate(texts):
+        w = space_words(t)
+        for k in range(len(w) - 50):
+            if first.setdefault(tuple(w[k : k + 51]), i) != i:
+                later.add(i)
+    assert later and later <= {r["doc_id"] for r in got if r["removed"]}
+    # a near copy is in the group of its original
+    assert {r["first_doc"] for r in got if r["kind"] == "paragraph" and r["doc_id"] in range(9)} == {0}
+    lonely = {i for i, t in enumerate(texts) if 9 <= i < 29}
+    assert not lonely & {r["doc_id"] for r in got}
+    assert passages.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    rows = []
+    for i in range(120):
+        key = hashlib.sha1(str(i).encode()).hexdigest()
+        rows.append((i, f'{" ".join(words(8))} token = "{key}" {" ".join(words(5))} mail.{i}@host{i}.example.com and /usr/lib/x86_64/{i}/part'))
+    rows += [(200, None), (201, ""), (202, "no digits here at all"), (203, 'password="hunter2hunter2x"'), (None, "x 12")]
+    got = secret_scan.secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["finding_sha256"]): r["is_secret"] for r in got}
+    for i in range(120):
+        assert found[(i, hashlib.sha256(hashlib.sha1(str(i).encode()).hexdigest().encode()).hexdigest())]
+    assert not any(found[(i, hashlib.sha256(f"mail.{i}@host{i}.example.com".encode()).hexdigest())] for i in range(120))
+    assert {r["doc_id"] for r in got} == {*range(120), 203}
+
+
+def test_secret_plan_is_native(spark, docs):
+    plan = secret_scan.candidates(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_toxicity(spark):
+    clean = [(i, " ".join(words(40))) for i in range(300)]
+    toxic = [(i, " ".join([*words(20), RND.choice(["idiot", "moron", "veqlast"]), *words(10), "scum you"])) for i in range(300, 420)]
+    docs = spark.createDataFrame([*clean, *toxic, (900, None), (901, ""), (None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(420)] + [(3, None), (None, 1), (5000, 1)], "doc_id bigint, toxic int")
+    got = by_id(toxicity.toxicity(docs, labels))
+    held = [i for i in range(420) if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == int(i >= 300) for i in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[900]["score"] == got[901]["score"]
+    none = toxicity.toxicity(docs, labels.limit(0)).collect()
+    assert len(none) == 423 and {r["score"] for r in none} == {0.0}
