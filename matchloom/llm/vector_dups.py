@@ -74,7 +74,7 @@ def _leaves(nodes: DataFrame, seed: int) -> DataFrame:
     sized = nodes.join(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")), "label")
     bits = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n_label") / LEAF)).cast("int")))
     # Vectors of different length can not be stacked: one run for each length, of which a table has one or few.
-    for (dim,) in nodes.select("dim").distinct().collect():
+    for (dim,) in nodes.select("dim").distinct().collect() or [(0,)]:
         own = sized.where(F.col("dim") == dim)
         rows = own.select("id", "label", "component", "v").mapInArrow(coded, "id string, label bigint, component string, v array<double>, codes array<bigint>")
         rows = rows.join(sized.select("label", bits.alias("bits")).distinct(), "label")
