@@ -208,7 +208,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         if not more.limit(1).count():
             break
         links, seed = links.unionByName(more), seed + 1
-    grown = labelled.join(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "component")
+    # A table, so that the join can be split where a component is large.
+    sizes = stored(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    grown = labelled.join(sizes, "component")
     blocks = F.ceil(F.col("size") / BLOCK)
     grown = grown.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     counted = grown.select("component", "id", "mult", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
