@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as V
 
 
+# The fixed e-mail pattern without recursion and without a second try inside a run that has failed: the local part is
+# possessive, since no shorter one can be followed by an @, and a match starts where a run starts, or where the match
+# before ended. A domain has 255 labels at most; names can not be longer.
+_CLASS = rf"[{V.WORD}-]"
+EMAIL_LINEAR = (
+    rf"(?i)(?:\G|(?<=\G\.)|(?<!{_CLASS})(?<!{_CLASS}\.)){_CLASS}++(?:\.{_CLASS}++)*+@"
+    rf"(?:{_CLASS}+\.){{0,255}}[{V.WORD}]{_CLASS}{{0,66}}\.[a-z]{{2,6}}(?:\.[a-z]{{2}})?"
+)
+
+
 def match_and_remove(s: Column, pattern: str, group: int = 0) -> tuple[Column, Column]:
     """(first match or '', text without any match)."""
     return F.regexp_extract(s, pattern, group), F.regexp_replace(s, pattern, "")
@@ -16,7 +26,7 @@ def match_and_remove(s: Column, pattern: str, group: int = 0) -> tuple[Column, C
 def email(s: Column) -> tuple[Column, Column]:
     # No address can match without an @, and the cheap test spares every other text the slow pattern.
     has_at = F.contains(s, F.lit("@"))
-    first, rest = match_and_remove(s, V.EMAIL)
+    first, rest = match_and_remove(s, EMAIL_LINEAR)
     return F.when(has_at, first).otherwise(F.lit("")), F.when(has_at, rest).otherwise(s)
 
 

@@ -35,12 +35,23 @@ def local_session(cores: str = "8", memory: str = "16g", app: str = "matchloom")
     return spark
 
 
+def is_single_jvm(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoint(): the cluster's spark.checkpoint.dir, or a fresh folder where it is unset."""
+    """Folder for checkpoint() and scratch tables: the cluster's spark.checkpoint.dir.
+
+    Only a session in one JVM may go without the setting; elsewhere executors would not see each other's files.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not is_single_jvm(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="matchloom-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
