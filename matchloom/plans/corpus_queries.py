@@ -225,11 +225,10 @@ def corpus_counts(spark, sf_dir):
 
 @query(
     "metrics_record",
-    f"""SELECT (SELECT count(*) FROM documents) AS n_resumes, (SELECT count(DISTINCT lang) FROM documents) AS n_categories,
+    f"""SELECT (SELECT count(*) FROM ({DEDUP_SQL})) AS n_resumes, (SELECT count(DISTINCT lang) FROM ({DEDUP_SQL})) AS n_categories,
     (SELECT round(avg(cast(label = pred AS int)), 4) FROM {_TOP1}) AS holdout_top1_accuracy,
     (SELECT round(avg(hit), 4) FROM (SELECT max(cast(c = label AND rank <= 3 AS int)) AS hit FROM ({_ORDERED}) GROUP BY vec_id)) AS holdout_top3_accuracy,
     (SELECT round(avg(f1), 4) FROM ({_CLASSES})) AS holdout_macro_f1, strftime(current_date, '%Y-%m-%d') AS trained_at""",
 )
 def metrics_record(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
-    return metrics.metrics_record(docs, "lang", predictions(spark, sf_dir), "label", "pred", "probs")
+    return metrics.metrics_record(corpus(spark, sf_dir), "lang", predictions(spark, sf_dir), "label", "pred", "probs")
