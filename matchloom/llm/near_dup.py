@@ -150,9 +150,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents are linked when 100 * |A n B| >= 75 * |A u B| of their distinct five-word shingles. Texts with the
     same set are one node, its least doc_id. Round one verifies one pair for each node: with the least node of its
-    buckets. Round two takes the buckets that still hold several components and compares their members in blocks,
-    each pair of blocks a task of its own, so no bucket is cut off and none meets in one task; a cell gives back at
-    most a spanning set of links. Links are confirmed on whole sets in both rounds.
+    buckets. Round two takes the buckets that still hold several components and verifies each member outside the
+    largest one with a member of it. Round three compares, in the buckets that are still mixed, the members outside the
+    largest component with one another and with its members, in blocks, each pair of blocks a task of its own, so no
+    bucket is cut off and none meets in one task; a cell gives back at most a spanning set of links. Links are
+    confirmed on whole sets in every round.
 
     Null, empty or blank text: no shingles, component_id is its own doc_id. A null doc_id takes part in no link:
     component_id null, kept. Rows that share a doc_id are one node. Other columns are not read. No rows, no rows.
@@ -182,18 +184,33 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
 
 
 def clusters(members: DataFrame, shingles: DataFrame) -> DataFrame:
-    """shared_buckets() and shingles(id, shingles) of their nodes -> (node, component): the two rounds that near_duplicates() describes."""
+    """shared_buckets() and shingles(id, shingles) of their nodes -> (node, component): the three rounds that near_duplicates() describes."""
     pairs = members.groupBy("id").agg(F.min("leader").alias("leader")).where("id != leader")
     links = stored(_verified(pairs.select(F.col("id").alias("a"), F.col("leader").alias("b")), shingles), "first_links")
     first = stored(components(links), "first_components")
 
-    labelled = members.join(first, members["id"] == first["node"], "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_keys = stored(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
-    more = stored(_cells(labelled.join(open_keys, "key"), shingles), "second_links")
+    tried = _mixed(members, first).where("component != main").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    links = links.unionByName(stored(_verified(tried, shingles), "second_links"))
+    second = stored(components(links), "second_components")
+
+    more = stored(_cells(_mixed(members, second), shingles), "third_links")
     return components(links.unionByName(more))
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: (key, id, component, main, n_main, n_rest, rep).
+
+    main is the bucket's largest component, n_main and n_rest count its members and the others, rep is one of main,
+    chosen by a hash of bucket and id, so that buckets offer different ones.
+    """
+    labelled = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("first"))
+    per_key = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "first.id")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    open_keys = stored(per_key.where("parts > 1").select(
+        "key", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), (F.col("n") - F.col("m.n")).alias("n_rest"), F.col("m.id").alias("rep")), "open")
+    return labelled.join(open_keys, "key")
+
+
 def _links_type(shingles: DataFrame) -> str:
     kind = shingles.schema["id"].dataType.simpleString()
     return f"a {kind}, b {kind}"
@@ -206,10 +223,15 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _cells(mixed: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Members are dealt to ceil(n / BLOCK) blocks by hash; each unordered pair of blocks is one group."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    at = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = at.select("key", "id", "component", "block", other).select(
-        "key", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    """Each bucket's main component and the rest of its members are dealt to blocks of about BLOCK by hash.
+
+    Blocks of the rest meet each other and the main blocks, each pair of blocks in one group. Main blocks do not meet:
+    their members are of one component. So a group of copies with few strangers costs what it has members.
+    """
+    is_main = F.col("component") == F.col("main")
+    n_rest, n_main = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_main"))
+    at = F.when(is_main, n_rest + F.pmod(F.xxhash64("id"), n_main)).otherwise(F.pmod(F.xxhash64("id"), n_rest)).cast("int")
+    met = F.when(is_main, n_rest).otherwise(n_rest + n_main)
+    dealt = mixed.select("key", "id", "component", at.alias("block"), F.explode(F.sequence(F.lit(0), met - 1)).alias("other"))
+    spread = dealt.select("key", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return spread.join(shingles, "id").groupBy("key", "i", "j").applyInArrow(_cell, _links_type(shingles)).distinct()
