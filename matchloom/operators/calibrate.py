@@ -14,7 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PASSES = 60
+# Newton's method needs a dozen passes; a sigmoid that is not done after so many is an error.
+MAX_PASSES = 500
 MIN_STEP = 1e-10
 RIDGE = 1e-12
 
@@ -95,6 +96,9 @@ def fit_sigmoids(margins: DataFrame, n_classes: int) -> dict[tuple[int, int], tu
                 break
             for s in _sums(long, unfinished).collect():
                 fits[s["k"]].take(s)
+        else:
+            if left := [k for k, f in fits.items() if not f.done]:
+                raise RuntimeError(f"sigmoids without an optimum after {MAX_PASSES} passes: {left}")
         return {divmod(k, n_classes): (f.a, f.b) for k, f in fits.items()}
     finally:
         long.unpersist()

@@ -21,7 +21,8 @@ from matchloom.operators import metrics, stratify, tfidf
 from matchloom.operators.calibrate import fit_sigmoids
 from matchloom.sources.tables import materialise
 
-MAX_ITER = 30
+# The library's limit of the linear SVM; fits stop at the tolerance long before.
+MAX_ITER = 1000
 PARALLEL_FITS = 8
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import clean_text, let
-from matchloom.operators.joins import salted_join
 
 # Most frequent words that get a place of their own in the word order; bounded, so it can be broadcast.
 HOT_WORDS = 10_000
@@ -57,7 +56,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         sets = placed.groupBy(key, "_n").agg(ordered.alias("_o")).select(key, "_n", F.posexplode(F.slice("_o", 1, keep)).alias("_at", "_w"))
         return sets.select(key, F.col("_n").alias(f"_n{side}"), (F.col("_at") + 1).alias(f"_at{side}"), "_w.word")
 
-    met = salted_join(prefixed(a, left_key, "l"), prefixed(b, right_key, "r"), ["word"], left_key)
+    met = prefixed(a, left_key, "l").join(prefixed(b, right_key, "r"), "word")
     nl, nr = F.col("_nl"), F.col("_nr")
     met = met.where((nl >= nr * threshold - 1e-9) & (nr >= nl * threshold - 1e-9))
     pairs = met.groupBy(left_key, right_key, "_nl", "_nr").agg(
@@ -66,7 +65,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     # Every further shared word stands behind the last counted one in both sets.
     possible = F.col("_c") + F.least(nl - F.col("_atl"), nr - F.col("_atr"))
     pairs = pairs.where(possible * (1 + threshold) >= (nl + nr) * threshold - 1e-9).select(left_key, right_key)
-    whole = salted_join(pairs, a.withColumnRenamed("_set", "_l"), [left_key], right_key)
-    whole = salted_join(whole, b.withColumnRenamed("_set", "_r"), [right_key], left_key)
+    whole = pairs.join(a.withColumnRenamed("_set", "_l"), left_key)
+    whole = whole.join(b.withColumnRenamed("_set", "_r"), right_key)
     scored = whole.select(left_key, right_key, set_jaccard(F.col("_l"), F.col("_r")).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)

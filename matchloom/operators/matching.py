@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions.vectors import dot
-from matchloom.operators.joins import SALTS, salted_join
 from matchloom.operators.pairwise import BLOCK_ROWS, pair_scores
+from matchloom.sources.tables import materialise
 
 
 def last_of_name(jobs: DataFrame, job: str, order: str) -> DataFrame:
@@ -59,8 +59,7 @@ def retrieve(
     wide = max(k * V.OVERFETCH, k)
     near = pair_scores(queries, passages, query, passage, top=wide, block_rows=block_rows)
     near = near.withColumn("at", F.row_number().over(best_first(query, passage))).where(F.col("at") <= wide)
-    # A passage that a third of all queries hit is salted by query.
-    hits = salted_join(near, passages.drop("vec"), [passage], query)
+    hits = near.join(passages.drop("vec"), passage)
     if role is not None:
         hits = hits.join(queries.select(query, F.col(query_role).alias("_role")), query).where(F.col(role) == F.col("_role")).drop("_role")
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("at")))
@@ -74,23 +73,24 @@ def self_similarity(items: DataFrame, item: str, block_rows: int = BLOCK_ROWS) -
 
 
 def first_row_similarity(items: DataFrame, group: str, position: str) -> DataFrame:
-    """Similarity of each group's item 0 to all of its items; null where a group has fewer than two."""
-    count = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    first = items.where(F.col(position) == 0).select(group, F.col("vec").alias("_first")).join(count, group)
+    """Similarity of each group's item 0 to all of its items; null where a group has fewer than two, or no item 0."""
+    start = F.when(F.col(position) == 0, F.col("vec"))
+    # A stored side lets AQE split the join where one group is large.
+    first = materialise(items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.max(start).alias("_first")), "first_items")
     score: Column = F.when(F.col("_n") >= 2, F.round(dot(F.col("_first"), F.col("vec")), 6))
-    return salted_join(items, first, [group], position).withColumn("score", score).drop("_first", "_n", "vec")
+    return items.join(first, group).withColumn("score", score).drop("_first", "_n", "vec")
 
 
-def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K, salts: int = SALTS) -> DataFrame:
+def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K) -> DataFrame:
     """Adds `matched`: the texts of the k passages of the pair's own posting that are closest to its vector.
 
     `pairs` has (pair, posting, vec), `passages` has (posting, chunk_no, text, vec). The index of a pair is one
     posting, so its passages are gathered per posting (they come from one document) and ranked inside the
-    row. A popular posting is salted by the pair key, so its pairs spread over many tasks.
+    row. The index is a stored table, so AQE can split the pairs of a popular posting over many tasks.
     """
     # Passages first become one array per posting, so the join neither multiplies rows nor needs a window.
-    docs = passages.groupBy(posting).agg(F.collect_list(F.struct("chunk_no", "text", "vec")).alias("_index"))
-    wide = salted_join(pairs, docs, [posting], pair, "left", salts)
+    docs = materialise(passages.groupBy(posting).agg(F.collect_list(F.struct("chunk_no", "text", "vec")).alias("_index")), "posting_index")
+    wide = pairs.join(docs, posting, "left")
 
     def hit(c: Column) -> Column:
         score = F.round(dot(F.col("vec"), c["vec"]), 6)

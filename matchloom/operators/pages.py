@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as V
 from matchloom.functions import html as H
 from matchloom.functions import text as T
-from matchloom.operators.joins import salted_join
 
 
 def pick_page_text(candidates: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def dispatch_sources(sources: DataFrame, files: DataFrame, key: str, source: str
     """
     s = F.col(source)
     texts = files.select(F.col("path").alias(source), F.col("text"))
-    named = salted_join(sources.where(T.is_pdf_source(s)), texts, [source], key)
+    named = sources.where(T.is_pdf_source(s)).join(texts, source)
     raw = sources.where(~T.is_pdf_source(s)).withColumn("text", s)
     return raw.unionByName(named.select(raw.columns))
 

@@ -53,6 +53,11 @@ def fit_prompt(role: Column, resume: Column, matched: Column) -> Column:
     return F.when(F.size(matched) > 0, prompt)
 
 
+def system(prompt: Column, text: str) -> Column:
+    """The fixed instructions that go with a prompt; null where there is no prompt."""
+    return F.when(prompt.isNotNull(), F.lit(text)).alias("system")
+
+
 def join_replies(prompts: DataFrame, replies: DataFrame, prompt: str) -> DataFrame:
     """Adds `status`, `raw`, `problem`; a prompt without a reply counts as one without a key."""
     r = replies.select(prompt, F.col("status"), F.col("raw"), F.col("problem"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions import tokens
-from matchloom.operators.joins import salted_join
 
 # The vocabulary is cut to `max_features` rows, so up to this many it is small enough to broadcast.
 BROADCAST_TERMS = 200_000
@@ -59,8 +58,8 @@ def cosine_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     """(left_key, right_key, score) over pairs that share a term; every other pair has cosine 0.
 
     Both inputs are long-form unit vectors. The join is on the term, and a term that a third of all
-    documents have is salted.
+    documents have is split by AQE.
     """
     other = right.select(right_key, "term", F.col("w").alias("_w2"))
-    met = salted_join(left, other, ["term"], left_key)
+    met = left.join(other, "term")
     return met.groupBy(left_key, right_key).agg(F.sum(F.col("w") * F.col("_w2")).alias("score"))

@@ -1,12 +1,13 @@
-"""Fitted models: rows only, since SQL cannot fit them. Their quality is held to a floor by the tests."""
+"""Fitted models. SQL cannot fit them, but it can say what must hold for them: sizes, a quality floor, shape and persistence."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchloom import fixed_values as V
 from matchloom.operators import classify
 from matchloom.plans import views
-from matchloom.plans.corpus_queries import corpus
+from matchloom.plans.corpus_queries import DEDUP_SQL, corpus
 from matchloom.plans.registry import query
 from matchloom.sources import tables
 
@@ -29,10 +30,47 @@ def svm_probs(spark, sf_dir):
     return long.select("doc_id", "quality", (F.col("at") + 1).alias("rank"), "p.category", F.round("p.prob", 6).alias("prob"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"SELECT doc_id, true AS same FROM ({DEDUP_SQL})")
 def model_roundtrip(spark, sf_dir):
-    """Predictions of a saved and reloaded model for the whole corpus."""
+    """Whether a saved and reloaded model predicts the same, with the same probabilities, for each document."""
     docs = corpus(spark, sf_dir)
     folder = tables.scratch_folder(spark, "model")
-    classify.save(classify.fit(docs, "doc_id", "text", "lang"), spark, folder)
-    return classify.predict(classify.load(spark, folder), docs, "text").select("doc_id", "lang", "predicted")
+    model = classify.fit(docs, "doc_id", "text", "lang")
+    classify.save(model, spark, folder)
+    before = classify.predict(model, docs, "text").withColumnsRenamed({"probs": "old_probs", "predicted": "old"})
+    after = classify.predict(classify.load(spark, folder), before, "text")
+    return after.select("doc_id", (F.col("probs").eqNullSafe(F.col("old_probs")) & F.col("predicted").eqNullSafe(F.col("old"))).alias("same"))
+
+
+#: What a language classifier of the corpus must reach on held-out documents.
+FLOOR = 0.9
+
+
+@query(
+    "train_record",
+    f"SELECT count(*) AS n_resumes, count(DISTINCT lang) AS n_categories, true AS top1_reached, true AS top3_reached, true AS f1_reached FROM ({DEDUP_SQL})",
+)
+def train_record(spark, sf_dir):
+    """The training run: split, fit, held-out rates, refit on everything."""
+    record, _ = classify.train_and_evaluate(corpus(spark, sf_dir), "doc_id", "text", "lang")
+    rates = {"top1_reached": "holdout_top1_accuracy", "top3_reached": "holdout_top3_accuracy", "f1_reached": "holdout_macro_f1"}
+    return record.select("n_resumes", "n_categories", *[(F.col(c) >= FLOOR).alias(a) for a, c in rates.items()])
+
+
+@query(
+    "predict_shape",
+    f"""SELECT doc_id, blank, cast(2 AS bigint) AS n_classes, true AS sums_to_one, true AS falling, CASE WHEN blank THEN '{V.UNKNOWN_CATEGORY}' END AS label_of_blank
+    FROM (SELECT d.doc_id, d.doc_id % 10 = 0 AS blank FROM documents d JOIN labels l ON l.doc_id = d.doc_id)""",
+)
+def predict_shape(spark, sf_dir):
+    """For every labelled document, one in ten with its text blanked: classes, sum and order of the probabilities, and the label of a blank text."""
+    labels = views.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    model = classify.fit(docs, "doc_id", "text", "quality")
+    blank = F.col("doc_id") % 10 == 0
+    scored = classify.predict(model, docs.withColumn("text", F.when(blank, "  ").otherwise(F.col("text"))), "text")
+    prob = F.transform("probs", lambda p: p["prob"])
+    total = F.aggregate(prob, F.lit(0.0), lambda s, x: s + x)
+    return scored.select(
+        "doc_id", blank.alias("blank"), F.size("probs").cast("bigint").alias("n_classes"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        prob.eqNullSafe(F.sort_array(prob, asc=False)).alias("falling"), F.when(blank, F.col("predicted")).alias("label_of_blank"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.operators import embedding, matching, screening
-from matchloom.operators.joins import salted_join
 from matchloom.plans import sqltext as S
 from matchloom.plans import views
 from matchloom.plans.match_queries import BEST_POSTING_SQL, hashed_sql, posting_vectors, resume_vectors
@@ -31,16 +30,21 @@ def passages(spark, sf_dir):
     return embedding.hashed(chunk_rows(posts, "item_id"), "text")
 
 
+def chunk_key():
+    """Names one passage of one posting, in the order of (item_id, chunk_no); no count of passages makes two alike."""
+    return F.concat_ws("/", F.lpad(F.col("item_id").cast("string"), 19, "0"), F.lpad(F.col("chunk_no").cast("string"), 10, "0"))
+
+
 def screen_inputs(spark, sf_dir):
     """(doc_id, item_id, resume, job, matched)."""
     resumes = query_vectors(spark, sf_dir)
     wanted = pairs(spark, sf_dir).join(resumes.withColumnRenamed("text", "resume"), "doc_id")
     found = matching.evidence(wanted, passages(spark, sf_dir), "doc_id", "item_id")
     jobs = views.view(spark, sf_dir, views.POSTING).select("item_id", F.col("text").alias("job"))
-    return salted_join(found, jobs, ["item_id"], "doc_id").select("doc_id", "item_id", "resume", "job", "matched")
+    return found.join(jobs, "item_id").select("doc_id", "item_id", "resume", "job", "matched")
 
 
-_CHUNKS = f"(SELECT item_id * 100000 + chunk_no AS chunk_id, item_id, chunk_no, text FROM ({chunk_sql(POSTING, 'item_id')}))"
+_CHUNKS = f"(SELECT concat(lpad(cast(item_id AS varchar), 19, '0'), '/', lpad(cast(chunk_no AS varchar), 10, '0')) AS chunk_id, item_id, chunk_no, text FROM ({chunk_sql(POSTING, 'item_id')}))"
 _CHUNK_VEC = hashed_sql(_CHUNKS, "chunk_id", "text")
 _QUERY_VEC = hashed_sql(RESUME, "doc_id", "text")
 _MATCHED = f"""SELECT doc_id, list(text ORDER BY rn) AS matched FROM (
@@ -62,28 +66,28 @@ def _prompt_sql(resume_head: str, resume_chars: int, task: str) -> str:
 # ---------------------------------------------------------------- prompts
 @query(
     "prompts_screen",
-    f"SELECT doc_id, item_id, len(matched) AS n_matched, md5({_prompt_sql('RESUME:', V.SCREEN_RESUME_CHARS, V.SCREEN_TASK)}) AS prompt_md5 FROM ({_INPUTS})",
+    f"SELECT doc_id, item_id, len(matched) AS n_matched, md5({_prompt_sql('RESUME:', V.SCREEN_RESUME_CHARS, V.SCREEN_TASK)}) AS prompt_md5, {S.quote(V.SCREEN_SYSTEM)} AS system FROM ({_INPUTS})",
 )
 def prompts_screen(spark, sf_dir):
     prompt = screening.screen_prompt(F.col("resume"), F.col("job"), F.col("matched"))
-    return screen_inputs(spark, sf_dir).select("doc_id", "item_id", F.size("matched").cast("bigint").alias("n_matched"), F.md5(prompt).alias("prompt_md5"))
+    return screen_inputs(spark, sf_dir).select("doc_id", "item_id", F.size("matched").cast("bigint").alias("n_matched"), F.md5(prompt).alias("prompt_md5"), screening.system(prompt, V.SCREEN_SYSTEM))
 
 
 @query(
     "prompts_tailor",
-    f"SELECT doc_id, item_id, len(matched) AS n_matched, md5({_prompt_sql('CURRENT RESUME:', V.TAILOR_RESUME_CHARS, V.TAILOR_TASK)}) AS prompt_md5 FROM ({_INPUTS})",
+    f"SELECT doc_id, item_id, len(matched) AS n_matched, md5({_prompt_sql('CURRENT RESUME:', V.TAILOR_RESUME_CHARS, V.TAILOR_TASK)}) AS prompt_md5, {S.quote(V.TAILOR_SYSTEM)} AS system FROM ({_INPUTS})",
 )
 def prompts_tailor(spark, sf_dir):
     prompt = screening.tailor_prompt(F.col("resume"), F.col("job"), F.col("matched"))
-    return screen_inputs(spark, sf_dir).select("doc_id", "item_id", F.size("matched").cast("bigint").alias("n_matched"), F.md5(prompt).alias("prompt_md5"))
+    return screen_inputs(spark, sf_dir).select("doc_id", "item_id", F.size("matched").cast("bigint").alias("n_matched"), F.md5(prompt).alias("prompt_md5"), screening.system(prompt, V.TAILOR_SYSTEM))
 
 
 def fit_inputs(spark, sf_dir):
     """(doc_id, role, resume, matched): passages of all postings, cut to the resume's own best role."""
     posts = views.view(spark, sf_dir, views.POSTING).select("item_id", "role")
-    roles = salted_join(pairs(spark, sf_dir), posts, ["item_id"], "doc_id").select("doc_id", F.col("role").alias("own_role"))
+    roles = pairs(spark, sf_dir).join(posts, "item_id").select("doc_id", F.col("role").alias("own_role"))
     resumes = query_vectors(spark, sf_dir).join(roles, "doc_id")
-    index = passages(spark, sf_dir).join(posts, "item_id").withColumn("chunk_id", F.col("item_id") * 100000 + F.col("chunk_no"))
+    index = passages(spark, sf_dir).join(posts, "item_id").withColumn("chunk_id", chunk_key())
     hits = matching.retrieve(
         resumes.select("doc_id", "own_role", "vec"), index.select("chunk_id", "role", F.col("text").alias("passage"), "vec"),
         "doc_id", "chunk_id", k=V.FIT_K, role="role", query_role="own_role",
@@ -113,11 +117,12 @@ _FIT_INPUTS = f"""SELECT b.doc_id, p.role, r.text AS resume, m.matched,
     "prompts_fit",
     f"""SELECT doc_id, role, coalesce(len(matched), 0) AS n_matched, CASE WHEN len(matched) > 0 THEN md5(concat('ROLE: ', role,
       {S.quote(chr(10) * 2 + 'RETRIEVED JOB REQUIREMENTS:' + chr(10))}, evidence, {S.quote(chr(10) * 2 + 'RESUME:' + chr(10))},
-      resume[1:{V.FIT_RESUME_CHARS}], {S.quote(chr(10) * 2 + V.FIT_TASK)})) END AS prompt_md5 FROM ({_FIT_INPUTS})""",
+      resume[1:{V.FIT_RESUME_CHARS}], {S.quote(chr(10) * 2 + V.FIT_TASK)})) END AS prompt_md5,
+      CASE WHEN len(matched) > 0 THEN {S.quote(V.FIT_SYSTEM)} END AS system FROM ({_FIT_INPUTS})""",
 )
 def prompts_fit(spark, sf_dir):
     prompt = screening.fit_prompt(F.col("role"), F.col("resume"), F.col("matched"))
-    return fit_inputs(spark, sf_dir).select("doc_id", "role", F.size("matched").cast("bigint").alias("n_matched"), F.md5(prompt).alias("prompt_md5"))
+    return fit_inputs(spark, sf_dir).select("doc_id", "role", F.size("matched").cast("bigint").alias("n_matched"), F.md5(prompt).alias("prompt_md5"), screening.system(prompt, V.FIT_SYSTEM))
 
 
 # ---------------------------------------------------------------- results

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import dedup, embedding, jaccard, keyphrases, matching, metrics, pages, pairwise, screening, stratify, tfidf
-from matchloom.operators.joins import salted_join
+from matchloom.plans.screen_queries import chunk_key
 
 
 @pytest.fixture(scope="module")
@@ -84,12 +84,18 @@ def test_vectors_from_a_table(spark):
     assert got[1] == pytest.approx([0.6, 0.8]) and got[2] is None
 
 
-def test_salted_join_meets_each_pair_once(spark):
-    big = spark.range(500).select(F.lit("hot").alias("k"), "id")
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3)], "k string, v int")
-    assert salted_join(big, small, ["k"], "id").count() == 1000
-    with pytest.raises(ValueError):
-        salted_join(big, small, ["k"], "id", "full")
+def test_hot_group_and_group_without_item_zero(spark):
+    rows = [("hot", i, [1.0, 0.0]) for i in range(300)] + [("late", 1, [1.0, 0.0]), ("late", 2, [0.0, 1.0]), ("one", 0, [1.0, 0.0])]
+    items = spark.createDataFrame(rows, "g string, at int, vec array<double>")
+    got = {(r["g"], r["at"]): r["score"] for r in matching.first_row_similarity(items, "g", "at").collect()}
+    assert len(got) == 303 and all(got["hot", i] == 1.0 for i in range(300))
+    assert got["late", 1] is None and got["late", 2] is None and got["one", 0] is None
+
+
+def test_passage_keys_of_long_postings_differ(spark):
+    rows = spark.createDataFrame([(1, 100_000), (2, 0), (2, 100_001), (3, 1)], "item_id long, chunk_no long")
+    keys = [r[0] for r in rows.orderBy("item_id", "chunk_no").select(chunk_key()).collect()]
+    assert len(set(keys)) == 4 and keys == sorted(keys)
 
 
 def test_keep_first(spark):
