@@ -20,7 +20,7 @@ PERMUTATIONS = 64
 ROWS = 4
 #: Similarity from which on documents are linked, in hundredths.
 PERCENT = 75
-#: Bucket members that are compared in one cell of the second round.
+#: Bucket members that are compared in one cell of the third round.
 BLOCK = 128
 #: Columns of a membership matrix that are held at once.
 COLUMNS = 1 << 14
