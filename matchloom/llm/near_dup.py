@@ -114,7 +114,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.float64)
     for lo in range(0, len(flat), COLUMNS):
         i, j = np.searchsorted(at, [lo, lo + COLUMNS])
-        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m = np.zeros((len(sets), min(COLUMNS, len(flat) - lo)), np.float32)
         m[row[i:j], at[i:j] - lo] = 1
         out += m @ m.T
     return out
@@ -193,20 +193,28 @@ def clusters(members: DataFrame, shingles: DataFrame) -> DataFrame:
     links = links.unionByName(stored(_verified(tried, shingles), "second_links"))
     second = stored(components(links), "second_components")
 
-    more = stored(_cells(_mixed(members, second), shingles), "third_links")
+    more = stored(_cells(_mixed(members, second, left_over=True), shingles), "third_links")
     return components(links.unionByName(more))
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, found: DataFrame, left_over: bool = False) -> DataFrame:
     """Members of the buckets that hold several components: (key, id, component, main, n_main, n_rest, rep).
 
     main is the bucket's largest component, n_main and n_rest count its members and the others, rep is one of main,
-    chosen by a hash of bucket and id, so that buckets offer different ones.
+    chosen by a hash of bucket and id, so that buckets offer different ones. left_over: of buckets with the same members
+    (as many of them, with the same 128 bits) one stands for all, and buckets of two are left out, as round two has
+    compared those two.
     """
     labelled = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("first"))
-    per_key = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "first.id")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-    open_keys = stored(per_key.where("parts > 1").select(
+    marks = (F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit("second")))) if left_over else (F.lit(0), F.lit(0))
+    sizes = labelled.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("first"), marks[0].alias("mark"), marks[1].alias("second"))
+    per_key = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "component", "first.id")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"),
+        F.bit_xor("mark").alias("mark"), F.bit_xor("second").alias("second")).where("parts > 1")
+    if left_over:
+        per_key = per_key.where("n > 2").groupBy("n", "mark", "second").agg(F.min(F.struct("key", "m")).alias("one")).select("n", "one.key", "one.m")
+    open_keys = stored(per_key.select(
         "key", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), (F.col("n") - F.col("m.n")).alias("n_rest"), F.col("m.id").alias("rep")), "open")
     return labelled.join(open_keys, "key")
 

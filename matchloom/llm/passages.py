@@ -24,8 +24,11 @@ PARAGRAPH = 20
 WINDOW = 12
 #: A window starts at the least shingle of so many in a row: any stretch of 51 words that occurs twice holds a window in both places.
 SPAN = 40
-#: Six bands of one minimum: a pair at similarity 0.75 shares none with probability (1 - 0.75)^6 = 2e-4; strangers that collide are told by their sets.
-BANDS = 6
+#: Eleven bands of two minima: a pair at similarity 0.75 shares none with probability (1 - 0.75^2)^11 = 1e-4. Bands of one minimum need
+#: fewer values for that, but let every two paragraphs with a phrase in common meet.
+BANDS = 11
+#: Minima of a band.
+ROWS = 2
 
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
@@ -89,8 +92,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.zeros((BANDS, len(parts)), np.uint64)
             if parts:
                 flat, first = np.concatenate(parts), np.cumsum([0, *(len(x) for x in parts[:-1])])
-                for b in range(BANDS):
-                    keys[b] = W.mixed(np.minimum.reduceat((flat ^ near_dup.FLIPS[b]) * near_dup.FACTORS[b], first) + np.uint64(b))
+                for v in range(BANDS * ROWS):
+                    least = np.minimum.reduceat((flat ^ near_dup.FLIPS[v]) * near_dup.FACTORS[v], first)
+                    keys[v // ROWS] = W.mixed(keys[v // ROWS] * W._ODD + W.mixed(least + np.uint64(v)))
             places = np.concatenate([m[1] for m in more])
             n = len(places)
             none = pa.nulls(n, pa.int64())
