@@ -14,12 +14,17 @@ from matchloom.functions.text import let, trim_u
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
+# Inside of a tag: a quoted value may hold ">"; a quote that is no value's, or is never closed, is a character. Possessive, so that Java neither backtracks nor recurses.
+INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
+
+
 def opening(tag: str) -> str:
-    return rf"<{tag}(?:[\s/][^>]*)?>"
+    return rf"<{tag}(?=[\s/>]){INSIDE}>"
 
 
 COMMENT = r"(?s)<!--.*?-->"
-TAG = r"(?s)<[!/a-zA-Z?][^>]*>"
+TAG = rf"<[!/a-zA-Z?]{INSIDE}>"
+HEAD = r"(?is)<(head|title)(?=[\s/>]).*?</\1\s*>"
 
 
 def decode_entities(s: Column) -> Column:
@@ -61,9 +66,9 @@ def _cut(body: Column, tags: list[str]) -> Column:
     def parts(p: Column) -> Column:
         return F.struct(
             p.alias("p"),
-            F.lower(F.regexp_extract(p, rf"(?i)^<({names})(?:\s[^>]*)?(?<!/)>", 1)).alias("open"),
+            F.lower(F.regexp_extract(p, rf"(?i)^<({names})(?=[\s/>]){INSIDE}(?<!/)>", 1)).alias("open"),
             F.lower(F.regexp_extract(p, rf"(?i)^</({names})[\s/>]", 1)).alias("close"),
-            F.regexp_replace(p, r"^<[^>]*>", "").alias("rest"),
+            F.regexp_replace(p, rf"^<{INSIDE}>", "").alias("rest"),
         )
 
     return F.transform(pieces, parts)
@@ -109,8 +114,8 @@ def first_element(body: Column, tag: str) -> Column:
 
 
 def root_region(body: Column) -> Column:
-    """Content of the first main, else the first article, else the body, else everything."""
-    root = body
+    """Content of the first main, else the first article, else the body, else everything but head and title."""
+    root = F.regexp_replace(body, HEAD, "\n")
     for tag in reversed(V.ROOT_TAGS):
         root = F.when(F.rlike(body, F.lit("(?i)" + opening(tag))), first_element(body, tag)).otherwise(root)
     return root

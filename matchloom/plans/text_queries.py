@@ -204,14 +204,17 @@ def blank_guard(spark, sf_dir):
 
 # ---------------------------------------------------------------- posting pages
 def html_sql() -> str:
-    """The oracle leaves nesting aside: no page of the data has any."""
+    """The oracle leaves nesting and quoted ">" aside: no page of the data has any, and its pattern dialect has no possessive repeats."""
+    def opening(tag: str) -> str:
+        return rf"<{tag}(?:[\s/][^>]*)?>"
+
     x = S.sub_all("html", html.COMMENT, "\n")
-    flat = "(?is)" + "|".join(rf"{html.opening(t)}.*?</{t}\s*>" for t in V.DROPPED_TAGS)
+    flat = "(?is)" + "|".join(rf"{opening(t)}.*?</{t}\s*>" for t in V.DROPPED_TAGS)
     x = S.sub_all(x, flat, "\n")
     root = " ".join(
-        f"WHEN regexp_matches(b, {S.quote('(?i)' + html.opening(t))}) THEN regexp_extract(b, {S.quote('(?is)' + html.opening(t) + '(.*?)</' + t)}, 1)" for t in V.ROOT_TAGS
+        f"WHEN regexp_matches(b, {S.quote('(?i)' + opening(t))}) THEN regexp_extract(b, {S.quote('(?is)' + opening(t) + '(.*?)</' + t)}, 1)" for t in V.ROOT_TAGS
     )
-    text_sql = S.sub_all(f"(CASE {root} ELSE b END)", html.TAG, "\n")
+    text_sql = S.sub_all(f"(CASE {root} ELSE b END)", r"(?s)<[!/a-zA-Z?][^>]*>", "\n")
     for name, char in {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}.items():
         text_sql = f"replace({text_sql}, '{name}', '{char}')"
     lines = f"list_transform(regexp_split_to_array({text_sql}, {S.quote(html.LINE_END)}), lambda l: {S.trim_u('l')})"

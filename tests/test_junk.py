@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.functions import contact
+from matchloom.functions import chunks, contact, html
 from matchloom.session import is_single_jvm
 
 N = 1_000_000
@@ -39,3 +39,24 @@ def test_email_same_matches(spark):
 def test_single_jvm_only():
     assert is_single_jvm("local") and is_single_jvm("local[4]") and is_single_jvm("local[*]")
     assert not any(is_single_jvm(m) for m in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://x"))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<p title="a>b">c</p>', "c"),
+    ("<p don't>y</p><form a='>'>gone</form>z", "y\nz"),
+    ('<p title="open>t</p>', "t"),
+    ('<main class="a>b">m</main>q', "m"),
+    ('<article>a<script x=">">s</script>b</article>', "a\nb"),
+    ("<html><head><title>T</title></head><p>x</p></html>", "x"),
+    ("<p " + 'a="b" ' * 200_000 + ">long</p>", "long"),
+])
+def test_tags_as_a_reader_sees_them(spark, page, want):
+    assert spark.createDataFrame([(page,)], "h string").select(html.posting_text(F.col("h"))).first()[0] == want
+
+
+def test_very_many_passages(spark):
+    lines = [f"{i} " + "x" * 590 for i in range(50_000)]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string").select(chunks.passages(F.col("t")))
+    start = time.perf_counter()
+    assert df.first()[0] == lines
+    assert time.perf_counter() - start < 20
