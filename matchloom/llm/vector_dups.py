@@ -21,6 +21,8 @@ NEIGHBOURS = 8
 TREES, LEAF = 3, 256
 #: Vectors that are compared in one task's cell.
 BLOCK = 512
+#: Vectors of a block of the last search, which compares each two blocks of a label, and rows of it that are multiplied at once.
+SWEEP, STRIP = 1024, 256
 #: Bits of a leaf's code; 2^24 leaves of 256 vectors are more than any label has.
 BITS = 24
 #: Sub-keys over which a vector's reverse neighbours are first ranked.
@@ -53,32 +55,29 @@ def _stack(table: pa.Table) -> tuple[list[str], np.ndarray]:
     return table.column("id").to_pylist(), flat.reshape(len(v), -1)
 
 
-def _codes(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column(3)]) if len(batch) else np.empty((0, 1))
-        planes = np.random.default_rng([17, seed]).standard_normal((x.shape[1], TREES * BITS))
+        x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column(2)]) if len(batch) else np.empty((0, 1))
+        planes = np.random.default_rng([17, 0]).standard_normal((x.shape[1], TREES * BITS))
         codes = ((x @ planes > 0).reshape(len(x), TREES, BITS) << np.arange(BITS)).sum(axis=2)
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(codes.tolist(), pa.list_(pa.int64()))], ["id", "label", "component", "v", "codes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(codes.tolist(), pa.list_(pa.int64()))], ["id", "label", "v", "codes"])
 
 
-def _leaves(nodes: DataFrame, seed: int) -> DataFrame:
-    """nodes(id, label, dim, component, v) dealt to cells (label, dim, tree, leaf, block): near vectors share a cell in some tree.
+def _leaves(nodes: DataFrame) -> DataFrame:
+    """nodes(id, label, dim, v) dealt to cells (label, dim, tree, leaf, block), where near vectors often share a cell in some tree.
 
-    A label gets as many leaves as its count asks for. A leaf that is still large, full of close copies, is dealt to
-    blocks by hash: each of its vectors then still has near neighbours in its block.
+    A label gets as many leaves as its count asks for. A leaf that is still large is dealt to blocks by hash: this only
+    starts the graph, what it misses is found by the descent or by _swept().
     """
-    def coded(batches):
-        return _codes(batches, seed)
-
     out = None
     sized = nodes.join(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")), "label")
     bits = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n_label") / LEAF)).cast("int")))
     # Vectors of different length can not be stacked: one run for each length, of which a table has one or few.
     for (dim,) in nodes.select("dim").distinct().collect() or [(0,)]:
         own = sized.where(F.col("dim") == dim)
-        rows = own.select("id", "label", "component", "v").mapInArrow(coded, "id string, label bigint, component string, v array<double>, codes array<bigint>")
+        rows = own.select("id", "label", "v").mapInArrow(_codes, "id string, label bigint, v array<double>, codes array<bigint>")
         rows = rows.join(sized.select("label", bits.alias("bits")).distinct(), "label")
-        rows = rows.select("id", "label", "component", "v", "bits", F.posexplode("codes").alias("tree", "code"))
+        rows = rows.select("id", "label", "v", "bits", F.posexplode("codes").alias("tree", "code"))
         rows = rows.withColumn("leaf", F.expr("code % shiftleft(1L, bits)")).withColumn("dim", F.lit(dim)).drop("bits", "code")
         out = rows if out is None else out.unionByName(rows)
     keys = ["label", "dim", "tree", "leaf"]
@@ -99,16 +98,32 @@ def _nearest(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Links of a cell between components, one for each pair of components."""
+    """Links of a cell between components, one for each pair of components; a cell of two blocks is searched between them, one of one block within."""
     ids, x = _stack(table)
     comp, at = np.unique(np.array(table.column("component").to_pylist(), object).astype(str), return_inverse=True)
-    linked = np.triu((x @ x.T >= LINK) & (at[:, None] != at[None, :]), 1)
-    seen: dict[tuple[int, int], tuple[str, str]] = {}
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        seen.setdefault((min(at[i], at[j]), max(at[i], at[j])), (ids[i], ids[j]))
+    block = table.column("block").to_numpy()
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    seen: dict[int, tuple[str, str]] = {}
+    for lo in range(0, len(left), STRIP):
+        rows = left[lo : lo + STRIP]
+        i, j = np.nonzero((x[rows] @ x[right].T >= LINK) & (at[rows][:, None] != at[right][None, :]))
+        i, j = rows[i], right[j]
+        pairs, first = np.unique(np.minimum(at[i], at[j]) * len(comp) + np.maximum(at[i], at[j]), return_index=True)
+        for pair, k in zip(pairs.tolist(), first, strict=True):
+            seen.setdefault(pair, (ids[i[k]], ids[j[k]]))
     return pa.table({"a": pa.array([p for p, _ in seen.values()], pa.string()), "b": pa.array([q for _, q in seen.values()], pa.string())})
 
 
+def _swept(labelled: DataFrame) -> DataFrame:
+    """labelled(id, label, dim, component, v) -> links between components: each two blocks of a label are compared, so every pair of vectors is."""
+    keys = ["label", "dim"]
+    counts = stored(labelled.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SWEEP).alias("blocks")), "blocks")
+    dealt = labelled.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cells = dealt.select(*keys, "id", "component", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return cells.groupBy(*keys, "i", "j").applyInArrow(_across, "a string, b string").distinct()
+
+
 def _top(edges: DataFrame, salted: bool = False) -> DataFrame:
     """The NEIGHBOURS best edges (u, v, sim) of each u. salted: u may have any number of edges; they are first ranked in parts."""
     best = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("sim"), "v")
@@ -178,7 +193,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     its copies. Random-hyperplane leaves start a graph of the nearest neighbours; joins of neighbours' neighbours
     refine it until a pass finds no further link. A list full of links is saturated: it grows to all of its component,
     compared in blocks of bounded size, so no link within a component is missed and a group's pairs are only counted.
-    Between components fresh leaves are searched until they give no link.
+    The descent can stop early and its leaves can part near vectors, so at the end all pairs of a label that lie in
+    different components are compared, in blocks of bounded size: no link is missed, at a cost of the square of a label's vectors.
 
     Null labels, null, zero or empty vectors and those with null or non-finite components link with nothing; then
     component_id is vec_id. Null vec_id: the row takes part, and component_id is the least id that is not null, or null; kept if it is null. No rows, no rows.
@@ -188,7 +204,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     nodes = stored(table.where("id is not null").groupBy("id").agg(
         F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least")).withColumn("dim", F.size("v")), "nodes")
     cells = ["label", "dim", "tree", "leaf", "block"]
-    first = _leaves(nodes.withColumn("component", F.col("id")), 0).groupBy(*cells).applyInArrow(_nearest, "u string, v string, sim double")
+    first = _leaves(nodes).groupBy(*cells).applyInArrow(_nearest, "u string, v string, sim double")
     graph = stored(_top(first.groupBy("u", "v").agg(F.max("sim").alias("sim"))), "graph")
     known = graph.where(F.col("sim") >= LINK).count()
     while True:
@@ -200,14 +216,14 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         known = n
     # The descent multiplies single floats; what is near the threshold is computed anew in double precision.
     links = stored(_confirmed(graph.where(F.col("sim") >= LINK - 1e-5).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes), "links")
-    seed = 1
-    while True:
+    def labelled_by(links: DataFrame) -> DataFrame:
         comps = stored(components(links), "components")
-        labelled = nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "label", "dim", "mult", "least", F.coalesce("component", "id").alias("component"), "v")
-        more = stored(_leaves(labelled, seed).groupBy(*cells).applyInArrow(_across, "a string, b string").distinct(), "links")
-        if not more.limit(1).count():
-            break
-        links, seed = links.unionByName(more), seed + 1
+        return nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "label", "dim", "mult", "least", F.coalesce("component", "id").alias("component"), "v")
+
+    labelled = labelled_by(links)
+    more = stored(_swept(labelled), "links")
+    if more.limit(1).count():
+        labelled = labelled_by(links.unionByName(more))
     # A table, so that the join can be split where a component is large.
     sizes = stored(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     grown = labelled.join(sizes, "component")

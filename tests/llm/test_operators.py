@@ -240,6 +240,21 @@ def test_vectors(spark):
     assert vector_dups.near_vectors(table.limit(0)).count() == 0
 
 
+def test_few_links_among_vectors_of_one_direction(spark):
+    """All vectors of the label share a direction, so that leaves hardly part them, and few pairs are linked."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = 3 * np.eye(64)[0] + rng.standard_normal((6_000, 64)) / 8
+    v[3_000:3_060] = v[:60] + rng.standard_normal((60, 64)) / 60
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T >= 0.98, 1))}
+    assert len(want) >= 55 and len(want) < 100
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(table).where("n_links > 0").collect()}
+    assert got == {i: sum(i in pair for pair in want) for i in {i for pair in want for i in pair}}
+
+
 def test_passages(spark, docs):
     got = passages.repeated_passages(docs).collect()
     texts = _texts()
