@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.tables import stored
 
-#: A candidate is a run of so many of these characters with a digit in it.
+#: A candidate is a run of so many of these characters with a digit in it, or a value of VALUES.
 LEAST = 12
 CORE = rf"([A-Za-z0-9+/_.@-]{{{LEAST},}}={{0,2}})"
 #: Words that announce a secret, and such a word with a sign of assignment at the end.
 KEYWORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)"
 ASSIGNED = KEYWORD + r"[^A-Za-z0-9]{0,12}$"
+#: A value assigned to a keyword, of any length and any characters: in quotes up to the closing one, else up to white space, a quote or closing punctuation.
+VALUES = (
+    "(?i)(" + KEYWORD.removeprefix("(?i)").replace("(", "(?:") + r"(?:[0-9_-][A-Za-z0-9_-]{0,30})?[\"'`\])]{0,2}[ \t]{0,8}(?:=>|:=|={1,3}|:(?!:))[ \t]{0,8})"
+    + r"""(?:(")([^"\r\n]+)(?=")|(')([^'\r\n]+)(?=')|(`)([^`\r\n]+)(?=`)|(["'`]?)([^\s"'`]*[^\s"'`,;.)\]}]))""")
+#: Marks around a value in a text.
+OPEN, CLOSE = "\u0001", "\u0002"
+#: Forms of keys that need no keyword near them.
+KEY_SHAPE = r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abeprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk[-_][A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{10,}[.]eyJ"
+#: Mean transition cost from which on a string of so many characters is like no words.
+OPAQUE, OPAQUE_LENGTH = 9.0, 20
 #: What stands in examples instead of a secret.
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000000|12345678)"
 #: Characters before a candidate that are looked at.
@@ -34,21 +44,43 @@ def _last(chars: Column, n: int) -> Column:
     return F.substring(chars, -n, n)
 
 
+def _values(text: Column) -> Column:
+    """Array of (k, word, core, before, after), one for each value that is assigned to a keyword, k from 0."""
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\u0003\u0003"), F.lit(VALUES), F.lit(f"$1$2$4$6$8{OPEN}$3$5$7$9{CLOSE}"))
+    # A value stands at the start of each piece but the first; the white space before a piece is the number of its word.
+    pieces = F.split(marked, OPEN)
+    ends = F.aggregate(
+        pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.regexp_count(x, F.lit(r"\s+")))))
+    one = lambda x: F.regexp_replace(F.translate(x, CLOSE, ""), r"\s+", " ")
+    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x, k: F.struct(
+        k.alias("k"), F.get(ends, k + 1).alias("word"), F.substring_index(x, CLOSE, 1).alias("core"),
+        _last(one(F.get(pieces, k)), BEFORE).alias("before"), F.substring(one(F.substring_index(x, CLOSE, -1)), 1, 8).alias("after")))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, word, part, core, before, after), one row for each candidate: word is the number of its word, part its number in it, from 0."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
-    rows = rows.select("doc_id", F.split("text", r"\s+").alias("words"))
+    """docs(doc_id, text) -> (doc_id, word, part, core, before, after), one row for each candidate: word is the number of its (first) word, part its number in it, from 0.
+
+    Runs of LEAST characters with a digit come first in a word, then the values assigned to keywords that are none of them.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9]") | F.col("text").rlike(VALUES))
+    rows = rows.select("doc_id", F.split("text", r"\s+").alias("words"), _values(F.col("text")).alias("values"))
     likely = F.filter(
         F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
         lambda x: (F.length(x["w"]) >= LEAST) & x["w"].rlike("[0-9]") & x["w"].rlike(CORE))
-    rows = rows.withColumn("x", F.explode(likely))
+    runs = rows.withColumn("x", F.explode(likely))
     at = F.col("x.i")
     near = [F.when(at >= k, _last(F.get("words", at - k), BEFORE)) for k in (3, 2, 1)]
-    out = rows.select("doc_id", at.alias("word"), F.col("x.w").alias("w"), F.concat_ws(" ", *near).alias("near"))
+    out = runs.select("doc_id", at.alias("word"), F.col("x.w").alias("w"), F.concat_ws(" ", *near).alias("near"))
     out = out.select("*", F.posexplode(F.regexp_extract_all("w", F.lit(CORE), F.lit(1))).alias("part", "core"))
-    return out.where(F.col("core").rlike("[0-9]")).select(
+    out = out.where(F.col("core").rlike("[0-9]")).select(
         "doc_id", "word", "part", "core", _last(F.concat_ws(" ", "near", F.expr("left(w, locate(core, w) - 1)")), BEFORE).alias("before"),
         F.expr("substring(w, locate(core, w) + length(core), 8)").alias("after"))
+    own = rows.where(F.size("values") > 0).select("doc_id", "words", "values", F.explode("values").alias("x"))
+    own = own.withColumn("runs", F.regexp_extract_all(F.get("words", F.col("x.word")), F.lit(CORE), F.lit(1)))
+    own = own.where(~(F.array_contains("runs", F.col("x.core")) & F.col("x.core").rlike("[0-9]")))
+    earlier = F.size(F.filter("values", lambda y: (y["word"] == F.col("x.word")) & (y["k"] < F.col("x.k"))))
+    return out.unionByName(own.select(
+        "doc_id", F.col("x.word").alias("word"), (F.size("runs") + earlier).alias("part"), F.col("x.core").alias("core"), F.col("x.before").alias("before"), F.col("x.after").alias("after")))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -105,9 +137,13 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def distant_labels(rows: DataFrame) -> DataFrame:
-    """Labels where reviewed ones are missing: 1 for what is assigned to a keyword and no placeholder, address or path; 0 for what has no keyword near. Others are left out."""
+    """Labels where reviewed ones are missing: 1 for what is assigned to a keyword and no placeholder, address or path; 0 for what has no keyword near.
+
+    Left out are others, and what has no keyword near but the form of a key, or is long and like no words: it may be a secret.
+    """
     secret = (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("at_sign") == 0) & (F.col("dots") < 2) & (F.col("slashes") < 3) & (F.col("digit_share") > 0.05)
-    harmless = (F.col("keyword_near") == 0) | (F.col("at_sign") > 0) | (F.col("placeholder") > 0)
+    opaque = (F.col("transition") >= OPAQUE) & (F.col("length") >= OPAQUE_LENGTH) & (F.col("slashes") == 0) & (F.col("dots") == 0)
+    harmless = ((F.col("keyword_near") == 0) & ~F.col("core").rlike(KEY_SHAPE) & ~opaque) | (F.col("at_sign") > 0) | (F.col("placeholder") > 0)
     return rows.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0)).where("label is not null")
 
 
@@ -122,7 +158,7 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     out (crc32 of the id as text, mod 5 = 0). The forest learns from at most FIT_ROWS of them. score: the forest's
     probability of a secret; is_secret: 0.5 or more. The string itself is not given out, its digest is.
 
-    Null, empty and digitless texts have no candidates. Without labels of both classes the score is 1 for what is
+    Null and empty texts, and digitless ones that assign nothing to a keyword, have no candidates. Without labels of both classes the score is 1 for what is
     assigned to a keyword, else 0. A null doc_id is scanned and held out. Repeated rows give repeated findings. Other columns are not read.
     """
     found = stored(candidates(docs), "candidates")
