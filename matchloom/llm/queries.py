@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, language, line_dedup, mixture, near_dup, passages, secret_scan, token_counts, toxicity, vector_dups
+from matchloom.llm import (
+    centroids, codebooks, context_tree, decontaminate, language, line_dedup, mixture, near_dup, passages, secret_scan, token_counts, toxicity, vector_dups)
 from matchloom.llm.tables import read
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +121,61 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Vectors with finite components as whole numbers; vectors of this table are all of one length.
+_WHOLE = """k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: cast(floor(1024 * cast(c AS double)) AS bigint)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)"""
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def _codes_sql() -> str:
+    """Every round compares each part with all entries; sums of squares are whole numbers below 2^53 in doubles."""
+    out = [f"""WITH {_WHOLE},
+p AS MATERIALIZED (SELECT rid, part, cast(x[part * len(x) // 4 + 1:(part + 1) * len(x) // 4] AS double[]) AS v FROM k, range(4) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, cast(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS bigint) AS entry, v
+  FROM p JOIN (SELECT min(rid) AS rid, vec_id FROM k GROUP BY vec_id ORDER BY vec_id LIMIT {codebooks.ENTRIES}) USING (rid))"""]
+    for r in range(codebooks.ROUNDS + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT rid, part, min_by(entry, (d, entry)) AS entry, min(d) AS d, any_value(v) AS v
+  FROM (SELECT rid, p.part, entry, p.v, list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v) AS d FROM p JOIN b{r} b USING (part)) GROUP BY rid, part)""")
+        if r < codebooks.ROUNDS:
+            out.append(f"""b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT part, entry, list(s ORDER BY i) AS v
+  FROM (SELECT part, entry, i, floor(sum(c) / count(*)) AS s FROM (SELECT part, entry, unnest(v) AS c, unnest(range(len(v))) AS i FROM a{r}) GROUP BY part, entry, i) GROUP BY part, entry) n USING (part, entry))""")
+    last = codebooks.ROUNDS
+    out.append(f"""t AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, cast(sum(d) AS bigint) AS error FROM a{last} GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda c: cast(cast(c AS bigint) AS varchar)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM t JOIN k USING (rid), h""")
+    return ",\n".join(out[:-1]) + ",\n" + out[-1]
+
+
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _clusters_sql() -> str:
+    """Every round compares each vector with all centroids."""
+    out = [f"""WITH {_WHOLE},
+p AS MATERIALIZED (SELECT rid, vec_id, cast(x AS double[]) AS v FROM k WHERE len(x) = {centroids.WIDTH}),
+c0 AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY h) - 1 AS integer) AS cluster, v
+  FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, any_value(v) AS v FROM p GROUP BY vec_id ORDER BY h LIMIT {centroids.CLUSTERS}))"""]
+    for r in range(centroids.ROUNDS + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT rid, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d, any_value(v) AS v
+  FROM (SELECT rid, cluster, p.v, list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v) AS d FROM p, c{r} c) GROUP BY rid)""")
+        if r < centroids.ROUNDS:
+            out.append(f"""c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT cluster, list(s ORDER BY i) AS v
+  FROM (SELECT cluster, i, floor(sum(q) / count(*)) AS s FROM (SELECT cluster, unnest(v) AS q, unnest(range(len(v))) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster) n USING (cluster))""")
+    last = centroids.ROUNDS
+    out.append(f"""SELECT vec_id, cluster, cast(d AS bigint) AS distance, cast(sum(d) OVER (PARTITION BY cluster) AS bigint) AS cluster_inertia, cast(sum(d) OVER () AS bigint) AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda q: cast(cast(q AS bigint) AS varchar)), ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} c USING (cluster) JOIN p USING (rid)""")
+    return ",\n".join(out[:-1]) + "\n" + out[-1]
+
+
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_secret_scan": secret_findings,
     "op2_decontamination": decontamination,
@@ -131,6 +187,9 @@ QUERIES = {
     "op8_minmax_near_dups": minmax_near_dups,
     "op9_token_counts": token_prefixes,
     "op10_vector_near_dups": vectors,
+    "op11_vector_codes": vector_codes,
+    "op12_centroid_clusters": vector_clusters,
+    "op13_text_scores": text_scores,
 }
 
 ORACLES = {
@@ -139,4 +198,6 @@ ORACLES = {
     "op6_line_dedup": LINES,
     "op8_minmax_near_dups": NEAR,
     "op10_vector_near_dups": VECTORS,
+    "op11_vector_codes": _codes_sql(),
+    "op12_centroid_clusters": _clusters_sql(),
 }

@@ -52,4 +52,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
-    assert len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert len([q for q in entry.queries() if q.startswith("op")]) == 13
