@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import words as W
-from matchloom.llm.tables import stored
+from matchloom.llm.tables import forget, stored
 
 #: Bytes of the longest context.
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text that share their requests, in one task's memory; a longer text is a block of its own.
-BLOCK = 32 << 20
+BLOCK = 64 << 20
 #: Bytes of text for each shard of the key space: a shard's task holds the requests of all blocks in it.
 SHARD = 64 << 20
 #: Grams or nodes of a bucket of the tree; a bucket holds whole contexts.
@@ -128,6 +128,29 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (W.mixed(keys) % np.uint64(shards)).astype(np.int64)
 
 
+class Parts:
+    """The distinct grams and words of a block, with their counts in what is learned from; merged as they grow."""
+
+    MOST = 4_000_000
+
+    def __init__(self):
+        self.keys, self.counts = {_GRAMS: [], _WORDS: []}, {_GRAMS: [], _WORDS: []}
+
+    def add(self, raws: list[bytes], depth: int, memory: W.WordHashes, counted: bool = True) -> None:
+        hashed = [h for raw in raws for h in word_hashes(raw, memory)]
+        for kind, found in ((_GRAMS, (k for k, _ in grams(raws, depth))), (_WORDS, [np.concatenate(hashed)] if hashed else [])):
+            for keys in found:
+                distinct, n = np.unique(keys, return_counts=True)
+                self.keys[kind].append(distinct)
+                self.counts[kind].append(n if counted else np.zeros(len(n), np.int64))
+            if sum(map(len, self.keys[kind])) > self.MOST:
+                keys, n = self.merged(kind)
+                self.keys[kind], self.counts[kind] = [keys], [n]
+
+    def merged(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.keys[kind], self.counts[kind])
+
+
 _BLOCKS = "block bigint, kind int, shard int, ids array<bigint>, held array<boolean>, sizes array<int>, texts binary, keys binary, counts binary"
 _NAMES = ["block", "kind", "shard", "ids", "held", "sizes", "texts", "keys", "counts"]
 
@@ -138,29 +161,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], depth: int, shards: int) -> Itera
     counts are those of documents that are learned from; what only others hold is asked for with a count of 0.
     """
     memory, codec, task = W.WordHashes(), pa.Codec("zstd"), TaskContext.get().partitionId() << 32
-    docs, size, block, parts = [], 0, 0, {_GRAMS: ([], []), _WORDS: ([], [])}
+    docs, size, block, parts = [], 0, 0, Parts()
 
     def chunk() -> pa.RecordBatch:
         joined = b"".join(raw for _, _, raw in docs)
         row = (task + block, 0, None, [i for i, _, _ in docs], [h for _, h, _ in docs], [len(r) for _, _, r in docs],
                codec.compress(joined, asbytes=True) if joined else b"", None, None)
         for held in (False, True):
-            own = [raw for _, h, raw in docs if h == held]
-            hashed = [h for raw in own for h in word_hashes(raw, memory)]
-            for kind, found in ((_GRAMS, (k for k, _ in grams(own, depth))), (_WORDS, [np.concatenate(hashed)] if hashed else [])):
-                for keys in found:
-                    distinct, n = np.unique(keys, return_counts=True)
-                    parts[kind][0].append(distinct)
-                    parts[kind][1].append(np.zeros(len(n), np.int64) if held else n)
-        for lists in parts.values():
-            if sum(map(len, lists[0])) > 4_000_000:
-                keys, n = _merged(*lists)
-                lists[0][:], lists[1][:] = [keys], [n]
+            parts.add([raw for _, h, raw in docs if h == held], depth, memory, not held)
         return pa.RecordBatch.from_pylist([dict(zip(_NAMES, row, strict=True))], _SCHEMA)
 
     def requests() -> Iterator[pa.RecordBatch]:
-        for kind, lists in parts.items():
-            keys, n = _merged(*lists)
+        for kind in (_GRAMS, _WORDS):
+            keys, n = parts.merged(kind)
             if not len(keys):
                 continue
             shard = _shard_of(keys, shards)
@@ -170,7 +183,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], depth: int, shards: int) -> Itera
             for s, own in zip(there.tolist(), np.split(order, first[1:]), strict=True):
                 rows.append(dict(zip(_NAMES, (task + block, kind, s, None, None, None, None, _pack_keys(keys[own]), _planes(n[own])), strict=True)))
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-            lists[0].clear(), lists[1].clear()
 
     pending = 0
     for batch in batches:
@@ -183,7 +195,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], depth: int, shards: int) -> Itera
                 docs.clear()
                 if size >= BLOCK:
                     yield from requests()
-                    block, size = block + 1, 0
+                    block, size, parts = block + 1, 0, Parts()
     if docs:
         yield chunk()
     yield from requests()
@@ -364,7 +376,10 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
     for e, s in list(zip(rungs, rungs[1:], strict=False))[::-1]:
         rows, n = keyed[e]
         above = mixed.withColumn("bucket", _bucket(F.shiftright("key", 8), n))
-        mixed = stored(rows.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_descend(e - s, e == depth), "key bigint, value double" if e == depth else _MIXED), "mixed")
+        lower = stored(rows.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_descend(e - s, e == depth), "key bigint, value double" if e == depth else _MIXED), "mixed")
+        forget(mixed)
+        forget(tables[s])
+        mixed = lower
     return mixed
 
 
@@ -376,33 +391,39 @@ def _answers(key, asked, known):
     order = np.argsort(at)
     at, value = at[order], known.column("value").to_numpy()[order].astype(np.float32 if key[0].as_py() == _GRAMS else np.float64)
     out = [_planes(value[np.searchsorted(at, _unpack_keys(k))]) for k in asked.column("keys").to_pylist()]
-    return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "keys": asked.column("keys"), "value": pa.array(out, pa.binary())})
+    return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "shard": asked.column("shard"), "value": pa.array(out, pa.binary())})
 
 
-def _lookup(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    own = [(k, v) for t, k, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "value")), strict=True) if t == kind]
-    if not own:
-        return np.empty(0, np.uint64), np.empty(0)
-    keys = np.concatenate([_unpack_keys(k) for k, _ in own])
-    values = np.concatenate([_from_planes(v, np.float32 if kind == _GRAMS else np.float64) for _, v in own])
-    order = np.argsort(keys)
-    return keys[order], values[order].astype(np.float64)
+def _lookup(answers: pa.Table, kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
+    """The answers for the distinct keys of a block, in the keys' order; they came by shard, in key order within each."""
+    own = sorted((s, v) for t, s, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "value")), strict=True) if t == kind)
+    out = np.empty(len(keys))
+    if own:
+        out[np.argsort(_shard_of(keys, shards), kind="stable")] = np.concatenate([_from_planes(v, np.float32 if kind == _GRAMS else np.float64) for _, v in own])
+    return out
 
 
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, base_score double, score double"
 
 
-def _scores(chunks: pa.Table, answers: pa.Table, depth: int, tokens: int, distinct: int) -> pa.Table:
-    """A block's documents and the answers to it -> a row a document."""
-    gram, logs = _lookup(answers, _GRAMS)
-    word, count = _lookup(answers, _WORDS)
-    base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
-    memory, codec = W.WordHashes(), pa.Codec("zstd")
-    out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score")}
+def _texts(chunks: pa.Table) -> Iterator[tuple[list, list, list[bytes]]]:
+    codec = pa.Codec("zstd")
     for ids, held, sizes, texts in zip(*(chunks.column(c).to_pylist() for c in ("ids", "held", "sizes", "texts")), strict=True):
         joined = codec.decompress(texts, sum(sizes), asbytes=True) if texts else b""
         ends = np.cumsum([0, *sizes]).tolist()
-        raws = [joined[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        yield ids, held, [joined[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _scores(chunks: pa.Table, answers: pa.Table, depth: int, shards: int, tokens: int, distinct: int) -> pa.Table:
+    """A block's documents and the answers to it -> a row a document. The block's keys are found again rather than sent along."""
+    memory, parts = W.WordHashes(), Parts()
+    for _, _, raws in _texts(chunks):
+        parts.add(raws, depth, memory)
+    gram, word = parts.merged(_GRAMS)[0], parts.merged(_WORDS)[0]
+    logs, count = _lookup(answers, _GRAMS, gram, shards), _lookup(answers, _WORDS, word, shards)
+    base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
+    out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score")}
+    for ids, held, raws in _texts(chunks):
         score = np.zeros(len(raws))
         for keys, owner in grams(raws, depth):
             score += np.bincount(owner, logs[np.searchsorted(gram, keys)], len(raws))
@@ -417,7 +438,7 @@ def _scores(chunks: pa.Table, answers: pa.Table, depth: int, tokens: int, distin
         out["base_score"].append(told[:, 2])
         out["doc_id"].extend(ids)
         out["held_out"].extend(held)
-        out["n_bytes"].append(np.array(sizes, np.int64))
+        out["n_bytes"].append(np.array([len(raw) for raw in raws], np.int64))
     return pa.table({c: pa.array(v, pa.int64() if c == "doc_id" else pa.bool_()) if c in ("doc_id", "held_out") else pa.array(np.concatenate(v)) for c, v in out.items()})
 
 
@@ -445,9 +466,11 @@ def scored(docs: DataFrame, depth: int = DEPTH, one_in: int = 10) -> DataFrame:
     logs = gram_table(grams_of.select("key", "n"), depth)
     known = grams_of.select("kind", "shard", "key").join(logs, "key").unionByName(words.select("kind", "shard", "key", F.col("n").cast("double").alias("value")))
     answers = stored(asked.drop("counts").groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInArrow(
-        _answers, "block bigint, kind int, keys binary, value binary"), "answers")
+        _answers, "block bigint, kind int, shard int, value binary"), "answers")
+    forget(counts)
+    forget(logs)
     texts = blocks.where("kind = 0").select("block", "ids", "held", "sizes", "texts")
     tokens, distinct = int(tokens), int(distinct)
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda chunks, told: _scores(chunks, told, depth, tokens, distinct), _SCORES)
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda chunks, told: _scores(chunks, told, depth, shards, tokens, distinct), _SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "n_bytes",
                       (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
