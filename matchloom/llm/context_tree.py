@@ -26,7 +26,7 @@ DEPTH = 5
 #: Bytes of text that share their requests, in one task's memory; a longer text is a block of its own.
 BLOCK = 64 << 20
 #: Bytes of text for each shard of the key space: a shard's task holds the requests of all blocks in it.
-SHARD = 64 << 20
+SHARD = 16 << 20
 #: Grams or nodes of a bucket of the tree; a bucket holds whole contexts.
 BUCKET = 200_000
 #: Bytes of text that are cut into grams at once, and packed into one row.
@@ -403,6 +403,27 @@ def _lookup(answers: pa.Table, kind: int, keys: np.ndarray, shards: int) -> np.n
     return out
 
 
+class Table:
+    """Values by key, for keys that are all in it: entries in the order of a bijective hash, found through its first bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashed := W.mixed(keys))
+        self.hashed, self.values = hashed[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        starts = np.cumsum(np.bincount((self.hashed >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.starts = np.concatenate([[0], starts[:-1]]).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        hashed = W.mixed(keys)
+        at = self.starts[(hashed >> self.shift).astype(np.int64)]
+        missed = np.flatnonzero(self.hashed[at] != hashed)
+        while len(missed):
+            at[missed] += 1
+            missed = missed[self.hashed[at[missed]] != hashed[missed]]
+        return self.values[at]
+
+
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, base_score double, score double"
 
 
@@ -420,19 +441,20 @@ def _scores(chunks: pa.Table, answers: pa.Table, depth: int, shards: int, tokens
     for _, _, raws in _texts(chunks):
         parts.add(raws, depth, memory)
     gram, word = parts.merged(_GRAMS)[0], parts.merged(_WORDS)[0]
-    logs, count = _lookup(answers, _GRAMS, gram, shards), _lookup(answers, _WORDS, word, shards)
+    logs = Table(gram, _lookup(answers, _GRAMS, gram, shards))
+    count = _lookup(answers, _WORDS, word, shards)
     base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
+    known, base = Table(word, count > 0), Table(word, base)
     out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score")}
     for ids, held, raws in _texts(chunks):
         score = np.zeros(len(raws))
         for keys, owner in grams(raws, depth):
-            score += np.bincount(owner, logs[np.searchsorted(gram, keys)], len(raws))
+            score += np.bincount(owner, logs.of(keys), len(raws))
         out["score"].append(score)
         told = np.zeros((len(raws), 3))
         for i, raw in enumerate(raws):
             for hashes in word_hashes(raw, memory):
-                at = np.searchsorted(word, hashes)
-                told[i] += len(at), (count[at] > 0).sum(), base[at].sum()
+                told[i] += len(hashes), known.of(hashes).sum(), base.of(hashes).sum()
         for c, v in zip(("n_tokens", "n_known"), told[:, :2].astype(np.int64).T, strict=True):
             out[c].append(v)
         out["base_score"].append(told[:, 2])
