@@ -63,7 +63,21 @@ EDUCATION_LEVELS = {
 MIN_SPACE_RATIO = 0.08
 DEFAULT_TOLERANCE = 3
 DROPPED_TAGS = ["script", "style", "noscript", "nav", "header", "footer", "form", "svg"]
-ROOT_TAGS = ["main", "article", "body"]
+ROOT_TAGS = ["main", "article"]
+# How a page parser mends pages. Elements without an end tag; elements that may stand in a head; what a start tag ends
+# if it is the innermost open element; and how far an end tag reaches: it closes no element of a higher number (others: 100).
+VOID_TAGS = ["area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+HEAD_TAGS = ["html", "head", "title", "base", "meta", "link", "script", "style", "noscript"]
+RAW_TAGS = ["script", "style"]
+_BLOCK_STARTS = ["address", "article", "aside", "blockquote", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3",
+                 "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"]
+IMPLIED_ENDS = {
+    **{t: ["p"] for t in _BLOCK_STARTS},
+    "li": ["li", "p"], "dt": ["dt", "dd", "p"], "dd": ["dt", "dd", "p"], "option": ["option"], "optgroup": ["option", "optgroup"],
+    "td": ["td", "th", "p"], "th": ["td", "th", "p"], "tr": ["td", "th", "tr", "p"],
+    **{t: ["td", "th", "tr", "thead", "tbody", "tfoot", "p"] for t in ("thead", "tbody", "tfoot")},
+}
+END_REACH = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190}
 MIN_POSTING_CHARS = 200
 URL_SCHEME = r"(?i)^https?://"
 MAX_CHUNK_CHARS = 120

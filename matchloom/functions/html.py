@@ -1,32 +1,20 @@
-"""Readable text of a posting page, with string functions only."""
+"""Readable text of a posting page."""
 
 from __future__ import annotations
 
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom import fixed_values as V
+from matchloom.functions.html_tree import text_nodes
 from matchloom.functions.text import let, trim_u
 
 # Line ends that split a text node into lines (more than \n, unlike sections and passages).
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
-# Inside of a tag: a quoted value may hold ">"; a quote that is no value's, or is never closed, is a character. Possessive, so that Java neither backtracks nor recurses.
-INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
-
-
-def opening(tag: str) -> str:
-    return rf"<{tag}(?=[\s/>]){INSIDE}>"
-
-
-COMMENT = r"(?s)<!--.*?-->"
-TAG = rf"<[!/a-zA-Z?]{INSIDE}>"
-HEAD = r"(?is)<(head|title)(?=[\s/>]).*?</\1\s*>"
-
-
 def decode_entities(s: Column) -> Column:
     """Named (HTML 4), decimal and hexadecimal character references; unknown names stay as they are."""
     names = {n: name2codepoint[n] for n in ("amp", "nbsp", "lt", "gt", "quot")} | {"apos": 39} | name2codepoint
@@ -54,76 +42,12 @@ def decode_entities(s: Column) -> Column:
     return F.when(F.contains(s, F.lit("&")), F.array_join(pieces, "")).otherwise(s)
 
 
-def _cut(body: Column, tags: list[str]) -> Column:
-    """array<struct<p, open, close, rest>>: the text cut in front of every opening or closing one of `tags`.
-
-    `open` and `close` name the tag that a piece begins with, `rest` is the piece behind that tag. An element
-    that closes itself opens nothing. What is kept is gathered as pieces and joined once.
-    """
-    names = "|".join(tags)
-    pieces = F.split(body, rf"(?i)(?=</?(?:{names})[\s/>])")
-
-    def parts(p: Column) -> Column:
-        return F.struct(
-            p.alias("p"),
-            F.lower(F.regexp_extract(p, rf"(?i)^<({names})(?=[\s/>]){INSIDE}(?<!/)>", 1)).alias("open"),
-            F.lower(F.regexp_extract(p, rf"(?i)^</({names})[\s/>]", 1)).alias("close"),
-            F.regexp_replace(p, rf"^<{INSIDE}>", "").alias("rest"),
-        )
-
-    return F.transform(pieces, parts)
-
-
-def drop_elements(body: Column, tags: list[str]) -> Column:
-    """Text without these elements and all they hold, nested ones included; one line end for each."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("name"), F.lit(0).alias("depth"))
-
-    def step(acc: Column, x: Column) -> Column:
-        outside = acc["depth"] == 0
-        begins, deeper, ends = outside & (x["open"] != ""), x["open"] == acc["name"], x["close"] == acc["name"]
-        # Inside a script or a style everything up to its end tag is raw text.
-        raw = acc["name"].isin("script", "style")
-        depth = (
-            F.when(begins, F.lit(1)).when(outside, F.lit(0))
-            .when(deeper & ~raw, acc["depth"] + 1).when(ends, acc["depth"] - 1).otherwise(acc["depth"])
-        )
-        out = (
-            F.when(begins, F.array_append(acc["out"], F.lit("\n"))).when(outside, F.array_append(acc["out"], x["p"]))
-            .when(ends & (acc["depth"] == 1), F.array_append(acc["out"], x["rest"])).otherwise(acc["out"])
-        )
-        return F.struct(out.alias("out"), F.when(begins, x["open"]).otherwise(acc["name"]).alias("name"), depth.alias("depth"))
-
-    return F.aggregate(_cut(body, tags), start, step, lambda acc: F.array_join(acc["out"], ""))
-
-
-def first_element(body: Column, tag: str) -> Column:
-    """Content of the first such element up to its own end tag, or to the end of the text."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        outside, opens = acc["depth"] == 0, x["open"] != ""
-        closes = ~outside & (x["close"] != "") & (acc["depth"] == 1)
-        out = (
-            F.when(acc["done"] | closes | (outside & ~opens), acc["out"])
-            .when(outside, F.array_append(acc["out"], x["rest"])).otherwise(F.array_append(acc["out"], x["p"]))
-        )
-        depth = F.when(opens, acc["depth"] + 1).when(~outside & (x["close"] != ""), acc["depth"] - 1).otherwise(acc["depth"])
-        return F.struct(out.alias("out"), depth.alias("depth"), (acc["done"] | closes).alias("done"))
-
-    return F.aggregate(_cut(body, [tag]), start, step, lambda acc: F.array_join(acc["out"], ""))
-
-
-def root_region(body: Column) -> Column:
-    """Content of the first main, else the first article, else the body, else everything but head and title."""
-    root = F.regexp_replace(body, HEAD, "\n")
-    for tag in reversed(V.ROOT_TAGS):
-        root = F.when(F.rlike(body, F.lit("(?i)" + opening(tag))), first_element(body, tag)).otherwise(root)
-    return root
+def _text_nodes(pages: pa.Array) -> pa.Array:
+    return pa.array([None if page is None else text_nodes(page) for page in pages.to_pylist()], pa.string())
 
 
 def posting_text(html: Column) -> Column:
-    """Body copy, one text node per line, blank lines dropped."""
-    kept = drop_elements(F.regexp_replace(html, COMMENT, "\n"), V.DROPPED_TAGS)
-    bare = F.regexp_replace(let(kept, root_region), TAG, "\n")
-    lines = F.transform(F.split(let(bare, decode_entities), LINE_END), trim_u)
+    """Body copy, one text node per line, blank lines dropped. Which nodes there are is decided in Arrow batches (html_tree); the rest is expressions."""
+    nodes = F.arrow_udf(_text_nodes, "string")(html)
+    lines = F.transform(F.split(let(nodes, decode_entities), LINE_END), trim_u)
     return F.array_join(F.filter(lines, lambda l: l != ""), "\n")

@@ -31,3 +31,15 @@ def one_two_grams(tokens: Column) -> Column:
         return F.concat(ts, F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
 
     return let(tokens, grams)
+
+
+def counted(terms: Column) -> Column:
+    """array<struct<term, tf>>: each term of the array once, in order, with how often it occurs. Linear after one sort."""
+
+    def runs(ts: Column) -> Column:
+        n = F.size(ts)
+        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(ts, i) != F.get(ts, i - 1)))
+        return let(starts, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda lo, j: F.struct(
+            F.get(ts, lo).alias("term"), (F.get(at, j + 1) - lo).cast("bigint").alias("tf"))))
+
+    return let(F.sort_array(terms), lambda ts: F.when(F.size(ts) > 0, runs(ts)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")))

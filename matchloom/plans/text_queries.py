@@ -208,11 +208,11 @@ def html_sql() -> str:
     def opening(tag: str) -> str:
         return rf"<{tag}(?:[\s/][^>]*)?>"
 
-    x = S.sub_all("html", html.COMMENT, "\n")
+    x = S.sub_all("html", r"(?s)<!--.*?-->", "\n")
     flat = "(?is)" + "|".join(rf"{opening(t)}.*?</{t}\s*>" for t in V.DROPPED_TAGS)
     x = S.sub_all(x, flat, "\n")
     root = " ".join(
-        f"WHEN regexp_matches(b, {S.quote('(?i)' + opening(t))}) THEN regexp_extract(b, {S.quote('(?is)' + opening(t) + '(.*?)</' + t)}, 1)" for t in V.ROOT_TAGS
+        f"WHEN regexp_matches(b, {S.quote('(?i)' + opening(t))}) THEN regexp_extract(b, {S.quote('(?is)' + opening(t) + '(.*?)</' + t)}, 1)" for t in [*V.ROOT_TAGS, "body"]
     )
     text_sql = S.sub_all(f"(CASE {root} ELSE b END)", r"(?s)<[!/a-zA-Z?][^>]*>", "\n")
     for name, char in {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}.items():
