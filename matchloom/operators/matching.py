@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions.vectors import dot
+from matchloom.operators import cell_search
 from matchloom.operators.pairwise import BLOCK_ROWS, pair_scores
 from matchloom.sources.tables import materialise
 
@@ -50,14 +51,19 @@ def retrieve(
     role: str | None = None,
     query_role: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    index: cell_search.CellIndex | None = None,
 ) -> DataFrame:
     """Exact top-k passages per query: (query, passage columns, score, rank).
 
-    With a role, the 4k best of the WHOLE index are found first and filtered afterwards, so fewer than k may
+    With an index of the passages (cell_search.build) only cells that can hold a hit are compared, without one every
+    query meets every passage; the rows are the same. With a role, the 4k best of the WHOLE index are found first and filtered afterwards, so fewer than k may
     remain. `query_role` names the query's role column, `role` the passage's.
     """
     wide = max(k * V.OVERFETCH, k)
-    near = pair_scores(queries, passages, query, passage, top=wide, block_rows=block_rows)
+    if index is None:
+        near = pair_scores(queries, passages, query, passage, top=wide, block_rows=block_rows)
+    else:
+        near = cell_search.search(queries, index, query, passage, wide, block_rows=block_rows).hits
     near = near.withColumn("at", F.row_number().over(best_first(query, passage))).where(F.col("at") <= wide)
     hits = near.join(passages.drop("vec"), passage)
     if role is not None:

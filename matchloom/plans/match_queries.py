@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions import vectors as VC
-from matchloom.operators import embedding, matching
+from matchloom.operators import cell_search, embedding, matching
 from matchloom.plans import sqltext as S
 from matchloom.plans import views
 from matchloom.plans.registry import query
@@ -124,6 +124,18 @@ def retrieve_topk_role(spark, sf_dir):
     return hits.select("query_id", "passage_id", "role", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "retrieve_by_cells",
+    f"""SELECT * FROM (SELECT query_id, passage_id, role, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank
+    FROM ({_RANKED}) WHERE place <= 20 AND role = query_role) WHERE rank <= 5""",
+)
+def retrieve_by_cells(spark, sf_dir):
+    """retrieve_topk_role through an index of cells: most passages are never compared."""
+    q, p = _queries_and_passages(spark, sf_dir)
+    hits = matching.retrieve(q, p, "query_id", "passage_id", role="role", query_role="query_role", index=cell_search.build(p, "passage_id"))
+    return hits.select("query_id", "passage_id", "role", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 # ---------------------------------------------------------------- self-similarity
 @query("self_similarity", f"SELECT q.vec_id AS a, p.vec_id AS b, {_DOT} AS score FROM embeddings q, embeddings p")
 def self_similarity(spark, sf_dir):
