@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions import tokens
 from matchloom.functions.text import guard_label, let
-from matchloom.operators import metrics, stratify, tfidf
+from matchloom.operators import metrics, stratify, svm, tfidf
 from matchloom.operators.calibrate import fit_sigmoids
 from matchloom.sources.tables import materialise
 
-# The library's limit of the linear SVM; fits stop at the tolerance long before.
-MAX_ITER = 1000
-PARALLEL_FITS = 8
-
 
 @dataclass
 class TextClassifier:
@@ -38,11 +32,19 @@ class TextClassifier:
     sigmoids: np.ndarray  # (folds, classes, 2)
 
 
-def _weigh(counts, idf: np.ndarray):
-    """Sublinear tf x idf at unit length; Spark ML has no sublinear tf, so this step leaves the JVM."""
-    w = (1.0 + np.log(counts.values)) * idf[counts.indices]
-    norm = np.sqrt(np.dot(w, w))
-    return counts.indices, w / norm if norm > 0 else w
+def _weighed(counts: pa.StructArray, idf: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(indices, values) of a batch of sparse counts: sublinear tf x idf at unit length."""
+    indices, n = counts.field("indices"), svm.Sparse(counts.field("indices"), counts.field("values"))
+    w = (1.0 + np.log(n.value)) * idf[n.at]
+    norm = np.sqrt(np.bincount(n.row, w * w, n.rows))
+    w /= np.where(norm > 0, norm, 1.0)[n.row]
+    offsets = pa.array(n.ends.astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, indices.flatten()), pa.ListArray.from_arrays(offsets, pa.array(w))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """(rows, width) as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
 def _counted(df: DataFrame, text: str, counter: CountVectorizerModel) -> DataFrame:
@@ -51,22 +53,22 @@ def _counted(df: DataFrame, text: str, counter: CountVectorizerModel) -> DataFra
     return counter.transform(df.withColumn("_grams", grams)).drop("_grams")
 
 
-def term_features(df: DataFrame, text: str, counter: CountVectorizerModel, idf: np.ndarray, out: str = "features") -> DataFrame:
-    """Adds the TF-IDF row of the text as a sparse vector."""
+def term_features(df: DataFrame, text: str, counter: CountVectorizerModel, idf: np.ndarray) -> DataFrame:
+    """Adds the TF-IDF row of the text as `indices` and `values`. Counting is the JVM's, weighing numpy's, a batch at a time."""
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
-    @F.udf(VectorUDT())
-    def reweigh(v):
-        return Vectors.sparse(v.size, *_weigh(v, shared.value))
+    def weigh(counts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_weighed(counts, shared.value), ["indices", "values"])
 
-    return _counted(df, text, counter).withColumn(out, reweigh("_tf")).drop("_tf")
+    made = F.arrow_udf(weigh, "indices array<int>, values array<double>")(F.col("_tf"))
+    return _counted(df, text, counter).withColumn("_w", made).select(*df.columns, "_w.indices", "_w.values")
 
 
 def fit_terms(docs: DataFrame, key: str, text: str, max_features: int) -> tuple[CountVectorizerModel, np.ndarray]:
     """Vocabulary and idf; at most `max_features` rows reach the driver."""
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    n_docs = docs.count()
     vocab = tfidf.vocabulary(tfidf.term_counts(docs, key, text), max_features)
-    vocab = materialise(vocab.select("term", tfidf.idf(n_docs, F.col("df")).alias("idf")), "terms")
+    vocab = materialise(vocab.select("term", tfidf.idf(F.lit(n_docs), F.col("df")).alias("idf")), "terms")
     # Fitted on the chosen terms alone, the counter knows exactly these; handing them over one by one is slow.
     counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features).fit(vocab.select(F.array("term").alias("_grams")))
     idf = {r["term"]: r["idf"] for r in vocab.collect()}
@@ -75,51 +77,49 @@ def fit_terms(docs: DataFrame, key: str, text: str, max_features: int) -> tuple[
 
 def fit(
     docs: DataFrame, key: str, text: str, category: str,
-    max_features: int = V.MAX_FEATURES, n_folds: int = V.CALIBRATION_FOLDS, max_iter: int = MAX_ITER,
+    max_features: int = V.MAX_FEATURES, n_folds: int = V.CALIBRATION_FOLDS, max_passes: int = svm.MAX_PASSES,
 ) -> TextClassifier:
-    """Fits on all rows of `docs`: the vocabulary once, then per fold an SVM on the others and its sigmoids."""
+    """Fits on all rows of `docs`: the vocabulary once, then the SVMs of all folds and classes together, then their sigmoids.
+
+    The driver and each task hold folds x classes x terms numbers, a small multiple of them on the driver.
+    """
     classes = [r[0] for r in docs.select(category).distinct().orderBy(category).collect()]
     if len(classes) < 2:
         raise ValueError("a classifier needs at least two categories")
     counter, idf = fit_terms(docs, key, text, max_features)
-    ranked = stratify.shuffled_rank(docs.select(key, text, category), category, key)
     label = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(category)) - 1).cast("int")
-    rows = term_features(ranked.withColumn("fold", stratify.fold(n_folds)), text, counter, idf)
-    # Every SVM iteration is a job, and its tasks carry the lineage of their input: a written table has none.
-    rows = materialise(rows.select("fold", label.alias("label"), "features"), "features")
-    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = term_features(docs.select(key, text, category), text, counter, idf).select(key, category, "indices", "values")
+    ranked = stratify.shuffled_rank(rows, category, key)
+    # Every pass is a job, and its tasks carry the lineage of their input: a written table has none.
+    rows = materialise(ranked.select(stratify.fold(n_folds).alias("fold"), label.alias("label"), "indices", "values"), "features")
     # Two classes are told apart by one hyperplane; its mirror image serves the other class.
     fitted = range(len(classes)) if len(classes) > 2 else [1]
-
-    def fit_one(job: tuple[int, int]):
-        f, c = job
-        n = sum(v for k, v in sizes.items() if k != f)
-        # C = 1 on a sum of losses is 1/n on their mean; the features are unit rows and stay as they are.
-        svm = LinearSVC(labelCol="y", maxIter=max_iter, regParam=1.0 / n, standardization=False, tol=1e-4)
-        side = rows.where(F.col("fold") != f).select("features", (F.col("label") == c).cast("double").alias("y"))
-        m = svm.fit(side)
-        return f, c, m.coefficients.toArray(), m.intercept
-
+    planes = [(f, c) for f in range(n_folds) for c in fitted]
+    weights, biases = svm.fit_planes(rows, planes, len(idf), max_passes)
     coefficients = np.zeros((n_folds, len(classes), len(idf)))
     intercepts = np.zeros((n_folds, len(classes)))
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        for f, c, w, b in pool.map(fit_one, [(f, c) for f in range(n_folds) for c in fitted]):
-            coefficients[f, c], intercepts[f, c] = w, b
+    for (f, c), w, b in zip(planes, weights, biases, strict=True):
+        coefficients[f, c], intercepts[f, c] = w, b
     if len(classes) == 2:
         coefficients[:, 0], intercepts[:, 0] = -coefficients[:, 1], -intercepts[:, 1]
 
-    shared = rows.sparkSession.sparkContext.broadcast((coefficients, intercepts))
+    shared = rows.sparkSession.sparkContext.broadcast(_by_term(coefficients, intercepts))
 
-    @F.udf("array<double>")
-    def held_out_margins(fold, v):
-        w, b = shared.value
-        return (w[fold][:, v.indices] @ v.values + b[fold]).tolist()
+    def held_out_margins(fold: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
+        m = svm.margins(svm.Sparse(indices, values), *shared.value).reshape(len(fold), n_folds, -1)
+        return _lists(m[np.arange(len(fold)), fold.to_numpy()])
 
-    ab = fit_sigmoids(rows.select("fold", "label", held_out_margins("fold", "features").alias("margins")), len(classes))
+    margins = F.arrow_udf(held_out_margins, "array<double>")("fold", "indices", "values")
+    ab = fit_sigmoids(rows.select("fold", "label", margins.alias("margins")), len(classes))
     sigmoids = np.array([[ab.get((f, c), (0.0, 0.0)) for c in range(len(classes))] for f in range(n_folds)])
     return TextClassifier(counter, idf, classes, coefficients, intercepts, sigmoids)
 
 
+def _by_term(coefficients: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, folds x classes) and (folds x classes,)."""
+    return np.ascontiguousarray(coefficients.reshape(-1, coefficients.shape[-1]).T), intercepts.ravel()
+
+
 def _probabilities(margins: Column, sigmoids: np.ndarray) -> Column:
     """Sigmoid of every margin, divided by their sum; equal shares where all of them vanish."""
     a, b = (F.array(*[F.lit(float(x)) for x in sigmoids[:, i]]) for i in (0, 1))
@@ -139,15 +139,13 @@ def predict(model: TextClassifier, df: DataFrame, text: str) -> DataFrame:
     The probabilities are those of the folds, averaged. The broadcast is folds x classes x terms numbers.
     """
     n_folds, n = model.intercepts.shape
-    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.coefficients.reshape(n_folds * n, -1), model.intercepts.ravel()))
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, *_by_term(model.coefficients, model.intercepts)))
 
-    @F.udf("array<double>")
-    def margins(v):
-        idf, w, b = shared.value
-        at, x = _weigh(v, idf)
-        return (w[:, at] @ x + b).tolist()
+    def margins(counts: pa.Array) -> pa.Array:
+        idf, weights, biases = shared.value
+        return _lists(svm.margins(svm.Sparse(*_weighed(counts, idf)), weights, biases))
 
-    out = _counted(df, text, model.counter).withColumn("_margins", margins("_tf"))
+    out = _counted(df, text, model.counter).withColumn("_margins", F.arrow_udf(margins, "array<double>")(F.col("_tf")))
     out = out.withColumns({f"_p{f}": _probabilities(F.slice("_margins", f * n + 1, n), model.sigmoids[f]) for f in range(n_folds)})
     classes = F.array(*[F.lit(c) for c in model.classes])
 
@@ -161,10 +159,10 @@ def predict(model: TextClassifier, df: DataFrame, text: str) -> DataFrame:
 
 
 def hold_out(docs: DataFrame, category: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the stratified split, exact per category."""
-    ranked = materialise(stratify.shuffled_rank(docs, category, key), "ranked")
-    test = stratify.held_out()
-    return ranked.where(~test).select(*docs.columns), ranked.where(test).select(*docs.columns)
+    """(train, test): the stratified split, exact per category. Only keys are ranked; texts stay where they are."""
+    is_test = stratify.held_out_flag(docs, category, key)
+    marked = docs.join(F.broadcast(is_test.bounds), docs[category].eqNullSafe(is_test.bounds["_category"]), "left")
+    return marked.where(~is_test.flag).select(*docs.columns), marked.where(is_test.flag).select(*docs.columns)
 
 
 def train_and_evaluate(docs: DataFrame, key: str, text: str, category: str, **options) -> tuple[DataFrame, TextClassifier]:

@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import calibrate, classify, metrics
+from matchloom.operators import calibrate, classify, metrics, stratify, svm
 
 WORDS = {"tax": "audit ledger invoice revenue", "web": "browser script layout widget", "lab": "assay reagent pipette culture"}
 
@@ -23,7 +24,7 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def trained(corpus):
-    return classify.train_and_evaluate(corpus, "id", "text", "cat", max_iter=10)
+    return classify.train_and_evaluate(corpus, "id", "text", "cat")
 
 
 def test_quality_floor(trained):
@@ -56,10 +57,71 @@ def test_save_and_load(spark, trained, tmp_path):
 
 def test_two_classes_mirror(corpus):
     two = corpus.where(F.col("cat") != "lab")
-    scored = classify.predict(classify.fit(two, "id", "text", "cat", max_iter=5), two, "text")
+    scored = classify.predict(classify.fit(two, "id", "text", "cat"), two, "text")
     assert metrics.accuracy(scored, "cat", "predicted").first()["top1"] >= 0.95
 
 
+def sparse_rows(spark, n, classes, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        label = rnd.randrange(classes)
+        terms = sorted({rnd.randrange(12) for _ in range(rnd.randint(0, 5))} | {12 + label} if rnd.random() < 0.9 else set())
+        rows.append((rnd.randrange(3), label, terms, [rnd.uniform(0.1, 1) for _ in terms]))
+    return rows, spark.createDataFrame(rows, "fold int, label int, indices array<int>, values array<double>").repartition(3)
+
+
+def test_planes_sit_at_the_optimum(spark):
+    """The objective is strictly convex: where its gradient vanishes is its only minimum."""
+    rows, table = sparse_rows(spark, 300, 4, 2)
+    planes = [(f, c) for f in range(3) for c in range(4)]
+    weights, biases = svm.fit_planes(table, planes, 16)
+    for (f, c), w, b in zip(planes, weights, biases, strict=True):
+        gradient, start = np.append(w, b), np.zeros(17)
+        for fold, label, terms, values in rows:
+            if fold != f:
+                x = np.zeros(17)
+                x[terms], x[16] = values, 1
+                y = 1 if label == c else -1
+                gradient = gradient - 2 * y * max(0, 1 - y * (x @ np.append(w, b))) * x
+                start = start - 2 * y * x
+        assert np.linalg.norm(gradient) <= 2 * svm.TOLERANCE * np.linalg.norm(start)
+
+
+def test_blocks_of_entries_do_not_matter(spark, monkeypatch):
+    _, table = sparse_rows(spark, 80, 3, 4)
+    planes = [(0, c) for c in range(3)]
+    whole = svm.fit_planes(table, planes, 15)
+    monkeypatch.setattr(svm, "SLICE", 10)
+    cut = svm.fit_planes(table, planes, 15)
+    assert np.allclose(whole[0], cut[0], atol=1e-9) and np.allclose(whole[1], cut[1], atol=1e-9)
+
+
+def test_jobs_do_not_follow_the_planes(spark):
+    def jobs(classes, folds):
+        name = f"planes-{classes}-{folds}"
+        spark.sparkContext.setJobGroup(name, name)
+        svm.fit_planes(sparse_rows(spark, 200, classes, 3)[1], [(f, c) for f in range(folds) for c in range(classes)], 12 + classes)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    assert jobs(12, 3) < 3 * jobs(2, 1)
+
+
+def test_no_row_at_a_time_python(spark, trained):
+    docs = spark.createDataFrame([(1, "ledger audit"), (2, None)], "id long, text string")
+    scored = classify.predict(trained[1], docs, "text")
+    plan = scored._jdf.queryExecution().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" in plan and scored.count() == 2
+
+
+def test_held_out_part_is_the_ranked_one(spark, corpus):
+    ranked = stratify.shuffled_rank(corpus, "cat", "id").where(stratify.held_out())
+    train, test = classify.hold_out(corpus, "cat", "id")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(test) == ids(ranked) and ids(train.unionByName(test)) == list(range(90)) and test.columns == corpus.columns
+
+
 def test_sigmoids_sit_at_the_optimum(spark):
     rnd = random.Random(5)
     rows = [(f, int(rnd.random() < 0.5)) for f in (0, 1) for _ in range(200)]
