@@ -1,14 +1,18 @@
 """Unsupervised key phrases of single documents, by the published YAKE features (Campos et al., 2020).
 
-Every document is its own corpus. Documents are placed by key once; term statistics, candidates and their
-scores are groupings below that key. Lower scores are better.
+Every document is its own corpus, and a document is a row: its words are cut out by expressions, its features and
+candidates are computed in Arrow batches, array by array for all documents of a batch, and near spellings are skipped
+by expressions again. Nothing is shuffled. Lower scores are better.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
@@ -26,136 +30,252 @@ HAS_DIGIT = r"\p{N}"
 ACRONYM = r"^\p{Lu}+$"
 CAPITAL = r"^\p{Lu}"
 
+#: Words that are worked on at once, whole documents at a time.
+SLICE_WORDS = 400_000
+_PLAIN, _CAPITAL, _ACRONYM = 0, 1, 2
 
-def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sentence, words, terms, leads): one row per run of words without punctuation.
 
-    `terms` are the words in lower case, null for a word with a digit.
-    """
+def _sentences(text: Column) -> Column:
+    """Sentences of runs of words without punctuation: each word in lower case, null if it has a digit, and its shape."""
     has_word = lambda s: F.rlike(s, F.lit(WORD))
-    placed = docs.select(key, text).repartition(key)
-    sentences = placed.select(key, F.posexplode(F.filter(F.split(text, SENTENCE_END), has_word)).alias("sentence", "_s"))
-    blocks = sentences.select(key, "sentence", F.posexplode(F.filter(F.split("_s", BLOCK_END), has_word)).alias("_b", "_t"))
-    blocks = blocks.select(key, "sentence", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("words"), (F.col("_b") == 0).alias("leads"))
-    return blocks.withColumn("terms", F.transform("words", lambda w: F.when(~F.rlike(w, F.lit(HAS_DIGIT)), F.lower(w))))
-
-
-def _is_stop(term: Column, stop: list[str]) -> Column:
-    return term.isin(*stop) | (F.length(term) < MIN_TERM_CHARS)
-
-
-def _median(sorted_values: Column) -> Column:
-    n = F.size(sorted_values)
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return (F.get(sorted_values, low) + F.get(sorted_values, high)) / 2.0
-
-
-def _terms(blocks: DataFrame, key: str, stop: list[str]) -> DataFrame:
-    """(key, term, tf, stop, score): the features of each term of each document and its score."""
-
-    def word(w: Column, i: Column) -> Column:
-        return F.struct(
-            F.get(F.col("terms"), i).alias("term"),
-            F.get(F.col("terms"), i - 1).alias("left"),
-            F.get(F.col("terms"), i + 1).alias("right"),
-            F.rlike(w, F.lit(ACRONYM)).alias("acronym"),
-            (F.rlike(w, F.lit(CAPITAL)) & ~(F.col("leads") & (i == 0))).alias("capital"),
-        )
-
-    words = blocks.select(key, "sentence", F.inline(F.transform("words", word))).where(F.col("term").isNotNull())
-    stats = words.groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.greatest(F.count_if("acronym"), F.count_if(F.col("capital") & ~F.col("acronym"))).alias("cased"),
-        F.array_sort(F.collect_set("sentence")).alias("sentences"),
-        F.count("left").alias("n_left"), F.count("right").alias("n_right"),
-        F.size(F.collect_set("left")).alias("d_left"), F.size(F.collect_set("right")).alias("d_right"),
-    )
-    totals = blocks.groupBy(key).agg((F.max("sentence") + 1).alias("n_sentences"))
-    stats = stats.join(totals, key).withColumn("stop", _is_stop(F.col("term"), stop))
-    doc = Window.partitionBy(key)
-    content_tf = F.when(~F.col("stop"), F.col("tf").cast("double"))
-    stats = stats.withColumns({
-        "max_tf": F.max("tf").over(doc), "mean_tf": F.avg(content_tf).over(doc), "sd_tf": F.stddev_pop(content_tf).over(doc),
-    })
-
-    def spread(distinct: str, total: str) -> Column:
-        return F.when(F.col(total) > 0, F.col(distinct) / F.col(total)).otherwise(F.lit(0.0))
-
-    tf = F.col("tf").cast("double")
-    stats = stats.withColumns({
-        "rel": 1 + (spread("d_left", "n_left") + spread("d_right", "n_right")) * tf / F.col("max_tf"),
-        "pos": F.log(F.log(3 + _median(F.col("sentences")))),
-        "case": F.col("cased") / (1 + F.log(tf)),
-        "freq": tf / (F.col("mean_tf") + F.col("sd_tf")),
-        "sent": F.size("sentences") / F.col("n_sentences"),
-    })
-    rel = F.col("rel")
-    score = rel * F.col("pos") / (F.col("case") + F.col("freq") / rel + F.col("sent") / rel)
-    return stats.select(key, "term", "tf", "stop", score.alias("score"))
-
-
-def term_scores(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(key, term, score) of every term that is not a stop word."""
-    stop = V.ENGLISH_STOP_WORDS if stop_words is None else stop_words
-    return _terms(_blocks(docs, key, text), key, stop).where(~F.col("stop")).select(key, "term", "score")
-
 
-def phrase_scores(docs: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, stop_words: list[str] | None = None) -> DataFrame:
-    """(key, phrase, score) of every candidate: product of term scores / (occurrences x (1 + their sum)).
-
-    Candidates are runs of up to `max_words` words of a block that neither begin nor end with a stop word. A
-    stop word inside has no score; it counts by how firmly it is tied to its neighbours. Scores are brought
-    to the words first, so the many more candidates need no join of their own.
-    """
-    stop = V.ENGLISH_STOP_WORDS if stop_words is None else stop_words
-    blocks = _blocks(docs, key, text).withColumn("block", F.monotonically_increasing_id())
-    terms = _terms(blocks, key, stop)
-    word = lambda t, i: F.struct(i.alias("i"), t.alias("term"), F.get(F.col("terms"), i + 1).alias("right"))
-    words = blocks.select(key, "block", F.inline(F.transform("terms", word))).where(F.col("term").isNotNull())
-    words = words.withColumn("links", F.count(F.lit(1)).over(Window.partitionBy(key, "term", "right")))
-    # Each word looks at the next ones of its block; a word with a digit leaves a gap in `i`.
-    ahead = Window.partitionBy(key, "block").orderBy("i")
-    carried = ["i", "term", "tf", "stop", "score", "links"]
-    seen = words.join(terms, [key, "term"]).select(
-        key, *[(F.lead(c, j).over(ahead) if j else F.col(c)).alias(f"{c}{j}") for j in range(max_words) for c in carried]
-    )
-
-    def run(n: int) -> Column:
-        """Phrase, product and sum of the run of n words that starts here; null when it is no candidate."""
-
-        def loose(j: int) -> Column:
-            return 1 - (F.col(f"links{j - 1}") / F.col(f"tf{j - 1}")) * (F.col(f"links{j}") / F.col(f"tf{j + 1}"))
-
-        factor = [F.when(F.col(f"stop{j}"), 1 + loose(j)).otherwise(F.col(f"score{j}")) if 0 < j < n - 1 else F.col(f"score{j}") for j in range(n)]
-        addend = [F.when(F.col(f"stop{j}"), -loose(j)).otherwise(F.col(f"score{j}")) if 0 < j < n - 1 else F.col(f"score{j}") for j in range(n)]
-        value = F.struct(
-            F.concat_ws(" ", *[F.col(f"term{j}") for j in range(n)]).alias("phrase"),
-            reduce(lambda x, y: x * y, factor).alias("p"), reduce(lambda x, y: x + y, addend).alias("s"),
-        )
-        return F.when(~F.col("stop0") & ~F.col(f"stop{n - 1}") & (F.col(f"i{n - 1}") - F.col("i0") == n - 1), value)
-
-    found = seen.select(key, F.explode(F.array(*[run(n) for n in range(1, max_words + 1)])).alias("_c")).where(F.col("_c").isNotNull())
-    both = found.select(key, "_c.*").groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("kf"), F.max("p").alias("p"), F.max("s").alias("s"))
-    return both.select(key, "phrase", (F.col("p") / (F.col("kf") * (1 + F.col("s")))).alias("score"))
-
-
-def key_phrases(scored: DataFrame, key: str, k: int = TOP, limit: float = DEDUP_LIMIT) -> DataFrame:
-    """(key, rank, phrase, score): the k best phrases of a document, skipping near spellings of better ones.
-
-    All candidates of a document are looked at, best first; there are no more of them than words in its text.
+    def word(w: Column) -> Column:
+        shape = F.when(F.rlike(w, F.lit(ACRONYM)), _ACRONYM).when(F.rlike(w, F.lit(CAPITAL)), _CAPITAL).otherwise(_PLAIN)
+        return F.struct(F.when(~F.rlike(w, F.lit(HAS_DIGIT)), F.lower(w)).alias("term"), shape.cast("tinyint").alias("shape"))
+
+    def blocks(s: Column) -> Column:
+        return F.transform(F.filter(F.split(s, BLOCK_END), has_word), lambda b: F.transform(F.regexp_extract_all(b, F.lit(WORD), F.lit(0)), word))
+
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), has_word), blocks)
+
+
+class _Words(NamedTuple):
+    """The words of some documents, one entry each: document, sentence in it, run, whether it opens its sentence, term (-1: none), shape."""
+
+    doc: np.ndarray
+    sentence: np.ndarray
+    run: np.ndarray
+    opens: np.ndarray
+    term: np.ndarray
+    shape: np.ndarray
+    sentences: np.ndarray  # of each document
+    terms: pa.Array
+    stop: np.ndarray  # of each term
+
+
+class _Terms(NamedTuple):
+    """The terms of each document: document, term, occurrences, whether it is a stop word, score; at[w] is the entry of word w, -1 without a term."""
+
+    doc: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+    stop: np.ndarray
+    score: np.ndarray
+    at: np.ndarray
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each group of these lengths."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _words(docs: pa.Array, stop_words: frozenset[str]) -> _Words:
+    per_doc = _lengths(docs)
+    sentences = docs.flatten()
+    per_sentence = _lengths(sentences)
+    runs = sentences.flatten()
+    per_run = _lengths(runs)
+    words = runs.flatten()
+    coded = words.field("term").dictionary_encode()
+    terms = coded.dictionary
+    names = terms.to_pylist()
+    doc_of, place_of = np.repeat(np.arange(len(docs)), per_doc), _places(per_doc)
+    sentence_of_run = np.repeat(np.arange(len(place_of)), per_sentence)
+    run = np.repeat(np.arange(len(per_run)), per_run)
+    sentence = sentence_of_run[run]
+    leads = _places(per_sentence) == 0
+    return _Words(
+        doc_of[sentence], place_of[sentence], run, leads[run] & (_places(per_run) == 0),
+        np.nan_to_num(coded.indices.to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64), words.field("shape").to_numpy(),
+        per_doc, terms, np.array([n in stop_words or len(n) < MIN_TERM_CHARS for n in names], bool))
+
+
+def _neighbours(x: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the words before and after each word in its run, -1 where there is none."""
+    same = x.run[1:] == x.run[:-1]
+    left, right = np.full(len(x.term), -1), np.full(len(x.term), -1)
+    left[1:][same], right[:-1][same] = x.term[:-1][same], x.term[1:][same]
+    return left, right
+
+
+def _features(x: _Words) -> _Terms:
+    width = max(1, len(x.terms))
+    valid = x.term >= 0
+    left, right = (n[valid] for n in _neighbours(x))
+    unit, u = np.unique(x.doc[valid] * width + x.term[valid], return_inverse=True)
+    n = len(unit)
+    doc, term = np.divmod(unit, width)
+    count = lambda flags: np.bincount(u[flags], minlength=n)
+    tf = np.bincount(u, minlength=n).astype(np.float64)
+    cased = np.maximum(count(x.shape[valid] == _ACRONYM), count((x.shape[valid] == _CAPITAL) & ~x.opens[valid]))
+
+    def spread(other: np.ndarray) -> np.ndarray:
+        there = other >= 0
+        different = np.bincount(np.unique(u[there] * width + other[there]) // width, minlength=n)
+        return different / np.maximum(1, count(there))
+
+    longest = int(x.sentence.max(initial=0)) + 1
+    held, place = np.divmod(np.unique(u * longest + x.sentence[valid]), longest)
+    in_sentences = np.bincount(held, minlength=n)
+    first = np.cumsum(in_sentences) - in_sentences
+    middle = (place[first + (in_sentences - 1) // 2] + place[first + in_sentences // 2]) / 2 if n else np.zeros(0)
+
+    stop = x.stop[term] if n else np.zeros(0, bool)
+    docs = len(x.sentences)
+    most = np.zeros(docs)
+    np.maximum.at(most, doc, tf)
+    content = np.maximum(1, np.bincount(doc[~stop], minlength=docs))
+    mean = np.bincount(doc[~stop], tf[~stop], docs) / content
+    deviation = np.sqrt(np.bincount(doc[~stop], (tf[~stop] - mean[doc[~stop]]) ** 2, docs) / content)
+
+    rel = 1 + (spread(left) + spread(right)) * tf / most[doc]
+    case = cased / (1 + np.log(tf))
+    # A document of stop words alone has no mean; its scores are not used.
+    with np.errstate(divide="ignore"):
+        freq = tf / (mean + deviation)[doc]
+    share = in_sentences / x.sentences[doc]
+    score = rel * np.log(np.log(3 + middle)) / (case + freq / rel + share / rel)
+    at = np.full(len(x.term), -1)
+    at[valid] = u
+    return _Terms(doc, term, tf, stop, score, at)
+
+
+def _phrases(x: _Words, t: _Terms, max_words: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(document, score, phrase) of every candidate: product of its word scores / (occurrences x (1 + their sum)).
+
+    Candidates are runs of up to `max_words` words that neither begin nor end with a stop word. A stop word inside has
+    no score; it counts by how firmly it is tied to its neighbours.
     """
+    n, width = len(x.term), len(x.terms) + 1
+    right = _neighbours(x)[1]
+    at = t.at
+    _, pair, ties = np.unique(at * width + right + 1, return_inverse=True, return_counts=True)
+    links = ties[pair].astype(np.float64)
+    valid = at >= 0
+    stop, score, tf = (np.where(valid, v[at], fill) if len(v) else np.full(n, fill) for v, fill in ((t.stop, True), (t.score, 0.0), (t.tf, 1.0)))
+    before, after = np.concatenate([[0], np.arange(n - 1)])[:n], np.minimum(np.arange(n) + 1, max(n - 1, 0))
+    loose = 1 - (links[before] / tf[before]) * (links / tf[after])
+    factor, addend = np.where(stop, 1 + loose, score), np.where(stop, -loose, score)
+    docs, scores, phrases = [], [], []
+    start = np.flatnonzero(valid)
+    key, p, s = at[start], np.ones(len(start)), np.zeros(len(start))
+    for size in range(1, max_words + 1):
+        last = start + size - 1
+        if size > 1:
+            inside = last < n
+            start, key, p, s, last = (v[inside] for v in (start, key, p, s, last))
+            goes_on = (x.run[last] == x.run[start]) & valid[last]
+            start, key, p, s, last = (v[goes_on] for v in (start, key, p, s, last))
+            if size > 2:
+                p, s = p * factor[last - 1], s + addend[last - 1]
+            key = np.unique(key * width + x.term[last] + 1, return_inverse=True)[1]
+        own = ~stop[start] & ~stop[last]
+        if own.any():
+            _, first, kf = np.unique(key[own], return_index=True, return_counts=True)
+            a, b = start[own][first], last[own][first]
+            # p and s are those of the words between the first and the last.
+            product = p[own][first] * score[a] * (score[b] if size > 1 else 1.0)
+            total = s[own][first] + score[a] + (score[b] if size > 1 else 0.0)
+            docs.append(x.doc[a])
+            scores.append(product / (kf * (1 + total)))
+            words = [x.terms.take(pa.array(x.term[a + j])) for j in range(size)]
+            phrases.append(pc.binary_join_element_wise(*words, " ") if size > 1 else words[0])
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.string())
+    return np.concatenate(docs), np.concatenate(scores), pa.concat_arrays([w.cast(pa.string()) for w in phrases])
+
+
+def _as_lists(docs: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.Array:
+    order = pa.array(np.argsort(docs, kind="stable"))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([c.take(order) for c in columns.values()], list(columns)))
+
+
+def _by_slices(docs: pa.Array, work) -> pa.Array:
+    """work(documents) over ranges of documents of about SLICE_WORDS words."""
+    sentences = docs.flatten()
+    words = np.concatenate([[0], np.cumsum(_lengths(sentences.flatten()))])
+    runs = np.concatenate([[0], np.cumsum(_lengths(sentences))])
+    ends = words[runs[np.concatenate([[0], np.cumsum(_lengths(docs))])]]  # words up to each document
+    parts, lo = [], 0
+    while lo < len(docs):
+        hi = min(len(docs), max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_WORDS, "right")) - 1))
+        parts.append(work(docs.slice(lo, hi - lo)))
+        lo = hi
+    return pa.concat_arrays(parts) if parts else work(docs)
+
+
+def _stop_set(stop_words: list[str] | None) -> frozenset[str]:
+    return frozenset(V.ENGLISH_STOP_WORDS if stop_words is None else stop_words)
+
+
+def terms_of(text: Column, stop_words: list[str] | None = None) -> Column:
+    """array<struct<term, score>>: every term of the text that is not a stop word, with its score."""
+    stop = _stop_set(stop_words)
+
+    def work(docs: pa.Array) -> pa.Array:
+        x = _words(docs, stop)
+        t = _features(x)
+        own = np.flatnonzero(~t.stop)
+        return _as_lists(t.doc[own], len(docs), {"term": x.terms.take(pa.array(t.term[own])), "score": pa.array(t.score[own])})
+
+    def run(docs: pa.Array) -> pa.Array:
+        return _by_slices(docs, work)
+
+    return F.arrow_udf(run, "array<struct<term:string,score:double>>")(_sentences(text))
+
+
+def candidates(text: Column, max_words: int = MAX_WORDS, stop_words: list[str] | None = None) -> Column:
+    """array<struct<score, phrase>>: every candidate phrase of the text."""
+    stop = _stop_set(stop_words)
+
+    def work(docs: pa.Array) -> pa.Array:
+        x = _words(docs, stop)
+        doc, score, phrase = _phrases(x, _features(x), max_words)
+        return _as_lists(doc, len(docs), {"score": pa.array(score), "phrase": phrase})
+
+    def run(docs: pa.Array) -> pa.Array:
+        return _by_slices(docs, work)
+
+    return F.arrow_udf(run, "array<struct<score:double,phrase:string>>")(_sentences(text))
+
+
+def best_phrases(found: Column, k: int = TOP, limit: float = DEDUP_LIMIT) -> Column:
+    """The k best of candidates(), best first, skipping near spellings of better ones. All candidates are looked at."""
 
     def alike(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))
         return (1 - F.levenshtein(a, b) / longest) > limit
 
-    entries = F.array_sort(F.collect_list(F.struct("score", "phrase")))
-    start = F.array().cast("array<struct<score:double,phrase:string>>")
-
     def step(kept: Column, c: Column) -> Column:
         skip = (F.size(kept) >= k) | F.exists(kept, lambda o: alike(o["phrase"], c["phrase"]))
         return F.when(skip, kept).otherwise(F.array_append(kept, c))
 
-    best = scored.select(key, F.round("score", 9).alias("score"), "phrase").groupBy(key).agg(entries.alias("_all"))
-    kept = best.select(key, F.posexplode(F.aggregate("_all", start, step)).alias("at", "_k"))
+    rounded = F.transform(found, lambda c: F.struct(F.round(c["score"], 9).alias("score"), c["phrase"].alias("phrase")))
+    return F.aggregate(F.sort_array(rounded), F.array().cast("array<struct<score:double,phrase:string>>"), step)
+
+
+def term_scores(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
+    """(key, term, score) of every term that is not a stop word."""
+    return docs.select(key, F.inline(terms_of(F.col(text), stop_words)))
+
+
+def key_phrases(docs: DataFrame, key: str, text: str, k: int = TOP, limit: float = DEDUP_LIMIT, max_words: int = MAX_WORDS, stop_words: list[str] | None = None) -> DataFrame:
+    """(key, rank, phrase, score): the k best phrases of each document."""
+    found = docs.select(key, candidates(F.col(text), max_words, stop_words).alias("_found"))
+    kept = found.select(key, F.posexplode(best_phrases(F.col("_found"), k, limit)).alias("at", "_k"))
     return kept.select(key, (F.col("at") + 1).alias("rank"), "_k.phrase", "_k.score")

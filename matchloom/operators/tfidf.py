@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions import tokens
+from matchloom.sources.tables import materialise
 
 # The vocabulary is cut to `max_features` rows, so up to this many it is small enough to broadcast.
 BROADCAST_TERMS = 200_000
 
 
-def term_counts(docs: DataFrame, key: str, text: str, grams: bool = True, stop_words: list[str] | None = None) -> DataFrame:
-    """(key, term, tf).
-
-    The documents are placed by key before they are taken apart: one shuffle of the text instead of one of
-    its terms, and everything that follows per document needs no other.
-    """
+def _grams(text: str, grams: bool, stop_words: list[str] | None) -> Column:
     words = tokens.content_words(F.col(text), stop_words)
-    placed = docs.select(key, text).repartition(key).select(key, words.alias("_w"))
-    terms = placed.select(key, F.explode(tokens.one_two_grams(F.col("_w")) if grams else F.col("_w")).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.one_two_grams(words) if grams else words
+
+
+def term_counts(docs: DataFrame, key: str, text: str, grams: bool = True, stop_words: list[str] | None = None) -> DataFrame:
+    """(key, term, tf). A document is one row, so its terms are counted inside the row and nothing is shuffled."""
+    return docs.select(key, F.inline(tokens.counted(_grams(text, grams, stop_words))))
 
 
 def term_stats(counts: DataFrame) -> DataFrame:
@@ -30,8 +32,33 @@ def term_stats(counts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFrame:
-    """The `max_features` terms with the largest corpus count; of equal ones the smaller term."""
-    return term_stats(counts).orderBy(F.desc("n"), "term").limit(max_features)
+    """(term, n, df) of the `max_features` terms with the largest corpus count; of equal ones the smaller term.
+
+    A histogram of the counts gives the count at which the list ends: what lies above is taken without any order, and
+    only the terms of exactly that count are ordered, over as many tasks as they need.
+    """
+    stats = materialise(term_stats(counts), "term_stats")
+    # One row a distinct count: 2^20 of them need a corpus of 2^39 terms.
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stats.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).withColumn("above", F.coalesce(F.sum("terms").over(above), F.lit(0)))
+    edge = sizes.where((F.col("above") < max_features) & (F.col("above") + F.col("terms") >= max_features)).first()
+    if edge is None:
+        return stats
+    wanted = max_features - edge["above"]
+    ties = stats.where(F.col("n") == edge["n"])
+    if wanted < edge["terms"]:
+        ties = _first(ties, "term", wanted)
+    return stats.where(F.col("n") > edge["n"]).unionByName(ties)
+
+
+def _first(rows: DataFrame, by: str, wanted: int) -> DataFrame:
+    """The `wanted` rows of smallest `by`: sorted by range, and cut where the sizes of the ranges add up to them."""
+    placed = rows.repartitionByRange(by).sortWithinPartitions(by).select("*", F.monotonically_increasing_id().alias("_at"))
+    placed = materialise(placed, "ranged")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(sizes, part == F.col("_part")).where(F.col("_before") + place < wanted).select(*rows.columns)
 
 
 def idf(n_docs, df):
@@ -48,10 +75,37 @@ def weights(counts: DataFrame, vocab: DataFrame, n_docs, key: str, max_features:
     return raw.select(key, "term", (F.col("_w") / norm).alias("w"))
 
 
+def row_weights(docs: DataFrame, key: str, text: str, vocab: DataFrame, n_docs: int, max_features: int = V.MAX_FEATURES, stop_words: list[str] | None = None) -> DataFrame:
+    """weights() of the documents' own terms. A vocabulary of bounded size travels to the documents, and nothing is shuffled."""
+    if max_features > BROADCAST_TERMS:
+        return weights(term_counts(docs, key, text, stop_words=stop_words), vocab, F.lit(n_docs), key, max_features)
+    listed = vocab.select("term", idf(F.lit(n_docs), F.col("df")).alias("idf")).orderBy("term").collect()
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in listed], pa.string()), np.array([r["idf"] for r in listed])))
+
+    def weigh(grams: pa.Array) -> pa.Array:
+        return _weigh_rows(grams, *shared.value)
+
+    made = F.arrow_udf(weigh, "array<struct<term:string,w:double>>")(_grams(text, True, stop_words))
+    return docs.select(key, F.inline(made))
+
+
+def _weigh_rows(grams: pa.Array, terms: pa.Array, idf_of: np.ndarray) -> pa.Array:
+    """Each row's known terms with their weights, sorted by term."""
+    lengths = np.nan_to_num(grams.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    at = pc.index_in(grams.flatten(), terms)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(grams)), lengths)[known]
+    entry, tf = np.unique(row * max(1, len(terms)) + at.drop_null().to_numpy(), return_counts=True)
+    row, term = np.divmod(entry, max(1, len(terms)))
+    w = (1.0 + np.log(tf)) * idf_of[term]
+    w /= np.sqrt(np.bincount(row, w * w, len(grams)))[row]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(grams)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([terms.take(pa.array(term)), pa.array(w)], ["term", "w"]))
+
+
 def fit_transform(docs: DataFrame, key: str, text: str, max_features: int = V.MAX_FEATURES, stop_words: list[str] | None = None) -> DataFrame:
-    counts = term_counts(docs, key, text, stop_words=stop_words)
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    return weights(counts, vocabulary(counts, max_features), n_docs, key, max_features)
+    vocab = vocabulary(term_counts(docs, key, text, stop_words=stop_words), max_features)
+    return row_weights(docs, key, text, vocab, docs.count(), max_features, stop_words)
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

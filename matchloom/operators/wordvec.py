@@ -1,24 +1,45 @@
-"""Static word vectors trained on the corpus, and documents as the mean of their words."""
+"""Documents as the mean of their words' vectors, looked up in a table of static word vectors, and such a table trained on a corpus."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
-from matchloom.functions.tokens import words
+from matchloom.functions.tokens import counted, words
+from matchloom.sources.tables import materialise
 
 
-def fit(docs: DataFrame, text: str, width: int = 64, min_count: int = 2, partitions: int | None = None, seed: int = V.RANDOM_STATE) -> Word2VecModel:
-    """Word2Vec over the whole corpus, trained in as many parts as there are cores unless told otherwise."""
-    parts = partitions or docs.sparkSession.sparkContext.defaultParallelism
-    w2v = Word2Vec(inputCol="_words", outputCol="_vec", vectorSize=width, minCount=min_count, numPartitions=parts, seed=seed)
-    return w2v.fit(docs.select(words(F.col(text)).alias("_words")))
+def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word, tf): each word of a document once, counted inside its row."""
+    return docs.select(key, F.inline(counted(words(F.col(text)))).alias("word", "tf"))
 
 
-def document_vectors(model: Word2VecModel, docs: DataFrame, text: str, out: str = "vec") -> DataFrame:
-    """Adds the mean vector of the known words."""
-    made = model.transform(docs.withColumn("_words", words(F.col(text))))
-    return made.withColumn(out, vector_to_array("_vec")).drop("_words", "_vec")
+def document_means(docs: DataFrame, table: DataFrame, key: str, text: str, width: int, word: str = "word", vec: str = "vec") -> DataFrame:
+    """(key, n_words, n_known, vec): the mean of the vectors of a document's words, each occurrence counting.
+
+    `table` has a row for each word it knows, of any number: it is joined, never collected. Words that it does not
+    know, or whose vector is null or not `width` long, are left out of the mean; a document without any known word has
+    a null vector. The table is stored first, so that AQE can split the join where a word stands in most documents;
+    a document's words meet again as partial sums.
+    """
+    known = table.where(F.size(vec) == width).select(F.col(word).alias("_word"), array_to_vector(F.col(vec).cast("array<double>")).alias("_vec"))
+    known = materialise(known.dropDuplicates(["_word"]), "word_table")
+    rows = word_counts(docs, key, text)
+    met = rows.join(known, rows["word"] == known["_word"])
+    means = met.groupBy(key).agg(F.sum("tf").alias("n_known"), vector_to_array(Summarizer.mean(F.col("_vec"), F.col("tf").cast("double"))).alias("vec"))
+    sizes = docs.select(key, F.size(words(F.col(text))).cast("bigint").alias("n_words"))
+    return sizes.join(means, key, "left").select(key, "n_words", F.coalesce("n_known", F.lit(0)).alias("n_known"), "vec")
+
+
+def trained_table(docs: DataFrame, text: str, width: int = 64, min_count: int = 2, partitions: int = 8, seed: int = V.RANDOM_STATE) -> DataFrame:
+    """(word, vec) by Spark ML's Word2Vec over the corpus, trained in a stated number of parts, on which the vectors depend.
+
+    Its fit keeps the vocabulary on the driver; tables trained elsewhere go straight into document_means().
+    """
+    w2v = Word2Vec(inputCol="_words", outputCol="_vec", vectorSize=width, minCount=min_count, numPartitions=partitions, seed=seed)
+    model = w2v.fit(docs.select(words(F.col(text)).alias("_words")))
+    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

@@ -85,11 +85,9 @@ def tfidf_weights(spark, sf_dir):
     JOIN ({weights_sql('benchmark', 'item_id', VOCAB_SQL, _N)}) b ON d.term = b.term GROUP BY ALL""",
 )
 def tfidf_cosine(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    counts = tfidf.term_counts(docs, "doc_id", "text")
-    vocab, n_docs = tfidf.vocabulary(counts), docs.agg(F.count(F.lit(1))).scalar()
-    posts = tfidf.term_counts(views.table(spark, sf_dir, "benchmark"), "item_id", "text")
-    left, right = tfidf.weights(counts, vocab, n_docs, "doc_id"), tfidf.weights(posts, vocab, n_docs, "item_id")
+    docs, posts = documents(spark, sf_dir), views.table(spark, sf_dir, "benchmark")
+    vocab, n_docs = tfidf.vocabulary(tfidf.term_counts(docs, "doc_id", "text")), docs.count()
+    left, right = tfidf.row_weights(docs, "doc_id", "text", vocab, n_docs), tfidf.row_weights(posts, "item_id", "text", vocab, n_docs)
     return tfidf.cosine_pairs(left, right, "doc_id", "item_id").select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import json
 
 from pyspark.sql import functions as F
 
@@ -30,19 +30,24 @@ def json_roundtrip(spark, sf_dir):
     return records.read_metrics(spark, path)
 
 
-@query(
-    "dir_scan",
-    " UNION ALL ".join(f"SELECT '{t}.parquet' AS filename, cast(count(*) AS varchar) AS result, cast(NULL AS varchar) AS error FROM {t}" for t in (
-        "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-    )),
-)
-def dir_scan(spark, sf_dir):
-    def row_count(name: str, content: bytes) -> str:
-        import pyarrow.parquet as pq
+#: Pages of a file of the scanned folder, at most.
+FILE_PAGES = 200
+
 
-        return str(pq.ParquetFile(io.BytesIO(content)).metadata.num_rows)
+def _links(name: str, content: bytes) -> str:
+    """For each page of the file, a line of its number and how many links it opens."""
+    pages = map(json.loads, content.decode().splitlines())
+    return "\n".join(f"{p['page_id']} {p['html'].count('<a ')}" for p in pages)
 
-    return files.process_files(files.scan_directory(spark, sf_dir, ".PARQUET"), row_count)
+
+@query("dir_scan", "SELECT page_id, cast((length(html) - length(replace(html, '<a ', ''))) // 3 AS bigint) AS n_links, cast(NULL AS varchar) AS error FROM pages")
+def dir_scan(spark, sf_dir):
+    """Links of each page, from a folder of files that hold some pages each."""
+    folder = tables.scratch_folder(spark, "page_files")
+    views.table(spark, sf_dir, "pages").select("page_id", "html").write.option("maxRecordsPerFile", FILE_PAGES).json(folder)
+    done = files.process_files(files.scan_directory(spark, folder, ".JSON"), _links)
+    rows = done.select(F.explode_outer(F.split("result", "\n")).alias("r"), "error")
+    return rows.select(F.split("r", " ")[0].cast("bigint").alias("page_id"), F.split("r", " ")[1].cast("bigint").alias("n_links"), "error")
 
 
 @query("materialise_once", "SELECT page_id, url, length(html) AS size FROM pages")
@@ -55,13 +60,35 @@ def materialise_once(spark, sf_dir):
 
 
 # Pages that are known in an earlier version: the size differs where the text has an ampersand.
-@query(
-    "incremental_new",
-    """SELECT page_id, concat(url, ':', length(html)) AS fingerprint FROM pages
-    WHERE concat(url, ':', length(html)) NOT IN (SELECT concat(url, ':', length(replace(html, '&amp;', '&'))) FROM pages)""",
-)
-def incremental_new(spark, sf_dir):
+_NEW_SQL = """SELECT page_id, concat(url, ':', length(html)) AS fingerprint FROM pages
+    WHERE concat(url, ':', length(html)) NOT IN (SELECT concat(url, ':', length(replace(html, '&amp;', '&'))) FROM pages)"""
+
+
+def _sizes(spark, sf_dir):
+    """(now, earlier): number, address and size of each page as it is and as it was."""
     pages = views.table(spark, sf_dir, "pages")
-    now = incremental.with_fingerprint(pages.select("page_id", "url", F.length("html").alias("size")), "url")
-    earlier = pages.select("url", F.length(F.replace("html", F.lit("&amp;"), F.lit("&"))).alias("size"))
-    return incremental.only_new(now, incremental.with_fingerprint(earlier, "url")).select("page_id", "fingerprint")
+    earlier = F.length(F.replace("html", F.lit("&amp;"), F.lit("&")))
+    return pages.select("page_id", "url", F.length("html").alias("size")), pages.select("page_id", "url", earlier.alias("size"))
+
+
+@query("incremental_new", _NEW_SQL)
+def incremental_new(spark, sf_dir):
+    now, earlier = (incremental.with_fingerprint(df, "url") for df in _sizes(spark, sf_dir))
+    return incremental.only_new(now, earlier).select("page_id", "fingerprint")
+
+
+@query("incremental_stream", _NEW_SQL)
+def incremental_stream(spark, sf_dir):
+    """The same through a stream: the earlier pages arrive and are worked on, then the stream goes on with those of now."""
+    source, results, state = (tables.scratch_folder(spark, n) for n in ("arrivals", "results", "stream"))
+
+    def arrive(df):
+        df.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        incremental.process_stream(incremental.with_fingerprint(stream, "url"), lambda rows: rows, results, state).awaitTermination()
+
+    now, earlier = _sizes(spark, sf_dir)
+    arrive(earlier)
+    done = spark.read.parquet(results).agg(F.max("batch")).first()[0]
+    arrive(now)
+    return spark.read.parquet(results).where(F.col("batch") > done).select("page_id", "fingerprint")

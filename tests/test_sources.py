@@ -1,5 +1,6 @@
 """Sources, sinks and the incremental stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.sources import files, labelled, records, tables
@@ -60,10 +61,33 @@ def test_only_new_files_are_worked_on(spark, tmp_path):
 
     def run():
         stream = incremental.with_fingerprint(spark.readStream.schema("path string, size long").parquet(source))
-        incremental.process_stream(spark, stream, lambda df: df.withColumn("done", F.lit(True)), results, checkpoint).awaitTermination()
+        incremental.process_stream(stream, lambda df: df.withColumn("done", F.lit(True)), results, checkpoint).awaitTermination()
         return sorted((r["path"], r["size"]) for r in spark.read.parquet(results).collect())
 
     arrive([("a.pdf", 1), ("b.pdf", 2)])
     assert run() == [("a.pdf", 1), ("b.pdf", 2)]
     arrive([("a.pdf", 1), ("b.pdf", 3)])  # the same file again, and a changed one
     assert run() == [("a.pdf", 1), ("b.pdf", 2), ("b.pdf", 3)]
+
+
+def test_files_without_rows_are_remembered_and_damage_stops(spark, tmp_path):
+    source, results, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    seen = []
+
+    def work(df):
+        seen.extend(sorted(r["path"] for r in df.collect()))
+        return df.limit(0)
+
+    def run():
+        stream = incremental.with_fingerprint(spark.readStream.schema("path string, size long").parquet(source))
+        incremental.process_stream(stream, work, results, checkpoint).awaitTermination()
+
+    for rows in ([("a", 1), ("b", 2)], [("a", 1), ("c", 3)]):
+        spark.createDataFrame(rows, "path string, size long").write.mode("append").parquet(source)
+        run()
+    assert seen == ["a", "b", "c"]
+    for path in (tmp_path / "check" / "state").rglob("*.delta"):
+        path.write_bytes(b"broken")
+    spark.createDataFrame([("d", 4)], "path string, size long").write.mode("append").parquet(source)
+    with pytest.raises(Exception):
+        run()
