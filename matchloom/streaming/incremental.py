@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,24 +21,18 @@ def only_new(files: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def process_stream(
-    spark: SparkSession, arrivals: DataFrame, work: Callable[[DataFrame], DataFrame], results: str, checkpoint: str, **trigger
+    arrivals: DataFrame, work: Callable[[DataFrame], DataFrame], results: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Runs `work` on the new files of each micro-batch and keeps its rows under `results`.
 
-    `arrivals` is a stream with `fingerprint`, and `work` has to keep that column. Each batch owns the folder
-    batch=<id> and overwrites it, so a batch that is repeated after a failure leaves no doubles.
+    `arrivals` is a stream with `fingerprint`. Which fingerprints were seen is the stream's keyed state: it lies with
+    the checkpoint, is looked up by key, and remembers files for which `work` gave no rows. Each batch owns the folder
+    batch=<id> and overwrites it, so a batch that is repeated after a failure leaves no doubles. A checkpoint that
+    cannot be read stops the stream.
     """
 
-    def earlier(batch_id: int) -> DataFrame | None:
-        try:
-            return spark.read.parquet(results).where(F.col("batch") < batch_id)
-        except AnalysisException:
-            return None  # nothing written yet
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        done = earlier(batch_id)
-        fresh = batch.dropDuplicates(["fingerprint"])
-        fresh = fresh if done is None else only_new(fresh, done)
-        work(fresh).write.mode("overwrite").parquet(f"{results.rstrip('/')}/batch={batch_id}")
+        work(batch).write.mode("overwrite").parquet(f"{results.rstrip('/')}/batch={batch_id}")
 
-    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    fresh = arrivals.dropDuplicates(["fingerprint"])
+    return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
