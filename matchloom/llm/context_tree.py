@@ -24,7 +24,7 @@ from matchloom.llm.tables import forget, stored
 #: Bytes of the longest context.
 DEPTH = 5
 #: Bytes of text that share their requests, in one task's memory; a longer text is a block of its own.
-BLOCK = 64 << 20
+BLOCK = 16 << 20
 #: Bytes of text for each shard of the key space: a shard's task holds the requests of all blocks in it.
 SHARD = 16 << 20
 #: Grams or nodes of a bucket of the tree; a bucket holds whole contexts.
@@ -129,26 +129,26 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Parts:
-    """The distinct grams and words of a block, with their counts in what is learned from; merged as they grow."""
+    """The distinct grams and words of a block, with their counts in what is learned from; merged whenever they have doubled."""
 
-    MOST = 4_000_000
+    LEAST = 500_000
 
     def __init__(self):
-        self.keys, self.counts = {_GRAMS: [], _WORDS: []}, {_GRAMS: [], _WORDS: []}
+        self.held = {kind: [(np.empty(0, np.uint64), np.empty(0, np.int64))] for kind in (_GRAMS, _WORDS)}
 
     def add(self, raws: list[bytes], depth: int, memory: W.WordHashes, counted: bool = True) -> None:
         hashed = [h for raw in raws for h in word_hashes(raw, memory)]
         for kind, found in ((_GRAMS, (k for k, _ in grams(raws, depth))), (_WORDS, [np.concatenate(hashed)] if hashed else [])):
             for keys in found:
                 distinct, n = np.unique(keys, return_counts=True)
-                self.keys[kind].append(distinct)
-                self.counts[kind].append(n if counted else np.zeros(len(n), np.int64))
-            if sum(map(len, self.keys[kind])) > self.MOST:
-                keys, n = self.merged(kind)
-                self.keys[kind], self.counts[kind] = [keys], [n]
+                self.held[kind].append((distinct, n if counted else np.zeros(len(n), np.int64)))
+            if sum(len(k) for k, _ in self.held[kind][1:]) > max(self.LEAST, len(self.held[kind][0][0])):
+                self.merged(kind)
 
     def merged(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        return _merged(self.keys[kind], self.counts[kind])
+        if len(self.held[kind]) > 1:
+            self.held[kind] = [_merged(*map(list, zip(*self.held[kind], strict=True)))]
+        return self.held[kind][0]
 
 
 _BLOCKS = "block bigint, kind int, shard int, ids array<bigint>, held array<boolean>, sizes array<int>, texts binary, keys binary, counts binary"
@@ -409,7 +409,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(hashed := W.mixed(keys))
         self.hashed, self.values = hashed[order], values[order]
-        bits = max(1, len(keys).bit_length())
+        bits = max(1, len(keys).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         starts = np.cumsum(np.bincount((self.hashed >> self.shift).astype(np.int64), minlength=1 << bits))
         self.starts = np.concatenate([[0], starts[:-1]]).astype(np.int32)
