@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.tables import unused
+
 #: Length of a hypervector.
 WIDTH = 1024
 #: Characters that are worked on at once in a task.
 SLICE_CHARS = 1 << 18
+#: Entries of the texts by trigrams matrix of a slice, at most: many short texts make a wide one.
+SLICE_CELLS = 1 << 24
 #: Languages whose profiles fit the driver with ease (8 KB each).
 MOST_LANGUAGES = 10_000
 
@@ -57,7 +61,7 @@ def _slices(texts: list[str | None]) -> Iterator[range]:
     start = total = 0
     for i, t in enumerate(texts):
         total += len(t or "")
-        if total >= SLICE_CHARS:
+        if total >= SLICE_CHARS or total * (i + 1 - start) >= SLICE_CELLS:
             yield range(start, i + 1)
             start, total = i + 1, 0
     if start < len(texts):
@@ -152,7 +156,11 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told: there is a letter, and the nearest prototype's cosine is above 0."""
-    model = learn(docs.where(~held_out(F.col("doc_id"))))
-    told = docs.withColumn("_told", identify(docs.sparkSession, F.col("text"), *model))
-    return told.where((F.col("_told.lang") != "und") & (F.col("_told.score") > 0)).drop("_told")
+    """The rows of docs whose language can be told, with that language as `lang`, whatever it was before.
+
+    A text without a letter, or whose nearest prototype has a cosine of 0 or less, is rejected: it goes. Other columns, whatever their names, stay as they are.
+    """
+    model, own = learn(docs.where(~held_out(F.col("doc_id")))), unused(docs, "_told")
+    told = docs.withColumn(own, identify(docs.sparkSession, F.col("text"), *model))
+    told = told.where((F.col(f"{own}.lang") != "und") & (F.col(f"{own}.score") > 0))
+    return told.withColumn("lang", F.col(f"{own}.lang")).select(docs.columns)

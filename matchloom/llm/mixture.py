@@ -19,9 +19,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def place(key: Column) -> Column:
-    """A document's place between 0 and 2^60, from its id alone: any smaller budget takes a subset of what a larger one takes."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def place(key: Column, text: Column) -> Column:
+    """A document's place between 0 and 2^60, from its id alone, without one from its text: any smaller budget takes a subset of what a larger one takes."""
+    name = F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.md5(text.cast("string").cast("binary"))), F.lit(""))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def thresholds(slim: DataFrame) -> DataFrame:
 
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count(F.col("text").cast("string")).alias("size"), place(F.col("doc_id")).alias("place"))
+                       word_count(F.col("text").cast("string")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place"))
 
 
 def _taken(limits: DataFrame) -> tuple[DataFrame, Column]:
@@ -86,7 +87,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
     The sources' weights 1, 2, 3, repeating, share all words; a source gives at most three times its own. Every document
     of a source is taken `copies` times, those below its threshold once more. A null source is a source, the last; null
-    or empty texts have size 0; a null doc_id is placed as the empty string; repeated rows share a fate. No rows, no rows.
+    or empty texts have size 0; a null doc_id is placed by its text; repeated rows share a fate. No rows, no rows.
     """
     slim = stored(_slim(docs), "mix_slim")
     limits, times = _taken(thresholds(slim))
@@ -98,6 +99,6 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with all their columns and `copies`, how often each is taken (a column of that name is replaced)."""
     limits, times = _taken(thresholds(stored(_slim(docs), "mix_slim")))
-    rows = docs.withColumn("_mix_place", place(F.col("doc_id")))
+    rows = docs.withColumn("_mix_place", place(F.col("doc_id"), F.col("text")))
     out = rows.join(limits, F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("copies", times)
     return out.where("copies > 0").drop("_mix_place", *limits.columns)

@@ -57,14 +57,18 @@ def line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-#: 2^12 lines are more than any document has here; longer windows do not exist.
+#: Runs of every length: a run of l + 1 lines is repeated only if its first l lines are. g numbers all lines, cls is where the same run begins first.
 LINES = f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, l, p, array_to_string(w[p + 1:p + l], chr(10)) AS s
-  FROM (SELECT doc_id, w, l, unnest(range(0, len(w) - l + 1)) AS p FROM d, (SELECT unnest([{', '.join(str(1 << k) for k in range(13))}]) AS l) WHERE len(w) >= l)),
-o AS (SELECT *, row_number() OVER (PARTITION BY l, s ORDER BY doc_id, p) AS k FROM g WHERE length(s) - (l - 1) >= {line_dedup.MIN_CHARS}),
-x AS (SELECT DISTINCT doc_id, unnest(range(p, p + l)) AS q FROM o WHERE k > 1),
-y AS (SELECT doc_id, count(*) AS n, string_agg(cast(q AS varchar), ',' ORDER BY q) AS deleted FROM x GROUP BY doc_id)
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
+t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, p) AS g FROM (SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS p FROM d)),
+r AS (SELECT 1 AS l, g, cls, length(line) AS chars
+  FROM (SELECT g, line, min(g) OVER (PARTITION BY line) AS cls, count(*) OVER (PARTITION BY line) AS n FROM t) WHERE n > 1
+  UNION ALL SELECT l, g, cls, chars
+  FROM (SELECT r.l + 1 AS l, r.g, min(r.g) OVER (PARTITION BY r.cls, b.line) AS cls, count(*) OVER (PARTITION BY r.cls, b.line) AS n, r.chars + length(b.line) AS chars
+    FROM r JOIN t a ON a.g = r.g JOIN t b ON b.g = r.g + r.l AND b.doc_id = a.doc_id) WHERE n > 1),
+m AS (SELECT g, max(l) AS l, max(chars) AS chars FROM r WHERE cls <> g GROUP BY g),
+x AS (SELECT DISTINCT g + unnest(range(l)) AS g FROM m WHERE chars >= {line_dedup.MIN_CHARS}),
+y AS (SELECT doc_id, count(*) AS n, string_agg(cast(p AS varchar), ',' ORDER BY p) AS deleted FROM x JOIN t USING (g) GROUP BY doc_id)
 SELECT documents.doc_id, cast(coalesce(len(w), 0) AS bigint) AS n_lines, cast(coalesce(n, 0) AS bigint) AS n_deleted, coalesce(deleted, '') AS deleted
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN y USING (doc_id)"""
 

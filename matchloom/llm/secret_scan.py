@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import let
 from matchloom.llm.tables import stored
 
 #: A candidate is a run of so many of these characters with a digit in it, or a value of VALUES.
@@ -30,8 +31,8 @@ OPAQUE, OPAQUE_LENGTH = 9.0, 20
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000000|12345678)"
 #: Characters before a candidate that are looked at.
 BEFORE = 60
-#: Entries of the dictionary, which is a table and never collected.
-DICTIONARY = 5_000
+#: Words of the dictionary: those that make up this share of all words, and occur twice. The dictionary is a table and never collected.
+DICTIONARY_SHARE = 1e-6
 #: Labelled findings that the forest learns from, at most: the fit's bounded sample, chosen by hash.
 FIT_ROWS = 50_000
 
@@ -44,43 +45,62 @@ def _last(chars: Column, n: int) -> Column:
     return F.substring(chars, -n, n)
 
 
-def _values(text: Column) -> Column:
-    """Array of (k, word, core, before, after), one for each value that is assigned to a keyword, k from 0."""
+def _one_line(x: Column) -> Column:
+    return F.regexp_replace(F.translate(x, CLOSE, ""), r"\s+", " ")
+
+
+def _found(kind: int, at: Column, s: Column, near: Column, after: Column, spaces: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), at.alias("at"), s.alias("s"), near.alias("near"), after.alias("after"), spaces.alias("spaces"))
+
+
+def _likely_words(text: Column) -> Column:
+    """Words that may hold a run, each with what stands before it. The words are bound once, so a word costs its own length."""
+    def pick(words: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+        likely = F.filter(numbered, lambda x: (F.length(x["w"]) >= LEAST) & x["w"].rlike("[0-9]") & x["w"].rlike(CORE))
+        near = lambda x: F.concat_ws(" ", *[F.when(x["i"] >= k, _last(F.get(words, x["i"] - k), BEFORE)) for k in (3, 2, 1)])
+        return F.transform(likely, lambda x: _found(0, x["i"], x["w"], near(x), F.lit(""), F.lit(0)))
+
+    return let(F.split(text, r"\s+"), pick)
+
+
+def _value_pieces(text: Column) -> Column:
+    """The text cut before each value that is assigned to a keyword: the value, what follows it, the piece's end and its white spaces."""
     marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\u0003\u0003"), F.lit(VALUES), F.lit(f"$1$2$4$6$8{OPEN}$3$5$7$9{CLOSE}"))
-    # A value stands at the start of each piece but the first; the white space before a piece is the number of its word.
-    pieces = F.split(marked, OPEN)
-    ends = F.aggregate(
-        pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.regexp_count(x, F.lit(r"\s+")))))
-    one = lambda x: F.regexp_replace(F.translate(x, CLOSE, ""), r"\s+", " ")
-    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x, k: F.struct(
-        k.alias("k"), F.get(ends, k + 1).alias("word"), F.substring_index(x, CLOSE, 1).alias("core"),
-        _last(one(F.get(pieces, k)), BEFORE).alias("before"), F.substring(one(F.substring_index(x, CLOSE, -1)), 1, 8).alias("after")))
+
+    def piece(x: Column, k: Column) -> Column:
+        return _found(1, k, F.substring_index(x, CLOSE, 1), _last(_one_line(x), BEFORE), F.substring(_one_line(F.substring_index(x, CLOSE, -1)), 1, 8), F.regexp_count(x, F.lit(r"\s+")))
+
+    pieces = let(F.split(marked, OPEN), lambda ps: F.when(F.size(ps) > 1, F.transform(ps, piece)))
+    return F.when(text.rlike(VALUES), pieces)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, word, part, core, before, after), one row for each candidate: word is the number of its (first) word, part its number in it, from 0.
 
-    Runs of LEAST characters with a digit come first in a word, then the values assigned to keywords that are none of them.
+    Runs of LEAST characters with a digit come first in a word, then the values assigned to keywords that are none of
+    them. The work on a text grows with its length and the number of its candidates, not with their product.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9]") | F.col("text").rlike(VALUES))
-    rows = rows.select("doc_id", F.split("text", r"\s+").alias("words"), _values(F.col("text")).alias("values"))
-    likely = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-        lambda x: (F.length(x["w"]) >= LEAST) & x["w"].rlike("[0-9]") & x["w"].rlike(CORE))
-    runs = rows.withColumn("x", F.explode(likely))
-    at = F.col("x.i")
-    near = [F.when(at >= k, _last(F.get("words", at - k), BEFORE)) for k in (3, 2, 1)]
-    out = runs.select("doc_id", at.alias("word"), F.col("x.w").alias("w"), F.concat_ws(" ", *near).alias("near"))
-    out = out.select("*", F.posexplode(F.regexp_extract_all("w", F.lit(CORE), F.lit(1))).alias("part", "core"))
-    out = out.where(F.col("core").rlike("[0-9]")).select(
-        "doc_id", "word", "part", "core", _last(F.concat_ws(" ", "near", F.expr("left(w, locate(core, w) - 1)")), BEFORE).alias("before"),
-        F.expr("substring(w, locate(core, w) + length(core), 8)").alias("after"))
-    own = rows.where(F.size("values") > 0).select("doc_id", "words", "values", F.explode("values").alias("x"))
-    own = own.withColumn("runs", F.regexp_extract_all(F.get("words", F.col("x.word")), F.lit(CORE), F.lit(1)))
-    own = own.where(~(F.array_contains("runs", F.col("x.core")) & F.col("x.core").rlike("[0-9]")))
-    earlier = F.size(F.filter("values", lambda y: (y["word"] == F.col("x.word")) & (y["k"] < F.col("x.k"))))
-    return out.unionByName(own.select(
-        "doc_id", F.col("x.word").alias("word"), (F.size("runs") + earlier).alias("part"), F.col("x.core").alias("core"), F.col("x.before").alias("before"), F.col("x.after").alias("after")))
+    none = F.array().cast("array<struct<kind:int,at:int,s:string,near:string,after:string,spaces:int>>")
+    both = F.concat(_likely_words(F.col("text")), F.coalesce(_value_pieces(F.col("text")), none))
+    found = stored(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), both.alias("x")).select("doc_id", "row", F.inline("x")), "candidates")
+
+    runs = found.where("kind = 0").select("doc_id", "row", F.col("at").alias("word"), "s", "near", F.posexplode(F.regexp_extract_all("s", F.lit(CORE), F.lit(1))).alias("part", "core"))
+    runs = runs.where(F.col("core").rlike("[0-9]")).select(
+        "doc_id", "row", "word", "part", "core", _last(F.concat_ws(" ", "near", F.expr("left(s, locate(core, s) - 1)")), BEFORE).alias("before"),
+        F.expr("substring(s, locate(core, s) + length(core), 8)").alias("after"))
+    # A value stands at the start of each piece but the first; the white space before a piece is the number of its word.
+    upto = Window.partitionBy("row").orderBy("at")
+    values = found.where("kind = 1").select(
+        "doc_id", "row", "at", F.coalesce(F.sum("spaces").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("word"),
+        F.col("s").alias("core"), F.lag("near").over(upto).alias("before"), "after").where("at > 0")
+    values = values.join(runs.select("row", "word", "core").distinct(), ["row", "word", "core"], "left_anti")
+    taken = runs.groupBy("row", "word").agg((F.max("part") + 1).alias("taken"))
+    place = F.row_number().over(Window.partitionBy("row", "word").orderBy("at")) - 1
+    values = values.join(taken, ["row", "word"], "left").withColumn("part", F.coalesce("taken", F.lit(0)) + place)
+    columns = ["doc_id", "word", "part", "core", "before", "after"]
+    return runs.select(columns).unionByName(values.select(columns))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -119,8 +139,8 @@ def _core_features(found: DataFrame, words: DataFrame) -> DataFrame:
     unseen = 14.0
     pairs = cores.select("core", F.explode(_pairs(F.col("chars"))).alias("pair")).join(F.broadcast(transitions(words)), "pair", "left")
     moved = pairs.groupBy("core").agg(F.avg(F.coalesce("cost", F.lit(unseen))).alias("transition"))
-    known = words.orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word")
-    sizes = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("chars") - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice("chars", i, k), "")) for k in range(4, 9)]
+    known = words.where(F.col("n") >= F.greatest(F.lit(2.0), DICTIONARY_SHARE * words.agg(F.sum("n")).scalar())).select("word")
+    sizes = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("chars") - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice("chars", i, k), "")) for k in range(4, 13)]
     parts = cores.select("core", F.explode(F.array_distinct(F.concat(*sizes))).alias("word")).where(F.length("word") >= 4)
     covered = parts.join(known, "word", "left_semi").groupBy("core").agg(F.sum(F.length("word")).alias("letters"))
     out = plain.join(moved, "core", "left").join(covered, "core", "left")
@@ -161,7 +181,7 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     Null and empty texts, and digitless ones that assign nothing to a keyword, have no candidates. Without labels of both classes the score is 1 for what is
     assigned to a keyword, else 0. A null doc_id is scanned and held out. Repeated rows give repeated findings. Other columns are not read.
     """
-    found = stored(candidates(docs), "candidates")
+    found = stored(candidates(docs), "findings")
     rows = described(found, vocabulary(docs))
     if labelled is None:
         known = distant_labels(rows.where(~held_out(F.col("doc_id"))))

@@ -26,3 +26,11 @@ def forget(df: DataFrame) -> None:
     if folder:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -84,8 +84,10 @@ def features(text: str, learned: dict[str, float], stems: frozenset[str]) -> lis
             hidden += 1
     near = 0
     if hits and second:
-        at = np.array(second)
-        near = int(sum(np.abs(at - i).min() <= 5 for i in hits))
+        at, places = np.array(second), np.array(hits)
+        after = np.searchsorted(at, places)
+        gap = np.minimum(np.abs(at[np.minimum(after, len(at) - 1)] - places), np.abs(at[np.maximum(after - 1, 0)] - places))
+        near = int((gap <= 5).sum())
     marks = "".join(t for t in tokens if not t[0].isalnum())
     letters = sum(map(len, words))
     upper = sum(map(str.isupper, text)) if letters else 0

@@ -6,6 +6,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,19 +151,26 @@ def test_targets_reshare_the_excess(spark):
     assert got == {"a": 600.0, "b": 30.0, "c": 270.0, None: 300.0}
 
 
+def plain_deletions(texts, least):
+    """{document: positions}: every run of every length against all runs before it."""
+    seen, gone = set(), {}
+    for i, t in texts:
+        lines = t.split("\n") if t is not None else []
+        for p in range(len(lines)):
+            chars = 0
+            for size in range(1, len(lines) - p + 1):
+                chars += len(lines[p + size - 1])
+                run = tuple(lines[p : p + size])
+                if run in seen and chars >= least:
+                    gone.setdefault(i, set()).update(range(p, p + size))
+                seen.add(run)
+    return gone
+
+
 def test_line_dedup(docs):
     got = by_id(line_dedup.deduplicated(docs))
     texts = _texts()
-    seen, gone = {}, {}
-    for i, t in enumerate(texts):
-        lines = t.split("\n") if t is not None else []
-        for size in (1, 2, 4, 8):
-            for p in range(len(lines) - size + 1):
-                run = tuple(lines[p : p + size])
-                if sum(map(len, run)) >= line_dedup.MIN_CHARS:
-                    if (size, run) in seen:
-                        gone.setdefault(i, set()).update(range(p, p + size))
-                    seen.setdefault((size, run), (i, p))
+    gone = plain_deletions([(i, t) for i, t in enumerate(texts) if t is None or t.count("\n") < 200], line_dedup.MIN_CHARS)
     for i, t in enumerate(texts):
         assert got[i]["n_lines"] == (0 if t is None else t.count("\n") + 1)
         assert got[i]["deleted"] == ",".join(map(str, sorted(gone.get(i, ()))))
@@ -172,6 +180,38 @@ def test_line_dedup(docs):
     assert 1 not in kept and kept[_texts().index("")]["text"] == "" and kept[0]["text"] == texts[0]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_of_every_length(spark, seed):
+    """Short lines in few kinds, so that runs of 1 to 9 lines reach the least size, overlap and follow one another."""
+    rnd = random.Random(seed)
+    kinds = ["", "a", "bb" * 3, "c" * 12, "d" * 19, "é" * 25, "f" * 60]
+    texts = [(i, "\n".join(rnd.choice(kinds[: 3 + seed]) for _ in range(rnd.randint(1, 14)))) for i in range(40)]
+    texts += [(50, "x" * 19 + "\n" + "y" * 19 + "\n" + "z" * 19), (51, "w\n" + "x" * 19 + "\n" + "y" * 19 + "\n" + "z" * 19 + "\nv")]
+    got = by_id(line_dedup.deduplicated(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    gone = plain_deletions(texts, line_dedup.MIN_CHARS)
+    assert gone[51] == {1, 2, 3}
+    assert {i: r["deleted"] for i, r in got.items()} == {i: ",".join(map(str, sorted(gone.get(i, ())))) for i, _ in texts}
+
+
+def test_many_lines_and_none(spark):
+    lines = [f"{i % 20_000} line" for i in range(30_000)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n" * 30_000), (4, "\n" * 30_000 + "x" * 60)]
+    start = time.perf_counter()
+    got = by_id(line_dedup.deduplicated(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    assert time.perf_counter() - start < 60
+    assert [got[i]["n_deleted"] for i in (1, 2, 3, 4)] == [10_000, 30_000, 0, 0]
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert line_dedup.deduplicated(empty).count() == 0 and line_dedup.without_repeats(empty).count() == 0
+
+
+def test_line_stage_keeps_columns_of_any_name(spark):
+    line = "a line that is long enough to be deleted when it comes again"
+    names = ["_id", "_version", "_deleted", "_lines", "_left", "pos", "size", "version"]
+    table = spark.createDataFrame([(i, t, *range(8)) for i, t in enumerate([line, line, f"{line}\nown", None])], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    got = by_id(line_dedup.without_repeats(table))
+    assert {i: r["text"] for i, r in got.items()} == {0: line, 2: "own", 3: None} and all(r["_left"] == 4 for r in got.values())
+
+
 def test_suffix_levels_are_in_suffix_order(spark):
     rows = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "b\nc\nd"), (3, "a\nb\nc\nd")], "doc_id bigint, text string")
     levels = line_dedup.intervals(line_dedup.line_table(rows))
@@ -193,6 +233,21 @@ def test_language(spark, docs):
     assert language.languages(table.limit(0)).count() == 0
 
 
+def test_very_many_short_texts_in_one_slice_stay_small(spark):
+    """Texts of random ideographs have no trigram in common; the matrix of a slice is bounded all the same."""
+    rnd = random.Random(3)
+    texts = ["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(26)) for _ in range(10_000)]
+    assert max(len(part) * sum(len(texts[i]) for i in part) for part in language._slices(texts)) <= language.SLICE_CELLS + 26 * len(texts)
+    assert [i for part in language._slices(texts) for i in part] == list(range(10_000))
+
+
+def test_toxicity_of_very_many_hits():
+    start = time.perf_counter()
+    row = dict(zip(toxicity.FEATURES, toxicity.features("you idiot " * 100_000 + "x " * 10 + "moron", {}, frozenset())))
+    assert time.perf_counter() - start < 15
+    assert (row["insults"], row["near_second"]) == (100_001, 100_000)
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 
@@ -255,6 +310,42 @@ def test_few_links_among_vectors_of_one_direction(spark):
     assert got == {i: sum(i in pair for pair in want) for i in {i for pair in want for i in pair}}
 
 
+def test_audit_finds_what_trees_and_descent_leave(spark, monkeypatch):
+    """One tree, lists of one neighbour, no descent worth the name: rounds go on until the audit is clean."""
+    import numpy as np
+
+    for name, value in {"TREES": 1, "NEIGHBOURS": 1, "LEAF": 8, "BLOCK": 16, "AUDIT": 10_000}.items():
+        monkeypatch.setattr(vector_dups, name, value)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((400, 12))
+    v[200:] = v[:200] + 0.04 * rng.standard_normal((200, 12))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(table).collect()}
+    assert got == {i: int(linked[i].sum()) - 1 for i in range(400)}
+    monkeypatch.setattr(vector_dups, "ROUNDS", 1)
+    assert {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(table, sweep=True).collect()} == got
+
+
+def test_groups_of_a_hot_label_and_recall(spark):
+    """8,000 vectors of one label, a third of them in one group whose members are linked through others, the rest in pairs and alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(10)
+    v = rng.standard_normal((8_000, 32)) + 2 * np.eye(32)[0]
+    v[:2_600] = v[0] + 0.06 * rng.standard_normal((2_600, 32))
+    v[3_000:4_000] = v[4_000:5_000] + 0.1 * rng.standard_normal((1_000, 32))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [int((unit[lo] @ unit.T >= 0.98).sum()) - 1 for lo in range(0, 8_000, 100)]
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(table).collect()}
+    found = [got[i] for i in range(0, 8_000, 100)]
+    assert all(f <= w for f, w in zip(found, want)) and sum(found) >= 0.9 * sum(want)
+    pairs = [int((unit[i] @ unit.T >= 0.98).sum()) - 1 for i in range(3_000, 4_000)]
+    assert sum(got[i] for i in range(3_000, 4_000)) >= 0.98 * sum(pairs)
+
+
 def test_passages(spark, docs):
     got = passages.repeated_passages(docs).collect()
     texts = _texts()
@@ -303,6 +394,33 @@ def test_keys_without_a_keyword_are_no_negatives(spark):
     assert {r["doc_id"]: r["label"] for r in told} == {2: 0.0}
 
 
+def test_many_assigned_values_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f'key{i}: token_{i}="v{i}x"' if i % 2 else f"password=abcdefghijkl{i}" for i in range(n))
+    start = time.perf_counter()
+    got = secret_scan.candidates(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")).collect()
+    assert time.perf_counter() - start < 15
+    assert {(r["word"], r["core"]) for r in got} >= {(i // 2 * 3 + (2 if i % 2 else 0), f"v{i}x" if i % 2 else f"abcdefghijkl{i}") for i in range(n)}
+    assert len({(r["word"], r["part"]) for r in got}) == len(got)
+
+
+def test_candidates_are_what_a_plain_search_finds(spark):
+    """Runs by a word at a time, values by the pattern over the whole text."""
+    rnd = random.Random(12)
+    pieces = ["token", "=", '"', " ", "\n", "abc123def456", "0123456789ab", "pass:", "pwd = ", "x", "'", "s3", "/usr/lib64/python3", ",", "secret := ", "plain words", ":"]
+    texts = {i: "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 25))) for i in range(300)}
+    got = {i: set() for i in texts}
+    for r in secret_scan.candidates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect():
+        got[r["doc_id"]].add((r["word"], r["core"]))
+    pattern = re.compile(secret_scan.VALUES.replace("(?i)", "", 1), re.I)
+    for i, t in texts.items():
+        want = {(k, c) for k, w in enumerate(re.split(r"\s+", t)) if len(w) >= secret_scan.LEAST for c in re.findall(secret_scan.CORE, w) if re.search("[0-9]", c)}
+        for m in pattern.finditer(t):
+            at = next(m.start(g) for g in (3, 5, 7, 9) if m[g] is not None)
+            want.add((len(re.findall(r"\s+", t[:at])), t[at : m.end(next(g for g in (3, 5, 7, 9) if m[g] is not None))]))
+        assert got[i] == want, (t, got[i] ^ want)
+
+
 def test_secret_plan_is_native(spark, docs):
     plan = secret_scan.candidates(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

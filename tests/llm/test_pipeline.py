@@ -48,6 +48,26 @@ def test_stages(spark, tmp_path):
         assert docs.columns == (columns if k + 1 < len(corpus_pipeline.STAGES) else [*columns, "copies"])
 
 
+def test_stages_of_odd_tables(spark):
+    """Null ids and texts, an id on two texts, extra columns with the names that the stages use, and no rows at all."""
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "The quick brown fox of the house is not here, and it was never seen in that garden by the old man or his dog again."
+    rows = [(1, clean, "en", "s", 9, 0, 0, 0, 0), (1, item, None, "s", 9, 0, 0, 0, 0), (None, item, "en", None, 9, 0, 0, 0, 0), (None, clean.upper() + " Now", "xx", "t", 9, 0, 0, 0, 0),
+            (2, None, "en", "s", 0, 0, 0, 0, 0), (3, "", "en", "s", 0, 0, 0, 0, 0), (4, "12 34 !", "en", "t", 7, 0, 0, 0, 0)]
+    extra = ["_told", "_copy", "_contaminated", "_deleted"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{e} int" for e in extra)
+    docs = spark.createDataFrame(rows, schema)
+    by_name = dict(corpus_pipeline.STAGES)
+    got = by_name["benchmark"](spark, docs, SF_DIR).collect()
+    assert item not in {r["text"] for r in got} and len(got) == 5
+    told = by_name["language"](spark, docs, SF_DIR).collect()
+    assert len(told) == 4 and {r["lang"] for r in told} == {"en"}
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns[: len(docs.columns)] == docs.columns and out.count() <= len(rows)
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
