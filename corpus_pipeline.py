@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontaminate, language, line_dedup, mixture, near_dup
-from matchloom.llm.tables import read, stored
+from matchloom.llm.tables import read, stored, unused
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and those like no known language, go."""
+    """Texts without a letter, and those like no known language, go; `lang` becomes the language that the text tells."""
     return language.with_language(docs)
 
 
@@ -26,8 +26,9 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the least id."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_copy"))
-    return docs.join(gone, docs["doc_id"] == F.col("_copy"), "left_anti")
+    own = unused(docs, "_copy")
+    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(own), "left_anti")
 
 
 def clear_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
