@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.functions.text import clean_text, let
+from matchloom.operators.pairwise import BLOCK_ROWS, dealt
 
 # Most frequent words that get a place of their own in the word order; bounded, so it can be broadcast.
 HOT_WORDS = 10_000
+#: Below this threshold most pairs share a word of their prefixes: then the shared words of all pairs are counted in blocks.
+PREFIX_FROM = 0.3
+#: Words of a block whose places are held at once as a dense matrix.
+COLUMNS = 1 << 13
 
 
 def word_set(s: Column) -> Column:
@@ -33,7 +42,8 @@ def text_jaccard(a: Column, b: Column) -> Column:
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float, text: str = "text") -> DataFrame:
     """(left_key, right_key, jaccard) for every pair with jaccard >= threshold (> 0), exactly.
 
-    Prefix filtering: with the words of each set in one global order, rarest first, two sets that reach
+    Below PREFIX_FROM the shared words of every pair are counted, a block of left and of right sets at a time, and the
+    ratio follows from the sizes. From there on prefix filtering: with the words of each set in one global order, rarest first, two sets that reach
     the threshold share a word within the first |s| - ceil(t |s|) + 1 words of both. Only those words are
     joined, and only as (key, word) rows; the shared ones are counted per pair. What the count and the
     last shared places leave possible decides which pairs have their whole sets compared.
@@ -43,6 +53,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     a = left.select(F.col(left_key), word_set(F.col(text)).alias("_set")).where(F.size("_set") > 0)
     b = right.select(F.col(right_key), word_set(F.col(text)).alias("_set")).where(F.size("_set") > 0)
 
+    if threshold < PREFIX_FROM:
+        return _counted_pairs(a, b, left_key, right_key, threshold)
+
     # The order needs the frequent words alone, which is a bounded list; any order gives the same pairs.
     both = a.select(F.explode("_set").alias("word")).unionAll(b.select(F.explode("_set").alias("word")))
     hot = both.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
@@ -69,3 +82,43 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     whole = whole.join(b.withColumnRenamed("_set", "_r"), right_key)
     scored = whole.select(left_key, right_key, set_jaccard(F.col("_l"), F.col("_r")).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)
+
+
+def _shared(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the left and of the right sets, and how many words each two share."""
+    left, right = (pa.concat_arrays(c.chunks) for c in (left, right))
+    sizes = [c.value_lengths().to_numpy().astype(np.int64) for c in (left, right)]
+    coded = right.flatten().dictionary_encode()
+    entries = []
+    for codes, n in zip((pc.index_in(left.flatten(), coded.dictionary), coded.indices), sizes, strict=True):
+        known = codes.is_valid().to_numpy(zero_copy_only=False)
+        row, word = np.repeat(np.arange(len(n)), n)[known], codes.drop_null().to_numpy().astype(np.int64)
+        order = np.argsort(word, kind="stable")
+        entries.append((row[order], word[order]))
+    both = np.zeros((len(left), len(right)))
+    for lo in range(0, len(coded.dictionary), COLUMNS):
+        parts = []
+        for (row, word), n in zip(entries, sizes, strict=True):
+            i, j = np.searchsorted(word, [lo, lo + COLUMNS])
+            m = np.zeros((len(n), min(COLUMNS, len(coded.dictionary) - lo)), np.float32)
+            m[row[i:j], word[i:j] - lo] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T
+    return *sizes, both
+
+
+def _counted_pairs(a: DataFrame, b: DataFrame, left_key: str, right_key: str, threshold: float) -> DataFrame:
+    schema = T.StructType([T.StructField(left_key, a.schema[left_key].dataType), T.StructField(right_key, b.schema[right_key].dataType), T.StructField("jaccard", T.DoubleType())])
+
+    def cell(lt, rt):
+        ids = [t.column(c).combine_chunks() for t, c in ((lt, left_key), (rt, right_key))]
+        rows, cols, ratio = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if lt.num_rows and rt.num_rows:
+            nl, nr, both = _shared(lt.column("_set"), rt.column("_set"))
+            every = both / (nl[:, None] + nr - both)
+            rows, cols = np.nonzero(every >= threshold)
+            ratio = every[rows, cols]
+        return pa.table({left_key: ids[0].take(pa.array(rows)), right_key: ids[1].take(pa.array(cols)), "jaccard": pa.array(ratio)})
+
+    left, right = dealt(a, b, left_key, right_key, BLOCK_ROWS)
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(cell, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as V
 from matchloom.functions.vectors import dot
 from matchloom.operators import cell_search
-from matchloom.operators.pairwise import BLOCK_ROWS, pair_scores
+from matchloom.operators.pairwise import BLOCK_ROWS, group_scores, pair_scores
 from matchloom.sources.tables import materialise
 
 
@@ -87,21 +87,16 @@ def first_row_similarity(items: DataFrame, group: str, position: str) -> DataFra
     return items.join(first, group).withColumn("score", score).drop("_first", "_n", "vec")
 
 
-def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K) -> DataFrame:
-    """Adds `matched`: the texts of the k passages of the pair's own posting that are closest to its vector.
+def evidence(pairs: DataFrame, passages: DataFrame, pair: str, posting: str, k: int = V.SCREEN_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds `matched`: the texts of the k passages of the pair's own posting that are closest to its vector; without any, an empty array.
 
-    `pairs` has (pair, posting, vec), `passages` has (posting, chunk_no, text, vec). The index of a pair is one
-    posting, so its passages are gathered per posting (they come from one document) and ranked inside the
-    row. The index is a stored table, so AQE can split the pairs of a popular posting over many tasks.
+    `pairs` has (pair, posting, vec), `passages` has (posting, chunk_no, text, vec). Pairs and passages of a posting
+    meet in blocks, so neither a popular posting nor a long one is one task's; a block gives back at most k passages
+    a pair, and only their texts are fetched.
     """
-    # Passages first become one array per posting, so the join neither multiplies rows nor needs a window.
-    docs = materialise(passages.groupBy(posting).agg(F.collect_list(F.struct("chunk_no", "text", "vec")).alias("_index")), "posting_index")
-    wide = pairs.join(docs, posting, "left")
-
-    def hit(c: Column) -> Column:
-        score = F.round(dot(F.col("vec"), c["vec"]), 6)
-        return F.struct((-score).alias("far"), c["chunk_no"].alias("chunk_no"), c["text"].alias("text"))
-
-    ranked = F.slice(F.array_sort(F.transform("_index", hit)), 1, k)
-    texts = F.coalesce(F.transform(ranked, lambda h: h["text"]), F.array().cast("array<string>"))
-    return wide.withColumn("matched", texts).drop("_index")
+    near = group_scores(pairs, passages, posting, pair, "chunk_no", top=k, block_rows=block_rows)
+    order = Window.partitionBy(pair).orderBy(F.desc("score"), "chunk_no")
+    hits = near.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k)
+    texts = hits.join(passages.select(posting, "chunk_no", F.col("text").alias("_passage")), [posting, "chunk_no"])
+    matched = texts.groupBy(pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_passage"))), lambda h: h["_passage"]).alias("matched"))
+    return pairs.join(matched, pair, "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))

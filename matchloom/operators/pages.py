@@ -14,13 +14,16 @@ def pick_page_text(candidates: DataFrame) -> DataFrame:
     """(doc_id, page_no, x_tol, text) -> (doc_id, page_no, text, ratio).
 
     The default tolerance stays when it is spaced well enough; else the best space ratio wins, and of
-    equal ones the larger tolerance. One partially aggregated group per page.
+    equal ones the larger tolerance. Only numbers are grouped; the chosen texts are fetched by their key, one row for each (doc_id, page_no, x_tol).
     """
     ratio = T.space_ratio(F.col("text"))
     good_default = (F.col("x_tol") == V.DEFAULT_TOLERANCE) & (ratio >= V.MIN_SPACE_RATIO)
-    rank = F.struct(good_default.alias("good"), ratio.alias("ratio"), F.col("x_tol"))
-    best = F.max_by(F.struct("text", ratio.alias("ratio")), rank)
-    return candidates.groupBy("doc_id", "page_no").agg(best.alias("best")).select("doc_id", "page_no", "best.text", "best.ratio")
+    # Good defaults first, then the ratio, then the tolerance: one number, so that texts take no part in the grouping.
+    keys = ["doc_id", "page_no"]
+    ranked = candidates.select(*keys, "x_tol", F.when(good_default, 2.0).otherwise(ratio).alias("_rank"), ratio.alias("ratio"))
+    best = ranked.groupBy(*keys).agg(F.max("_rank").alias("_best"))
+    chosen = ranked.join(best, keys).where(F.col("_rank") == F.col("_best")).groupBy(*keys).agg(F.max("x_tol").alias("x_tol"), F.max("ratio").alias("ratio"))
+    return candidates.select(*keys, "x_tol", "text").join(chosen, [*keys, "x_tol"]).select(*keys, "text", "ratio")
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:

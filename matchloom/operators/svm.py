@@ -21,10 +21,15 @@ TOLERANCE = 1e-4
 MAX_PASSES = 1000
 #: Steps that a plane remembers.
 MEMORY = 6
+#: Bytes of all tasks' gradients up to which the driver adds them up itself; beyond, a group for each plane does.
+DIRECT = 64 << 20
 #: Numbers (entries of rows times planes) that a task holds at once.
 SLICE = 4_000_000
 
 
+_SUMS = "plane int, loss double, gradient binary"
+
+
 class Sparse:
     """Rows of a batch as flat entries: row numbers, term numbers and weights, in row order."""
 
@@ -148,16 +153,23 @@ def fit_planes(rows: DataFrame, planes: list[tuple[int, int]], terms: int, max_p
     """
     fits = [_Plane(terms + 1) for _ in planes]
     context = rows.sparkSession.sparkContext
+    rows = rows.select("fold", "label", "indices", "values")
+    tasks = rows.rdd.getNumPartitions()
     for _ in range(max_passes):
         left = [k for k, f in enumerate(fits) if not f.done]
         if not left:
             break
         shared = context.broadcast(np.ascontiguousarray(np.stack([fits[k].trial() for k in left], axis=1)))
         folds, classes = (np.array([planes[k][i] for k in left]) for i in (0, 1))
-        partial = rows.select("fold", "label", "indices", "values").mapInArrow(
-            lambda batches, s=shared, f=folds, c=classes: _gradients(batches, s, f, c), "plane int, loss double, gradient binary")
-        for r in partial.groupBy("plane").applyInArrow(_summed, "plane int, loss double, gradient binary").collect():
-            fits[left[r["plane"]]].take(r["loss"], np.frombuffer(r["gradient"]))
+        sums = rows.mapInArrow(lambda batches, s=shared, f=folds, c=classes: _gradients(batches, s, f, c), _SUMS)
+        if tasks * len(left) * (terms + 1) * 8 > DIRECT:
+            sums = sums.groupBy("plane").applyInArrow(_summed, _SUMS)
+        loss, gradient = np.zeros(len(left)), np.zeros((len(left), terms + 1))
+        for r in sums.collect():
+            loss[r["plane"]] += r["loss"]
+            gradient[r["plane"]] += np.frombuffer(r["gradient"])
+        for k, x, g in zip(left, loss, gradient, strict=True):
+            fits[k].take(x, g)
         shared.destroy()
     else:
         if left := [p for p, f in zip(planes, fits, strict=True) if not f.done]:

@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.operators import classify
 from matchloom.plans import views
-from matchloom.plans.corpus_queries import DEDUP_SQL, corpus
+from matchloom.plans.corpus_queries import DEDUP_SQL, SPLIT_SQL, corpus
 from matchloom.plans.registry import query
 from matchloom.sources import tables
 
 
+#: What a language classifier of the corpus must reach on held-out documents.
+FLOOR = 0.9
+
+
+def _held_out_predictions(spark, sf_dir):
+    train, test = classify.hold_out(corpus(spark, sf_dir), "lang", "doc_id")
+    return classify.predict(classify.fit(train, "doc_id", "text", "lang"), test, "text").select("doc_id", "lang", "predicted")
+
+
 @query("svm_predict")
 def svm_predict(spark, sf_dir):
     """Language of the held-out documents, by a model that has not seen them."""
-    train, test = classify.hold_out(corpus(spark, sf_dir), "lang", "doc_id")
-    model = classify.fit(train, "doc_id", "text", "lang")
-    return classify.predict(model, test, "text").select("doc_id", "lang", "predicted")
+    return _held_out_predictions(spark, sf_dir)
+
+
+@query(
+    "svm_predict_floor",
+    f"SELECT lang, count(*) AS n_test, true AS all_known, true AS floor_reached FROM ({SPLIT_SQL}) WHERE is_test GROUP BY lang",
+)
+def svm_predict_floor(spark, sf_dir):
+    """svm_predict by language: all held-out documents are there, each with one of the languages, and of all of them nearly all with their own."""
+    known = [r[0] for r in corpus(spark, sf_dir).select("lang").distinct().collect()]
+    hit = F.count_if(F.col("lang") == F.col("predicted"))
+    by_language = _held_out_predictions(spark, sf_dir).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_test"), F.bool_and(F.col("predicted").isin(known)).alias("all_known"), hit.alias("hits"))
+    every = Window.partitionBy()
+    return by_language.withColumn("floor_reached", F.sum("hits").over(every) >= FLOOR * F.sum("n_test").over(every)).drop("hits")
 
 
 @query("svm_probs")
@@ -42,10 +64,6 @@ def model_roundtrip(spark, sf_dir):
     return after.select("doc_id", (F.col("probs").eqNullSafe(F.col("old_probs")) & F.col("predicted").eqNullSafe(F.col("old"))).alias("same"))
 
 
-#: What a language classifier of the corpus must reach on held-out documents.
-FLOOR = 0.9
-
-
 @query(
     "train_record",
     f"SELECT count(*) AS n_resumes, count(DISTINCT lang) AS n_categories, true AS top1_reached, true AS top3_reached, true AS f1_reached FROM ({DEDUP_SQL})",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
-from matchloom.operators import embedding, matching, screening
+from matchloom.operators import embedding, matching, pages, screening
 from matchloom.plans import sqltext as S
 from matchloom.plans import views
 from matchloom.plans.match_queries import BEST_POSTING_SQL, hashed_sql, posting_vectors, resume_vectors
 from matchloom.plans.registry import query
 from matchloom.plans.text_queries import FEEDBACK_SQL, POSTING, REPLY, RESUME, SCORE_SQL, chunk_rows, chunk_sql
+from matchloom.sources import tables
 
 
 # ---------------------------------------------------------------- pieces
@@ -175,3 +176,40 @@ def tailor_result(spark, sf_dir):
 def fit_result(spark, sf_dir):
     joined = screening.join_replies(fit_inputs(spark, sf_dir), replies(spark, sf_dir), "doc_id")
     return screening.fit_result(joined).select("doc_id", "role", "analysis")
+
+
+# ---------------------------------------------------------------- roles on offer, from their sources to retrieval
+# The descriptions that the roles' sources name are the first postings, one for each role.
+_ROLE_LIST = ", ".join(f"({k}, {S.quote(role)}, {S.quote(source)})" for k, (role, source) in enumerate(V.ROLES))
+_ROLE_TEXT = f"(SELECT r.k AS item_id, r.role, p.text FROM (VALUES {_ROLE_LIST}) r(k, role, source) JOIN {POSTING} p ON p.item_id = r.k)"
+_ROLE_CHUNKS = f"(SELECT concat(r.role, '/', lpad(cast(c.chunk_no AS varchar), 10, '0')) AS chunk_id, r.role, c.chunk_no, c.text FROM ({chunk_sql(_ROLE_TEXT, 'item_id')}) c JOIN {_ROLE_TEXT} r USING (item_id))"
+
+
+@query(
+    "role_passages",
+    f"""SELECT doc_id, role, chunk_no, score, cast(place AS int) AS rank FROM (
+      SELECT q.doc_id, c.role, c.chunk_no, round_even(round(coalesce(n.s, 0), 12), 6) AS score,
+        row_number() OVER (PARTITION BY q.doc_id ORDER BY round_even(round(coalesce(n.s, 0), 12), 6) DESC, c.chunk_id) AS place
+      FROM documents q CROSS JOIN {_ROLE_CHUNKS} c
+      LEFT JOIN (SELECT q.doc_id, v.chunk_id, sum(q.w * v.w) AS s FROM ({_QUERY_VEC}) q JOIN ({hashed_sql(_ROLE_CHUNKS, 'chunk_id', 'text')}) v USING (bucket) GROUP BY ALL) n
+        ON n.doc_id = q.doc_id AND n.chunk_id = c.chunk_id) WHERE place <= {V.RETRIEVE_K}""",
+)
+def role_passages(spark, sf_dir):
+    """The passages of the roles on offer that are closest to each resume: role dimension, its files, passages, vectors, retrieval."""
+    roles = tables.role_dimension(spark)
+    numbers = spark.createDataFrame([(k, source) for k, (_, source) in enumerate(V.ROLES)], "item_id bigint, path string")
+    files = views.view(spark, sf_dir, views.POSTING).join(F.broadcast(numbers), "item_id").select("path", "text")
+    described = pages.dispatch_sources(roles, files, "role")
+    chunked = chunk_rows(described.select("role", "text"), "role")
+    key = F.concat_ws("/", "role", F.lpad(F.col("chunk_no").cast("string"), 10, "0"))
+    index = embedding.hashed(chunked, "text").select(key.alias("chunk_id"), "role", "chunk_no", "vec")
+    hits = matching.retrieve(query_vectors(spark, sf_dir).select("doc_id", "vec"), index, "doc_id", "chunk_id")
+    return hits.select("doc_id", "role", "chunk_no", "score", "rank")
+
+
+@query("last_of_name", f"SELECT max(item_id) AS item_id, role, any_value(n) AS n_named FROM (SELECT item_id, role, count(*) OVER (PARTITION BY role) AS n FROM {POSTING}) GROUP BY role")
+def last_of_name(spark, sf_dir):
+    """Postings that share a name: the last one stands for it."""
+    posts = views.view(spark, sf_dir, views.POSTING).select("item_id", "role")
+    counts = posts.groupBy("role").agg(F.count(F.lit(1)).alias("n_named"))
+    return matching.last_of_name(posts, "role", "item_id").join(counts, "role").select("item_id", "role", "n_named")

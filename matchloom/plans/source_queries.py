@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
+from matchloom.functions.text import percent
 from matchloom.plans import sqltext as S
 from matchloom.plans import views
 from matchloom.plans.corpus_queries import metrics_record
@@ -30,6 +31,19 @@ def json_roundtrip(spark, sf_dir):
     return records.read_metrics(spark, path)
 
 
+@query(
+    "metrics_shown",
+    f"""SELECT n_resumes, cast(n_categories AS varchar) AS n_categories, 0.0 AS holdout_top1_accuracy, holdout_top3_accuracy, holdout_macro_f1, '' AS trained_at,
+      concat(cast(cast(round(holdout_top3_accuracy * 100, 0) AS int) AS varchar), '%') AS top3_shown FROM ({ORACLES["metrics_record"]})""",
+)
+def metrics_shown(spark, sf_dir):
+    """The record as it is displayed, of a file in which two fields are missing."""
+    path = tables.scratch_folder(spark, "metrics")
+    records.write_metrics(metrics_record(spark, sf_dir).drop("trained_at", "holdout_top1_accuracy"), path)
+    shown = records.with_display_defaults(records.read_metrics(spark, path))
+    return shown.withColumn("top3_shown", F.concat(percent(F.col("holdout_top3_accuracy"), 0).cast("int").cast("string"), F.lit("%")))
+
+
 #: Pages of a file of the scanned folder, at most.
 FILE_PAGES = 200
 

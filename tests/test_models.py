@@ -93,6 +93,7 @@ def test_blocks_of_entries_do_not_matter(spark, monkeypatch):
     planes = [(0, c) for c in range(3)]
     whole = svm.fit_planes(table, planes, 15)
     monkeypatch.setattr(svm, "SLICE", 10)
+    monkeypatch.setattr(svm, "DIRECT", 0)
     cut = svm.fit_planes(table, planes, 15)
     assert np.allclose(whole[0], cut[0], atol=1e-9) and np.allclose(whole[1], cut[1], atol=1e-9)
 
