@@ -137,6 +137,14 @@ TAILOR_RESUME_CHARS = 5500
 FIT_RESUME_CHARS = 4000
 NO_EVIDENCE = "(none retrieved)"
 
+# Headings of the prompts' parts.
+HEAD_JOB = "JOB POSTING:\n"
+HEAD_EVIDENCE = "\n\nREQUIREMENTS THIS RESUME LOOKS CLOSE TO (retrieved):\n"
+HEAD_RESUME = "\n\nRESUME:\n"
+HEAD_CURRENT_RESUME = "\n\nCURRENT RESUME:\n"
+HEAD_ROLE = "ROLE: "
+HEAD_REQUIREMENTS = "\n\nRETRIEVED JOB REQUIREMENTS:\n"
+
 SCREEN_SYSTEM = (
     "You are a technical recruiter and the ATS that screens resumes before a human "
     "sees them. Score how well a resume matches a specific job posting, using ONLY "

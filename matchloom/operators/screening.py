@@ -21,15 +21,15 @@ def bullets(passages: Column) -> Column:
 
 def _posting_and_evidence(job: Column, matched: Column) -> list[Column]:
     return [
-        F.lit("JOB POSTING:\n"), truncate(job, V.SCREEN_JOB_CHARS),
-        F.lit("\n\nREQUIREMENTS THIS RESUME LOOKS CLOSE TO (retrieved):\n"), bullets(matched),
+        F.lit(V.HEAD_JOB), truncate(job, V.SCREEN_JOB_CHARS),
+        F.lit(V.HEAD_EVIDENCE), bullets(matched),
     ]
 
 
 def screen_prompt(resume: Column, job: Column, matched: Column) -> Column:
     return F.concat(
         *_posting_and_evidence(job, matched),
-        F.lit("\n\nRESUME:\n"), truncate(resume, V.SCREEN_RESUME_CHARS),
+        F.lit(V.HEAD_RESUME), truncate(resume, V.SCREEN_RESUME_CHARS),
         F.lit("\n\n" + V.SCREEN_TASK),
     )
 
@@ -37,7 +37,7 @@ def screen_prompt(resume: Column, job: Column, matched: Column) -> Column:
 def tailor_prompt(resume: Column, job: Column, matched: Column) -> Column:
     return F.concat(
         *_posting_and_evidence(job, matched),
-        F.lit("\n\nCURRENT RESUME:\n"), truncate(resume, V.TAILOR_RESUME_CHARS),
+        F.lit(V.HEAD_CURRENT_RESUME), truncate(resume, V.TAILOR_RESUME_CHARS),
         F.lit("\n\n" + V.TAILOR_TASK),
     )
 
@@ -45,9 +45,9 @@ def tailor_prompt(resume: Column, job: Column, matched: Column) -> Column:
 def fit_prompt(role: Column, resume: Column, matched: Column) -> Column:
     """Null when nothing was retrieved: such a request is answered without a prompt."""
     prompt = F.concat(
-        F.lit("ROLE: "), role,
-        F.lit("\n\nRETRIEVED JOB REQUIREMENTS:\n"), bullets(matched),
-        F.lit("\n\nRESUME:\n"), truncate(resume, V.FIT_RESUME_CHARS),
+        F.lit(V.HEAD_ROLE), role,
+        F.lit(V.HEAD_REQUIREMENTS), bullets(matched),
+        F.lit(V.HEAD_RESUME), truncate(resume, V.FIT_RESUME_CHARS),
         F.lit("\n\n" + V.FIT_TASK),
     )
     return F.when(F.size(matched) > 0, prompt)

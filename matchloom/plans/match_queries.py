@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
@@ -44,6 +45,39 @@ def unit_vectors(spark, sf_dir):
     return long_form(df.withColumn("vec", VC.unit(F.col("vec"))), "vec_id", "pos")
 
 
+#: Documents that have an embedding of the same number take it as their vector.
+@query(
+    "table_vectors",
+    """SELECT doc_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS w FROM (
+      SELECT doc_id, cast(unnest(embedding) AS double) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM documents JOIN embeddings ON vec_id = doc_id) WHERE x <> 0""",
+)
+def table_vectors(spark, sf_dir):
+    """Vectors that were computed elsewhere, joined by key."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id")
+    made = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return long_form(embedding.from_table(docs, made, "doc_id"), "doc_id", "pos")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counter():
+    """A user's encoder: how often each letter a to z occurs."""
+    return lambda texts: np.array([[t.lower().count(c) for c in LETTERS] for t in texts])
+
+
+@query(
+    "encoded_vectors",
+    f"""SELECT doc_id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS w FROM (
+      SELECT doc_id, pos, cast(length(low) - length(replace(low, '{LETTERS}'[pos + 1], '')) AS double) AS n
+      FROM (SELECT doc_id, lower(text) AS low, unnest(range({len(LETTERS)})) AS pos FROM documents)) WHERE n > 0""",
+)
+def encoded_vectors(spark, sf_dir):
+    """Vectors by an encoder that each task makes once."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return long_form(embedding.encoded(docs, "text", letter_counter), "doc_id", "pos")
+
+
 # ---------------------------------------------------------------- resume x posting
 def resume_vectors(spark, sf_dir):
     df = relevant(views.view(spark, sf_dir, views.RESUME), V.RESUME_SECTIONS)
@@ -142,15 +176,16 @@ def self_similarity(spark, sf_dir):
     return matching.self_similarity(embeddings(spark, sf_dir), "vec_id")
 
 
-_CONV = hashed_sql("(SELECT conv_id * 1000 + turn AS id, text FROM conversations)", "id", "text")
+_TURNS = "(SELECT max(turn) + 1 FROM conversations)"
+_CONV = hashed_sql(f"(SELECT conv_id * {_TURNS} + turn AS id, text FROM conversations)", "id", "text")
 
 
 @query(
     "first_row_similarity",
     f"""SELECT c.conv_id, c.turn, CASE WHEN n >= 2 THEN round(coalesce(s, 0), 6) END AS score
     FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) c
-    LEFT JOIN (SELECT b.id, sum(a.w * b.w) AS s FROM ({_CONV}) a JOIN ({_CONV}) b ON a.bucket = b.bucket AND a.id = (b.id // 1000) * 1000 GROUP BY b.id) s
-      ON s.id = c.conv_id * 1000 + c.turn""",
+    LEFT JOIN (SELECT b.id, sum(a.w * b.w) AS s FROM ({_CONV}) a JOIN ({_CONV}) b ON a.bucket = b.bucket AND a.id = (b.id // {_TURNS}) * {_TURNS} GROUP BY b.id) s
+      ON s.id = c.conv_id * {_TURNS} + c.turn""",
 )
 def first_row_similarity(spark, sf_dir):
     df = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

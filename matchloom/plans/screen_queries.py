@@ -16,9 +16,9 @@ from matchloom.sources import tables
 
 # ---------------------------------------------------------------- pieces
 def pairs(spark, sf_dir):
-    """(doc_id, item_id): every resume with its best posting."""
+    """(doc_id, item_id): every resume with its best posting. Stored: the grid that counts its rows below must not run this one again."""
     best = matching.best_job(resume_vectors(spark, sf_dir), posting_vectors(spark, sf_dir), "doc_id", "item_id")
-    return best.select("doc_id", "item_id")
+    return tables.materialise(best.select("doc_id", "item_id"), "best_postings")
 
 
 def query_vectors(spark, sf_dir):
@@ -129,7 +129,7 @@ def prompts_fit(spark, sf_dir):
 # ---------------------------------------------------------------- results
 # A reply for some prompts, in every state a service can leave behind.
 _STATUS = "CASE (conv_id + turn) % 7 WHEN 3 THEN 'rejected' WHEN 4 THEN 'failed' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'no_key' ELSE 'ok' END"
-_REPLIES = "SELECT conv_id * 10 + turn AS doc_id, {status} AS status, raw, CASE WHEN (conv_id + turn) % 7 IN (4, 5) THEN 'timed out' END AS problem FROM {reply}"
+_REPLIES = "SELECT conv_id * (SELECT max(turn) + 1 FROM {reply}) + turn AS doc_id, {status} AS status, raw, CASE WHEN (conv_id + turn) % 7 IN (4, 5) THEN 'timed out' END AS problem FROM {reply}"
 REPLIES_SQL = _REPLIES.format(status=_STATUS, reply=REPLY)
 
 
