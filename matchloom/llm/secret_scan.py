@@ -38,7 +38,11 @@ FIT_ROWS = 50_000
 
 CORE_FEATURES = [
     "length", "digit_share", "upper_share", "vowel_share", "class_changes", "distinct_share", "transition", "coverage", "slashes", "dots", "at_sign", "dashes", "is_hex", "placeholder"]
-FEATURES = [*CORE_FEATURES, "keyword_near", "assigned", "quoted", "path_before"]
+#: What labels are made from where reviewed ones are missing is no feature: the forest learns from the string, its neighbouring words and its path.
+FEATURES = [*CORE_FEATURES, "neighbour_mean", "neighbour_most", "neighbours", "quoted", "path_before", "path_depth"]
+#: A neighbouring word counts from so many labelled findings on; its odds are those of a secret beside it against those without.
+NEIGHBOUR_FINDINGS = 5
+NEIGHBOUR = r"([a-z_]{2,24})"
 
 
 def _last(chars: Column, n: int) -> Column:
@@ -149,13 +153,35 @@ def _core_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
-    """candidates() and vocabulary() -> candidates with FEATURES; strings that occur often are described once."""
+    """candidates() and vocabulary() -> candidates with CORE_FEATURES and what stands around them; strings that occur often are described once."""
+    path = F.regexp_extract("before", r"(\S*)$", 1)
     around = found.select(
-        "doc_id", "word", "part", "core", F.col("before").rlike(KEYWORD).cast("double").alias("keyword_near"), F.col("before").rlike(ASSIGNED).cast("double").alias("assigned"),
-        (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double").alias("quoted"), F.col("before").rlike(r"[\w.]*[/\\@:.]$").cast("double").alias("path_before"))
+        "doc_id", "word", "part", "core", F.array_distinct(F.regexp_extract_all(F.lower("before"), F.lit(NEIGHBOUR), F.lit(1))).alias("near"),
+        F.col("before").rlike(KEYWORD).cast("double").alias("keyword_near"), F.col("before").rlike(ASSIGNED).cast("double").alias("assigned"),
+        (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double").alias("quoted"), F.col("before").rlike(r"[\w.]*[/\\@:.]$").cast("double").alias("path_before"),
+        F.regexp_count(F.concat(path, "core"), F.lit(r"[/\\]")).cast("double").alias("path_depth"))
     return stored(around.join(_core_features(found, words), "core"), "findings")
 
 
+def neighbour_odds(labelled: DataFrame) -> DataFrame:
+    """described() with label -> (near_word, odds): log odds of a secret beside the word, against the share of secrets in all."""
+    total = labelled.agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).first()
+    bad, good = float(total["bad"] or 0), float(total["good"] or 0)
+    counts = labelled.select(F.explode("near").alias("near_word"), "label").groupBy("near_word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - F.log(F.lit((bad + 0.5) / (good + 0.5)))
+    return counts.where(F.col("n") >= NEIGHBOUR_FINDINGS).select("near_word", odds.alias("odds"))
+
+
+def with_neighbours(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """Adds how many neighbouring words have odds, and their mean and their greatest; 0 without any."""
+    sets = rows.select("near").distinct()
+    told = sets.select("near", F.explode("near").alias("near_word")).join(odds, "near_word").groupBy("near").agg(
+        F.count(F.lit(1)).cast("double").alias("neighbours"), F.avg("odds").alias("neighbour_mean"), F.max("odds").alias("neighbour_most"))
+    # A table, so that the join can be split where most findings stand beside the same words.
+    out = rows.join(stored(told, "neighbours"), "near", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("neighbours", "neighbour_mean", "neighbour_most")})
+
+
 def distant_labels(rows: DataFrame) -> DataFrame:
     """Labels where reviewed ones are missing: 1 for what is assigned to a keyword and no placeholder, address or path; 0 for what has no keyword near.
 
@@ -175,7 +201,7 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, word, part, n_chars, finding_sha256, held_out, score, is_secret), one row for each candidate.
 
     labelled(doc_id, word, part, label): reviewed findings; without any, distant_labels() of the documents that are not held
-    out (crc32 of the id as text, mod 5 = 0). The forest learns from at most FIT_ROWS of them. score: the forest's
+    out (crc32 of the id as text, mod 5 = 0). The forest learns from at most FIT_ROWS of them, the odds of neighbouring words from all. score: the forest's
     probability of a secret; is_secret: 0.5 or more. The string itself is not given out, its digest is.
 
     Null and empty texts, and digitless ones that assign nothing to a keyword, have no candidates. Without labels of both classes the score is 1 for what is
@@ -188,6 +214,9 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     else:
         own = labelled.select("doc_id", "word", "part", F.col("label").cast("double").alias("label"))
         known = rows.join(own, ["doc_id", "word", "part"])
+    known = stored(known, "labelled")
+    odds = stored(neighbour_odds(known), "odds")
+    rows, known = with_neighbours(rows, odds), with_neighbours(known, odds)
     n = known.count()
     known = known if n <= FIT_ROWS else known.where(F.pmod(F.xxhash64("doc_id", "word", "part"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
