@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
-from matchloom.functions.vectors import dot
+from matchloom.functions.vectors import cosine
 from matchloom.operators import cell_search
 from matchloom.operators.pairwise import BLOCK_ROWS, group_scores, pair_scores
 from matchloom.sources.tables import materialise
@@ -83,7 +83,7 @@ def first_row_similarity(items: DataFrame, group: str, position: str) -> DataFra
     start = F.when(F.col(position) == 0, F.col("vec"))
     # A stored side lets AQE split the join where one group is large.
     first = materialise(items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.max(start).alias("_first")), "first_items")
-    score: Column = F.when(F.col("_n") >= 2, F.round(dot(F.col("_first"), F.col("vec")), 6))
+    score: Column = F.when(F.col("_n") >= 2, F.round(cosine(F.col("_first"), F.col("vec")), 6))
     return items.join(first, group).withColumn("score", score).drop("_first", "_n", "vec")
 
 
