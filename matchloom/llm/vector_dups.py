@@ -325,7 +325,7 @@ def near_vectors(vectors: DataFrame, sweep: bool = False) -> DataFrame:
     grown = grown.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     counted = grown.select("component", "id", "mult", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     n_links = counted.groupBy("component", "i", "j").applyInArrow(_count_cell, "id string, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("least_id"))
+    least = stored(labelled.groupBy("component").agg(F.min("least").alias("least_id")), "least_ids")
     told = labelled.select("id", "mult", "component").join(n_links, "id", "left").join(least, "component").select("id", "mult", "n", "least_id")
     out = table.select("vec_id", "id").join(told, "id", "left")
     found = F.col("mult").isNotNull()
