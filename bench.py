@@ -15,7 +15,7 @@ HEADLINE = [
     "resume_details", "text_clean", "relevant_text_resume", "page_assemble", "html_text", "chunks_resume",
     "dedup_keep_first", "stratified_split", "tfidf", "tfidf_cosine", "keyterms_tfidf", "keyterms_yake", "jaccard_pairs",
     "hashed_vectors", "score_matrix", "best_role", "retrieve_topk_role", "self_similarity",
-    "class_report", "screen_result", "prompts_fit",
+    "class_report", "screen_result", "prompts_fit", "retrieve_by_cells", "word_vectors", "svm_predict",
 ]
 
 
