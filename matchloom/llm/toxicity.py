@@ -154,8 +154,9 @@ def fit(table: DataFrame, labelled: DataFrame) -> tuple[GBTClassificationModel,
     if train.select("label").distinct().count() < 2 or not check.limit(1).count():
         return None
     trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=3, cacheNodeIds=False).fit(train)
-    scored = _probability(trees, check)
-    return trees, IsotonicRegression(featuresCol="p", labelCol="label").fit(scored.select("p", "label"))
+    # Most clean texts have the same probability: equal ones become one weighted row before the fit deals rows out by it.
+    scored = _probability(trees, check).groupBy("p").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return trees, IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(scored)
 
 
 def _vectors(table: DataFrame) -> DataFrame:
