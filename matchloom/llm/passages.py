@@ -2,7 +2,7 @@
 
 A paragraph is a line of some length. A passage can also stand inside longer lines, so the words of a document are
 cut a second way, into short windows whose places their own content decides: equal stretches of text have equal windows.
-Two equal windows are seeds: both sides are compared word by word, and what is equal around them is one stretch.
+A window also knows the words up to the end of the next one, so that where these are equal too all between them is.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import near_dup
@@ -25,10 +25,6 @@ PARAGRAPH = 20
 WINDOW = 12
 #: A window starts at the least shingle of so many in a row: any stretch of 51 words that occurs twice holds a window in both places.
 SPAN = 40
-#: Words on either side of a seed that are compared. Seeds of one stretch are at most SPAN words apart, so together they cover all of it.
-AROUND = SPAN + WINDOW
-#: Words from which on an equal stretch is reported: shorter ones are common phrases.
-STRETCH = 25
 #: Eleven bands of two minima: a pair at similarity 0.75 shares none with probability (1 - 0.75^2)^11 = 1e-4. Bands of one minimum need
 #: fewer values for that, but let every two paragraphs with a phrase in common meet.
 BANDS = 11
@@ -36,6 +32,7 @@ BANDS = 11
 ROWS = 2
 
 _SECOND = np.uint64(0xA24BAED4963EE407)
+_INVERSE = np.uint64(pow(int(W._ODD), -1, 1 << 64))
 
 
 def _paragraphs(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -59,28 +56,32 @@ def anchors(s: np.ndarray) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(s, SPAN).argmin(axis=1) + np.arange(len(s) - SPAN + 1))
 
 
-def windows(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of the windows of a document's word hashes, whose shingles are s, and two hashes of each window's words."""
+def windows(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows of a document's word hashes, whose shingles are s, and two hashes of each window's words;
+    then how many words lie from its end to the end of the next window, and their hash; 0 for the last."""
     if len(h) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     at = anchors(s[: len(h) - WINDOW + 1])
     one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for k in range(WINDOW):
         one = one * W._ODD + h[at + k]
         two = (two ^ h[at + k]) * _SECOND
         two ^= two >> W._32
-    return at, W.mixed(one), two
+    # A sum of hashes times rising powers, over a stretch: its start's power is divided out.
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(np.full(len(h), W._ODD)))])
+    down = np.cumprod(np.full(len(h) + 1, _INVERSE))
+    ends = at + WINDOW
+    gap, rest = np.append(np.diff(at), 0), np.zeros(len(at), np.uint64)
+    rest[:-1] = W.mixed((upto[ends[1:]] - upto[ends[:-1]]) * down[ends[:-1]])
+    return at, W.mixed(one), two, gap, rest
 
 
 _KEYS = [f"k{b}" for b in range(BANDS)]
-_UNITS = "doc_id bigint, start int, n_words int, para int, digest binary, check int, " + ", ".join(f"{k} bigint" for k in _KEYS)
+_UNITS = "doc_id bigint, start int, n_words int, digest binary, check int, gap int, rest bigint, " + ", ".join(f"{k} bigint" for k in _KEYS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs with a digest of their words and a key for each band; windows with one key and a second hash, without a digest.
-
-    para is where the paragraph begins that holds the window, or -1.
-    """
+    """Paragraphs with a digest of their words and a key for each band; windows with one key and a second hash, without a digest."""
     memory = W.WordHashes()
     for batch in batches:
         ids, raws = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
@@ -96,8 +97,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size.append(n)
                     digest.append(xxhash.xxh3_128_digest(h[a : a + n].tobytes()))
                     parts.append(s[a : a + n - W.SHINGLE + 1])
-                at, one, two = windows(h, s)
-                more.append((ids[i], at, one, two, _paragraph_of(at, lines)))
+                more.append((ids[i], *windows(h, s)))
             keys = np.zeros((BANDS, len(parts)), np.uint64)
             if parts:
                 flat, first = np.concatenate(parts), np.cumsum([0, *(len(x) for x in parts[:-1])])
@@ -107,83 +107,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = np.concatenate([m[1] for m in more])
             n = len(places)
             none = pa.nulls(n, pa.int64())
+            lines = len(parts)
             rest = [pa.chunked_array([pa.array(k.view(np.int64)), none]).combine_chunks() for k in keys[1:]]
             yield pa.RecordBatch.from_arrays([
                 pa.array([*doc, *(m[0] for m in more for _ in m[1])], pa.int64()),
                 pa.array(np.concatenate([np.array(start, np.int64), places]).astype(np.int32)),
-                pa.array([*size, *[WINDOW] * n], pa.int32()), pa.array(np.concatenate([np.array(start, np.int64), *(m[4] for m in more)]).astype(np.int32)), pa.array([*digest, *[None] * n], pa.binary()),
-                pa.array(np.concatenate([np.zeros(len(parts), np.uint64), *(m[3] for m in more)]).astype(np.uint32).view(np.int32)),
+                pa.array([*size, *[WINDOW] * n], pa.int32()), pa.array([*digest, *[None] * n], pa.binary()),
+                pa.array(np.concatenate([np.zeros(lines, np.uint64), *(m[3] for m in more)]).astype(np.uint32).view(np.int32)),
+                pa.array(np.concatenate([np.zeros(lines, np.int64), *(m[4] for m in more)]).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(lines, np.uint64), *(m[5] for m in more)]).view(np.int64)),
                 pa.array(np.concatenate([keys[0], *(m[2] for m in more)]).view(np.int64)), *rest,
-            ], ["doc_id", "start", "n_words", "para", "digest", "check", *_KEYS])
-
-
-def _paragraph_of(at: np.ndarray, lines: list[tuple[int, int]]) -> np.ndarray:
-    """Where the paragraph begins that holds the whole window at each place, -1 without one."""
-    if not lines or not len(at):
-        return np.full(len(at), -1, np.int64)
-    first, size = np.array(lines, np.int64).T
-    k = np.searchsorted(first, at, "right") - 1
-    inside = (k >= 0) & (at + WINDOW <= first[k] + size[k])
-    return np.where(inside, first[k], -1)
-
-
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, places) -> (doc_id, start, left, right): 32 bits of the hash of each word around the windows at these places."""
-    memory = W.WordHashes()
-    for batch in batches:
-        for doc, raw, places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-            h = memory.of(W.space_words(raw.as_py() or b"")).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([doc] * len(places), pa.int64()), pa.array(places, pa.int32()),
-                pa.array([h[max(0, p - AROUND) : p][::-1].tobytes() for p in places], pa.binary()), pa.array([h[p + WINDOW : p + WINDOW + AROUND].tobytes() for p in places], pa.binary())],
-                ["doc_id", "start", "left", "right"])
-
-
-def _equal_words(mine: pa.Array, other: pa.Array) -> pa.Array:
-    """How many words two surroundings share from the window on."""
-    out = []
-    for a, b in zip(mine.to_pylist(), other.to_pylist(), strict=True):
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        n = min(len(x), len(y))
-        unlike = np.flatnonzero(x[:n] != y[:n])
-        out.append(int(unlike[0]) if len(unlike) else n)
-    return pa.array(out, pa.int32())
-
-
-def _stretches(rows: DataFrame, cut: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """cut(doc_id, start, para, key, check): windows -> (doc_id, start, n_words, head, removed): the equal stretches around windows that occur again.
-
-    Windows of paragraphs that are removed as such need no stretch of their own.
-    """
-    groups = stored(cut.groupBy("key", "check").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "window_heads")
-    later = cut.join(groups, ["key", "check"]).where(F.struct("doc_id", "start") != F.col("head"))
-    gone = paragraphs.where(F.struct("doc_id", "start") != F.col("head")).select("doc_id", F.col("start").alias("para"))
-    later = stored(later.join(gone, ["doc_id", "para"], "left_anti").select(
-        "doc_id", "start", F.col("head.doc_id").alias("head_doc"), F.col("head.start").alias("head_start")).distinct(), "seeds")
-    ends = later.select("doc_id", "start").unionByName(later.select(F.col("head_doc").alias("doc_id"), F.col("head_start").alias("start"))).distinct()
-    places = ends.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("places"))
-    around = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_surroundings, "doc_id bigint, start int, left binary, right binary")
-    around = stored(around.dropDuplicates(["doc_id", "start"]), "surroundings")
-    heads = around.select(F.col("doc_id").alias("head_doc"), F.col("start").alias("head_start"), F.col("left").alias("head_left"), F.col("right").alias("head_right"))
-    equal = F.arrow_udf(_equal_words, "int")
-    met = later.join(around, ["doc_id", "start"]).join(heads, ["head_doc", "head_start"])
-    grown = stored(met.select("doc_id", "start", "head_doc", "head_start", equal("left", "head_left").alias("l"), equal("right", "head_right").alias("r")), "grown")
-    lo, hi = F.col("start") - F.col("l"), F.col("start") + WINDOW + F.col("r")
-    copies = grown.select("doc_id", lo.alias("lo"), hi.alias("hi"), F.struct(F.col("head_doc").alias("doc_id"), (F.col("head_start") - F.col("l")).alias("start")).alias("head"))
-    shift = F.col("head_start") - F.col("start")
-    firsts = grown.select(F.col("head_doc").alias("doc_id"), (lo + shift).alias("lo"), (hi + shift).alias("hi")).distinct()
-    firsts = firsts.withColumn("head", F.struct("doc_id", F.col("lo").alias("start")))
-    return _merged(copies, True).unionByName(_merged(firsts, False))
-
-
-def _merged(parts: DataFrame, removed: bool) -> DataFrame:
-    """(doc_id, lo, hi, head): overlapping parts of a document become one stretch; those of fewer than STRETCH words go."""
-    order = Window.partitionBy("doc_id").orderBy("lo", "hi")
-    opens = F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    numbered = parts.withColumn("opens", opens.cast("int")).withColumn("k", F.sum("opens").over(order))
-    out = numbered.groupBy("doc_id", "k").agg(F.min("lo").alias("start"), F.max("hi").alias("stop"), F.min(F.struct("lo", "head")).alias("first"))
-    out = out.where(F.col("stop") - F.col("start") >= STRETCH)
-    return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("first.head").alias("head"), F.lit(removed).alias("removed"))
+            ], ["doc_id", "start", "n_words", "digest", "check", "gap", "rest", *_KEYS])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +134,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, kind, start, n_words, first_doc, first_start, removed): passages that occur in other words' company too.
 
     kind `paragraph`: lines of 20 words and more whose five-word shingle sets have a Jaccard similarity of 0.75 or more
-    with another's, alone or through others (a component). kind `stretch`: 25 words and more that stand word for word
-    in an earlier place too, whole, wherever lines end; every run of 51 equal words and more is found, shorter ones where
-    content chose a seed in them. Windows inside removed paragraphs are left to these. The first place of a group, in the
-    order of (doc_id, start), stays and is listed, the others are removed. start counts words of the text from 0.
+    with another's, alone or through others (a component). kind `window`: stretches that occur again word for word, of 12
+    words at a place that content decides, or up to the end of the next such place if all of it is as in the group's
+    first place; these overlap. Of any 51 equal words one window at least is found, and what is listed of a longer stretch
+    leaves at most 39 words before its first and 32 after its last window. The first place of a group, in the order of (doc_id, start), stays, the others are removed. start counts words of the text from 0.
 
     No row for what occurs once; null, empty and short texts have none. A null doc_id takes part in nothing. The
     passages of repeated rows are listed and, with the same doc_id and start as the first, not removed. Other columns are not read.
@@ -227,8 +161,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     heads = stored(told.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("head")), "heads")
     paragraphs = told.join(heads, "component").select("doc_id", F.lit("paragraph").alias("kind"), "start", "n_words", "head")
 
-    paragraphs = stored(paragraphs, "paragraph_rows")
-    cut = units.where("digest is null").select("doc_id", "start", "para", F.col("k0").alias("key"), "check")
-    stretches = _stretches(rows, cut, paragraphs).withColumn("kind", F.lit("stretch"))
-    told = paragraphs.withColumn("removed", F.struct("doc_id", "start") != F.col("head")).unionByName(stretches)
-    return told.select("doc_id", "kind", "start", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.start").alias("first_start"), "removed")
+    cut = units.where("digest is null").select("doc_id", "start", "n_words", F.col("k0").alias("key"), "check", "gap", "rest")
+    groups = stored(cut.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "window_keys")
+    again = stored(cut.join(groups, ["key", "check"]), "window_groups")
+    heads = stored(again.groupBy("key", "check").agg(F.min(F.struct("doc_id", "start", "gap", "rest")).alias("first")), "heads")
+    goes_on = (F.col("gap") == F.col("first.gap")) & (F.col("rest") == F.col("first.rest")) & (F.struct("doc_id", "start") != F.struct("first.doc_id", "first.start"))
+    stretches = again.join(heads, ["key", "check"]).select(
+        "doc_id", F.lit("window").alias("kind"), "start", (F.col("n_words") + F.when(goes_on, F.col("gap")).otherwise(0)).alias("n_words"),
+        F.struct("first.doc_id", "first.start").alias("head"))
+    return paragraphs.unionByName(stretches).select(
+        "doc_id", "kind", "start", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.start").alias("first_start"),
+        (F.struct("doc_id", "start") != F.col("head")).alias("removed"))
