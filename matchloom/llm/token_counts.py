@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ LIMIT = 1024
 #: Bytes from which on a piece is worked out by itself.
 LONG_PIECE = 64
 #: Pieces, prefixes of pieces and token pairs that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 #: The split pattern of the byte-level tokenizer, and the endings that it splits off whole.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,6 +55,7 @@ class PrefixCounter(dict):
         self.split = regex.compile(PIECES).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.marks = {s[0] for s in special}
         self.state: dict[str, tuple[int, str]] = {"": (0, "")}
         self.fits: dict[tuple[str, str], bool] = {}
 
@@ -145,7 +147,7 @@ class PrefixCounter(dict):
     def counts(self, text: str) -> np.ndarray:
         """Token counts of all byte prefixes, the empty one first; exact where a prefix ends between characters."""
         out, total, at = [np.zeros(1, np.int64)], 0, 0
-        for m in self.special.finditer(text) if self.special and "<" in text else ():
+        for m in self.special.finditer(text) if any(c in text for c in self.marks) else ():
             last = ""
             if m.start() > at:
                 part, last = self.plain(text[at : m.start()])
@@ -165,6 +167,12 @@ class PrefixCounter(dict):
         return np.concatenate(out)
 
 
+@lru_cache(1)
+def _counter(spec: str) -> PrefixCounter:
+    """A Python worker makes one and keeps what it remembers, of bounded size, from task to task."""
+    return PrefixCounter(spec)
+
+
 def longest_prefix(counts: np.ndarray, raw: bytes, limit: int) -> int:
     """Bytes of the longest prefix, ending between characters, that has at most `limit` tokens."""
     inside = np.append((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, False)
@@ -195,7 +203,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(shared.value)
+        counter = _counter(shared.value)
         for batch in batches:
             for i, (text, _) in enumerate(_texts(batch)):
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +221,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
     shared = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(shared.value)
+        counter = _counter(shared.value)
         for batch in batches:
             sizes, tokens, cuts = [], [], []
             for text, raw in _texts(batch):
