@@ -136,7 +136,8 @@ def identify(spark, text: Column, langs: list[str], prototypes: np.ndarray) -> C
         names, score = predict([None if x is None or x != x else x for x in column], *shared.value)
         return pd.DataFrame({"lang": names, "score": score})
 
-    return run(text.cast("string"))
+    # Called nondeterministic, it is not written out, and run, once for each use of its result.
+    return run.asNondeterministic()(text.cast("string"))
 
 
 def held_out(key: Column) -> Column:
