@@ -270,3 +270,37 @@ def test_key_phrases(spark):
     assert {r["phrase"]: r["score"] for r in scored.collect()} == pytest.approx(want)
     best = [r["phrase"] for r in keyphrases.key_phrases(df, "id", "text", k=5, stop_words=stop).orderBy("rank").collect()]
     assert best[0] == min(want, key=lambda p: (round(want[p], 9), p)) and len(best) == 5
+
+
+def test_vectors_of_a_grid_are_never_shuffled(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)]
+    a = spark.createDataFrame(rows, "q long, vec array<double>")
+    b = a.withColumnRenamed("q", "p")
+    for top in (None, 3):
+        made = pairwise.pair_scores(a, b, "q", "p", top=top, block_rows=8)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() >= 60 * (top or 60)
+
+
+def test_hits_of_a_left_row_grow_with_the_partitions_of_the_right_side_alone(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q long, vec array<double>")
+    made = pairwise.pair_scores(a, a.withColumnRenamed("q", "p"), "q", "p", top=2, block_rows=5)
+    assert made.groupBy("q").count().agg(F.max("count")).first()[0] <= 2 * pairwise.TOP_PARTS
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_best_of_many_cells_with_ties(copies):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 4)).round(2)
+    y = np.repeat(rng.normal(size=(50, 4)).round(2), copies, axis=0)
+    import pyarrow as pa
+
+    best = pairwise.Best(pa.array(range(30)), x, 3, 6)
+    for lo in range(0, len(y), 11):
+        best.meet(pa.array(range(lo, min(lo + 11, len(y)))), y[lo : lo + 11])
+    ids, scores, other = best.hits()
+    got = [list(other[np.array(ids.to_pylist()) == i]) for i in range(30)]
+    assert got == [sorted(range(len(y)), key=lambda j: (-round(float(x[i] @ y[j]), 6), j))[:3] for i in range(30)]
+    assert len(scores) == 90
