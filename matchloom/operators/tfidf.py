@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as V
 from matchloom.functions import tokens
+from matchloom.operators import grams
 from matchloom.sources.tables import materialise
 
 # The vocabulary is cut to `max_features` rows, so up to this many it is small enough to broadcast.
 BROADCAST_TERMS = 200_000
 
 
-def _grams(text: str, grams: bool, stop_words: list[str] | None) -> Column:
+def _grams(text: str, pairs: bool, stop_words: list[str] | None) -> Column:
     words = tokens.content_words(F.col(text), stop_words)
-    return tokens.one_two_grams(words) if grams else words
+    return tokens.one_two_grams(words) if pairs else words
 
 
 def term_counts(docs: DataFrame, key: str, text: str, grams: bool = True, stop_words: list[str] | None = None) -> DataFrame:
@@ -32,12 +32,17 @@ def term_stats(counts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFrame:
+    """largest_terms() of term_counts()."""
+    return largest_terms(term_stats(counts), max_features)
+
+
+def largest_terms(stats: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFrame:
     """(term, n, df) of the `max_features` terms with the largest corpus count; of equal ones the smaller term.
 
     A histogram of the counts gives the count at which the list ends: what lies above is taken without any order, and
     only the terms of exactly that count are ordered, over as many tasks as they need.
     """
-    stats = materialise(term_stats(counts), "term_stats")
+    stats = materialise(stats, "term_stats")
     # One row a distinct count: 2^20 of them need a corpus of 2^39 terms.
     above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = stats.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).withColumn("above", F.coalesce(F.sum("terms").over(above), F.lit(0)))
@@ -80,31 +85,21 @@ def row_weights(docs: DataFrame, key: str, text: str, vocab: DataFrame, n_docs:
     if max_features > BROADCAST_TERMS:
         return weights(term_counts(docs, key, text, stop_words=stop_words), vocab, F.lit(n_docs), key, max_features)
     listed = vocab.select("term", idf(F.lit(n_docs), F.col("df")).alias("idf")).orderBy("term").collect()
-    shared = docs.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in listed], pa.string()), np.array([r["idf"] for r in listed])))
+    terms = [r["term"] for r in listed]
+    shared = docs.sparkSession.sparkContext.broadcast((grams.Vocabulary(terms), pa.array(terms, pa.string()), np.array([r["idf"] for r in listed], np.float64)))
+    stop = grams.stop_array(stop_words)
 
-    def weigh(grams: pa.Array) -> pa.Array:
-        return _weigh_rows(grams, *shared.value)
+    def weigh(words: pa.Array) -> pa.Array:
+        known, names, idf_of = shared.value
+        ends, term, w = known.weights(words, stop, idf_of)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(w)], ["term", "w"]))
 
-    made = F.arrow_udf(weigh, "array<struct<term:string,w:double>>")(_grams(text, True, stop_words))
+    made = F.arrow_udf(weigh, "array<struct<term:string,w:double>>")(tokens.words(F.col(text)))
     return docs.select(key, F.inline(made))
 
 
-def _weigh_rows(grams: pa.Array, terms: pa.Array, idf_of: np.ndarray) -> pa.Array:
-    """Each row's known terms with their weights, sorted by term."""
-    lengths = np.nan_to_num(grams.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    at = pc.index_in(grams.flatten(), terms)
-    known = at.is_valid().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(grams)), lengths)[known]
-    entry, tf = np.unique(row * max(1, len(terms)) + at.drop_null().to_numpy(), return_counts=True)
-    row, term = np.divmod(entry, max(1, len(terms)))
-    w = (1.0 + np.log(tf)) * idf_of[term]
-    w /= np.sqrt(np.bincount(row, w * w, len(grams)))[row]
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(grams)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([terms.take(pa.array(term)), pa.array(w)], ["term", "w"]))
-
-
 def fit_transform(docs: DataFrame, key: str, text: str, max_features: int = V.MAX_FEATURES, stop_words: list[str] | None = None) -> DataFrame:
-    vocab = vocabulary(term_counts(docs, key, text, stop_words=stop_words), max_features)
+    vocab = largest_terms(grams.term_stats(docs, text, stop_words=stop_words), max_features)
     return row_weights(docs, key, text, vocab, docs.count(), max_features, stop_words)
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import tokens
+from matchloom.operators import grams as coded_grams
 from matchloom.operators import jaccard, keyphrases, matching, tfidf
 
 RND = random.Random(6)
@@ -108,3 +109,32 @@ def test_low_thresholds_count_in_blocks(spark, monkeypatch):
     got = {(x["l"], x["r"]): x["jaccard"] for x in jaccard.similar_pairs(a, b, "l", "r", 0.1).collect()}
     want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(25) for j in range(25, 40)}
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.1})
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_stats_leave_the_batch_summed_up(docs, texts, pairs):
+    n, df = Counter(), Counter()
+    for text in texts.values():
+        own = grams(text) if pairs else Counter({t: k for t, k in grams(text).items() if " " not in t})
+        n.update(own)
+        df.update(set(own))
+    made = coded_grams.term_stats(docs.coalesce(1), "text", pairs, [])
+    assert {r["term"]: (r["n"], r["df"]) for r in made.collect()} == {t: (n[t], df[t]) for t in n}
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("size", [1, 30, 10_000])
+def test_slices_of_rows_do_not_matter(texts, monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(coded_grams, "SLICE_WORDS", size)
+    rows = [[w for w in (text or "").split()] for text in texts.values()]
+    terms = ["waa", "wab", "waa waa", "waa wab", "nowhere", "wab nowhere"]
+    row, term, tf = coded_grams.Vocabulary(terms).counts(pa.array(rows, pa.list_(pa.string())), coded_grams.stop_array(["wac"]))
+    want = {}
+    for i, words in enumerate(rows):
+        words = [w for w in words if w != "wac"]
+        for t, k in Counter(words + [" ".join(p) for p in zip(words, words[1:])]).items():
+            if t in terms:
+                want[i, terms.index(t)] = k
+    assert {(i, t): k for i, t, k in zip(row.tolist(), term.tolist(), tf.tolist(), strict=True)} == want and len(want) > 3
