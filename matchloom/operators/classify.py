@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as V
 from matchloom.functions import tokens
 from matchloom.functions.text import guard_label, let
-from matchloom.operators import metrics, stratify, svm, tfidf
+from matchloom.operators import grams, metrics, stratify, svm, tfidf
 from matchloom.operators.calibrate import fit_sigmoids
 from matchloom.sources.tables import materialise
 
@@ -32,42 +32,31 @@ class TextClassifier:
     sigmoids: np.ndarray  # (folds, classes, 2)
 
 
-def _weighed(counts: pa.StructArray, idf: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(indices, values) of a batch of sparse counts: sublinear tf x idf at unit length."""
-    indices, n = counts.field("indices"), svm.Sparse(counts.field("indices"), counts.field("values"))
-    w = (1.0 + np.log(n.value)) * idf[n.at]
-    norm = np.sqrt(np.bincount(n.row, w * w, n.rows))
-    w /= np.where(norm > 0, norm, 1.0)[n.row]
-    offsets = pa.array(n.ends.astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, indices.flatten()), pa.ListArray.from_arrays(offsets, pa.array(w))
-
-
 def _lists(rows: np.ndarray) -> pa.Array:
     """(rows, width) as a list column."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
-def _counted(df: DataFrame, text: str, counter: CountVectorizerModel) -> DataFrame:
-    """Adds `_tf`, the sparse counts of a fixed vocabulary: a map, nothing shuffles."""
-    grams = tokens.one_two_grams(tokens.content_words(F.col(text)))
-    return counter.transform(df.withColumn("_grams", grams)).drop("_grams")
-
-
 def term_features(df: DataFrame, text: str, counter: CountVectorizerModel, idf: np.ndarray) -> DataFrame:
-    """Adds the TF-IDF row of the text as `indices` and `values`. Counting is the JVM's, weighing numpy's, a batch at a time."""
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+    """Adds the TF-IDF row of the text as `indices` and `values`. Words are cut by the JVM, counted and weighed as numbers, a batch at a time."""
+    shared = df.sparkSession.sparkContext.broadcast((grams.Vocabulary(counter.vocabulary), idf))
+    stop = grams.stop_array(None)
 
-    def weigh(counts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(_weighed(counts, shared.value), ["indices", "values"])
+    def weigh(words: pa.Array) -> pa.Array:
+        known, idf_of = shared.value
+        ends, term, w = known.weights(words, stop, idf_of)
+        offsets = pa.array(ends.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(w))]
+        return pa.StructArray.from_arrays(lists, ["indices", "values"])
 
-    made = F.arrow_udf(weigh, "indices array<int>, values array<double>")(F.col("_tf"))
-    return _counted(df, text, counter).withColumn("_w", made).select(*df.columns, "_w.indices", "_w.values")
+    made = F.arrow_udf(weigh, "struct<indices:array<int>,values:array<double>>")(tokens.words(F.col(text)))
+    return df.withColumn("_w", made).select(*df.columns, "_w.indices", "_w.values")
 
 
 def fit_terms(docs: DataFrame, key: str, text: str, max_features: int) -> tuple[CountVectorizerModel, np.ndarray]:
     """Vocabulary and idf; at most `max_features` rows reach the driver."""
     n_docs = docs.count()
-    vocab = tfidf.vocabulary(tfidf.term_counts(docs, key, text), max_features)
+    vocab = tfidf.largest_terms(grams.term_stats(docs, text), max_features)
     vocab = materialise(vocab.select("term", tfidf.idf(F.lit(n_docs), F.col("df")).alias("idf")), "terms")
     # Fitted on the chosen terms alone, the counter knows exactly these; handing them over one by one is slow.
     counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features).fit(vocab.select(F.array("term").alias("_grams")))
@@ -91,11 +80,12 @@ def fit(
     rows = term_features(docs.select(key, text, category), text, counter, idf).select(key, category, "indices", "values")
     ranked = stratify.shuffled_rank(rows, category, key)
     # Every pass is a job, and its tasks carry the lineage of their input: a written table has none.
-    rows = materialise(ranked.select(stratify.fold(n_folds).alias("fold"), label.alias("label"), "indices", "values"), "features")
+    rows = ranked.select(stratify.fold(n_folds).alias("fold"), label.alias("label"), "indices", "values")
+    blocks = materialise(svm.blocked(rows), "features")
     # Two classes are told apart by one hyperplane; its mirror image serves the other class.
     fitted = range(len(classes)) if len(classes) > 2 else [1]
     planes = [(f, c) for f in range(n_folds) for c in fitted]
-    weights, biases = svm.fit_planes(rows, planes, len(idf), max_passes)
+    weights, biases = svm.fit_blocks(blocks, planes, len(idf), max_passes)
     coefficients = np.zeros((n_folds, len(classes), len(idf)))
     intercepts = np.zeros((n_folds, len(classes)))
     for (f, c), w, b in zip(planes, weights, biases, strict=True):
@@ -103,14 +93,8 @@ def fit(
     if len(classes) == 2:
         coefficients[:, 0], intercepts[:, 0] = -coefficients[:, 1], -intercepts[:, 1]
 
-    shared = rows.sparkSession.sparkContext.broadcast(_by_term(coefficients, intercepts))
-
-    def held_out_margins(fold: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
-        m = svm.margins(svm.Sparse(indices, values), *shared.value).reshape(len(fold), n_folds, -1)
-        return _lists(m[np.arange(len(fold)), fold.to_numpy()])
-
-    margins = F.arrow_udf(held_out_margins, "array<double>")("fold", "indices", "values")
-    ab = fit_sigmoids(rows.select("fold", "label", margins.alias("margins")), len(classes))
+    margins = svm.held_out_margins(blocks, *_by_term(coefficients, intercepts), n_folds)
+    ab = fit_sigmoids(margins, len(classes))
     sigmoids = np.array([[ab.get((f, c), (0.0, 0.0)) for c in range(len(classes))] for f in range(n_folds)])
     return TextClassifier(counter, idf, classes, coefficients, intercepts, sigmoids)
 
@@ -139,13 +123,16 @@ def predict(model: TextClassifier, df: DataFrame, text: str) -> DataFrame:
     The probabilities are those of the folds, averaged. The broadcast is folds x classes x terms numbers.
     """
     n_folds, n = model.intercepts.shape
-    shared = df.sparkSession.sparkContext.broadcast((model.idf, *_by_term(model.coefficients, model.intercepts)))
+    shared = df.sparkSession.sparkContext.broadcast((grams.Vocabulary(model.counter.vocabulary), model.idf, *_by_term(model.coefficients, model.intercepts)))
+    stop = grams.stop_array(None)
 
-    def margins(counts: pa.Array) -> pa.Array:
-        idf, weights, biases = shared.value
-        return _lists(svm.margins(svm.Sparse(*_weighed(counts, idf)), weights, biases))
+    def margins(words: pa.Array) -> pa.Array:
+        known, idf, weights, biases = shared.value
+        ends, term, w = known.weights(words, stop, idf)
+        offsets = pa.array(ends.astype(np.int32))
+        return _lists(svm.margins(svm.Sparse(pa.ListArray.from_arrays(offsets, pa.array(term)), pa.ListArray.from_arrays(offsets, pa.array(w))), weights, biases))
 
-    out = _counted(df, text, model.counter).withColumn("_margins", F.arrow_udf(margins, "array<double>")(F.col("_tf")))
+    out = df.withColumn("_margins", F.arrow_udf(margins, "array<double>")(tokens.words(F.col(text))))
     out = out.withColumns({f"_p{f}": _probabilities(F.slice("_margins", f * n + 1, n), model.sigmoids[f]) for f in range(n_folds)})
     classes = F.array(*[F.lit(c) for c in model.classes])
 
@@ -153,7 +140,7 @@ def predict(model: TextClassifier, df: DataFrame, text: str) -> DataFrame:
         return reduce(lambda x, y: x + y, [F.get(F.col(f"_p{f}"), i) for f in range(n_folds)]) / n_folds
 
     entries = F.transform(classes, lambda c, i: F.struct(c.alias("category"), mean(i).alias("prob")))
-    out = out.withColumn("probs", metrics.sorted_probs(entries)).drop("_tf", "_margins", *[f"_p{f}" for f in range(n_folds)])
+    out = out.withColumn("probs", metrics.sorted_probs(entries)).drop("_margins", *[f"_p{f}" for f in range(n_folds)])
     best = F.get("probs", F.lit(0))["category"].cast("string")
     return out.withColumn("predicted", guard_label(F.col(text), best))
 

@@ -1,9 +1,11 @@
 """Linear SVMs of all folds and classes at once: each optimiser step is one pass over the rows that serves every plane.
 
 A plane (w, b) of a fold and a class minimises |w|^2 / 2 + b^2 / 2 + C * sum of max(0, 1 - y (w.x + b))^2 over the
-rows of the other folds: squared hinge, and a bias that counts as a weight. A pass multiplies blocks of sparse rows by
-all planes and adds up their losses and gradients; L-BFGS with backtracking runs for each plane on the driver, which
-holds a few vectors a plane.
+rows of the other folds: squared hinge, and a bias that counts as a weight. Rows are stored as blocks of binary arrays
+with their entries' order by term, so that no pass sorts or unpacks them again. A pass multiplies the blocks by all
+planes and adds up their losses and gradients; L-BFGS with backtracking runs for each plane on the driver, which holds
+some vectors a plane. It starts from the inverse of the curvature's diagonal: sums of squares of the terms, times the
+share of rows inside the margin at that pass.
 """
 
 from __future__ import annotations
@@ -15,19 +17,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matchloom.sources.tables import materialise
+
 C = 1.0
 #: A plane is done when its gradient is this share of its first one.
 TOLERANCE = 1e-4
 MAX_PASSES = 1000
 #: Steps that a plane remembers.
-MEMORY = 6
+MEMORY = 20
+#: Entries of a block, a longer row apart.
+BLOCK_ENTRIES = 1_000_000
 #: Bytes of all tasks' gradients up to which the driver adds them up itself; beyond, a group for each plane does.
 DIRECT = 64 << 20
 #: Numbers (entries of rows times planes) that a task holds at once.
 SLICE = 4_000_000
 
 
-_SUMS = "plane int, loss double, gradient binary"
+_SUMS = "plane int, loss double, inside bigint, gradient binary"
+_BLOCKS = "folds binary, labels binary, lengths binary, terms binary, weights binary, by_term binary"
 
 
 class Sparse:
@@ -59,16 +66,6 @@ class Sparse:
             out[some] = np.add.reduceat(weights[self.at[a:b]] * self.value[a:b, None], self.ends[lo + some] - a, axis=0)
         return out
 
-    def add_outer(self, factors: np.ndarray, lo: int, hi: int, total: np.ndarray) -> None:
-        """total (terms, planes) += transpose of the rows lo to hi by factors (rows, planes)."""
-        a, b = self.ends[lo], self.ends[hi]
-        if a == b:
-            return
-        order = np.argsort(self.at[a:b], kind="stable")
-        at = self.at[a:b][order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total[at[first]] += np.add.reduceat(factors[self.row[a:b][order] - lo] * self.value[a:b][order, None], first, axis=0)
-
 
 def margins(sparse: Sparse, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """weights (terms, planes) -> (rows, planes)."""
@@ -76,37 +73,124 @@ def margins(sparse: Sparse, weights: np.ndarray, bias: np.ndarray) -> np.ndarray
     return np.concatenate(parts) + bias if parts else np.zeros((0, len(bias)))
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """(fold, label, indices, values) -> blocks of rows: folds, labels and lengths of the rows, terms and weights of their entries, and the entries' order by term."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Sparse(batch.column(2), batch.column(3))
+            fold, label = (batch.column(i).to_numpy().astype(np.int32) for i in (0, 1))
+            lo = 0
+            while lo < rows.rows:
+                hi = min(rows.rows, max(lo + 1, int(np.searchsorted(rows.ends, rows.ends[lo] + BLOCK_ENTRIES, "right")) - 1))
+                a, b = rows.ends[lo], rows.ends[hi]
+                terms = rows.at[a:b].astype(np.int32)
+                parts = (fold[lo:hi], label[lo:hi], np.diff(rows.ends[lo : hi + 1]).astype(np.int32), terms, rows.value[a:b], np.argsort(terms, kind="stable").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], _BLOCKS.replace(" binary", "").split(", "))
+                lo = hi
+
+    return rows.select("fold", "label", "indices", "values").mapInArrow(cut, _BLOCKS)
+
+
+class _Block:
+    """A row of blocked()."""
+
+    def __init__(self, row: list[pa.Scalar]):
+        kinds = (np.int32, np.int32, np.int32, np.int32, np.float64, np.int32)
+        self.fold, self.label, lengths, self.at, self.value, self.order = (np.frombuffer(x.as_buffer(), k) for x, k in zip(row, kinds, strict=True))
+        self.ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """All rows by weights (terms, planes) -> (rows, planes)."""
+        out = np.zeros((len(self.fold), weights.shape[1]))
+        lo = 0
+        while lo < len(out):
+            hi = min(len(out), max(lo + 1, int(np.searchsorted(self.ends, self.ends[lo] + SLICE // weights.shape[1], "right")) - 1))
+            a, b = self.ends[lo], self.ends[hi]
+            some = lo + np.flatnonzero(np.diff(self.ends[lo : hi + 1]))
+            if len(some):
+                out[some] = np.add.reduceat(weights[self.at[a:b]] * self.value[a:b, None], self.ends[some] - a, axis=0)
+            lo = hi
+        return out
+
+    def add_outer(self, factors: np.ndarray, total: np.ndarray) -> None:
+        """total (terms, planes) += transpose of the rows by factors (rows, planes); rows without a factor are passed over."""
+        used = factors.any(axis=1)
+        order = self.order if used.mean() > 0.7 else self.order[used[self.row[self.order]]]
+        step = max(1, SLICE // factors.shape[1])
+        for lo in range(0, len(order), step):
+            part = order[lo : lo + step]
+            at = self.at[part]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            total[at[first]] += np.add.reduceat(factors[self.row[part]] * self.value[part, None], first, axis=0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield _Block([c[i] for c in batch.columns])
+
+
 def _gradients(batches: Iterator[pa.RecordBatch], shared, folds: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(fold, label, indices, values) -> for each plane, this task's loss and gradient."""
+    """Blocks -> for each plane, this task's loss, rows inside the margin and gradient."""
     planes = shared.value  # (terms + 1, planes), the bias last
-    loss, total = np.zeros(len(folds)), np.zeros_like(planes)
-    for batch in batches:
-        fold, label = (batch.column(i).to_numpy() for i in (0, 1))
-        rows = Sparse(batch.column(2), batch.column(3))
-        for lo, hi in rows.slices(len(folds)):
-            m = rows.times(planes[:-1], lo, hi) + planes[-1]
-            y = np.where(label[lo:hi, None] == classes, 1.0, -1.0)
-            short = np.maximum(0, 1 - y * m) * (fold[lo:hi, None] != folds)
-            loss += (short * short).sum(axis=0)
-            slope = -2 * y * short
-            rows.add_outer(slope, lo, hi, total[:-1])
-            total[-1] += slope.sum(axis=0)
+    loss, inside, total = np.zeros(len(folds)), np.zeros(len(folds), np.int64), np.zeros_like(planes)
+    for block in _blocks(batches):
+        y = np.where(block.label[:, None] == classes, 1.0, -1.0)
+        short = np.maximum(0, 1 - y * (block.times(planes[:-1]) + planes[-1])) * (block.fold[:, None] != folds)
+        loss += (short * short).sum(axis=0)
+        inside += (short > 0).sum(axis=0)
+        slope = -2 * y * short
+        block.add_outer(slope, total[:-1])
+        total[-1] += slope.sum(axis=0)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.arange(len(folds), dtype=np.int32)), pa.array(loss), pa.array([g.tobytes() for g in total.T], pa.binary())], ["plane", "loss", "gradient"])
+        pa.array(np.arange(len(folds), dtype=np.int32)), pa.array(loss), pa.array(inside), pa.array([g.tobytes() for g in total.T], pa.binary())],
+        ["plane", "loss", "inside", "gradient"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plane, loss, total = None, 0.0, 0.0
+    plane, loss, inside, total = None, 0.0, 0, 0.0
     for batch in batches:
-        for p, x, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            plane, loss, total = p, loss + x, total + np.frombuffer(g)
-    yield pa.RecordBatch.from_arrays([pa.array([plane], pa.int32()), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["plane", "loss", "gradient"])
+        for p, x, n, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            plane, loss, inside, total = p, loss + x, inside + n, total + np.frombuffer(g)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([plane], pa.int32()), pa.array([loss]), pa.array([inside], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["plane", "loss", "inside", "gradient"])
+
+
+def _squares(blocks: DataFrame, folds: list[int], terms: int) -> dict[int, tuple[np.ndarray, int]]:
+    """For each fold left out, the sums of squares of every term, the bias last, and the rows they are of."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((len(folds), terms + 1)), np.zeros(len(folds), np.int64)
+        for block in _blocks(batches):
+            kept = block.fold != np.array(folds)[:, None]
+            for k, own in enumerate(kept):
+                total[k, :-1] += np.bincount(block.at, np.where(own[block.row], block.value * block.value, 0.0), terms)
+            rows += kept.sum(axis=1)
+        total[:, -1] = rows
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(len(folds), dtype=np.int32)), pa.array(np.zeros(len(folds))), pa.array(rows), pa.array([g.tobytes() for g in total], pa.binary())],
+            ["plane", "loss", "inside", "gradient"])
+
+    made = {f: (np.zeros(terms + 1), 0) for f in folds}
+    for r in _collected(blocks.mapInArrow(sums, _SUMS), blocks.rdd.getNumPartitions() * len(folds) * (terms + 1)):
+        total, rows = made[folds[r["plane"]]]
+        made[folds[r["plane"]]] = total + np.frombuffer(r["gradient"]), rows + r["inside"]
+    return made
+
+
+def _collected(sums: DataFrame, numbers: int) -> list:
+    """The tasks' sums, a row a plane where all of them would be more than DIRECT bytes."""
+    return (sums.groupBy("plane").applyInArrow(_summed, _SUMS) if numbers * 8 > DIRECT else sums).collect()
 
 
 class _Plane:
     """L-BFGS of one plane between passes."""
 
-    def __init__(self, width: int):
+    def __init__(self, squares: np.ndarray, rows: int):
+        width = len(squares)
+        self.squares, self.rows, self.inverse = squares, max(1, rows), np.ones(width)
         self.w, self.step, self.direction = np.zeros(width), 1.0, np.zeros(width)
         self.loss, self.gradient, self.limit, self.done = np.inf, None, 0.0, False
         self.moves: deque = deque(maxlen=MEMORY)
@@ -114,7 +198,7 @@ class _Plane:
     def trial(self) -> np.ndarray:
         return self.w + self.step * self.direction
 
-    def take(self, loss: float, gradient: np.ndarray) -> None:
+    def take(self, loss: float, gradient: np.ndarray, inside: int) -> None:
         """The sums at trial(): moves there, or halves the step."""
         at = self.trial()
         loss, gradient = C * loss + at @ at / 2, C * gradient + at
@@ -127,10 +211,11 @@ class _Plane:
             self.moves.append((s, y, 1 / (s @ y)))
         else:
             self.limit = TOLERANCE * np.sqrt(gradient @ gradient)
+        self.inverse = 1 / (1 + 2 * C * inside / self.rows * self.squares)
         self.w, self.loss, self.gradient, self.step = at, loss, gradient, 1.0
         size = np.sqrt(gradient @ gradient)
         self.done = size <= self.limit
-        self.direction = -self._scaled(gradient) if self.moves else -gradient / max(size, 1e-300)
+        self.direction = -self._scaled(gradient)
 
     def _scaled(self, q: np.ndarray) -> np.ndarray:
         """The inverse curvature that the remembered moves tell, times q."""
@@ -139,40 +224,60 @@ class _Plane:
             a = r * (s @ q)
             q = q - a * y
             parts.append(a)
-        s, y, r = self.moves[-1]
-        q = q / (r * (y @ y))
+        q = self.inverse * q
+        if self.moves:
+            s, y, r = self.moves[-1]
+            q = q / (r * (y @ (self.inverse * y)))
         for (s, y, r), a in zip(self.moves, reversed(parts), strict=True):
             q = q + s * (a - r * (y @ q))
         return q
 
 
 def fit_planes(rows: DataFrame, planes: list[tuple[int, int]], terms: int, max_passes: int = MAX_PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """rows(fold, label, indices, values), planes as (fold left out, class) -> weights (planes, terms) and biases (planes,).
+    """rows(fold, label, indices, values), planes as (fold left out, class) -> weights (planes, terms) and biases (planes,)."""
+    return fit_blocks(materialise(blocked(rows), "blocks"), planes, terms, max_passes)
+
+
+def fit_blocks(blocks: DataFrame, planes: list[tuple[int, int]], terms: int, max_passes: int = MAX_PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """fit_planes() of a stored table of blocked() rows.
 
     One job a pass, however many planes: the planes that are not done yet travel as a broadcast, one row a plane comes back.
     """
-    fits = [_Plane(terms + 1) for _ in planes]
-    context = rows.sparkSession.sparkContext
-    rows = rows.select("fold", "label", "indices", "values")
-    tasks = rows.rdd.getNumPartitions()
+    squares = _squares(blocks, sorted({f for f, _ in planes}), terms)
+    fits = [_Plane(*squares[f]) for f, _ in planes]
+    context = blocks.sparkSession.sparkContext
+    tasks = blocks.rdd.getNumPartitions()
     for _ in range(max_passes):
         left = [k for k, f in enumerate(fits) if not f.done]
         if not left:
             break
         shared = context.broadcast(np.ascontiguousarray(np.stack([fits[k].trial() for k in left], axis=1)))
         folds, classes = (np.array([planes[k][i] for k in left]) for i in (0, 1))
-        sums = rows.mapInArrow(lambda batches, s=shared, f=folds, c=classes: _gradients(batches, s, f, c), _SUMS)
-        if tasks * len(left) * (terms + 1) * 8 > DIRECT:
-            sums = sums.groupBy("plane").applyInArrow(_summed, _SUMS)
-        loss, gradient = np.zeros(len(left)), np.zeros((len(left), terms + 1))
-        for r in sums.collect():
+        sums = blocks.mapInArrow(lambda batches, s=shared, f=folds, c=classes: _gradients(batches, s, f, c), _SUMS)
+        loss, inside, gradient = np.zeros(len(left)), np.zeros(len(left), np.int64), np.zeros((len(left), terms + 1))
+        for r in _collected(sums, tasks * len(left) * (terms + 1)):
             loss[r["plane"]] += r["loss"]
+            inside[r["plane"]] += r["inside"]
             gradient[r["plane"]] += np.frombuffer(r["gradient"])
-        for k, x, g in zip(left, loss, gradient, strict=True):
-            fits[k].take(x, g)
+        for k, x, n, g in zip(left, loss, inside, gradient, strict=True):
+            fits[k].take(x, g, int(n))
         shared.destroy()
     else:
         if left := [p for p, f in zip(planes, fits, strict=True) if not f.done]:
             raise RuntimeError(f"planes without an optimum after {max_passes} passes: {left}")
     weights = np.stack([f.w for f in fits])
     return weights[:, :-1], weights[:, -1]
+
+
+def held_out_margins(blocks: DataFrame, weights: np.ndarray, biases: np.ndarray, n_folds: int) -> DataFrame:
+    """(fold, label, margins ARRAY<DOUBLE>) of every row by the planes of its own fold; weights (terms, folds x classes)."""
+    shared = blocks.sparkSession.sparkContext.broadcast((weights, biases))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes, bias = shared.value
+        for block in _blocks(batches):
+            m = (block.times(planes) + bias).reshape(len(block.fold), n_folds, -1)[np.arange(len(block.fold)), block.fold]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(block.fold), pa.array(block.label), lists], ["fold", "label", "margins"])
+
+    return blocks.mapInArrow(own, "fold int, label int, margins array<double>")

@@ -143,3 +143,33 @@ def test_sigmoids_sit_at_the_optimum(spark):
 
         best = loss(a, b)
         assert all(best <= loss(a + da, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+
+
+def test_few_passes_over_terms_of_unlike_weight(spark):
+    """The number of passes does not follow how unlike the terms' curvatures are."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(400):
+        terms = sorted(rnd.sample(range(30), 12))
+        rows.append((i % 3, int(sum(terms) % 2 if rnd.random() < 0.2 else terms[0] % 2), terms, [3.0 * 1.2 ** -t for t in terms]))
+    table = spark.createDataFrame(rows, "fold int, label int, indices array<int>, values array<double>").coalesce(1)
+    svm.fit_planes(table, [(0, 1), (1, 1)], 30, max_passes=40)
+
+
+def test_blocks_keep_every_row(spark, monkeypatch):
+    rows, table = sparse_rows(spark, 70, 2, 8)
+    made = svm.blocked(table).collect()
+    assert sum(len(r["folds"]) // 4 for r in made) == 70
+    assert sum(len(r["terms"]) // 4 for r in made) == sum(len(x[2]) for x in rows)
+    total = np.zeros((14, 2))
+    for r in made:
+        import pyarrow as pa
+
+        block = svm._Block([pa.scalar(bytes(c), pa.binary()) for c in r])
+        factors = np.stack([block.fold + 1.0, np.zeros(len(block.fold))], axis=1)
+        block.add_outer(factors, total)
+    want = np.zeros(14)
+    for fold, _, terms, values in rows:
+        for t, v in zip(terms, values):
+            want[t] += (fold + 1) * v
+    assert np.allclose(total[:, 0], want) and not total[:, 1].any()
