@@ -2,37 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom import fixed_values as V
 from matchloom.functions.tokens import counted, words
 from matchloom.sources.tables import materialise
 
+#: Words of a block of documents, a longer document apart.
+BLOCK_WORDS = 5_000_000
+#: Entries whose vectors are added up at once.
+SLICE_ENTRIES = 50_000
+
 
 def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word, tf): each word of a document once, counted inside its row."""
     return docs.select(key, F.inline(counted(words(F.col(text)))).alias("word", "tf"))
 
 
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) -> blocks of documents: keys, words of each, and the block's different words with each entry's place among them."""
+    made = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        lengths = np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        lo = 0
+        while lo < len(batch):
+            hi = min(len(batch), max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_WORDS, "right")) - 1))
+            coded = batch.column(1).slice(lo, hi - lo).flatten().dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            entry, tf = np.unique(np.repeat(np.arange(hi - lo), lengths[lo:hi]) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, place = np.divmod(entry, width)
+            per_row = np.bincount(row, minlength=hi - lo)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.concat_arrays([x]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([made]), one(batch.column(0).slice(lo, hi - lo)), one(coded.dictionary.cast(pa.string())),
+                *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (per_row, place, tf))], ["block", "keys", "words", "lengths", "places", "tfs"])
+            made += 1
+            lo = hi
+
+
+def _means(width: int):
+    """(block rows, (block, places, vecs) rows) of a block -> (key, n_words, n_known, vec)."""
+
+    def of(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        keys, sizes, found, vecs = [], [], [], []
+        for i in range(blocks.num_rows):
+            own = blocks.column("keys")[i].values
+            lengths, place, tf = (np.frombuffer(blocks.column(c)[i].as_buffer(), np.int32) for c in ("lengths", "places", "tfs"))
+            words = int(place.max(initial=-1)) + 1
+            table, there = np.zeros((max(1, words), width)), np.zeros(max(1, words), bool)
+            if known.num_rows:
+                at = known.column("place").to_numpy()
+                table[at] = known.column("known").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+                there[at] = True
+            row = np.repeat(np.arange(len(own)), lengths)
+            n_words = np.bincount(row, tf, len(own)).astype(np.int64)
+            hit = there[place]
+            row, place, tf = row[hit], place[hit], tf[hit].astype(np.float64)
+            n_known = np.bincount(row, tf, len(own))
+            sums = np.zeros((len(own), width))
+            for lo in range(0, len(row), SLICE_ENTRIES):
+                r = row[lo : lo + SLICE_ENTRIES]
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                sums[r[first]] += np.add.reduceat(table[place[lo : lo + SLICE_ENTRIES]] * tf[lo : lo + SLICE_ENTRIES, None], first, axis=0)
+            sums /= np.maximum(1, n_known)[:, None]
+            offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * width)
+            keys.append(own)
+            sizes.append(pa.array(n_words))
+            found.append(pa.array(n_known.astype(np.int64)))
+            vecs.append(pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()), mask=pa.array(n_known == 0)))
+        return pa.table([pa.chunked_array(c) for c in (keys, sizes, found, vecs)], ["_key", "n_words", "n_known", "vec"])
+
+    return of
+
+
 def document_means(docs: DataFrame, table: DataFrame, key: str, text: str, width: int, word: str = "word", vec: str = "vec") -> DataFrame:
     """(key, n_words, n_known, vec): the mean of the vectors of a document's words, each occurrence counting.
 
     `table` has a row for each word it knows, of any number: it is joined, never collected. Words that it does not
     know, or whose vector is null or not `width` long, are left out of the mean; a document without any known word has
-    a null vector. The table is stored first, so that AQE can split the join where a word stands in most documents;
-    a document's words meet again as partial sums.
+    a null vector. Documents are worked on in blocks of about BLOCK_WORDS words: a block asks for each of its different
+    words once, so what is shuffled is a vector a block and word, not one a document and part. The table is stored
+    first, so that AQE can split the join where a word stands in most blocks.
     """
-    known = table.where(F.size(vec) == width).select(F.col(word).alias("_word"), array_to_vector(F.col(vec).cast("array<double>")).alias("_vec"))
+    known = table.where(F.size(vec) == width).select(F.col(word).alias("_word"), F.col(vec).cast("array<double>").alias("known"))
     known = materialise(known.dropDuplicates(["_word"]), "word_table")
-    rows = word_counts(docs, key, text)
-    met = rows.join(known, rows["word"] == known["_word"])
-    means = met.groupBy(key).agg(F.sum("tf").alias("n_known"), vector_to_array(Summarizer.mean(F.col("_vec"), F.col("tf").cast("double"))).alias("vec"))
-    sizes = docs.select(key, F.size(words(F.col(text))).cast("bigint").alias("n_words"))
-    return sizes.join(means, key, "left").select(key, "n_words", F.coalesce("n_known", F.lit(0)).alias("n_known"), "vec")
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    fields = [("block", T.LongType()), ("keys", T.ArrayType(kind)), ("words", T.ArrayType(T.StringType())), *((c, T.BinaryType()) for c in ("lengths", "places", "tfs"))]
+    blocks = materialise(rows.mapInArrow(_block_words, T.StructType([T.StructField(*f) for f in fields])), "word_blocks")
+    asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    told = asked.join(known, F.col("word") == F.col("_word")).select(F.col("block").alias("_block"), "place", "known")
+    schema = T.StructType([
+        T.StructField("_key", kind), T.StructField("n_words", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    made = blocks.drop("words").groupBy("block").cogroup(told.groupBy("_block")).applyInArrow(_means(width), schema)
+    return made.withColumnRenamed("_key", key)
 
 
 def trained_table(docs: DataFrame, text: str, width: int = 64, min_count: int = 2, partitions: int = 8, seed: int = V.RANDOM_STATE) -> DataFrame:

@@ -31,3 +31,32 @@ def test_trained_table(spark):
     table = wordvec.trained_table(docs, "text", width=4, partitions=1)
     assert {r["word"]: len(r["vec"]) for r in table.collect()} == {"alpha": 4, "beta": 4, "gamma": 4}
     assert wordvec.document_means(docs, table, "id", "text", 4).where("n_known = 15").count() == 20
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**6])
+def test_a_block_asks_for_a_word_once(spark, monkeypatch, size):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(wordvec, "BLOCK_WORDS", size)
+    texts = [["data", "lake"] * 10, [], ["data"] * 30, ["lake", "x1", "data"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts, pa.list_(pa.string()))], ["key", "words"])
+
+    class Context:
+        def partitionId(self):
+            return 3
+
+    monkeypatch.setattr(wordvec.TaskContext, "get", Context)
+    made = [b.to_pylist()[0] for b in wordvec._block_words([batch])]
+    assert [k for m in made for k in m["keys"]] == [0, 1, 2, 3]
+    assert all(len(m["words"]) == len(set(m["words"])) for m in made) and len({m["block"] for m in made}) == len(made)
+    assert sum(int(np.frombuffer(m["tfs"], np.int32).sum()) for m in made) == 53
+    assert len(made) == {1: 4, 40: 2, 10**6: 1}[size]
+
+
+def test_no_vector_travels_with_a_document(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma " * 5) for i in range(500)], "id long, text string").coalesce(1)
+    table = spark.createDataFrame([(w, [1.0, 2.0]) for w in ("alpha", "beta", "gamma")], "word string, vec array<double>")
+    made = wordvec.document_means(docs, table, "id", "text", 2)
+    assert made.where("n_known = 15").count() == 500
+    assert "Summarizer" not in made._jdf.queryExecution().toString() and "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().toString()
