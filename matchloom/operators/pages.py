@@ -18,11 +18,10 @@ def pick_page_text(candidates: DataFrame) -> DataFrame:
     """
     ratio = T.space_ratio(F.col("text"))
     good_default = (F.col("x_tol") == V.DEFAULT_TOLERANCE) & (ratio >= V.MIN_SPACE_RATIO)
-    # Good defaults first, then the ratio, then the tolerance: one number, so that texts take no part in the grouping.
+    # Good defaults first, then the ratio, then the tolerance: three numbers, so that texts take no part in the grouping, which is done once.
     keys = ["doc_id", "page_no"]
-    ranked = candidates.select(*keys, "x_tol", F.when(good_default, 2.0).otherwise(ratio).alias("_rank"), ratio.alias("ratio"))
-    best = ranked.groupBy(*keys).agg(F.max("_rank").alias("_best"))
-    chosen = ranked.join(best, keys).where(F.col("_rank") == F.col("_best")).groupBy(*keys).agg(F.max("x_tol").alias("x_tol"), F.max("ratio").alias("ratio"))
+    place = F.struct(F.when(good_default, 2.0).otherwise(ratio).alias("rank"), "x_tol", ratio.alias("ratio"))
+    chosen = candidates.groupBy(*keys).agg(F.max(place).alias("_best")).select(*keys, "_best.x_tol", "_best.ratio")
     return candidates.select(*keys, "x_tol", "text").join(chosen, [*keys, "x_tol"]).select(*keys, "text", "ratio")
 
 

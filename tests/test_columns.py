@@ -162,3 +162,36 @@ def test_long_link_and_long_blank_run(spark):
     row = spark.createDataFrame([(f"see {link} now",)], "t string").select(first.alias("f"), rest.alias("r")).first()
     assert row["f"] == link and row["r"] == "see  now"
     assert value(spark, text.trim_u, " a" + " " * 200000 + "b \n") == "a" + " " * 200000 + "b"
+
+
+def test_page_candidates_are_grouped_once(spark):
+    from matchloom.operators import pages
+
+    rows = [(1, 0, 3, "ab"), (1, 0, 2, "a b"), (1, 0, 1, "a b"), (2, 0, 3, "a b c"), (2, 0, 2, "a  b  c"), (3, 1, 2, ""), (3, 1, 1, "")]
+    made = pages.pick_page_text(spark.createDataFrame(rows, "doc_id long, page_no int, x_tol int, text string"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("Join "), plan.count("Aggregate ")) == (1, 1)
+    assert sorted((r["doc_id"], r["text"], round(r["ratio"], 6)) for r in made.collect()) == [(1, "a b", 0.333333), (2, "a b c", 0.4), (3, "", 0.0)]
+
+
+def test_pages_become_strings_one_at_a_time():
+    import pyarrow as pa
+
+    from matchloom.functions import html
+
+    class Pages:
+        """A list of pages that no one may take as a whole."""
+
+        def __init__(self, pages):
+            self.pages = pages
+
+        def __len__(self):
+            return len(self.pages)
+
+        def slice(self, lo, n):
+            assert n <= 64
+            return self.pages.slice(lo, n)
+
+    made = html._text_nodes(Pages(pa.array([None if i == 70 else f"<body><p>page {i}</p></body>" for i in range(150)], pa.string())))
+    assert [None if t is None else t.strip() for t in made.to_pylist()] == [None if i == 70 else f"page {i}" for i in range(150)]
+    assert len(html._text_nodes(Pages(pa.array([], pa.string())))) == 0
