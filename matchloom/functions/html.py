@@ -13,6 +13,8 @@ from matchloom.functions.text import let, trim_u
 
 # Line ends that split a text node into lines (more than \n, unlike sections and passages).
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: Pages whose texts are held as Python strings at once.
+SLICE_PAGES = 64
 
 
 def decode_entities(s: Column) -> Column:
@@ -43,7 +45,9 @@ def decode_entities(s: Column) -> Column:
 
 
 def _text_nodes(pages: pa.Array) -> pa.Array:
-    return pa.array([None if page is None else text_nodes(page) for page in pages.to_pylist()], pa.string())
+    # Pages become Python strings one at a time, and their texts go back to Arrow some at a time.
+    parts = [pa.array([None if (page := p.as_py()) is None else text_nodes(page) for p in pages.slice(lo, SLICE_PAGES)], pa.string()) for lo in range(0, len(pages), SLICE_PAGES)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def posting_text(html: Column) -> Column:
