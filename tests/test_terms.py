@@ -138,3 +138,17 @@ def test_slices_of_rows_do_not_matter(texts, monkeypatch, size):
             if t in terms:
                 want[i, terms.index(t)] = k
     assert {(i, t): k for i, t, k in zip(row.tolist(), term.tolist(), tf.tolist(), strict=True)} == want and len(want) > 3
+
+
+def test_slices_of_phrases_stay_small():
+    import pyarrow as pa
+
+    word = pa.struct([("term", pa.string()), ("shape", pa.int8())])
+    docs = pa.array([[[[{"term": "word", "shape": 0}] * 1000]]] * 150, pa.list_(pa.list_(pa.list_(word))))
+    seen = []
+
+    def work(part):
+        seen.append(1000 * len(part))
+        return pa.array([None] * len(part), pa.string())
+
+    assert len(keyphrases._by_slices(docs, work)) == 150 and max(seen) <= 100_000 and sum(seen) == 150_000
