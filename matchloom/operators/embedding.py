@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.functions.vectors import HASH_WIDTH, bucket_words, unit
+from matchloom.functions.tokens import words
+from matchloom.functions.vectors import HASH_WIDTH, unit
+from matchloom.operators import grams
+
+
+def _hashed_rows(words: pa.Array, width: int) -> pa.Array:
+    """Unit vectors of hashed word counts; a slice's different words are hashed once each."""
+    parts = []
+    for part in grams.slices(words):
+        coded = part.flatten().dictionary_encode()
+        buckets = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % width for w in coded.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+        n = np.bincount(row * width + buckets[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(part) * width).astype(np.float64).reshape(-1, width)
+        norm = np.sqrt((n * n).sum(axis=1, keepdims=True))
+        offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * width)
+        parts.append(pa.ListArray.from_arrays(offsets, pa.array((n / np.where(norm > 0, norm, 1.0)).ravel())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
 
 def hashed(df: DataFrame, text: str, out: str = "vec", width: int = HASH_WIDTH) -> DataFrame:
-    """Adds the unit vector of hashed word counts.
+    """Adds the unit vector of hashed word counts (functions.vectors.hash_bucket). Words are cut by the JVM and hashed in Arrow batches; nothing shuffles."""
 
-    The vocabulary of the counter is fixed (the bucket numbers), so nothing is fitted and nothing shuffles.
-    """
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(width)], inputCol="_buckets", outputCol="_counts"
-    )
-    counted = counter.transform(df.withColumn("_buckets", bucket_words(F.col(text), width)))
-    normed = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counted)
-    return normed.withColumn(out, vector_to_array("_unit")).drop("_buckets", "_counts", "_unit")
+    def made(x: pa.Array) -> pa.Array:
+        return _hashed_rows(x, width)
+
+    # So marked, no filter on the vector is pushed below it, where it would be evaluated a second time.
+    return df.withColumn(out, F.arrow_udf(made, "array<double>").asNondeterministic()(words(F.col(text))))
 
 
 def from_table(df: DataFrame, vectors: DataFrame, key: str, vec: str = "vec", out: str = "vec") -> DataFrame:

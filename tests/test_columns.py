@@ -195,3 +195,24 @@ def test_pages_become_strings_one_at_a_time():
     made = html._text_nodes(Pages(pa.array([None if i == 70 else f"<body><p>page {i}</p></body>" for i in range(150)], pa.string())))
     assert [None if t is None else t.strip() for t in made.to_pylist()] == [None if i == 70 else f"page {i}" for i in range(150)]
     assert len(html._text_nodes(Pages(pa.array([], pa.string())))) == 0
+
+
+def test_a_word_is_hashed_once_a_slice(spark, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    from matchloom.functions import vectors
+    from matchloom.operators import embedding
+
+    texts = ["Data lake data ä é lake", "", None, "lake " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["vec"] for r in embedding.hashed(df, "text").collect()}
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([("data",), ("lake",)], "w string").select("w", vectors.hash_bucket(F.col("w")).alias("b")).collect()}
+    assert got[0][bucket["data"]] == got[0][bucket["lake"]] == pytest.approx(0.5**0.5) and got[3][bucket["lake"]] == 1.0
+    assert [len(got[i]) for i in range(4)] == [vectors.HASH_WIDTH] * 4 and not any(got[1]) and not any(got[2])
+    hashed = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda w: hashed.append(w) or md5(w))
+    assert len(embedding._hashed_rows(pa.array([["data", "lake"] * 50, [], ["data"]], pa.list_(pa.string())), 384)) == 3
+    assert sorted(hashed) == [b"data", b"lake"]
