@@ -2,7 +2,11 @@
 
 Passages belong to the cell of their nearest centre. No passage of a cell scores higher for a query q than
 q.centre + |q| * radius. Each query first visits its most promising cells; the k-th best score found there is a floor,
-and it then visits every other cell whose bound reaches that floor. What is left out is proven to hold no hit.
+and it then visits every cell whose bound reaches that floor. What is left out is proven to hold no hit.
+
+Passages and queries are stored as blocks, each a piece of one cell. Spark's Cartesian product brings a block of queries
+and the blocks of the cells that any of them wants together, so a vector is shuffled once for its block and never
+for the cells that it visits; a task keeps the `top` best of its queries from block to block.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.operators.pairwise import BLOCK_ROWS, _matrix, cell_scores
+from matchloom.operators.pairwise import BLOCK_ROWS, STRIP, TOP_PARTS, Best, _matrix, block_of, blocks, hit_batches
 from matchloom.sources.tables import materialise
 
 #: Cells of an index at most. Every task holds their centres: MAX_CELLS vectors, whatever the index.
@@ -28,9 +32,10 @@ DECIMALS = 6
 
 
 class CellIndex(NamedTuple):
-    """rows(r, rv, cell, block): every passage. A large cell is cut into blocks by hash, so no cell is one task's."""
+    """rows(r, rv, cell, gap): every passage; blocks(block, ids, vectors, cell): the same in pieces of cells, so no cell is one task's."""
 
     rows: DataFrame
+    blocks: DataFrame
     key: T.DataType
     centres: np.ndarray  # (cells, width)
     radii: np.ndarray
@@ -53,6 +58,23 @@ def _nearest_centre(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> I
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt((gap * gap).sum(axis=1)))], ["r", "rv", "cell", "gap"])
 
 
+def _placed(rows: DataFrame, centres: np.ndarray, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(r, rv) -> (r, rv, cell, gap), stored, and the radius and the rows of each cell."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
+    placed = materialise(rows.mapInArrow(lambda batches: _nearest_centre(batches, centres), schema), name)
+    radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for c in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row a centre
+        radii[c["cell"]], sizes[c["cell"]] = c["radius"] * (1 + 1e-9), c["n"]
+    return placed, radii, sizes
+
+
+def _cut(placed: DataFrame, sizes: np.ndarray, block_rows: int) -> DataFrame:
+    """(block, ids, vectors, cell) of `block_rows` rows at most; a large cell is dealt out by hash before."""
+    pieces = F.get(F.array(*[F.lit(int(b)) for b in np.maximum(1, -(-sizes // block_rows))]), F.col("cell"))
+    dealt = placed.select("r", "rv", "cell", F.pmod(F.xxhash64("r"), pieces).cast("int").alias("piece")).repartition("cell", "piece")
+    return blocks(dealt.sortWithinPartitions("cell"), "r", "rv", block_rows, "cell")
+
+
 def build(passages: DataFrame, passage: str, vec: str = "vec", cells: int | None = None, block_rows: int = BLOCK_ROWS) -> CellIndex:
     """The index of all passages that have a vector; all vectors are of one length.
 
@@ -66,60 +88,100 @@ def build(passages: DataFrame, passage: str, vec: str = "vec", cells: int | None
     centres = np.array([x["rv"] for x in sorted(drawn, key=lambda x: str(x["r"]))], np.float64)
     key = rows.schema["r"].dataType
     if not len(centres):
-        empty = rows.withColumns({"cell": F.lit(0), "block": F.lit(0)})
-        return CellIndex(empty, key, np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64))
-    schema = T.StructType([T.StructField("r", key), T.StructField("rv", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
-    placed = materialise(rows.mapInArrow(lambda batches: _nearest_centre(batches, centres), schema), "cells")
-    radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
-    for c in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row a centre
-        radii[c["cell"]], sizes[c["cell"]] = c["radius"] * (1 + 1e-9), c["n"]
-    blocks = F.get(F.array(*[F.lit(int(b)) for b in np.maximum(1, -(-sizes // block_rows))]), F.col("cell"))
-    return CellIndex(placed.select("r", "rv", "cell", F.pmod(F.xxhash64("r"), blocks).cast("int").alias("block")), key, centres, radii, sizes)
-
+        empty = rows.withColumns({"cell": F.lit(0), "gap": F.lit(0.0)})
+        return CellIndex(empty, blocks(empty, "r", "rv", block_rows, "cell"), key, np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64))
+    placed, radii, sizes = _placed(rows, centres, "cells")
+    return CellIndex(placed, materialise(_cut(placed, sizes, block_rows), "cell_blocks"), key, centres, radii, sizes)
 
-def _bounds(q: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(queries, cells): no passage of the cell scores higher."""
-    centres, radii = index
-    return q @ centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * radii
 
+class _Cells(NamedTuple):
+    """What every task holds of the index."""
 
-def _first_cells(batches: Iterator[pa.RecordBatch], index: tuple, sizes: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
-    """(l, lv) -> with the cells of greatest bounds, until they hold `enough` passages."""
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+    enough: int
+
+    def bounds(self, q: np.ndarray, cells: slice | int = slice(None)) -> np.ndarray:
+        """(queries, cells): no passage of the cell scores higher."""
+        return (q @ self.centres[cells].T) + np.multiply.outer(np.sqrt((q * q).sum(axis=1)), self.radii[cells])
+
+    def first(self, bounds: np.ndarray) -> np.ndarray:
+        """(queries, cells): the cells of greatest bounds, until they hold `enough` passages."""
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        out = np.empty(bounds.shape, bool)
+        np.put_along_axis(out, order, before < self.enough, axis=1)
+        return out & (self.sizes > 0)
+
+    def first_of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, query) of the first visits, ordered by cell."""
+        row, cell = (np.concatenate(c) for c in zip(*(
+            (at[:, 0] + lo, at[:, 1]) for lo in range(0, len(q), STRIP) for at in [np.argwhere(self.first(self.bounds(q[lo : lo + STRIP])))]), strict=True))
+        order = np.argsort(cell, kind="stable")
+        return cell[order].astype(np.int32), row[order].astype(np.int32)
+
+
+def _with_first_cells(batches: Iterator[pa.RecordBatch], index: _Cells) -> Iterator[pa.RecordBatch]:
+    """(block, ids, vectors) -> with the cells that some query of the block visits first."""
     for batch in batches:
-        q = _matrix(pa.table({"v": batch.column(1)}), "v") if len(batch) else np.zeros((0, index[0].shape[1]))
-        order = np.argsort(-_bounds(q, index), axis=1, kind="stable")
-        held = np.cumsum(sizes[order], axis=1)
-        last = np.minimum((held < enough).sum(axis=1), len(sizes) - 1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[: k + 1].astype(np.int32) for o, k in zip(order, last, strict=True)], pa.list_(pa.int32()))], ["l", "lv", "cells"])
+        for i in range(len(batch)):
+            cell = np.unique(index.first_of(block_of(batch["ids"][i], batch["vectors"][i])[1])[0])
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([cell], pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
 
-def _other_cells(batches: Iterator[pa.RecordBatch], index: tuple, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(l, lv, cells, floor) -> (l, lv, cells): the cells that were not visited and whose bound reaches the floor."""
-    slack = 10.0 ** -DECIMALS
+def _first_scores(batches: Iterator[pa.RecordBatch], index: _Cells, top: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries beside blocks of passages -> (block, scores): the `top` best scores of each query in its first cells."""
+    state: dict[int, tuple[Best, np.ndarray, np.ndarray]] = {}  # of the query blocks of this task's partition
     for batch in batches:
-        q = _matrix(pa.table({"v": batch.column(1)}), "v") if len(batch) else np.zeros((0, index[0].shape[1]))
-        floor = np.nan_to_num(batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
-        open_ = (_bounds(q, index) >= (floor - slack)[:, None]) & (sizes > 0)
-        for row, seen in zip(open_, batch.column(2).to_pylist(), strict=True):
-            row[seen] = False
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([np.flatnonzero(r).astype(np.int32) for r in open_], pa.list_(pa.int32()))], ["l", "lv", "cells"])
-
+        for i, (block, cell) in enumerate(zip(batch["block"].to_pylist(), batch["cell"].to_pylist(), strict=True)):
+            if block not in state:
+                ids, x = block_of(batch["ids"][i], batch["vectors"][i])
+                state[block] = Best(ids, x, top, DECIMALS), *index.first_of(x)
+            best, cells, rows = state[block]
+            best.meet(*block_of(batch["other_ids"][i], batch["other_vectors"][i]), rows[slice(*np.searchsorted(cells, [cell, cell + 1]))])
+    for block, (best, _, _) in state.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([best.scores().tobytes()], pa.binary())], ["block", "scores"])
+
+
+def _with_cells(batches: Iterator[pa.RecordBatch], index: _Cells, top: int) -> Iterator[pa.RecordBatch]:
+    """(block, ids, vectors, parts) -> (block, ids, vectors, floors, cells, visits): what no hit of a query scores below, the cells
+    that some query of the block wants, and how many each query has compared in the end."""
+    for batch in batches:
+        for i, parts in enumerate(batch["parts"].to_pylist()):
+            x = block_of(batch["ids"][i], batch["vectors"][i])[1]
+            scores = np.concatenate([np.full((len(x), top), -np.inf), *(np.frombuffer(p).reshape(len(x), top) for p in parts or [])], axis=1)
+            # One unit of the last place: more than rounding moves a score.
+            floors = np.partition(scores, -top, axis=1)[:, -top] - 10.0**-DECIMALS
+            wanted, visits = np.zeros(len(index.sizes), bool), np.zeros(len(x), np.int32)
+            for lo in range(0, len(x), STRIP):
+                bounds = index.bounds(x[lo : lo + STRIP])
+                open_ = ~(bounds < floors[lo : lo + STRIP, None]) & (index.sizes > 0)
+                wanted |= open_.any(axis=0)
+                visits[lo : lo + STRIP] = (open_ | index.first(bounds)).sum(axis=1)
+            lists = [pa.array([floors], pa.list_(pa.float64())), pa.array([np.flatnonzero(wanted).astype(np.int32)], pa.list_(pa.int32())), pa.array([visits], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:3], *lists], ["block", "ids", "vectors", "floors", "cells", "visits"])
+
+
+def _best_hits(batches: Iterator[pa.RecordBatch], index: _Cells, top: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries beside blocks of passages -> (query, passage, score): the `top` best of each query in this task."""
+    state: dict[int, Best] = {}  # of the query blocks of this task's partition
+    for batch in batches:
+        for i, (block, cell) in enumerate(zip(batch["block"].to_pylist(), batch["cell"].to_pylist(), strict=True)):
+            if block not in state:
+                state[block] = Best(*block_of(batch["ids"][i], batch["vectors"][i]), top, DECIMALS, batch["floors"][i].values.to_numpy())
+            own = state[block]
+            rows = np.flatnonzero(~(index.bounds(own.x, cell) < own.floor))
+            if len(rows):
+                own.meet(*block_of(batch["other_ids"][i], batch["other_vectors"][i]), rows)
+    yield from hit_batches(state, names)
 
-def _compared(wanting: DataFrame, index: CellIndex, query: str, passage: str, top: int, block_rows: int) -> DataFrame:
-    """wanting(l, lv, cells) -> (query, passage, score): the `top` best of each query and block of a cell.
 
-    A cell that many queries want is met by blocks of queries, so neither side of a task is more than a block.
-    """
-    asked = wanting.select("l", "lv", F.explode("cells").alias("cell"))
-    crowd = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("crowds"))  # MAX_CELLS rows at most
-    blocks = F.get(F.array(*[F.lit(int(b)) for b in np.maximum(1, -(-index.sizes // block_rows))]), F.col("cell"))
-    left = asked.join(F.broadcast(crowd), "cell").select(
-        "l", "lv", "cell", F.pmod(F.xxhash64("l"), F.col("crowds")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    right = index.rows.join(F.broadcast(crowd), "cell").select(
-        "r", "rv", "cell", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("i"), F.col("block").alias("j"))
-    schema = T.StructType([T.StructField(query, wanting.schema["l"].dataType), T.StructField(passage, index.key), T.StructField("score", T.DoubleType())])
-    keys = ["cell", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell_scores(query, passage, DECIMALS, top), schema)
+def _beside(wanting: DataFrame, index: CellIndex) -> DataFrame:
+    """Every block of queries with every block of the cells that it wants; the query blocks of a partition are what the product holds."""
+    other = index.blocks.select("cell", F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
+    met = other.coalesce(TOP_PARTS).join(wanting.hint("shuffle_replicate_nl"), F.array_contains("cells", F.col("cell")))
+    return met.drop("cells", "visits")
 
 
 def search(queries: DataFrame, index: CellIndex, query: str, passage: str, top: int, vec: str = "vec", block_rows: int = BLOCK_ROWS) -> Search:
@@ -127,19 +189,21 @@ def search(queries: DataFrame, index: CellIndex, query: str, passage: str, top:
 
     Queries without a vector have no hits.
     """
-    q = queries.select(F.col(query).alias("l"), F.col(vec).cast("array<double>").alias("lv")).where(F.col("lv").isNotNull())
-    bounds, sizes = (index.centres, index.radii), index.sizes
-    kind = q.schema["l"].dataType
-    told = T.StructType([T.StructField("l", kind), T.StructField("lv", T.ArrayType(T.DoubleType())), T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    if not len(sizes):
-        none = T.StructType([T.StructField(query, kind), T.StructField(passage, index.key), T.StructField("score", T.DoubleType())])
-        return Search(q.sparkSession.createDataFrame([], none), q.select(F.col("l").alias(query), F.lit(0).alias("cells")))
-    first = materialise(q.mapInArrow(lambda batches: _first_cells(batches, bounds, sizes, FIRST_VISIT * top), told), "first_cells")
-    hits = materialise(_compared(first, index, query, passage, top, block_rows), "first_hits")
-    # A query's first hits are at most `top` for each block that it visited.
-    best = hits.groupBy(F.col(query).alias("l")).agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(top - 1)).alias("floor"))
-    rest = first.join(best, "l", "left").select("l", "lv", "cells", "floor").mapInArrow(lambda batches: _other_cells(batches, bounds, sizes), told)
-    rest = materialise(rest.where(F.size("cells") > 0), "other_cells")
-    visits = first.select(F.col("l").alias(query), "cells").unionByName(rest.select(F.col("l").alias(query), "cells")).groupBy(query).agg(
-        F.sum(F.size("cells")).cast("int").alias("cells"))
-    return Search(hits.unionByName(_compared(rest, index, query, passage, top, block_rows)), visits)
+    q = queries.select(F.col(query).alias("r"), F.col(vec).cast("array<double>").alias("rv")).where(F.col("rv").isNotNull())
+    kind = q.schema["r"].dataType
+    found = T.StructType([T.StructField(query, kind), T.StructField(passage, index.key), T.StructField("score", T.DoubleType())])
+    if not len(index.sizes):
+        return Search(q.sparkSession.createDataFrame([], found), q.select(F.col("r").alias(query), F.lit(0).alias("cells")))
+    cells = _Cells(index.centres, index.radii, index.sizes, FIRST_VISIT * top)
+    placed, _, sizes = _placed(q, index.centres, "query_cells")
+    cut = _cut(placed, sizes, block_rows).drop("cell")
+    ints, names = T.ArrayType(T.IntegerType()), found.names
+    first = materialise(cut.mapInArrow(lambda batches: _with_first_cells(batches, cells), T.StructType([*cut.schema.fields, T.StructField("cells", ints)])), "first_cells")
+    scores = _beside(first, index).mapInArrow(lambda batches: _first_scores(batches, cells, top), "block long, scores binary")
+    # A block of queries has at most TOP_PARTS parts.
+    known = first.drop("cells").join(scores.groupBy("block").agg(F.collect_list("scores").alias("parts")), "block", "left")
+    told = T.StructType([*cut.schema.fields, T.StructField("floors", T.ArrayType(T.DoubleType())), T.StructField("cells", ints), T.StructField("visits", ints)])
+    wanting = materialise(known.mapInArrow(lambda batches: _with_cells(batches, cells, top), told), "wanted_cells")
+    hits = _beside(wanting, index).mapInArrow(lambda batches: _best_hits(batches, cells, top, names), found)
+    visits = wanting.select(F.inline(F.arrays_zip(F.col("ids").alias(query), F.col("visits").alias("cells"))))
+    return Search(hits, visits)

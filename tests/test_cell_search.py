@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import cell_search, matching
+from matchloom.operators.pairwise import TOP_PARTS
 
 
 def table(spark, x, key):
@@ -44,3 +45,16 @@ def test_few_passages_and_none(spark):
     assert matching.retrieve(queries, two, "qid", "pid", k=5, index=cell_search.build(two, "pid")).count() == 6
     assert matching.retrieve(queries, two.limit(0), "qid", "pid", k=5, index=cell_search.build(two.limit(0), "pid")).count() == 0
     assert matching.retrieve(queries.limit(0), two, "qid", "pid", k=5, index=cell_search.build(two, "pid")).count() == 0
+
+
+def test_vectors_do_not_travel_to_the_cells(spark):
+    passages, queries = table(spark, clustered(2500, 4), "pid"), table(spark, clustered(300, 5), "qid")
+    index = cell_search.build(passages, "pid", block_rows=20)
+    found = cell_search.search(queries, index, "qid", "pid", 12, block_rows=20)
+    plan = found.hits._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "CoGroup" not in plan
+    assert 300 * 12 <= found.hits.count() <= 300 * 12 * TOP_PARTS
+    cell = {r["r"]: r["cell"] for r in index.rows.collect()}
+    pieces = index.blocks.collect()
+    assert sorted(i for p in pieces for i in p["ids"]) == list(range(2500))
+    assert all(len(p["ids"]) <= 20 and {cell[i] for i in p["ids"]} == {p["cell"]} for p in pieces)
