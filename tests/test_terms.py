@@ -152,3 +152,76 @@ def test_slices_of_phrases_stay_small():
         return pa.array([None] * len(part), pa.string())
 
     assert len(keyphrases._by_slices(docs, work)) == 150 and max(seen) <= 100_000 and sum(seen) == 150_000
+
+
+def plain_distance(a, b):
+    above = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(above[j - 1] + (c != d), above[j] + 1, row[-1] + 1))
+        above = row
+    return above[-1]
+
+
+def test_edit_distances_and_how_many_edits_are_alike():
+    made = ["".join(RND.choices("ab c", k=RND.randint(1, 30))) for _ in range(40)]
+    made += ["".join(c if RND.random() < 0.93 else RND.choice(["", "x", c + "y"]) for c in m) for m in made]
+    for a in made:
+        for b in made:
+            d = plain_distance(a, b)
+            assert [keyphrases._within(a, b, m) for m in range(-1, 5)] == [d <= m for m in range(-1, 5)]
+    for limit in (0.9, 0.5, 0.0, 1.0, -0.5):
+        most = keyphrases._edits(limit)
+        for n in range(1, 80):
+            assert most(n) == max((m for m in range(n + 1) if 1 - m / n > limit), default=-1)
+
+
+@pytest.mark.parametrize(("k", "limit"), [(20, 0.9), (3, 0.5), (200, 0.7)])
+def test_best_phrases_are_the_fold_of_all_candidates(spark, k, limit):
+    near = [f"{a}{b}" for a in ("network", "networks", "netwerk", "planning", "plannings", "Signal", "signals", "SIGNAL") for b in ("", "ed", "s")]
+    texts = {i: " ".join(w + RND.choice(["", "", "", ",", ". ", "! ", "\n"]) for w in RND.choices(near + ["the", "of", "x1"], k=RND.randint(0, 120))) for i in range(30)}
+    df = spark.createDataFrame([*texts.items(), (90, None), (91, "...")], "id long, text string").coalesce(2)
+    rounded = F.transform(keyphrases.candidates(F.col("text")), lambda c: F.struct(F.round(c["score"], 9).alias("score"), c["phrase"].alias("phrase")))
+    want = set()
+    for r in df.select("id", F.sort_array(rounded).alias("c")).collect():
+        kept = []
+        for score, phrase in r["c"]:
+            if len(kept) < k and all(not 1 - plain_distance(phrase, o) / max(len(phrase), len(o)) > limit for _, o in kept):
+                kept.append((score, phrase))
+        want |= {(r["id"], i + 1, p, s) for i, (s, p) in enumerate(kept)}
+    found = keyphrases.key_phrases(df, "id", "text", k=k, limit=limit)
+    assert set(map(tuple, found.collect())) == want and want
+    # Candidates do not come back from Python to be compared one by one.
+    plan = found._jdf.queryExecution().toString()
+    assert "levenshtein" not in plan and "aggregate(" not in plan
+
+
+def test_words_are_spelled_as_spark_spells_them(spark):
+    odd = "é É ÉÉ Éa ǅ ǅa ß İ Σ ΑΣ ΑΣΑ ʰ ª Ⅷ ⅷ ² a² ٣ _ _A A_ A_B aB Ab AB ab 中 中A A中 𝐀 𝐀𝐁 𝟘 1 A1 ﬁ Ⓐ ŉ".split()
+    w = F.col("w")
+    kinds = F.when(F.rlike(w, F.lit(keyphrases.ACRONYM)), 2).when(F.rlike(w, F.lit(keyphrases.CAPITAL)), 1).otherwise(0)
+    rows = spark.createDataFrame([(w,) for w in odd], "w string").where(F.rlike(w, F.lit(rf"^{keyphrases.WORD}$")))
+    for r in rows.select("w", F.when(~F.rlike(w, F.lit(keyphrases.HAS_DIGIT)), F.lower(w)).alias("term"), kinds.alias("kind")).collect():
+        assert keyphrases._spelling(r["w"]) == (r["term"], r["kind"]), r["w"]
+    values = [0.0, 5e-10, 1.5e-9, 2.5e-9, -5e-10, 0.1234567885, 0.12345678949999999, 1 / 3, 1e15 + 0.3, 1e300, float("inf"), -float("inf")] + [RND.random() * 10.0**-e for e in range(12)]
+    want = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 9)).collect()
+    assert keyphrases._rounded(np.array(values)).tolist() == [r[0] for r in want]
+
+
+def test_sentences_and_runs():
+    import pyarrow as pa
+
+    # as _tokens() cuts 'One two, three.  Two "x1" B\n\n... last'
+    tokens = ["One", "two", "", "three", ".  ", "Two", "", "x1", "", "B", "\n\n", "... ", "last"]
+    x = keyphrases._words(pa.array([[], tokens, ["", ". "], ["One"]], pa.list_(pa.string())), frozenset())
+    assert x.doc.tolist() == [1, 1, 1, 1, 1, 1, 1, 3] and x.sentences.tolist() == [0, 3, 0, 1]
+    assert x.sentence.tolist() == [0, 0, 0, 1, 1, 1, 2, 0] and x.opens.tolist() == [True, False, False, True, False, False, True, True]
+    assert [int(r) for r in np.diff(x.run)] == [0, 1, 1, 1, 1, 1, 1]
+    assert [x.terms[t].as_py() if t >= 0 else None for t in x.term.tolist()] == ["one", "two", "three", "two", None, "b", "last", "one"]
+
+
+def test_cut_of_texts(spark):
+    text = 'One two, three.  Two "x1" B\n\n... last?!'
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(keyphrases._tokens(F.col("t"))).collect()
+    assert got[0][0] == ["One", "two", "", "three", ".  ", "Two", "", "x1", "", "B", "\n\n", "... ", "last", "", ""] and got[1][0] == []
