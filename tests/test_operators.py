@@ -282,6 +282,24 @@ def test_vectors_of_a_grid_are_never_shuffled(spark):
         assert made.count() >= 60 * (top or 60)
 
 
+def test_a_stored_matrix_takes_less_than_its_scores(spark, tmp_path):
+    x = np.random.default_rng(11).normal(size=(1200, 64))
+    x = np.round(x / np.linalg.norm(x, axis=1)[:, None], 4)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").coalesce(1)
+    matching.self_similarity(items, "id", block_rows=1100).write.parquet(f"{tmp_path}/m")
+    made = spark.read.parquet(f"{tmp_path}/m")
+    got = made.toPandas().sort_values(["a", "b"])
+    assert (got[["a", "b"]].to_numpy() == np.stack(np.divmod(np.arange(1200**2), 1200), axis=1)).all()
+    assert np.abs(got["score"].to_numpy() - (x @ x.T).ravel()).max() < 1e-6
+    assert sum(f.stat().st_size for f in (tmp_path / "m").glob("*.parquet")) < 7 * 1200**2
+
+
+@pytest.mark.parametrize("scores", [[0.5, -0.25, 0.5, -0.0, 1.0], [1e18, 0.0, -1e18], [np.nan, 1.0, -np.inf, 1.0], []])
+def test_places_by_score(scores):
+    s = np.array(scores, np.float64)
+    assert pairwise._by_score(s, 6).tolist() == np.argsort(s, kind="stable").tolist()
+
+
 def test_hits_of_a_left_row_grow_with_the_partitions_of_the_right_side_alone(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 6))
