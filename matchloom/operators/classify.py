@@ -53,29 +53,50 @@ def term_features(df: DataFrame, text: str, counter: CountVectorizerModel, idf:
     return df.withColumn("_w", made).select(*df.columns, "_w.indices", "_w.values")
 
 
-def fit_terms(docs: DataFrame, key: str, text: str, max_features: int) -> tuple[CountVectorizerModel, np.ndarray]:
-    """Vocabulary and idf; at most `max_features` rows reach the driver."""
-    n_docs = docs.count()
-    vocab = tfidf.largest_terms(grams.term_stats(docs, text), max_features)
+@dataclass
+class Terms:
+    """The vocabulary of a classifier."""
+
+    counter: CountVectorizerModel
+    idf: np.ndarray  # (terms,), in the order of the counter's vocabulary
+
+
+def _terms(vocab: DataFrame, n_docs: int, max_features: int) -> Terms:
     vocab = materialise(vocab.select("term", tfidf.idf(F.lit(n_docs), F.col("df")).alias("idf")), "terms")
     # Fitted on the chosen terms alone, the counter knows exactly these; handing them over one by one is slow.
     counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features).fit(vocab.select(F.array("term").alias("_grams")))
     idf = {r["term"]: r["idf"] for r in vocab.collect()}
-    return counter, np.array([idf[t] for t in counter.vocabulary])
+    return Terms(counter, np.array([idf[t] for t in counter.vocabulary]))
+
+
+def fit_terms(docs: DataFrame, key: str, text: str, max_features: int) -> tuple[CountVectorizerModel, np.ndarray]:
+    """Vocabulary and idf; at most `max_features` rows reach the driver."""
+    made = _terms(tfidf.largest_terms(grams.term_stats(docs, text), max_features), docs.count(), max_features)
+    return made.counter, made.idf
+
+
+def fit_terms_of_part(docs: DataFrame, text: str, part: str, max_features: int) -> tuple[Terms, Terms]:
+    """The terms of the documents where `part` is true and of all, counted in one pass."""
+    n_docs, n_part = docs.agg(F.count(F.lit(1)), F.count_if(part)).first()
+    stats = materialise(grams.term_stats(docs, text, part=part), "term_stats")
+    own = stats.where("n_part > 0").select("term", F.col("n_part").alias("n"), F.col("df_part").alias("df"))
+    return _terms(tfidf.stored_largest_terms(own, max_features), n_part, max_features), _terms(tfidf.stored_largest_terms(stats, max_features), n_docs, max_features)
 
 
 def fit(
     docs: DataFrame, key: str, text: str, category: str,
     max_features: int = V.MAX_FEATURES, n_folds: int = V.CALIBRATION_FOLDS, max_passes: int = svm.MAX_PASSES,
+    terms: Terms | None = None, near: TextClassifier | None = None,
 ) -> TextClassifier:
     """Fits on all rows of `docs`: the vocabulary once, then the SVMs of all folds and classes together, then their sigmoids.
 
-    The driver and each task hold folds x classes x terms numbers, a small multiple of them on the driver.
+    `terms` is the vocabulary, if it is known. From the planes of `near`, a model of much the same rows, fewer passes lead
+    to the planes, which are the same up to the fit's tolerance. The driver and each task hold folds x classes x terms numbers, a small multiple of them on the driver.
     """
     classes = [r[0] for r in docs.select(category).distinct().orderBy(category).collect()]
     if len(classes) < 2:
         raise ValueError("a classifier needs at least two categories")
-    counter, idf = fit_terms(docs, key, text, max_features)
+    counter, idf = fit_terms(docs, key, text, max_features) if terms is None else (terms.counter, terms.idf)
     label = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(category)) - 1).cast("int")
     rows = term_features(docs.select(key, text, category), text, counter, idf).select(key, category, "indices", "values")
     ranked = stratify.shuffled_rank(rows, category, key)
@@ -85,7 +106,8 @@ def fit(
     # Two classes are told apart by one hyperplane; its mirror image serves the other class.
     fitted = range(len(classes)) if len(classes) > 2 else [1]
     planes = [(f, c) for f in range(n_folds) for c in fitted]
-    weights, biases = svm.fit_blocks(blocks, planes, len(idf), max_passes)
+    start = None if near is None or near.classes != classes or len(near.intercepts) != n_folds else np.stack([_carried(near, f, c, counter.vocabulary) for f, c in planes])
+    weights, biases = svm.fit_blocks(blocks, planes, len(idf), max_passes, start)
     coefficients = np.zeros((n_folds, len(classes), len(idf)))
     intercepts = np.zeros((n_folds, len(classes)))
     for (f, c), w, b in zip(planes, weights, biases, strict=True):
@@ -93,12 +115,19 @@ def fit(
     if len(classes) == 2:
         coefficients[:, 0], intercepts[:, 0] = -coefficients[:, 1], -intercepts[:, 1]
 
-    margins = svm.held_out_margins(blocks, *_by_term(coefficients, intercepts), n_folds)
+    margins = svm.held_out_margins(blocks, coefficients.reshape(-1, len(idf)), intercepts.ravel(), n_folds)
     ab = fit_sigmoids(margins, len(classes))
     sigmoids = np.array([[ab.get((f, c), (0.0, 0.0)) for c in range(len(classes))] for f in range(n_folds)])
     return TextClassifier(counter, idf, classes, coefficients, intercepts, sigmoids)
 
 
+def _carried(model: TextClassifier, fold: int, c: int, vocabulary: list[str]) -> np.ndarray:
+    """A plane of the model over another vocabulary, the bias last; terms that it does not know weigh nothing."""
+    at = {t: i for i, t in enumerate(model.counter.vocabulary)}
+    places = np.array([at.get(t, -1) for t in vocabulary])
+    return np.append(np.where(places < 0, 0.0, model.coefficients[fold, c][places]), model.intercepts[fold, c])
+
+
 def _by_term(coefficients: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, folds x classes) and (folds x classes,)."""
     return np.ascontiguousarray(coefficients.reshape(-1, coefficients.shape[-1]).T), intercepts.ravel()
@@ -145,19 +174,32 @@ def predict(model: TextClassifier, df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("predicted", guard_label(F.col(text), best))
 
 
-def hold_out(docs: DataFrame, category: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the stratified split, exact per category. Only keys are ranked; texts stay where they are."""
+def _marked(docs: DataFrame, category: str, key: str) -> tuple[DataFrame, Column]:
+    """The documents and whether one is held out. Only keys are ranked; texts stay where they are."""
     is_test = stratify.held_out_flag(docs, category, key)
-    marked = docs.join(F.broadcast(is_test.bounds), docs[category].eqNullSafe(is_test.bounds["_category"]), "left")
-    return marked.where(~is_test.flag).select(*docs.columns), marked.where(is_test.flag).select(*docs.columns)
+    return docs.join(F.broadcast(is_test.bounds), docs[category].eqNullSafe(is_test.bounds["_category"]), "left"), is_test.flag
 
 
-def train_and_evaluate(docs: DataFrame, key: str, text: str, category: str, **options) -> tuple[DataFrame, TextClassifier]:
-    """(metrics record, model): held-out metrics of a model fitted on the train part, and one fitted on everything."""
-    train, test = hold_out(docs, category, key)
-    scored = predict(fit(train, key, text, category, **options), test, text)
+def hold_out(docs: DataFrame, category: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the stratified split, exact per category."""
+    marked, is_test = _marked(docs, category, key)
+    return marked.where(~is_test).select(*docs.columns), marked.where(is_test).select(*docs.columns)
+
+
+def train_and_evaluate(docs: DataFrame, key: str, text: str, category: str, max_features: int = V.MAX_FEATURES, **options) -> tuple[DataFrame, TextClassifier]:
+    """(metrics record, model): held-out metrics of a model fitted on the train part, and one fitted on everything.
+
+    Both vocabularies are counted in one pass, and the second fit begins at the planes of the first.
+    """
+    marked, is_test = _marked(docs, category, key)
+    marked = marked.select(*docs.columns, (~is_test).alias("_train"))
+    train, test = (marked.where(c).select(*docs.columns) for c in ("_train", "NOT _train"))
+    of_train, of_all = fit_terms_of_part(marked, text, "_train", max_features)
+    model = fit(train, key, text, category, max_features, terms=of_train, **options)
+    # Stored, since each rate would predict the rows again.
+    scored = materialise(predict(model, test, text).select(category, "predicted", "probs"), "scored")
     record = metrics.metrics_record(docs, category, scored, category, "predicted", "probs")
-    return record, fit(docs, key, text, category, **options)
+    return record, fit(docs, key, text, category, max_features, terms=of_all, near=model, **options)
 
 
 def save(model: TextClassifier, spark: SparkSession, folder: str) -> None:

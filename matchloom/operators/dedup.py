@@ -19,6 +19,8 @@ def keep_first(df: DataFrame, text: str, order: str) -> DataFrame:
     # Stored, so that the join with it can be split where a text is everywhere.
     repeated = narrow.groupBy("_digest").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest", "_first")
     later = narrow.join(materialise(repeated, "repeated"), "_digest").where(F.col("_order") > F.col("_first")).select("_order")
+    # Stored, so that texts are digested once, however often the rows are used.
+    later = materialise(later, "later")
     return df.join(later, F.col(order) == F.col("_order"), "left_anti")
 
 

@@ -72,12 +72,17 @@ def _strings(key: np.ndarray, names: pa.Array) -> pa.Array:
     return pa.concat_arrays([single.cast(pa.string()), pairs.cast(pa.string())])
 
 
-def term_stats(docs: DataFrame, text: str, grams: bool = True, stop_words: list[str] | None = None) -> DataFrame:
-    """(term, n, df): occurrences in the corpus and documents that have the term; each slice of rows is summed up before the shuffle."""
+def term_stats(docs: DataFrame, text: str, grams: bool = True, stop_words: list[str] | None = None, part: str | None = None) -> DataFrame:
+    """(term, n, df): occurrences in the corpus and documents that have the term; each slice of rows is summed up before the shuffle.
+
+    With `part`, a boolean column, also (n_part, df_part): the same of the documents where it is true.
+    """
     stop = stop_array(stop_words)
+    names = ["n", "df"] if part is None else ["n", "df", "n_part", "df_part"]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lo = 0
             for words in slices(batch.column(0)):
                 x, rows = _coded(words, stop), len(words)
                 keys = x.code * rows + x.row
@@ -85,15 +90,20 @@ def term_stats(docs: DataFrame, text: str, grams: bool = True, stop_words: list[
                     row, a, b = x.pairs()
                     keys = np.concatenate([keys, ((a + 1) * len(x.names) + b) * rows + row])
                 entry, tf = np.unique(keys, return_counts=True)
+                lo += rows
                 if not len(entry):
                     continue
                 key = entry // rows
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                df = np.diff(np.append(first, len(key)))
-                yield pa.RecordBatch.from_arrays([_strings(key[first], x.names), pa.array(np.add.reduceat(tf, first)), pa.array(df)], ["term", "n", "df"])
-
-    parts = docs.select(tokens.words(F.col(text)).alias("words")).mapInArrow(summed, "term string, n bigint, df bigint")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+                sums = [np.add.reduceat(tf, first), np.diff(np.append(first, len(key)))]
+                if part is not None:
+                    own = batch.column(1).slice(lo - rows, rows).to_numpy(zero_copy_only=False).astype(bool)[entry - key * rows]
+                    sums += [np.add.reduceat(np.where(own, tf, 0), first), np.add.reduceat(own.astype(np.int64), first)]
+                yield pa.RecordBatch.from_arrays([_strings(key[first], x.names), *map(pa.array, sums)], ["term", *names])
+
+    rows = docs.select(tokens.words(F.col(text)).alias("words"), *([] if part is None else [F.coalesce(part, F.lit(False))]))
+    parts = rows.mapInArrow(summed, "term string, " + ", ".join(f"{c} bigint" for c in names))
+    return parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
 
 
 class Vocabulary:

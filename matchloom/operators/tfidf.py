@@ -42,7 +42,11 @@ def largest_terms(stats: DataFrame, max_features: int = V.MAX_FEATURES) -> DataF
     A histogram of the counts gives the count at which the list ends: what lies above is taken without any order, and
     only the terms of exactly that count are ordered, over as many tasks as they need.
     """
-    stats = materialise(stats, "term_stats")
+    return stored_largest_terms(materialise(stats, "term_stats"), max_features)
+
+
+def stored_largest_terms(stats: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFrame:
+    """largest_terms() of a stored table."""
     # One row a distinct count: 2^20 of them need a corpus of 2^39 terms.
     above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = stats.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).withColumn("above", F.coalesce(F.sum("terms").over(above), F.lit(0)))

@@ -173,3 +173,40 @@ def test_blocks_keep_every_row(spark, monkeypatch):
         for t, v in zip(terms, values):
             want[t] += (fold + 1) * v
     assert np.allclose(total[:, 0], want) and not total[:, 1].any()
+
+
+def test_both_vocabularies_come_from_one_pass(corpus, monkeypatch):
+    calls = []
+    count = classify.grams.term_stats
+    monkeypatch.setattr(classify.grams, "term_stats", lambda *a, **b: calls.append(a) or count(*a, **b))
+    record, model = classify.train_and_evaluate(corpus, "id", "text", "cat")
+    assert len(calls) == 1
+    train, _ = classify.hold_out(corpus, "cat", "id")
+    marked = corpus.join(train.select("id", F.lit(True).alias("own")), "id", "left")
+    for made, docs in zip(classify.fit_terms_of_part(marked.withColumn("own", F.coalesce("own", F.lit(False))), "text", "own", 20), (train, corpus)):
+        counter, idf = classify.fit_terms(docs, "id", "text", 20)
+        assert dict(zip(made.counter.vocabulary, made.idf)) == dict(zip(counter.vocabulary, idf)) and len(idf) == 20
+
+
+def test_a_good_start_saves_passes_and_ends_at_the_same_planes(spark, monkeypatch):
+    _, table = sparse_rows(spark, 300, 4, 6)
+    planes = [(f, c) for f in range(3) for c in range(4)]
+    passes = []
+    count = svm._summed
+    monkeypatch.setattr(svm, "_summed", lambda *a: passes.append(a) or count(*a))
+    weights, biases = svm.fit_planes(table, planes, 16)
+    cold = len(passes)
+    blocks = svm.materialise(svm.blocked(table), "blocks")
+    start = np.column_stack([weights, biases])
+    for near in (start, start * 1.01):
+        passes.clear()
+        again = svm.fit_blocks(blocks, planes, 16, start=near)
+        assert len(passes) < cold
+        # A plane is as far from the optimum as its gradient is long, at most.
+        assert np.allclose(again[0], weights, atol=2e-2) and np.allclose(again[1], biases, atol=2e-2)
+    assert np.allclose(svm.fit_blocks(blocks, planes, 16, start=-start)[0], weights, atol=2e-2)
+
+
+def test_a_block_has_one_fold_and_its_entries_by_term(spark):
+    for r in svm.blocked(sparse_rows(spark, 70, 2, 8)[1]).collect():
+        assert len(set(np.frombuffer(r["folds"], np.int32))) == 1 and (np.diff(np.frombuffer(r["terms"], np.int32)) >= 0).all()

@@ -225,3 +225,14 @@ def test_cut_of_texts(spark):
     text = 'One two, three.  Two "x1" B\n\n... last?!'
     got = spark.createDataFrame([(text,), (None,)], "t string").select(keyphrases._tokens(F.col("t"))).collect()
     assert got[0][0] == ["One", "two", "", "three", ".  ", "Two", "", "x1", "", "B", "\n\n", "... ", "last", "", ""] and got[1][0] == []
+
+
+def test_counts_of_a_part(spark):
+    from matchloom.operators import grams
+
+    rows = [(i, "alpha beta " * (i % 3) + "gamma delta", [True, False, None][i % 3]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, text string, own boolean")
+    got = {r["term"]: tuple(r)[1:] for r in grams.term_stats(docs, "text", part="own").collect()}
+    every = {r["term"]: tuple(r)[1:] for r in grams.term_stats(docs, "text").collect()}
+    part = {r["term"]: tuple(r)[1:] for r in grams.term_stats(docs.where("own"), "text").collect()}
+    assert got == {t: x + part.get(t, (0, 0)) for t, x in every.items()}
