@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ from matchloom.functions.tokens import counted, words
 from matchloom.sources.tables import materialise
 
 #: Words of a block of documents, a longer document apart.
-BLOCK_WORDS = 5_000_000
+BLOCK_WORDS = 16_000_000
+#: Tasks for each core that cut documents into blocks, at most: the more documents a task has, the fuller are its blocks.
+CUTS = 2
 #: Entries whose vectors are added up at once.
 SLICE_ENTRIES = 50_000
 
@@ -28,26 +31,64 @@ def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.inline(counted(words(F.col(text)))).alias("word", "tf"))
 
 
+class _Part(NamedTuple):
+    """Some documents of a block: words of each, places and counts of each one's different words, and the words at the places."""
+
+    keys: pa.Array
+    lengths: np.ndarray
+    places: np.ndarray
+    tfs: np.ndarray
+    words: pa.Array
+
+
+def _part(keys: pa.Array, words: pa.Array, lengths: np.ndarray) -> _Part:
+    coded = words.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    entry, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, place = np.divmod(entry, width)
+    return _Part(keys, np.bincount(row, minlength=len(lengths)).astype(np.int32), place.astype(np.int32), tf.astype(np.int32), coded.dictionary.cast(pa.string()))
+
+
+def _block(number: int, parts: list[_Part]) -> pa.RecordBatch:
+    keys, lengths, places, tfs, words = zip(*parts, strict=True)
+    coded = pa.concat_arrays(words).dictionary_encode()
+    place, ends = coded.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *map(len, words)])
+    places = [place[lo:hi][own] for own, lo, hi in zip(places, ends, ends[1:])]
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([
+        pa.array([number]), one(pa.concat_arrays(keys)), one(coded.dictionary),
+        *(pa.array([np.concatenate(x).astype(np.int32).tobytes()], pa.binary()) for x in (lengths, places, tfs))], ["block", "keys", "words", "lengths", "places", "tfs"])
+
+
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, words) -> blocks of documents: keys, words of each, and the block's different words with each entry's place among them."""
     made = TaskContext.get().partitionId() << 32
+    parts: list[_Part] = []
+    room = BLOCK_WORDS
     for batch in batches:
         lengths = np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         lo = 0
         while lo < len(batch):
-            hi = min(len(batch), max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_WORDS, "right")) - 1))
-            coded = batch.column(1).slice(lo, hi - lo).flatten().dictionary_encode()
-            width = max(1, len(coded.dictionary))
-            entry, tf = np.unique(np.repeat(np.arange(hi - lo), lengths[lo:hi]) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            row, place = np.divmod(entry, width)
-            per_row = np.bincount(row, minlength=hi - lo)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.concat_arrays([x]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([made]), one(batch.column(0).slice(lo, hi - lo)), one(coded.dictionary.cast(pa.string())),
-                *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (per_row, place, tf))], ["block", "keys", "words", "lengths", "places", "tfs"])
-            made += 1
+            hi = int(np.searchsorted(ends, ends[lo] + room, "right")) - 1
+            if hi <= lo and parts:
+                yield _block(made, parts)
+                made, parts, room = made + 1, [], BLOCK_WORDS
+                continue
+            hi = max(lo + 1, hi)
+            parts.append(_part(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lengths[lo:hi]))
+            room -= int(ends[hi] - ends[lo])
             lo = hi
+    if parts:
+        yield _block(made, parts)
+
+
+def _different(places: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """A row for each place: of several the smallest vector, so that all blocks agree."""
+    if len(np.unique(places)) == len(places):
+        return np.arange(len(places))
+    order = np.lexsort([*vectors.T[::-1], places])
+    return order[np.concatenate([[True], places[order][1:] != places[order][:-1]])]
 
 
 def _means(width: int):
@@ -58,26 +99,29 @@ def _means(width: int):
         for i in range(blocks.num_rows):
             own = blocks.column("keys")[i].values
             lengths, place, tf = (np.frombuffer(blocks.column(c)[i].as_buffer(), np.int32) for c in ("lengths", "places", "tfs"))
-            words = int(place.max(initial=-1)) + 1
-            table, there = np.zeros((max(1, words), width)), np.zeros(max(1, words), bool)
+            at = np.full(int(place.max(initial=-1)) + 1, -1)  # of a place's vector
+            vectors = np.zeros((0, width))
             if known.num_rows:
-                at = known.column("place").to_numpy()
-                table[at] = known.column("known").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
-                there[at] = True
-            row = np.repeat(np.arange(len(own)), lengths)
-            n_words = np.bincount(row, tf, len(own)).astype(np.int64)
-            hit = there[place]
-            row, place, tf = row[hit], place[hit], tf[hit].astype(np.float64)
-            n_known = np.bincount(row, tf, len(own))
-            sums = np.zeros((len(own), width))
+                vectors = known.column("known").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                places = known.column("place").to_numpy()
+                first = _different(places, vectors)
+                at[places[first]] = first
+            row = np.repeat(np.arange(len(own), dtype=np.int32), lengths)
+            n_words, n_known, sums = np.zeros(len(own)), np.zeros(len(own)), np.zeros((len(own), width))
             for lo in range(0, len(row), SLICE_ENTRIES):
-                r = row[lo : lo + SLICE_ENTRIES]
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                sums[r[first]] += np.add.reduceat(table[place[lo : lo + SLICE_ENTRIES]] * tf[lo : lo + SLICE_ENTRIES, None], first, axis=0)
+                r, n, v = row[lo : lo + SLICE_ENTRIES], tf[lo : lo + SLICE_ENTRIES].astype(np.float64), at[place[lo : lo + SLICE_ENTRIES]]
+                docs = slice(r[0], r[-1] + 1)
+                n_words[docs] += np.bincount(r - r[0], n)
+                hit = v >= 0
+                if hit.any():
+                    n_known[docs] += np.bincount(r - r[0], np.where(hit, n, 0.0))
+                    r, n, v = r[hit], n[hit], v[hit]
+                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    sums[r[first]] += np.add.reduceat(vectors[v] * n[:, None], first, axis=0)
             sums /= np.maximum(1, n_known)[:, None]
             offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * width)
             keys.append(own)
-            sizes.append(pa.array(n_words))
+            sizes.append(pa.array(n_words.astype(np.int64)))
             found.append(pa.array(n_known.astype(np.int64)))
             vecs.append(pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()), mask=pa.array(n_known == 0)))
         return pa.table([pa.chunked_array(c) for c in (keys, sizes, found, vecs)], ["_key", "n_words", "n_known", "vec"])
@@ -90,14 +134,17 @@ def document_means(docs: DataFrame, table: DataFrame, key: str, text: str, width
 
     `table` has a row for each word it knows, of any number: it is joined, never collected. Words that it does not
     know, or whose vector is null or not `width` long, are left out of the mean; a document without any known word has
-    a null vector. Documents are worked on in blocks of about BLOCK_WORDS words: a block asks for each of its different
-    words once, so what is shuffled is a vector a block and word, not one a document and part. The table is stored
-    first, so that AQE can split the join where a word stands in most blocks.
+    a null vector; of several vectors of a word the smallest counts. Documents are worked on in blocks of about
+    BLOCK_WORDS words: a block asks for each of its different words once, so what is shuffled is a vector a block and
+    word, not one a document and part, as narrow as the table has it, and no word is asked for more often than there
+    are blocks. Of the table nothing else is shuffled or stored.
     """
-    known = table.where(F.size(vec) == width).select(F.col(word).alias("_word"), F.col(vec).cast("array<double>").alias("known"))
-    known = materialise(known.dropDuplicates(["_word"]), "word_table")
+    narrow = isinstance(table.schema[vec].dataType, T.ArrayType) and isinstance(table.schema[vec].dataType.elementType, T.FloatType)
+    known = table.where(F.size(vec) == width).select(F.col(word).alias("_word"), F.col(vec).cast("array<float>" if narrow else "array<double>").alias("known"))
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    most = CUTS * docs.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(most).select("key", words(F.col("text")).alias("words"))
     fields = [("block", T.LongType()), ("keys", T.ArrayType(kind)), ("words", T.ArrayType(T.StringType())), *((c, T.BinaryType()) for c in ("lengths", "places", "tfs"))]
     blocks = materialise(rows.mapInArrow(_block_words, T.StructType([T.StructField(*f) for f in fields])), "word_blocks")
     asked = blocks.select("block", F.posexplode("words").alias("place", "word"))

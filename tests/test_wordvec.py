@@ -60,3 +60,33 @@ def test_no_vector_travels_with_a_document(spark):
     made = wordvec.document_means(docs, table, "id", "text", 2)
     assert made.where("n_known = 15").count() == 500
     assert "Summarizer" not in made._jdf.queryExecution().toString() and "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().toString()
+
+
+def test_a_block_goes_on_over_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [["data", "lake"], ["lake", "x1"], [], ["x1", "data", "data"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.list_(pa.string()))], ["key", "words"]) for i, t in enumerate(texts)]
+
+    class Context:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(wordvec.TaskContext, "get", Context)
+    (made,) = (b.to_pylist()[0] for b in wordvec._block_words(iter(batches)))
+    assert made["keys"] == [0, 1, 2, 3] and sorted(made["words"]) == ["data", "lake", "x1"]
+    lengths, places, tfs = (np.frombuffer(made[c], np.int32) for c in ("lengths", "places", "tfs"))
+    entries = [(made["words"][p], int(n)) for p, n in zip(places, tfs)]
+    assert lengths.tolist() == [2, 2, 0, 2]
+    assert [sorted(entries[a:b]) for a, b in ((0, 2), (2, 4), (4, 6))] == [[("data", 1), ("lake", 1)], [("lake", 1), ("x1", 1)], [("data", 2), ("x1", 1)]]
+
+
+def test_narrow_vectors_travel_narrow_and_only_once(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta")], "id long, text string")
+    table = spark.createDataFrame([("alpha", [0.1, 2.0]), ("beta", [4.0, 5.0]), ("beta", [3.0, 9.0])], "word string, vec array<float>")
+    made = wordvec.document_means(docs, table, "id", "text", 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan and "Aggregate" not in plan and "word_table" not in plan
+    x = float(table.first()["vec"][0])
+    assert {r["id"]: r["vec"] for r in made.collect()} == {1: pytest.approx([(x + 6) / 3, 20 / 3], abs=1e-12), 2: [3.0, 9.0]}
