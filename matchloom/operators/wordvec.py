@@ -53,11 +53,15 @@ def _block(number: int, parts: list[_Part]) -> pa.RecordBatch:
     keys, lengths, places, tfs, words = zip(*parts, strict=True)
     coded = pa.concat_arrays(words).dictionary_encode()
     place, ends = coded.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *map(len, words)])
-    places = [place[lo:hi][own] for own, lo, hi in zip(places, ends, ends[1:])]
+    place = np.concatenate([place[lo:hi][own] for own, lo, hi in zip(places, ends, ends[1:])])
+    lengths, tf = np.concatenate(lengths), np.concatenate(tfs)
+    if len(parts) > 1:  # places rise within a document, as they do in a part
+        order = np.argsort(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(coded.dictionary)) + place)
+        place, tf = place[order], tf[order]
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     return pa.RecordBatch.from_arrays([
         pa.array([number]), one(pa.concat_arrays(keys)), one(coded.dictionary),
-        *(pa.array([np.concatenate(x).astype(np.int32).tobytes()], pa.binary()) for x in (lengths, places, tfs))], ["block", "keys", "words", "lengths", "places", "tfs"])
+        *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (lengths, place, tf))], ["block", "keys", "words", "lengths", "places", "tfs"])
 
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +87,24 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(made, parts)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers, mostly small: their bytes by significance, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(squeezed: pa.Scalar, count: int) -> np.ndarray:
+    whole = pa.decompress(squeezed.as_buffer(), 4 * count, "zstd")
+    return np.ascontiguousarray(np.frombuffer(whole, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _squeezed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_block_words() whose places, as steps from one to the next, and counts take a third of the room."""
+    for made in _block_words(batches):
+        place, tf = (np.frombuffer(made[c][0].as_buffer(), np.int32) for c in ("places", "tfs"))
+        columns = [*made.columns[:4], *(pa.array([_squeezed(x)], pa.binary()) for x in (np.diff(place, prepend=np.int32(0)), tf))]
+        yield pa.RecordBatch.from_arrays(columns, made.schema.names)
+
+
 def _different(places: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """A row for each place: of several the smallest vector, so that all blocks agree."""
     if len(np.unique(places)) == len(places):
@@ -98,7 +120,9 @@ def _means(width: int):
         keys, sizes, found, vecs = [], [], [], []
         for i in range(blocks.num_rows):
             own = blocks.column("keys")[i].values
-            lengths, place, tf = (np.frombuffer(blocks.column(c)[i].as_buffer(), np.int32) for c in ("lengths", "places", "tfs"))
+            lengths = np.frombuffer(blocks.column("lengths")[i].as_buffer(), np.int32)
+            place, tf = (_numbers(blocks.column(c)[i], int(lengths.sum())) for c in ("places", "tfs"))
+            place = np.cumsum(place, dtype=np.int32)
             at = np.full(int(place.max(initial=-1)) + 1, -1)  # of a place's vector
             vectors = np.zeros((0, width))
             if known.num_rows:
@@ -146,7 +170,7 @@ def document_means(docs: DataFrame, table: DataFrame, key: str, text: str, width
     most = CUTS * docs.sparkSession.sparkContext.defaultParallelism
     rows = rows.coalesce(most).select("key", words(F.col("text")).alias("words"))
     fields = [("block", T.LongType()), ("keys", T.ArrayType(kind)), ("words", T.ArrayType(T.StringType())), *((c, T.BinaryType()) for c in ("lengths", "places", "tfs"))]
-    blocks = materialise(rows.mapInArrow(_block_words, T.StructType([T.StructField(*f) for f in fields])), "word_blocks")
+    blocks = materialise(rows.mapInArrow(_squeezed_blocks, T.StructType([T.StructField(*f) for f in fields])), "word_blocks")
     asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
     told = asked.join(known, F.col("word") == F.col("_word")).select(F.col("block").alias("_block"), "place", "known")
     schema = T.StructType([

@@ -90,3 +90,13 @@ def test_narrow_vectors_travel_narrow_and_only_once(spark):
     assert "array<double>" not in plan and "Aggregate" not in plan and "word_table" not in plan
     x = float(table.first()["vec"][0])
     assert {r["id"]: r["vec"] for r in made.collect()} == {1: pytest.approx([(x + 6) / 3, 20 / 3], abs=1e-12), 2: [3.0, 9.0]}
+
+
+def test_entries_are_squeezed_and_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    for x in ([], [0], [1, -5, 2**31 - 1, -(2**31), 7], list(range(1000)) * 3):
+        packed = wordvec._squeezed(np.array(x, np.int32))
+        assert wordvec._numbers(pa.scalar(packed, pa.binary()), len(x)).tolist() == x
+    assert len(packed) < 1500
