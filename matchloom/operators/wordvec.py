@@ -20,10 +20,12 @@ from matchloom.sources.tables import materialise
 
 #: Words of a block of documents, a longer document apart.
 BLOCK_WORDS = 16_000_000
+#: Words of a part of a block, which are counted at once.
+PART_WORDS = 1_000_000
 #: Tasks for each core that cut documents into blocks, at most: the more documents a task has, the fuller are its blocks.
 CUTS = 2
 #: Entries whose vectors are added up at once.
-SLICE_ENTRIES = 50_000
+SLICE_ENTRIES = 20_000
 
 
 def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,18 +52,19 @@ def _part(keys: pa.Array, words: pa.Array, lengths: np.ndarray) -> _Part:
 
 
 def _block(number: int, parts: list[_Part]) -> pa.RecordBatch:
-    keys, lengths, places, tfs, words = zip(*parts, strict=True)
+    keys, lengths, words = ([getattr(p, c) for p in parts] for c in ("keys", "lengths", "words"))
     coded = pa.concat_arrays(words).dictionary_encode()
-    place, ends = coded.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *map(len, words)])
-    place = np.concatenate([place[lo:hi][own] for own, lo, hi in zip(places, ends, ends[1:])])
-    lengths, tf = np.concatenate(lengths), np.concatenate(tfs)
-    if len(parts) > 1:  # places rise within a document, as they do in a part
-        order = np.argsort(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(coded.dictionary)) + place)
-        place, tf = place[order], tf[order]
+    code, width, at, places, tfs = coded.indices.to_numpy(zero_copy_only=False), max(1, len(coded.dictionary)), 0, [], []
+    for part in parts:
+        place = code[at : at + len(part.words)][part.places]
+        order = np.argsort(np.repeat(np.arange(len(part.lengths)), part.lengths) * width + place)  # places rise within a document
+        places.append(place[order])
+        tfs.append(part.tfs[order])
+        at += len(part.words)
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     return pa.RecordBatch.from_arrays([
         pa.array([number]), one(pa.concat_arrays(keys)), one(coded.dictionary),
-        *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (lengths, place, tf))], ["block", "keys", "words", "lengths", "places", "tfs"])
+        *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (lengths, places, tfs))], ["block", "keys", "words", "lengths", "places", "tfs"])
 
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +77,12 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         lo = 0
         while lo < len(batch):
-            hi = int(np.searchsorted(ends, ends[lo] + room, "right")) - 1
+            hi, part = (int(np.searchsorted(ends, ends[lo] + n, "right")) - 1 for n in (room, PART_WORDS))
             if hi <= lo and parts:
                 yield _block(made, parts)
                 made, parts, room = made + 1, [], BLOCK_WORDS
                 continue
-            hi = max(lo + 1, hi)
+            hi = max(lo + 1, min(hi, part))
             parts.append(_part(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lengths[lo:hi]))
             room -= int(ends[hi] - ends[lo])
             lo = hi
@@ -105,12 +108,29 @@ def _squeezed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, made.schema.names)
 
 
-def _different(places: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """A row for each place: of several the smallest vector, so that all blocks agree."""
-    if len(np.unique(places)) == len(places):
-        return np.arange(len(places))
-    order = np.lexsort([*vectors.T[::-1], places])
-    return order[np.concatenate([[True], places[order][1:] != places[order][:-1]])]
+class _Vectors:
+    """The vectors of a block's words where they arrived, without a copy of all of them."""
+
+    def __init__(self, known: pa.Table, words: int, width: int):
+        self.width = width
+        self.chunks = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in known.column("known").chunks]
+        self.ends = np.cumsum([0, *map(len, self.chunks)])
+        places = known.column("place").to_numpy()
+        first = np.arange(len(places))
+        if len(np.unique(places)) < len(places):  # of several the smallest, so that all blocks agree
+            first = np.lexsort([*np.concatenate(self.chunks).T[::-1], places])
+            first = first[np.concatenate([[True], places[first][1:] != places[first][:-1]])]
+        #: Of a place's vector, -1 where there is none.
+        self.at = np.full(words, -1, np.int64)
+        self.at[places[first]] = first
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty((len(at), self.width))
+        order = np.argsort(at)
+        cuts = np.searchsorted(at[order], self.ends)
+        for chunk, start, lo, hi in zip(self.chunks, self.ends, cuts, cuts[1:]):
+            out[order[lo:hi]] = chunk[at[order[lo:hi]] - start]
+        return out
 
 
 def _means(width: int):
@@ -123,17 +143,11 @@ def _means(width: int):
             lengths = np.frombuffer(blocks.column("lengths")[i].as_buffer(), np.int32)
             place, tf = (_numbers(blocks.column(c)[i], int(lengths.sum())) for c in ("places", "tfs"))
             place = np.cumsum(place, dtype=np.int32)
-            at = np.full(int(place.max(initial=-1)) + 1, -1)  # of a place's vector
-            vectors = np.zeros((0, width))
-            if known.num_rows:
-                vectors = known.column("known").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                places = known.column("place").to_numpy()
-                first = _different(places, vectors)
-                at[places[first]] = first
+            vectors = _Vectors(known, int(place.max(initial=-1)) + 1, width)
             row = np.repeat(np.arange(len(own), dtype=np.int32), lengths)
             n_words, n_known, sums = np.zeros(len(own)), np.zeros(len(own)), np.zeros((len(own), width))
             for lo in range(0, len(row), SLICE_ENTRIES):
-                r, n, v = row[lo : lo + SLICE_ENTRIES], tf[lo : lo + SLICE_ENTRIES].astype(np.float64), at[place[lo : lo + SLICE_ENTRIES]]
+                r, n, v = row[lo : lo + SLICE_ENTRIES], tf[lo : lo + SLICE_ENTRIES].astype(np.float64), vectors.at[place[lo : lo + SLICE_ENTRIES]]
                 docs = slice(r[0], r[-1] + 1)
                 n_words[docs] += np.bincount(r - r[0], n)
                 hit = v >= 0
@@ -141,7 +155,7 @@ def _means(width: int):
                     n_known[docs] += np.bincount(r - r[0], np.where(hit, n, 0.0))
                     r, n, v = r[hit], n[hit], v[hit]
                     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    sums[r[first]] += np.add.reduceat(vectors[v] * n[:, None], first, axis=0)
+                    sums[r[first]] += np.add.reduceat(vectors.take(v) * n[:, None], first, axis=0)
             sums /= np.maximum(1, n_known)[:, None]
             offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * width)
             keys.append(own)
