@@ -80,26 +80,33 @@ def term_stats(docs: DataFrame, text: str, grams: bool = True, stop_words: list[
     stop = stop_array(stop_words)
     names = ["n", "df"] if part is None else ["n", "df", "n_part", "df_part"]
 
+    def sums(words: pa.Array, own: np.ndarray | None) -> pa.RecordBatch | None:
+        x, rows = _coded(words, stop), len(words)
+        keys = x.code * rows + x.row
+        if grams:
+            row, a, b = x.pairs()
+            keys = np.concatenate([keys, ((a + 1) * len(x.names) + b) * rows + row])
+        entry, tf = np.unique(keys, return_counts=True)
+        if not len(entry):
+            return None
+        key = entry // rows
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        made = [np.add.reduceat(tf, first), np.diff(np.append(first, len(key)))]
+        if own is not None:
+            there = own[entry % rows]
+            made += [np.add.reduceat(tf * there, first), np.add.reduceat(there, first, dtype=np.int64)]
+        return pa.RecordBatch.from_arrays([_strings(key[first], x.names), *map(pa.array, made)], ["term", *names])
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = None if part is None else batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             lo = 0
             for words in slices(batch.column(0)):
-                x, rows = _coded(words, stop), len(words)
-                keys = x.code * rows + x.row
-                if grams:
-                    row, a, b = x.pairs()
-                    keys = np.concatenate([keys, ((a + 1) * len(x.names) + b) * rows + row])
-                entry, tf = np.unique(keys, return_counts=True)
-                lo += rows
-                if not len(entry):
-                    continue
-                key = entry // rows
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                sums = [np.add.reduceat(tf, first), np.diff(np.append(first, len(key)))]
-                if part is not None:
-                    own = batch.column(1).slice(lo - rows, rows).to_numpy(zero_copy_only=False).astype(bool)[entry - key * rows]
-                    sums += [np.add.reduceat(np.where(own, tf, 0), first), np.add.reduceat(own.astype(np.int64), first)]
-                yield pa.RecordBatch.from_arrays([_strings(key[first], x.names), *map(pa.array, sums)], ["term", *names])
+                # What a slice was counted with is gone before its rows are handed over.
+                made = sums(words, None if own is None else own[lo : lo + len(words)])
+                lo += len(words)
+                if made is not None:
+                    yield made
 
     rows = docs.select(tokens.words(F.col(text)).alias("words"), *([] if part is None else [F.coalesce(part, F.lit(False))]))
     parts = rows.mapInArrow(summed, "term string, " + ", ".join(f"{c} bigint" for c in names))
