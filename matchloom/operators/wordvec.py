@@ -55,7 +55,8 @@ def _block(number: int, parts: list[_Part]) -> pa.RecordBatch:
     keys, lengths, words = ([getattr(p, c) for p in parts] for c in ("keys", "lengths", "words"))
     coded = pa.concat_arrays(words).dictionary_encode()
     code, width, at, places, tfs = coded.indices.to_numpy(zero_copy_only=False), max(1, len(coded.dictionary)), 0, [], []
-    for part in parts:
+    while parts:  # a part goes as it is taken
+        part = parts.pop(0)
         place = code[at : at + len(part.words)][part.places]
         order = np.argsort(np.repeat(np.arange(len(part.lengths)), part.lengths) * width + place)  # places rise within a document
         places.append(place[order])
@@ -86,13 +87,15 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(_part(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lengths[lo:hi]))
             room -= int(ends[hi] - ends[lo])
             lo = hi
+        batch = None  # its words are counted; the last block is made without them
     if parts:
         yield _block(made, parts)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
     """Whole numbers, mostly small: their bytes by significance, compressed."""
-    return pa.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    by_byte = x.astype("<i4", copy=False).view(np.uint8)
+    return pa.compress(b"".join(by_byte[k::4].tobytes() for k in range(4)), "zstd", asbytes=True)
 
 
 def _numbers(squeezed: pa.Scalar, count: int) -> np.ndarray:
